@@ -1,10 +1,12 @@
 """LM scoring: prediction by partial matching over a trie of byte contexts.
 
 Method: the pretrained model counts every byte of the lower-cased (A-Z) training texts, and an end mark, in
-its context of ``ORDER`` bytes. Shorter contexts are suffixes, so their counts are sums of these. A byte is
-coded at the longest known context that has it; a context with n occurrences of d symbols escapes to the next
-shorter one with probability d / (n + d), where the symbols of the longer context are excluded; below the
-empty context all other byte values are equally likely. ``score`` is the log10 probability of the text.
+its context of ``ORDER`` bytes. Shorter contexts are suffixes and count a byte once for each longer context
+that has it (update exclusion). A byte is coded at the longest known context that has it, with probability in
+proportion to its count less one half; otherwise the context escapes to the next shorter one, where the
+symbols of the longer one are excluded. The odds of an escape are estimated per context length by leaving out
+one occurrence at a time: how often a context with so many occurrences and symbols meets a new symbol. Below
+the empty context all other byte values are equally likely. ``score`` is the log10 probability of the text.
 
 Scale: counts of all training texts are summed per task and then by a shuffle; the model grows with the
 corpus and is never sampled. For scoring it is cut into blocks by the last two context bytes (all longer
@@ -33,7 +35,7 @@ from .common import mix64, settle, slices, texts, word_hashes, word_spans
 
 ORDER = 5
 #: Model rows per block that is collected and broadcast (16 bytes a row).
-BLOCK_ROWS = 1_500_000
+BLOCK_ROWS = 3_000_000
 _SLICE = 1 << 20
 _BUFFER = 4_000_000
 _PAD, _END = 0xFE, 0xFF  # bytes that UTF-8 never uses
@@ -46,14 +48,18 @@ class Flat:
 
     buf: np.ndarray
     starts: np.ndarray  # of each text's first byte
-    lengths: np.ndarray  # bytes of the text and its end mark
+    doc: np.ndarray  # number of the text of each byte, -1 for pads
 
 
 def flatten(batch: list[bytes]) -> Flat:
     pad, end = bytes([_PAD]) * ORDER, bytes([_END])
     buf = np.frombuffer(b"".join([x for t in batch for x in (pad, t.lower(), end)]), np.uint8)
     n = np.array([len(t) + 1 for t in batch], np.int64)
-    return Flat(buf, np.cumsum(n + ORDER) - n, n)
+    starts = np.cumsum(n + ORDER) - n
+    doc = np.repeat(np.arange(len(batch), dtype=np.int32), n + ORDER)
+    for k in range(1, ORDER + 1):
+        doc[starts - k] = -1
+    return Flat(buf, starts, doc)
 
 
 def grams(flat: Flat) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -63,10 +69,8 @@ def grams(flat: Flat) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         key = np.zeros(b - a, np.uint64)
         for k in range(ORDER, -1, -1):
             key = (key << np.uint64(8)) | flat.buf[a - k : b - k]
-        at = np.arange(a, b)
-        doc = np.searchsorted(flat.starts, at, "right") - 1
-        ok = (doc >= 0) & (at - flat.starts[doc] < flat.lengths[doc])
-        yield doc[ok], key[ok]
+        ok = flat.doc[a:b] >= 0
+        yield flat.doc[a:b][ok], key[ok]
 
 
 def tokens(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +82,7 @@ def tokens(flat: Flat) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    first = _firsts(keys)
     return keys[first], np.diff(np.append(first, len(keys)))
 
 
@@ -143,12 +147,14 @@ class Lookup:
 
 @dataclass
 class Level:
-    """One context length: grams with log10 counts; contexts with their costs when a text starts coding there
-    and when it has escaped from there to the next shorter length (with exclusion)."""
+    """One context length: grams with the logs of their shares; contexts with their costs when a text starts
+    coding there and when it has escaped from there to the next shorter length (with exclusion)."""
 
     grams: np.ndarray
     log_count: np.ndarray
     contexts: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
     log_total: np.ndarray
     log_escape: np.ndarray
     log_total_below: np.ndarray
@@ -156,38 +162,72 @@ class Level:
 
 
 def _position(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), -1)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _firsts(sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+
+
+def _class(x: np.ndarray) -> np.ndarray:
+    """0 to 7 as they are, then two classes per doubling."""
+    x = np.maximum(x, 0.0)
+    return np.minimum(np.where(x < 8, x, 8 + np.floor(2 * np.log2(np.maximum(x, 8) / 8))), 63).astype(np.int64)
+
+
+class Escapes:
+    """Odds that a context with n occurrences of d symbols meets a new one, by leaving out one occurrence of the
+    contexts given; a prior of weight 2 stands at d / 2n."""
+
+    def __init__(self, n: np.ndarray, d: np.ndarray, once: np.ndarray) -> None:
+        self.new, self.all = np.zeros((64, 64)), np.zeros((64, 64))
+        left = _class(n - 1)
+        np.add.at(self.new, (left, _class(d - 1)), once)
+        np.add.at(self.all, (left, _class(d - 1)), once)
+        np.add.at(self.all, (left, _class(d)), n - once)
+
+    def __call__(self, n: np.ndarray, d: np.ndarray) -> np.ndarray:
+        at = _class(n), _class(d)
+        return np.clip((self.new[at] + d / np.maximum(n, 1.0)) / (self.all[at] + 2), 1e-5, 0.9999)
+
+
+def _totals(n: np.ndarray, d: np.ndarray, escape: np.ndarray) -> np.ndarray:
+    """Log of what 2c - 1 is divided by: all halves less one a symbol, over the odds of no escape."""
+    return np.log10(2 * n - d) - np.log10(1 - escape)
 
 
 def build_levels(by_order: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
     """Levels 0 to ORDER from (sorted grams, counts) of each."""
     levels: list[Level] = []
+    below_odds = None
     for j, (keys, n) in enumerate(by_order):
         ctx = keys >> np.uint64(8)
-        first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, np.int64)
+        first = _firsts(ctx)
         contexts, distinct = ctx[first], np.diff(np.append(first, len(ctx))).astype(np.float64)
-        total = np.add.reduceat(n, first).astype(np.float64) if len(first) else np.zeros(0)
+        sums = lambda x, first=first: np.add.reduceat(x.astype(np.float64), first) if len(first) else np.zeros(0)
+        total = sums(n)
+        odds = Escapes(total, distinct, sums(n == 1))
+        escape = odds(total, distinct)
         if j:
-            below, counts = by_order[j - 1]
             mask = np.uint64((1 << 8 * j) - 1)
-            seen = counts[_position(below, keys & mask)].astype(np.float64)
-            excluded = np.add.reduceat(seen, first) if len(first) else np.zeros(0)
+            lower, counts = by_order[j - 1]
             up = levels[-1]
             at = _position(up.contexts, contexts & (mask >> np.uint64(8)))
-            up_total, up_distinct = 10 ** up.log_total[at], up._distinct[at]
-            rest, kinds = np.rint(up_total - up_distinct - excluded), up_distinct - distinct
-            none = kinds <= 0
-            log_below = np.where(none, 0.0, np.log10(np.where(none, 1.0, rest + kinds)))
-            log_escape_below = np.where(none, 0.0, np.log10(np.where(none, 1.0, kinds)) - log_below)
+            rest, kinds = up.total[at] - sums(counts[_position(lower, keys & mask)]), up.distinct[at] - distinct
+            none = kinds <= 0  # nothing is left there: the text goes on to the next shorter context for free
+            rest, kinds = np.where(none, 1.0, rest), np.where(none, 1.0, kinds)
+            e = below_odds(rest, kinds)
+            log_below, log_escape_below = np.where(none, 0.0, _totals(rest, kinds, e)), np.where(none, 0.0, np.log10(e))
         else:
-            left = 256 - distinct
-            log_below = np.log10(np.maximum(left, 1.0))
-            log_escape_below = np.zeros(len(left))
-        level = Level(keys, np.log10(n), contexts, np.log10(total + distinct), np.log10(distinct) - np.log10(total + distinct), log_below, log_escape_below)
-        level._distinct = distinct
-        levels.append(level)
+            log_below, log_escape_below = np.log10(np.maximum(256 - distinct, 1.0)), np.zeros(len(distinct))
+        levels.append(Level(keys, np.log10(2.0 * n - 1), contexts, total, distinct, _totals(total, distinct, escape), np.log10(escape), log_below, log_escape_below))
+        below_odds = odds
     return levels
 
 
@@ -212,18 +252,14 @@ def block_of_word(keys: np.ndarray, blocks: int) -> np.ndarray:
 
 
 def make_block(number: int, blocks: int, words: tuple[np.ndarray, np.ndarray], full: tuple[np.ndarray, np.ndarray], low: list[tuple[np.ndarray, np.ndarray]]) -> Block:
-    """``low`` has the grams of orders 0 and 1 of the whole model, ``full`` the full-order grams of the block."""
+    """``low`` has the grams of orders 0 and 1 of the whole model (at most 65536), ``full`` the full-order grams
+    of the block."""
     block = Block(number, blocks, Lookup(*words))
     block.word_logs = np.log10(block.words.values + 1.0)
-    by_order = [low[0], low[1]]
-    keys, n = full
-    for j in range(2, ORDER + 1):
-        part = keys & np.uint64((1 << 8 * (j + 1)) - 1)
-        order = np.argsort(part)
-        part, m = part[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-        by_order.append((part[first], np.add.reduceat(m, first) if len(first) else m))
-    block.levels = build_levels(by_order)
+    by_order = [full]
+    for j in range(ORDER - 1, 1, -1):
+        by_order.insert(0, _runs(by_order[0][0] & np.uint64((1 << 8 * (j + 1)) - 1)))
+    block.levels = build_levels([low[0], low[1], *by_order])
     top = block.levels[ORDER]
     ctx = _position(top.contexts, top.grams >> np.uint64(8))
     block.top = Lookup(top.grams, (top.log_count - top.log_total[ctx]))
@@ -319,10 +355,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", block_rows: int = BLOCK_ROWS
     ends = kinds.get(END, (0, 0))[1]
     words, n_words = kinds.get(WORD, (0, 0))
     blocks = max(1, -(-(words + kinds.get(GRAM, (0, 0))[0]) // block_rows))
-    low = []
-    for j in (0, 1):
-        part = F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key")
-        low.append(_arrays(counts.where(F.col("kind") == GRAM).select(part, "n").groupBy("key").agg(F.sum("n").alias("n"))))
+    part = lambda df, j: df.select(F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("key"))
+    one = settle(part(part(counts.where(F.col("kind") == GRAM), 2).distinct(), 1).groupBy("key").agg(F.count("*").alias("n")))
+    low = [_arrays(part(one, 0).groupBy("key").agg(F.count("*").alias("n"))), _arrays(one)]
     ctx2 = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
     sent = []
     if blocks == 1:
