@@ -69,7 +69,7 @@ def glob_match(value: Column, pattern: str) -> Column:
 
 def tokens(value: Column, separators: str = ",") -> Column:
     """Trimmed non-empty parts of a list in text."""
-    return F.filter(F.transform(F.split(value, f"[{separators}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, f"[{separators}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def published_name(name: Column) -> Column:

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from .graph import Graph, check_ids, id_frame, input_normalized, input_totals
 
-#: Levels after which a frontier is written to the shared folder, so that lineage stays short.
-SETTLE_LEVELS = 3
-
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write to ``spark.checkpoint.dir`` and reread; without such a folder (tests) the plan stays lazy."""
+    """Write to ``spark.checkpoint.dir`` and reread, so that later levels start from it; without such a folder
+    (tests, one machine) the rows are persisted."""
     top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not top:
-        return df
+        return df.persist()
     path = f"{top.rstrip('/')}/axonframe-paths-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -40,8 +38,7 @@ def bfs_distances(edges: DataFrame, start: Sequence[int], max_depth: int, *, bac
     for depth in range(1, max_depth + 1):
         new = steps.join(frontier.select(F.col("node").alias("_from")), "_from", "left_semi").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         frontier = new.withColumn("distance", F.lit(depth))
-        if depth % SETTLE_LEVELS == 0:
-            frontier = settle(frontier)
+        frontier = settle(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
@@ -50,7 +47,7 @@ def nodes_on_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int],
     """Nodes whose distances from the sources and to the targets sum up to ``max_hops`` or less, all sources,
     and the targets that are reached."""
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
-    e = filtered_edges(graph, min_weight, min_edge_fraction)
+    e = settle(filtered_edges(graph, min_weight, min_edge_fraction))
     return _reach(e, sources, targets, max_hops).select("neuron_id")
 
 
@@ -72,10 +69,10 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
     if max_hops < 1:
         raise ValueError("max_hops must be >= 1")
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
-    e = filtered_edges(graph, min_weight, min_edge_fraction)
+    e = settle(filtered_edges(graph, min_weight, min_edge_fraction))
     on_path = _reach(e, sources, targets, max_hops)
     signs = graph.nodes.select(F.col("neuron_id").alias("pre"), F.col("sign").cast("double").alias("sign"))
-    steps = (
+    steps = settle(
         e.join(on_path.select(F.col("neuron_id").alias("pre")), "pre", "left_semi")
         .join(on_path.select(F.col("neuron_id").alias("post"), "to_target"), "post")
         .join(signs, "pre")
@@ -92,8 +89,7 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
             .select("_turn", F.col("_next").alias("_last"), F.array_append("path", F.col("_next")).alias("path"), F.array_append("weights", F.col("_w")).alias("weights"), F.array_append("signs", F.col("sign")).alias("signs"), (F.col("strength") * F.col("fraction")).alias("strength"))
             .join(goal, "_last", "left")
         )
-        if depth % SETTLE_LEVELS == 0:
-            grown = settle(grown)
+        grown = settle(grown)
         reached = grown.where("_hit").drop("_hit")
         found = reached if found is None else found.unionByName(reached)
         frontier = grown.where("_hit is null").drop("_hit")
@@ -126,10 +122,8 @@ def with_labels(paths: DataFrame, graph: Graph, label: str) -> DataFrame:
     return paths.join(labels, "path")
 
 
-def effective_connectivity(graph: Graph, hops: int, *, signed: bool = True, cumulative: bool = False, threshold: float = 0.0, sources: Sequence[int] | None = None) -> DataFrame:
-    """(pre, post, value): the ``hops``-th power of the (signed) input-normalised matrix, entries below
-    ``threshold`` in size pruned after every product; ``cumulative`` sums powers 1 to ``hops``. With ``sources``
-    only their rows are computed, which are exact because pruning is entry by entry."""
+def _powers(graph: Graph, hops: int, signed: bool, threshold: float, sources: Sequence[int] | None) -> list[DataFrame]:
+    """Powers 1 to ``hops`` of the (signed) input-normalised matrix, each settled."""
     if hops < 1:
         raise ValueError("hops must be >= 1")
     base = input_normalized(graph)
@@ -137,29 +131,37 @@ def effective_connectivity(graph: Graph, hops: int, *, signed: bool = True, cumu
         base = base.join(graph.nodes.select(F.col("neuron_id").alias("pre"), "sign"), "pre").select("pre", "post", (F.col("fraction") * F.col("sign")).alias("value"))
     else:
         base = base.select("pre", "post", F.col("fraction").alias("value"))
-    base = base.where("value <> 0")
+    base = settle(base.where("value <> 0"))
     prune = lambda d: d.where(F.abs("value") >= threshold) if threshold > 0 else d
     power = prune(base)
     if sources is not None:
         power = power.join(id_frame(graph.nodes, sources, "pre"), "pre", "left_semi")
-    total = power
-    step = base.select(F.col("pre").alias("_mid"), F.col("post").alias("_post"), F.col("value").alias("_v"))
-    for k in range(2, hops + 1):
-        power = prune(power.join(step, F.col("post") == F.col("_mid")).groupBy("pre", "_post").agg(F.sum(F.col("value") * F.col("_v")).alias("value")).withColumnRenamed("_post", "post"))
-        if k % SETTLE_LEVELS == 0:
-            power = settle(power)
-        total = total.unionByName(power)
-    if cumulative:
-        return total.groupBy("pre", "post").agg(F.sum("value").alias("value"))
-    return power
+    step, out = base.select(F.col("pre").alias("_mid"), F.col("post").alias("_post"), F.col("value").alias("_v")), [power]
+    for _ in range(2, hops + 1):
+        product = out[-1].join(step, F.col("post") == F.col("_mid")).groupBy("pre", "_post").agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
+        out.append(settle(prune(product.withColumnRenamed("_post", "post"))))
+    return out
+
+
+def effective_connectivity(graph: Graph, hops: int, *, signed: bool = True, cumulative: bool = False, threshold: float = 0.0, sources: Sequence[int] | None = None) -> DataFrame:
+    """(pre, post, value): the ``hops``-th power of the (signed) input-normalised matrix, entries below
+    ``threshold`` in size pruned after every product; ``cumulative`` sums powers 1 to ``hops``. With ``sources``
+    only their rows are computed, which are exact because pruning is entry by entry."""
+    powers = _powers(graph, hops, signed, threshold, sources)
+    if not cumulative:
+        return powers[-1]
+    total = powers[0]
+    for p in powers[1:]:
+        total = total.unionByName(p)
+    return total.groupBy("pre", "post").agg(F.sum("value").alias("value"))
 
 
 def effective_by_hops(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, signed: bool = True, threshold: float = 0.0) -> DataFrame:
     """(hops, total, mean_per_target, n_sources, n_targets) of the effect of sources on targets per hop."""
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
     goal, out = id_frame(graph.nodes, targets, "post"), None
-    for k in range(1, max_hops + 1):
-        part = effective_connectivity(graph, k, signed=signed, threshold=threshold, sources=sources).join(goal, "post", "left_semi")
+    for k, power in enumerate(_powers(graph, max_hops, signed, threshold, sources), 1):
+        part = power.join(goal, "post", "left_semi")
         row = part.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total")).select(F.lit(k).alias("hops"), "total", (F.col("total") / len(set(targets))).alias("mean_per_target"), F.lit(len(set(sources))).alias("n_sources"), F.lit(len(set(targets))).alias("n_targets"))
         out = row if out is None else out.unionByName(row)
     return out
