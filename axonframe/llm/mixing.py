@@ -28,7 +28,8 @@ from .common import WORD, settle
 
 #: Documents per bucket that the two-level sums aim at; bits of a key.
 BUCKET_ROWS = 4096
-KEY_BITS = 62
+KEY_HEX = 15
+KEY_BITS = 4 * KEY_HEX
 #: Sources up to which per-source tables are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 SEED = "axon-mix-1"
@@ -39,8 +40,9 @@ def word_count(text: Column) -> Column:
 
 
 def shuffle_key(doc_id: Column, size: Column, seed: str = SEED) -> Column:
-    """A uniform unsigned 62-bit key that depends on the id and the size of a document alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size), 2)
+    """A uniform unsigned 60-bit key, from an MD5 digest of the id and the size of a document alone."""
+    text = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size)
+    return F.conv(F.substring(F.md5(text), 1, KEY_HEX), 16, 10).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:

@@ -1 +1,80 @@
-ORACLE_SQL: dict[str, str] = {}
+"""The text queries that SQL can express, in DuckDB's SQL."""
+
+from __future__ import annotations
+
+from .license_scan import CONTAINMENT, SHINGLE, TEMPLATES, _class, python_words
+from .mixing import KEY_HEX, SEED
+from .quality import RULES, STOP_WORDS
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
+
+_RULES = """rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/'))"""
+
+OP10 = rf"""WITH {_RULES},
+u AS (SELECT row_number() OVER () AS i, page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+m AS (SELECT i, h || p AS rule, verdict, row_number() OVER (PARTITION BY i ORDER BY length(h || p) DESC, length(p) DESC, verdict DESC, h || p DESC) AS r FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (i)"""
+
+
+def _op4() -> str:
+    stops = sorted({x for v in STOP_WORDS.values() for x in v})
+    stops = ", ".join(f"'{x}'" for x in sorted({*stops, *(x.capitalize() for x in stops), *(x.upper() for x in stops)}))
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
+    value = {
+        "n_words": "n_words",
+        "mean_word_length": ratio("word_chars", "n_words"),
+        "symbol_ratio": ratio("n_symbols", "n_words"),
+        "stop_word_ratio": ratio("stops", "n_words"),
+        "upper_ratio": ratio("uppers", "word_chars"),
+        "mark_word_ratio": ratio("marks", "n_words"),
+        "ellipsis_line_ratio": ratio("ellipses", "lines"),
+        "bullet_line_ratio": ratio("bullets", "lines"),
+        "dup_line_ratio": ratio("n_dup_lines", "lines"),
+        "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
+    }
+    failed = []
+    for r in RULES:
+        test = [f"{value[r.metric]} < {r.low}"] * (r.low is not None) + [f"{value[r.metric]} > {r.high}"] * (r.high is not None)
+        failed.append(f"CASE WHEN {' OR '.join(test)} THEN '{r.name}' END")
+    return rf"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT i, doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d),
+tri AS (SELECT i, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS x FROM (SELECT i, w, unnest(range(1, len(w) - 1)) AS k FROM w WHERE len(w) >= 3)),
+rep AS (SELECT i, k FROM (SELECT i, k, count(*) OVER (PARTITION BY i, x) AS n FROM tri) WHERE n >= 2),
+cov AS (SELECT i, count(DISTINCT k + o) AS n FROM rep, range(3) r(o) GROUP BY i),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) AS lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: x IN ({stops}))) AS stops,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS uppers, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS marks,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…){_SPACE}*$'))) AS ellipses, len(list_filter(l, lambda x: regexp_matches(x, '^{_SPACE}*[-*•·]{_SPACE}'))) AS bullets FROM w LEFT JOIN cov USING (i)),
+f AS (SELECT *, list_filter([{', '.join(failed)}], lambda x: x IS NOT NULL) AS failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
+
+
+OP6 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+k AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, {KEY_HEX}))::UBIGINT AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+g AS (SELECT *, level <= cap / weight AS fits FROM l),
+h AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM g WHERE fits) AS share FROM g),
+t AS (SELECT source, source_size, CASE WHEN fits THEN least(share * weight, cap) ELSE cap END AS target FROM h),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS passes FROM t),
+r AS (SELECT *, floor(target + 0.5)::BIGINT - passes * source_size AS rest FROM p),
+o AS (SELECT k.*, source_size, target, passes, rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, count(*) OVER (PARTITION BY k.source, key, size) AS n FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, source, size, source_size, target, (passes * size + CASE WHEN cum <= rest THEN size WHEN cum - size * n < rest THEN floor((rest - cum) / n + size)::BIGINT ELSE 0 END)::BIGINT AS taken FROM o"""
+
+
+def _op8() -> str:
+    rows = [(name, len(w) - SHINGLE + 1, w) for name, text in TEMPLATES.items() if len(w := python_words(text)) >= SHINGLE]
+    values = ", ".join(f"('{name}', {_class(n)}, {w!r})" for name, n, w in rows)
+    cut = lambda w: f"list_distinct(list_transform(range(1, len({w}) - {SHINGLE - 2}), lambda i: array_to_string({w}[i:i + {SHINGLE - 1}], ' ')))"
+    return rf"""WITH t AS (SELECT license, m, unnest({cut('w')}) AS x, len({cut('w')}) AS n FROM (VALUES {values}) v(license, m, w)),
+d AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}](?:[^\x20\x09-\x0D]*[\p{{L}}\p{{N}}])?') AS w FROM documents),
+s AS (SELECT doc_id, i, k - 1 AS k, len(w) - {SHINGLE - 1} AS total, array_to_string(w[k:k + {SHINGLE - 1}], ' ') AS x FROM (SELECT doc_id, i, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS k FROM d WHERE len(w) >= {SHINGLE})),
+h AS (SELECT doc_id, i, k, total, license, m, n, t.x FROM s JOIN t ON s.x = t.x),
+v AS (SELECT doc_id, i, license, n, x, unnest([k // m - 1, k // m]) AS j, greatest(total - 1 - m, 0) // m AS last FROM h),
+c AS (SELECT doc_id, i, license, j, count(DISTINCT x) / any_value(n) AS c FROM v WHERE j >= 0 AND j <= last GROUP BY ALL)
+SELECT doc_id, license, max(c) AS containment, count(DISTINCT j) AS n_windows FROM c WHERE c >= {CONTAINMENT} GROUP BY 1, 2"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_quality": _op4(), "op6_mixing": OP6, "op8_licenses": _op8(), "op10_url_filter": OP10}
