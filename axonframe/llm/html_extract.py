@@ -45,6 +45,7 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Words in class and id attributes that tell boilerplate or content.
 BAD_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer form gdpr header login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo related reply search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar warning widget".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main post story text page-content post-content".split())
+BAD_TAGS = frozenset(("nav", "aside", "footer", "form", "menu", "dialog"))
 WRAPPERS = frozenset(("#root", "html", "body"))
 TAGS = ("#root", "html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "nav", "header", "footer", "aside", "form", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "dt", "fieldset", "address", "center", "menu", "dialog")
 _TAG = {t: i for i, t in enumerate(TAGS)}
@@ -150,13 +151,18 @@ def node_features(nodes: list[Node]) -> list[list[int]]:
         links[p] += links[i]
         stops[p] += stops[i]
         kids[p] += 1
-    out = []
+    out, under = [], [False] * len(nodes)
     for i, n in enumerate(nodes):
         f = [_TAG.get(n.tag, len(TAGS))]
+        if i and under[n.parent]:
+            f.append(_BASE + 23)
+        under[i] = i > 0 and under[n.parent] or n.tag in BAD_TAGS
         if n.raw:
             attrs = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(n.raw)}
             named = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')} {attrs.get('itemprop', '')}").lower())
-            f += [_BASE] * any(w in BAD_WORDS for w in named) + [_BASE + 1] * any(w in GOOD_WORDS for w in named)
+            bad = any(w in BAD_WORDS for w in named)
+            under[i] = under[i] or bad
+            f += [_BASE] * bad + [_BASE + 1] * any(w in GOOD_WORDS for w in named)
             if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
                 f.append(_BASE + 2)
         f.append(_BASE + 3 + _bucket(size[i], (1, 20, 60, 150, 400)))
@@ -245,10 +251,19 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
                 inner.append(f"<blockquote {C}><p {C}>{prose()}</p></blockquote>")
             elif kind < 0.95:
                 inner.append(f"<table {C}><tr {C}><td {C}>{say(1, 4)}</td><td {C}>{say(1, 4)}</td></tr></table>")
-            elif kind < 0.98:
-                inner.append(f'<div class="{rng.choice(["ad", "promo", "share social", "related"])}">{rng.choice([sentence(), menu(3)])}</div>')
             else:
                 inner.append(f"<pre {C}>{say(4, 20)}</pre>")
+        if rng.random() < 0.4:  # boilerplate inside the article
+            odd = [
+                f'<div class="{rng.choice(["ad", "promo", "share social", "related", "newsletter"])}">{rng.choice([f"<p>{prose()}</p>", sentence(), menu(3)])}</div>',
+                f'<form action="/s"><p>{say(1, 6)}</p><label>{say(1, 2)}</label><input name="q"></form>',
+                f"<aside><h3>{say(1, 3)}</h3><p>{prose()}</p></aside>",
+                f"<nav>{menu(3)}</nav>",
+                f"<footer><p>{sentence()}</p></footer>",
+                f'<section class="comments"><div class="comment"><p>{prose()}</p></div></section>',
+            ]
+            for x in rng.sample(odd, rng.randint(1, 2)):
+                inner.insert(rng.randint(1, len(inner)) if inner else 0, x)
         body = "".join(inner)
         body = rng.choice(
             [
