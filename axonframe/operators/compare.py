@@ -166,7 +166,7 @@ def compare_type(a: Graph, b: Graph, type_a: str, *, type_b: str | None = None,
         nulls.append(u - v)
     means = [m[data == k].mean(axis=0) for k in (0, 1)]
     diffs = sorted(((x, float(means[0][i]), float(means[1][i])) for x, i in col.items()), key=lambda t: (-abs(t[1] - t[2]), t[0]))
-    caveats = [f"{x:.0%} of the weight is to unmatched partners" for x in loss if x > 0.05] + ["two neurons or fewer in a dataset"] * (min((data == 0).sum(), (data == 1).sum()) <= 2)
+    caveats = [f"{x:.0%} of the weight is to unmatched partners" for x in loss if x > 0.05] + ["two neurons or fewer in a dataset"] * int(min((data == 0).sum(), (data == 1).sum()) <= 2)
     return TypeComparison(between - within, between, within, tuple(nulls), tuple(diffs), (loss[0], loss[1]), tuple(caveats))
 
 
