@@ -46,7 +46,7 @@ RULES = (
     Rule("bare_marks", "mark_word_ratio", high=0.2),
     Rule("ellipsis_lines", "ellipsis_line_ratio", high=0.3),
     Rule("bullet_lines", "bullet_line_ratio", high=0.9),
-    Rule("repeated_lines", "dup_line_ratio", high=0.3),
+    Rule("repeated_lines", "dup_line_ratio", high=0.6),
     Rule("repeated_words", "repeat_word_ratio", high=0.5),
 )
 
