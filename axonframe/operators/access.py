@@ -68,3 +68,29 @@ def best_matches(results: DataFrame, *, direction: str) -> DataFrame:
     rows = results.select(name.alias("n"), F.col("image.libraryName").alias("library"), "normalizedScore", "matchingPixels", "mirrored")
     key = F.col("n.name").alias("line" if direction == "em_to_lm" else "body")
     return rows.groupBy(key, "library").agg(F.max("normalizedScore").alias("score"), F.max("matchingPixels").alias("pixels"), F.count("*").alias("n_matches"), F.bool_or("mirrored").alias("mirrored")).orderBy(F.desc("score"))
+
+
+def cached_json(path: str, fetch, *, refresh: bool = False) -> dict:
+    """A JSON document from a file cache, fetched and stored if it is not there."""
+    import json
+    from pathlib import Path
+
+    p = Path(path)
+    if refresh or not p.exists():
+        p.parent.mkdir(parents=True, exist_ok=True)
+        part = p.with_suffix(".part")
+        part.write_text(json.dumps(fetch()))
+        part.replace(p)
+    return json.loads(p.read_text())
+
+
+def off_target_count(cache: str, images: Sequence[str], *, max_images: int = 50) -> int | None:
+    """Distinct bodies that a line's images match, from cached records; None unless every file is cached."""
+    import json
+    from pathlib import Path
+
+    files = [Path(cache) / f"{i}.json" for i in images[:max_images]]
+    if not files or not all(f.exists() for f in files):
+        return None
+    names = {r["image"]["publishedName"] for f in files for r in json.loads(f.read_text()).get("results", [])}
+    return len(names)
