@@ -254,9 +254,9 @@ def match_types(spark, sf_dir):
     return compare.match_types(a, c.select(F.col("c_mktsegment").alias("cell_type")), "fafb_783_cell_type")
 
 
-@_query(f"{_N}, {SQL_EDGES}, m AS (SELECT neuron_id FROM neurons WHERE cell_type = 'NATION_7'), w AS (SELECT pre, coalesce(cell_type, '__unmatched__') AS label, sum(weight) AS w FROM edges JOIN neurons ON post = neuron_id WHERE pre IN (SELECT neuron_id FROM m) GROUP BY 1, 2), f AS (SELECT label, w / sum(w) OVER (PARTITION BY pre) AS f FROM w) SELECT label, round(sum(f) / (SELECT count(*) FROM m), 9) AS fraction FROM f GROUP BY label")
+@_query(f"{_N}, {SQL_EDGES}, m AS (SELECT neuron_id FROM neurons WHERE cell_type = 'BUILDING'), w AS (SELECT pre, coalesce(cell_type, '__unmatched__') AS label, sum(weight) AS w FROM edges JOIN neurons ON post = neuron_id WHERE pre IN (SELECT neuron_id FROM m) GROUP BY 1, 2), f AS (SELECT label, w / sum(w) OVER (PARTITION BY pre) AS f FROM w) SELECT label, round(sum(f) / (SELECT count(*) FROM m), 9) AS fraction FROM f GROUP BY label")
 def type_profile(spark, sf_dir):
-    return compare.type_profile(view.graph(spark, sf_dir), "NATION_7").select("label", _r("fraction"))
+    return compare.type_profile(view.graph(spark, sf_dir), "BUILDING").select("label", _r("fraction"))
 
 
 _COUNTS = "counts AS (SELECT pre AS neuron_id, 'out' AS dir, cell_type AS label, sum(weight) AS value FROM edges JOIN neurons ON post = neuron_id GROUP BY 1, 2, 3 UNION ALL SELECT post, 'in', cell_type, sum(weight) FROM edges JOIN neurons ON pre = neuron_id GROUP BY 1, 2, 3)"
