@@ -39,6 +39,8 @@ SHINGLE = 3
 MAX_BITS = 2
 #: Fingerprints of one key up to which all pairs are compared; beyond, stars of one-bit words link them.
 PAIR_LIMIT = 24
+#: Ids up to which a list of them is broadcast (about 16 bytes each).
+BROADCAST_IDS = 2_000_000
 _SLICE = 1 << 20
 #: Widths of the three segments and the generator polynomial of the Golay code (fixed values).
 SEGMENTS = (22, 21, 21)
@@ -218,13 +220,16 @@ def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
     Rows that share an id count as one document. Of a component without ids one row stays, of its smallest
-    fingerprint. Only ids meet the texts, in a semi-join."""
+    fingerprint. Only the ids that go meet the texts: up to ``BROADCAST_IDS`` are broadcast, more are joined by a
+    shuffle of ids and texts."""
     prints = settle(simhash(docs, id_col=id_col, text_col=text_col))
     answer = settle(_component_table(settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))))
-    ids = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = settle(ids.join(answer.select(F.col("component_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    kept = docs.join(first.select(F.col("doc_id").alias("__k")), F.col(id_col) == F.col("__k"), "left_semi")
-    if first.where("n > 1").limit(1).count():
+    ids = settle(prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
+    first = answer.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    gone = settle(ids.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("__k")))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__k"), "left_anti")
+    if ids.where("n > 1").join(first, "doc_id", "left_semi").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     if not prints.where("doc_id is null").limit(1).count():
         return kept
