@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 #: Parameters of the model and of its bounded training sample.
 BUCKETS = 1 << 15
 DIM = 16
@@ -76,6 +77,13 @@ def features(text: str) -> np.ndarray:
     return ids[ids >= 0]
 
 
+def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and their shares of a text."""
+    times = np.bincount(ids, minlength=BUCKETS) if len(ids) else np.zeros(BUCKETS, np.int64)
+    at = np.flatnonzero(times).astype(np.int32)
+    return at, (times[at] / max(1, len(ids))).astype(np.float32)
+
+
 @dataclass
 class LangModel:
     labels: list[str]
@@ -120,16 +128,15 @@ def train(texts: list[str], labels: list[str], *, seed: int = 7, epochs: int = E
     if not names:
         return LangModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    xs, ys = [features(t.encode("utf-8", "replace")[:TRAIN_BYTES].decode("utf-8", "ignore")) for t in texts], np.array([names.index(x) for x in labels])
+    xs, ys = [_shares(features(t.encode("utf-8", "replace")[:TRAIN_BYTES].decode("utf-8", "ignore"))) for t in texts], np.array([names.index(x) for x in labels])
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
-    order = [i for i in rng.permutation(len(xs)) if len(xs[i])]
+    order = [i for i in rng.permutation(len(xs)) if len(xs[i][0])]
     held, fit = order[: len(order) // 5], order[len(order) // 5 :]
     for epoch in range(epochs):
         for step, i in enumerate(rng.permutation(fit)):
             rate = np.float32(0.5 * (1 - (epoch + step / max(1, len(fit))) / epochs))
-            uniq, times = np.unique(xs[i], return_counts=True)
-            share = (times / times.sum()).astype(np.float32)[:, None]
+            uniq, share = xs[i][0], xs[i][1][:, None]
             mean = (emb[uniq] * share).sum(axis=0)
             z = mean @ out + bias
             p = np.exp(z - z.max())
@@ -141,7 +148,7 @@ def train(texts: list[str], labels: list[str], *, seed: int = 7, epochs: int = E
             emb[uniq] -= rate * len(uniq) ** np.float32(0.5) * share * back
     model = LangModel(names, (emb @ out).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if held:
-        logits = np.array([model.table[xs[i]].mean(axis=0, dtype=np.float64) + model.bias for i in held])
+        logits = np.array([xs[i][1].astype(np.float64) @ model.table[xs[i][0]] + model.bias for i in held])
         y = ys[held]
 
         def loss(t: float) -> float:
