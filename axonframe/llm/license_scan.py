@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
 Method: texts and templates are lower-cased words without marks at their ends, cut into 5-word shingles
-(64-bit hashes). Templates fall into size classes (powers of 4 shingles). For a class of at most m shingles,
+(64-bit hashes). Templates fall into size classes (powers of 8 shingles). For a class of at most m shingles,
 texts are cut into windows of 2m shingles every m shingles, so any run of m shingles lies whole in one window.
 Windows and templates get a one-permutation MinHash: the hash space is split into ``BINS`` bins and the
 smallest hash of each bin is a band. A window that shares a band with a template is a candidate, and its
 exact containment (share of the template's distinct shingles that the window has) must reach ``containment``.
+A window's bands are not listed: its hashes meet the templates' bands in the join, and of those that do, only
+hashes that are the smallest of their bin in the window go on.
 
-Recall: a template shingle in the window is lost as a band only if another of the window's at most 2m-1
-shingles falls into its bin with a smaller hash: (2m-1) / (2 BINS). With BINS = 64 m that is under 1/64 a
-shingle; a template of k shingles that is contained to 0.8 is missed with odds below (1/64)^(0.8 k), and a
-one-shingle template with odds below 1/64 (BINS is 4096 at least, so below 1/4000 for short classes).
+Recall: a template shingle in the window is lost as a band only if another of the window's at most 2m - 1
+shingles falls into its bin with a smaller hash, which has odds of (2m - 1) / (2 BINS): 1/8000 for templates
+of up to 8 shingles, 1/1000 up to 64. A template of k shingles contained to 0.8 is missed only if all of its
+0.8 k shingles are lost.
 
 All expressions are native. The template table is a fixed parameter; above ``BROADCAST_BANDS`` bands it
 is joined by a shuffle instead of a broadcast.
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import WORD, let
 
 SHINGLE = 5
+BINS = 1 << 16
 CONTAINMENT = 0.8
 BROADCAST_BANDS = 200_000
 
@@ -69,58 +72,48 @@ def _hashes(w: Column) -> Column:
 
 
 def _class(n: int) -> int:
-    m = 4
+    m = 8
     while m < n:
-        m *= 4
+        m *= 8
     return m
 
 
-def _bands(hashes: Column, bins: int) -> Column:
-    """Smallest hash of each bin: in sorted order, the first one of each run with equal top bits."""
-    shift = 64 - (bins.bit_length() - 1)
+def _bin(h: Column) -> Column:
+    return F.shiftright(h, 64 - (BINS.bit_length() - 1))
 
-    def first(s: Column) -> Column:
-        return F.filter(s, lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), shift)))
-
-    return let(F.sort_array(hashes), first)
-
-
-def _bins(m: int) -> int:
-    return max(4096, 64 * m)
 
+def _bands(hashes: Column) -> Column:
+    """Smallest hash of each bin: in sorted order, the first one of each run with equal bins."""
 
-def _windows(hashes: Column, m: int) -> Column:
-    """(window, bands) of every window of 2m hashes, m apart; the last one reaches the end."""
-
-    def one(h: Column):
-        def at(j: Column) -> Column:
-            return let(F.slice(h, j * m + 1, 2 * m), lambda w: F.struct(w.alias("window"), _bands(w, _bins(m)).alias("bands")))
+    def first(s: Column) -> Column:
+        return F.filter(s, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(s, F.greatest(i - 1, F.lit(0))))))
 
-        return at
+    return let(F.sort_array(hashes), first)
 
-    def all_of(h: Column) -> Column:
-        last = F.floor(F.greatest(F.size(h) - 1 - m, F.lit(0)) / m).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), one(h))
 
-    return let(hashes, all_of)
+def _windows(h: Column, m: int) -> Column:
+    """(m, j, window) of every window of 2m hashes, m apart; the last one reaches the end."""
+    last = F.floor(F.greatest(F.size(h) - 1 - m, F.lit(0)) / m).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda j: F.struct(F.lit(m).alias("m"), j.alias("j"), F.slice(h, j * m + 1, 2 * m).alias("window")))
 
 
 def scan_licenses(spark: SparkSession, docs: DataFrame, *, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """One row per document and license found: doc_id, license, containment, n_windows."""
     templates = TEMPLATES if templates is None else templates
     rows = [(k, python_words(v)) for k, v in templates.items()]
-    classes = sorted({_class(len(set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)))) for _, w in rows if len(w) >= SHINGLE})
-    wanted = spark.createDataFrame([(k, w, _class(len(w) - SHINGLE + 1)) for k, w in rows if len(w) >= SHINGLE], "license string, w array<string>, m int")
-    wanted = wanted.select("license", "m", F.array_distinct(_hashes(F.col("w"))).alias("t_hashes"))
-    shingles = docs.select(F.col(id_col).alias("doc_id"), let(normal_words(F.col(text_col)), _hashes).alias("h"))
-    found = None
-    for m in classes:
-        ours = wanted.where(F.col("m") == m).withColumn("band", F.explode(_bands(F.col("t_hashes"), _bins(m))))
-        ours = F.broadcast(ours) if len(rows) * m <= BROADCAST_BANDS else ours
-        cut = shingles.where(F.size("h") > 0).select("doc_id", F.posexplode(_windows(F.col("h"), m)).alias("j", "s")).select("doc_id", "j", "s.window", F.explode("s.bands").alias("band"))
-        hit = cut.join(ours, "band").where(F.size(F.array_intersect("window", "t_hashes")) >= F.size("t_hashes") * F.lit(containment))
-        hit = hit.select("doc_id", "license", "j", (F.size(F.array_intersect("window", "t_hashes")) / F.size("t_hashes")).alias("c"))
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
+    rows = [(k, w, _class(len(w) - SHINGLE + 1)) for k, w in rows if len(w) >= SHINGLE]
+    classes = sorted({m for _, _, m in rows})
+    if not rows:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
-    return found.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.countDistinct("j").alias("n_windows"))
+    wanted = spark.createDataFrame(rows, "license string, w array<string>, m int").select("license", "m", F.array_distinct(_hashes(F.col("w"))).alias("t_hashes"))
+    wanted = wanted.select("license", F.col("m").alias("t_m"), "t_hashes", F.explode(_bands(F.col("t_hashes"))).alias("t_band"))
+    wanted = F.broadcast(wanted) if sum(len(w) for _, w, _ in rows) <= BROADCAST_BANDS else wanted
+    shingles = docs.select(F.col(id_col).alias("doc_id"), let(normal_words(F.col(text_col)), _hashes).alias("h"))
+    windows = let(F.col("h"), lambda h: F.concat(*(_windows(h, m) for m in classes)))
+    # The outer forms keep the optimizer from adding a filter that would cut every text a second time.
+    cut = shingles.select("doc_id", F.explode_outer(windows).alias("s")).select("doc_id", "s.m", "s.j", "s.window", F.explode_outer("s.window").alias("band"))
+    # It names a column of the template, so that it is tested after the join and not on every hash before it.
+    smaller = F.exists("window", lambda x: (x < F.col("t_band")) & (_bin(x) == _bin(F.col("t_band"))) & (F.size("t_hashes") > 0))
+    shared = F.size(F.array_intersect("window", "t_hashes")) / F.size("t_hashes")
+    hit = cut.join(wanted, F.col("band") == F.col("t_band")).where((F.col("m") == F.col("t_m")) & ~smaller).select("doc_id", "license", "j", shared.alias("c")).where(F.col("c") >= containment)
+    return hit.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.countDistinct("j").alias("n_windows"))
