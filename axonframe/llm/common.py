@@ -75,9 +75,18 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """``df`` with only ``cols``; extra columns of any name are ignored."""
-    return df.select(*cols)
+#: Rows per Arrow batch for Python operators on whole texts (Spark's default of 10,000 holds too much text).
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows, so that a Python worker holds little
+    text at a time. A smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
 
 
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, texts, word_hashes, word_spans
+from .common import mix64, slices, small_batches, texts, word_hashes, word_spans
 from .lm_score import Lookup
 
 SEED_WORDS = 4
@@ -166,7 +166,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> I
 def gram_counts(docs: DataFrame, block: ItemBlock, *, text_col: str = "text") -> dict[int, int]:
     """Occurrences in all documents of the items' n-grams (their number is bounded by the block's words)."""
     sent = docs.sparkSession.sparkContext.broadcast(block.all_grams())
-    rows = docs.select(F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
@@ -186,7 +186,7 @@ def gram_counts(docs: DataFrame, block: ItemBlock, *, text_col: str = "text") ->
 
 def _matcher(docs: DataFrame, block: ItemBlock, struct: str, min_score: float):
     """The matches of one broadcast block as a vectorised function of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(block)
 
     @F.pandas_udf(struct)
     def match(column: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)([^>]*+)>""",
     re.S,
@@ -343,7 +345,7 @@ def default_model() -> TreeModel:
 
 def extract_pages(pages: DataFrame, model: TreeModel | None = None, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col``: the main text of the whole html."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
+    sent = small_batches(pages).sparkSession.sparkContext.broadcast(model or default_model())
 
     @F.pandas_udf("string")
     def extract(column: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 
 #: Parameters of the model and of its bounded training sample.
 BUCKETS = 1 << 15
@@ -186,7 +187,7 @@ def fit_language_model(docs: DataFrame, **cols) -> LangModel:
 
 def predict_language(docs: DataFrame, model: LangModel, *, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """``docs`` with <prefix>pred, <prefix>score and <prefix>rejected (score below the calibrated threshold)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<pred: string, score: double, rejected: boolean>")
     def predict(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices, texts, word_hashes, word_spans
+from .common import mix64, settle, slices, small_batches, texts, word_hashes, word_spans
 
 ORDER = 5
 #: Model rows per block that is collected and broadcast (16 bytes a row).
@@ -88,7 +88,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def count_model(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(kind, key, n): counts of words, of full-order grams and of ends over all rows."""
-    rows = docs.select(F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(text_col).alias("text"))
 
     def emit(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         keys, n = _runs(np.concatenate(parts))
@@ -374,7 +374,7 @@ def fit(docs: DataFrame, *, text_col: str = "text", block_rows: int = BLOCK_ROWS
 
 def score_texts(docs: DataFrame, model: Model, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """``id_cols`` with n_tokens, n_known, train_tokens, base_score and score of every row."""
-    rows = docs.select(*id_cols, F.col(text_col).alias("__text"))
+    rows = small_batches(docs).select(*id_cols, F.col(text_col).alias("__text"))
     schema = rows.select(*id_cols).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def parts() -> Iterator[Block]:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Kinds in the order that breaks ties between spans of the same start.
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESSES = 10.0
@@ -144,7 +146,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float
                 rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in spans], redact(t, spans)))
             yield pd.DataFrame(rows, columns=["spans", "redacted"])
 
-    out = docs.withColumn("__scan", scan(F.col(text_col)))
+    out = small_batches(docs).withColumn("__scan", scan(F.col(text_col)))
     return out.select(*docs.columns, F.col("__scan.spans").alias(f"{prefix}spans"), F.col("__scan.redacted").alias(f"{prefix}redacted"))
 
 
@@ -163,4 +165,4 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 rows.append((*n, hashlib.sha256(digest(base).encode()).hexdigest(), digest(spans)))
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), report(F.col(text_col)).alias("r")).select("doc_id", "r.*")
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), report(F.col(text_col)).alias("r")).select("doc_id", "r.*")

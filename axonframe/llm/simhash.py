@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import settle, slices, texts
+from .common import settle, slices, small_batches, texts
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -75,7 +75,7 @@ def fingerprints(batch: list[bytes]) -> np.ndarray:
 
 def simhash(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
