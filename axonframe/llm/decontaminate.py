@@ -1,10 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Method: texts and test items are words of letters and digits in lower case (A-Z). Every run of ``SPACING``
-n-grams of an item puts forward its rarest one, by occurrences in the whole corpus, as a seed; so a copy that
-is edited anywhere keeps seeds elsewhere. Documents that hold a seed are aligned with the item around the
-place (local alignment of words: match 2, mismatch and gap -1); the score is the share of the item's perfect
-score, and ``min_score`` or more is a leak.
+Method: texts and test items are words of letters and digits in lower case (A-Z). Every n-gram of an item that
+occurs in the corpus is a seed. Documents that hold a seed are aligned with the item around the place (local
+alignment of words: match 2, mismatch and gap -1); the score is the share of the item's perfect score, and
+``min_score`` or more is a leak. A place with too few words of the item to reach ``min_score`` is not aligned.
+
+Guarantee: a place that reaches ``min_score`` and shares ``SEED_WORDS`` words in a row with the item is found,
+wherever its edits lie. A place without such a run (an edit in every four words can leave 0.625) is not.
 
 Scale: items are the stated query set; they are taken in blocks of at most ``BLOCK_WORDS`` words, each
 broadcast and held against all documents in one scan without a shuffle; only n-gram counts of items are
@@ -31,7 +33,6 @@ from .common import mix64, slices, small_batches, texts, word_hashes, word_spans
 from .lm_score import Lookup
 
 SEED_WORDS = 4
-SPACING = 4
 MIN_SCORE = 0.5
 BLOCK_WORDS = 1_000_000
 _SLICE = 1 << 20
@@ -95,15 +96,14 @@ class ItemBlock:
         return out
 
     def choose(self, count: dict[int, int]) -> None:
-        """Seeds: of each ``SPACING`` n-grams in a row, the rarest (the leftmost of equals)."""
+        """Seeds: all n-grams that occur (``count``); any of them may be the only one that an edited copy keeps."""
         owners = defaultdict(set)
         for i, w in enumerate(self.words):
             if not len(w):
                 continue
-            g = ngrams(w, min(SEED_WORDS, len(w))).tolist()
-            for a in range(0, len(g), SPACING):
-                at = min(range(a, min(len(g), a + SPACING)), key=lambda p: (count.get(g[p], 0), p))
-                owners[len(w[:SEED_WORDS]), g[at]].add((i, at))
+            for at, g in enumerate(ngrams(w, min(SEED_WORDS, len(w))).tolist()):
+                if count.get(g, 0):
+                    owners[len(w[:SEED_WORDS]), g].add((i, at))
         for n in self.lengths:
             keys = np.array(sorted(k for m, k in owners if m == n), np.uint64)
             self.lookups[n] = Lookup(keys, keys)
@@ -124,7 +124,7 @@ class ItemBlock:
                     for item, offset in self.owners[int(keys[p])]:
                         hits[d, item].append(p - offset)
             for (d, item), begins in hits.items():
-                if best := self._best(self.words[item], h, int(first[d]), int(first[d + 1]), begins):
+                if best := self._best(self.words[item], h, int(first[d]), int(first[d + 1]), begins, min_score):
                     if best[0] >= min_score:
                         out[i + d].append((item, *best))
         for m in out:
@@ -132,10 +132,11 @@ class ItemBlock:
         return out
 
     @staticmethod
-    def _best(w: np.ndarray, h: np.ndarray, low: int, high: int, begins: list[int]) -> tuple[float, int, int] | None:
-        """Align the item with the merged surroundings of its seeds, half an item to each side."""
+    def _best(w: np.ndarray, h: np.ndarray, low: int, high: int, begins: list[int], min_score: float) -> tuple[float, int, int] | None:
+        """Align the item with the merged surroundings of its seeds, as far to each side as gaps can move a place
+        that reaches ``min_score``. Surroundings with fewer words of the item than that takes are left out."""
         m, best, begins = len(w), None, sorted(begins)
-        reach = m // 2 + 1
+        reach, own = int(2 * m * max(0.0, 1 - min_score)) + 1, np.unique(w)
         k = 0
         while k < len(begins):
             a = b = begins[k]
@@ -143,7 +144,11 @@ class ItemBlock:
                 b = begins[k]
                 k += 1
             a, b = max(low, a - reach), min(high, b + m + reach)
-            score, end = align(w, h[a:b])
+            passage = h[a:b]
+            at = np.minimum(np.searchsorted(own, passage), len(own) - 1)
+            if np.count_nonzero(own[at] == passage) < min_score * m:
+                continue
+            score, end = align(w, passage)
             share = score / (2 * m)
             if best is None or share > best[0]:
                 best = (share, max(0, a + end - m - low), a + end - low)

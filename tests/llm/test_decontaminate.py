@@ -51,6 +51,34 @@ def test_copies_and_edited_copies(spark, make, items):
     assert in_blocks == found
 
 
+def test_spread_edits_equal_brute_force(spark, make, items):
+    """Copies with one word in k replaced, or words inserted, against an alignment with the whole document."""
+    rng = np.random.default_rng(4)
+    rows, frame = items
+    docs = []
+    for i, (_, text) in enumerate(rows):
+        for k in (4, 5, 6, 7):
+            w = text.split()
+            for at in range(i % k, len(w), k):
+                w[at] = f"edit{i}k{k}at{at}"
+            docs.append(w)
+        w = text.split()
+        at = int(rng.integers(5, 15))
+        docs.append(w[:at] + [f"new{i}x{j}" for j in range(int(rng.integers(8, 22)))] + w[at:])
+    docs = [[f"pad{n}x{j}" for j in range(30)] + w + [f"end{n}x{j}" for j in range(30)] for n, w in enumerate(docs)]
+    want = set()
+    for n, w in enumerate(docs):
+        for i, text in rows:
+            v = text.split()
+            runs = {tuple(v[j : j + d.SEED_WORDS]) for j in range(len(v))} & {tuple(w[j : j + d.SEED_WORDS]) for j in range(len(w) - d.SEED_WORDS + 1)}
+            score = brute_align(v, w) / (2 * len(v)) if runs else 0.0
+            if score >= d.MIN_SCORE:
+                want.add((n, i, score))
+    assert len(want) > len(docs) * 0.6
+    found = d.find_leaks(make([(n, " ".join(w)) for n, w in enumerate(docs)]), frame).collect()
+    assert {(r["doc_id"], x["item_id"], x["score"]) for r in found for x in r["leaks"]} == want
+
+
 def test_very_common_passage_and_empty_tables(spark, make, items):
     rows, frame = items
     docs = make([(i, f"a{i} b{i} {rows[5][1]} c{i}") for i in range(200)])
