@@ -32,14 +32,17 @@ MIN_GUESSES = 10.0
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Values after a mark, after a space alone, and in a URL.
 CONTEXT = re.compile(
-    r"""(?i:pwd|passphrase|credentials?|private_?key|access_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id)["']?(?:\x20*[:=]\x20*|\x20+)["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
+    r"""(?i:pwd|passphrase|credentials?|private_?key|access_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id|password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
+    r"""|(?i:pwd|passphrase|credentials?|private_?key|access_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id)["']?\x20+["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
     r"""|://[A-Za-z0-9._-]+:([^\s:/@"'<>]{6,})@""",
     re.A,
 )
+SPACED = 2
 #: A text without any of these (in lower case) has no credential context.
 HINTS_ASSIGN = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-HINTS_CONTEXT = (b"pwd", b"passphrase", b"credential", b"key", b"auth", b"bearer", b"passw", b"client", b"://")
+HINTS_CONTEXT = (b"pwd", b"passphrase", b"credential", b"key", b"auth", b"bearer", b"passw", b"client", b"secret", b"token", b"://")
 
 # Common password words by rank (public lists of the most used passwords and English words).
 COMMON = (
@@ -109,11 +112,15 @@ def find_spans(text: str | None, min_guesses: float = MIN_GUESSES) -> list[tuple
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     if any(h in low for h in HINTS_CONTEXT):
-        for m in CONTEXT.finditer(text):
-            g = 1 if m[1] is not None else 2
-            value = m[g].rstrip(".,")
-            if not value.isalpha() and guess_cost(value) >= min_guesses:
+        at = 0
+        while m := CONTEXT.search(text, at):
+            g = m.lastindex
+            value, at = m[g].rstrip(".,"), m.end()
+            # A plain word after a space is prose ("bearer certificates").
+            if not (g == SPACED and value.isalpha()) and guess_cost(value) >= min_guesses:
                 out.append((m.start(g), "guess", m.start(g) + len(value)))
+            else:  # the value may be a credential word itself
+                at = m.start(g)
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
 

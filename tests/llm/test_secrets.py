@@ -23,6 +23,24 @@ def test_spans(text, spans):
     assert s.digest(s.find_spans(text)) == spans
 
 
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("password: x#9!kQ2$vT7&mZ4p", "password: [SECRET]"),
+        ("secret: $7hK!2pQ@9xZ%4vN", "secret: [SECRET]"),
+        ("token=#Aq9!x7Kz2$LmP4", "token=[SECRET]"),
+        ("api_key = '!x7Kz2$LmP4#Aq9'", "api_key = '[SECRET]'"),
+        ("password: Tr0ub4dor&3#xQ9!zK end", "[SECRET] end"),
+        ("pwd: qzxvkwjplmtrbnhgfd", "pwd: [SECRET]"),
+        ("bearer qzxvkwjplmtrbnhgfd", "bearer qzxvkwjplmtrbnhgfd"),
+        ("auth token: x#9!kQ2$vT7&mZ4p", "auth token: [SECRET]"),
+        ("credential password: x#9!kQ2$vT7&mZ4p", "credential password: [SECRET]"),
+    ],
+)
+def test_values_of_credential_words_are_redacted_whole(text, left):
+    assert s.redact(text, s.find_spans(text)) == left
+
+
 def test_guess_cost_orders_values():
     cost = s.guess_cost
     assert cost("") == 0 and cost("password") < 1 and cost("aaaaaaaaaaaa") < 5 and cost("20240115") < 6 and cost("qwertyuiop") < 5
