@@ -3,7 +3,8 @@
 Method: a text is lower-cased, everything but letters becomes a gap, and the byte n-grams of its words (with
 a gap at each end) are hashed into ``BUCKETS`` rows of an embedding table. The mean of a text's rows goes
 through a linear softmax. Both layers are trained by stochastic gradient descent on a bounded sample of
-labelled rows (``TRAIN_PER_LABEL`` rows a label, chosen by a hash of the id). On rows of the sample that are not
+labelled rows (``TRAIN_PER_LABEL`` rows a label, chosen by a hash of the id), of which whole texts count: the
+executors reduce each to its bucket counts. On rows of the sample that are not
 trained on, a temperature is fitted to the scores and a rejection threshold is set such that of correct
 predictions about ``FALSE_REJECT`` or less fall below.
 
@@ -11,21 +12,23 @@ For prediction the two layers fold into one table (bucket x label), which is con
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; whole texts count;
 ties go to the first label in sorted order; rows without a label are not trained on; with no labelled rows
-everything is ``und``; repeated rows, null ids, empty tables and extra columns need no care.
+everything is ``und``; more than ``MAX_LABELS`` labels are an error; repeated rows, null ids, empty tables and extra columns need no care.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import settle, small_batches, texts
 
 #: Parameters of the model and of its bounded training sample.
 BUCKETS = 1 << 15
@@ -33,7 +36,6 @@ DIM = 16
 ORDERS = (2, 3, 4)
 TRAIN_PER_LABEL = 1500
 MAX_LABELS = 500
-TRAIN_BYTES = 4000
 EPOCHS = 4
 FALSE_REJECT = 0.001
 
@@ -71,18 +73,23 @@ def _ids(buf: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def features(text: str) -> np.ndarray:
-    """Buckets of all n-grams of a text."""
-    buf = np.frombuffer(_normal(text), np.uint8)
-    ids = np.concatenate([_ids(buf, k) for k in ORDERS])
-    return ids[ids >= 0]
+def features(text: str) -> bytes:
+    """The distinct buckets of all n-grams of a text and their counts, packed (at most ``BUCKETS`` of them)."""
+    buf, times = np.frombuffer(_normal(text), np.uint8), np.zeros(BUCKETS, np.int64)
+    for k in ORDERS:
+        for at in range(0, max(1, len(buf) - k + 1), _CHUNK):
+            ids = _ids(buf[at : at + _CHUNK + k - 1], k)
+            times += np.bincount(ids[ids >= 0], minlength=BUCKETS)
+    at = np.flatnonzero(times)
+    return zlib.compress(np.diff(at, prepend=0).astype("<u2").tobytes() + times[at].astype("<u4").tobytes(), 1)
 
 
-def _shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shares(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares of a text."""
-    times = np.bincount(ids, minlength=BUCKETS) if len(ids) else np.zeros(BUCKETS, np.int64)
-    at = np.flatnonzero(times).astype(np.int32)
-    return at, (times[at] / max(1, len(ids))).astype(np.float32)
+    raw = zlib.decompress(packed)
+    n = len(raw) // 6
+    at, times = np.cumsum(np.frombuffer(raw, "<u2", n)).astype(np.int32), np.frombuffer(raw, "<u4", n, 2 * n).astype(np.int64)
+    return at, (times / max(1, times.sum())).astype(np.float32)
 
 
 @dataclass
@@ -123,13 +130,13 @@ class LangModel:
         return np.where(known, best, -1), np.where(known, p[np.arange(len(texts)), best], 0.0)
 
 
-def train(texts: list[str], labels: list[str], *, seed: int = 7, epochs: int = EPOCHS, false_reject: float = FALSE_REJECT) -> LangModel:
-    """Fit the model; a fifth of the rows is kept from the training for calibration."""
+def train(packed: list[bytes], labels: list[str], *, seed: int = 7, epochs: int = EPOCHS, false_reject: float = FALSE_REJECT) -> LangModel:
+    """Fit the model to the ``features`` of texts; a fifth of the rows is kept from the training for calibration."""
     names = sorted(set(labels))
     if not names:
         return LangModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    xs, ys = [_shares(features(t.encode("utf-8", "replace")[:TRAIN_BYTES].decode("utf-8", "ignore"))) for t in texts], np.array([names.index(x) for x in labels])
+    xs, ys = [_shares(t) for t in packed], np.array([names.index(x) for x in labels])
     emb = rng.normal(0, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, len(names)), np.float32), np.zeros(len(names), np.float32)
     order = [i for i in rng.permutation(len(xs)) if len(xs[i][0])]
@@ -167,18 +174,29 @@ def train(texts: list[str], labels: list[str], *, seed: int = 7, epochs: int = E
     return model
 
 
-def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = TRAIN_PER_LABEL) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` rows a label (and ``MAX_LABELS`` labels), each the first of its hash slot.
+def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = TRAIN_PER_LABEL) -> tuple[list[bytes], list[str]]:
+    """The ``features`` and labels of at most ``per_label`` rows a label, each the first of its hash slot.
 
     A label's rows are dealt into ``per_label`` slots by a hash of the id, and each slot keeps its smallest:
-    an aggregation with partial results, so a frequent label meets in no task. Texts are cut to what the
-    training reads of them."""
+    an aggregation of hashes with partial results, so a frequent label meets in no task. The rows found go through
+    ``features`` where they are read, and only those are collected."""
     key = F.xxhash64(F.lit("lang"), F.col(id_col).cast("string"))
-    text = F.substring(F.col(text_col), 1, TRAIN_BYTES)
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.pmod(key, F.lit(per_label)).alias("slot"), key.alias("k"), text.alias("t"))
-    got = rows.groupBy("l", "slot").agg(F.min(F.struct("k", "t")).alias("x")).select("l", "x.t", "x.k").limit(per_label * MAX_LABELS).collect()
-    got.sort(key=lambda r: (r["l"], r["k"], r["t"]))
-    return [r["t"] for r in got], [r["l"] for r in got]
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), key.alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    slots = rows.groupBy("l", F.pmod("k", F.lit(per_label)).alias("slot")).agg(F.min(F.struct("k", "h")).alias("x"))
+    chosen = settle(slots.select("l", "x.k", "x.h"))
+    if (n := chosen.select("l").distinct().count()) > MAX_LABELS:
+        raise ValueError(f"{n} labels are more than the model is trained on ({MAX_LABELS})")
+    small_batches(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = pa.array([features(t.decode("utf-8", "replace")) for t in texts(b, "t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in "lkh"), x], ["l", "k", "h", "x"])
+
+    found = rows.join(F.broadcast(chosen), ["l", "k", "h"]).select("l", "k", "h", "t").mapInArrow(run, "l string, k bigint, h bigint, x binary")
+    got = found.groupBy("l", "k", "h").agg(F.min("x").alias("x")).collect()
+    got.sort(key=lambda r: (r["l"], r["k"]))
+    return [bytes(r["x"]) for r in got], [r["l"] for r in got]
 
 
 def fit_language_model(docs: DataFrame, **cols) -> LangModel:

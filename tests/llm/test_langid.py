@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from axonframe.llm import langid
 from tests.llm.conftest import SENTENCE
 
@@ -39,3 +41,19 @@ def test_sample_is_bounded(spark, make):
     docs = make([(i, f"text {i}", "en") for i in range(500)])
     texts, labels = langid.training_sample(docs, per_label=20)
     assert len(texts) == len(labels) <= 20
+
+
+def test_whole_texts_are_trained_on(spark, make):
+    """Texts whose first 4,200 letters are the same in all languages."""
+    rng = random.Random(2)
+    same = "xyzzy " * 700
+    train = make([(i, same + _text(rng, k, 3000), k) for i, k in enumerate(list(PARTS) * 40)])
+    model = langid.fit_language_model(train)
+    got = langid.predict_language(make([(i, same + _text(rng, k, 3000), k) for i, k in enumerate(list(PARTS) * 20)]), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got)
+
+
+def test_too_many_labels_are_an_error(make, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LABELS", 2)
+    with pytest.raises(ValueError, match="3 labels"):
+        langid.training_sample(make([(i, f"text {i}", k) for i, k in enumerate(PARTS)]))
