@@ -11,7 +11,9 @@ The order within a source is never sorted in one task. Keys are uniform hashes,
 fall into even buckets by the top bits of the key; prefix sums over bucket totals find the bucket in which the
 source's last pass ends, and only that bucket's rows are put in order. The outcome is one row per
 source: full passes, the key at which the last pass ends, and the words taken there. Applying it compares
-keys, so no text is shuffled; ``ordered`` range-sorts the result globally by finish time.
+keys, so no text is shuffled. With ``keep`` the prefix sums are taken down to each document (bucket totals, then
+words within the bucket), which are joined to the texts; ``ordered`` has one row per document and pass, range-sorted
+globally by the exact finish time.
 
 Defined results: null text has size 0; a null source is a source, last in order; no words are taken from
 documents of size 0; rows that agree in source, id and size share a key and are taken alike; null ids hash like an
@@ -99,11 +101,26 @@ def mix_plan(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repe
     return settle(plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", "source_size", "target", "passes", "cut_key", "cut_words"))
 
 
+def running_words(sized: DataFrame) -> DataFrame:
+    """(source, key, size, upto): words of the source up to and with the documents of each key, in order of keys.
+
+    ``sized`` has source, size, key; it is read a few times and should be settled."""
+    bits = (sized.count() // BUCKET_ROWS).bit_length()
+    bucket = F.shiftright("key", KEY_BITS - bits)
+    rows = settle(sized.where("size > 0").groupBy("source", "key", "size").agg(F.sum("size").alias("words")).withColumn("bucket", bucket))
+    buckets = rows.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
+    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
+    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), before.alias("before"))
+    inside = F.sum("words").over(W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("inside", inside).join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
+    return rows.select("source", "key", "size", (F.col("before") + F.col("inside")).alias("upto"))
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, keep: bool = False) -> DataFrame:
     """Words of each document that the mix takes: doc_id, source, size, source_size, target, ``taken``.
 
-    With ``keep`` the columns of ``docs`` stay, and mix_size, mix_source_size, mix_target, mix_taken and
-    mix_key (the place in the source's order) are added."""
+    With ``keep`` the columns of ``docs`` stay, and mix_size, mix_source_size, mix_target, mix_taken, mix_key (the
+    place in the source's order) and mix_upto (the source's words up to and with the document) are added."""
     size = word_count(F.col(text_col))
     sized = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", shuffle_key(F.col("doc_id"), F.col("size"))))
     plan = mix_plan(sized.select("source", "size", "key"), weights=weights, max_repeats=max_repeats)
@@ -117,11 +134,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     own = [F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(*own, F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), size.alias("m_size")).withColumn("m_key", shuffle_key(F.col("m_id"), F.col("m_size")))
     rows = rows.join(p, F.col("m_source").eqNullSafe(F.col("p_source")), "left")
-    return rows.select(*(F.col(f"o_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("m_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"), F.col("m_key").alias("mix_key"))
+    upto = running_words(sized.select("source", "size", "key")).select(F.col("source").alias("u_source"), F.col("key").alias("u_key"), F.col("size").alias("u_size"), "upto")
+    rows = rows.join(upto, F.col("m_source").eqNullSafe(F.col("u_source")) & (F.col("m_key") == F.col("u_key")) & (F.col("m_size") == F.col("u_size")), "left")
+    return rows.select(*(F.col(f"o_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("m_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"), F.col("m_key").alias("mix_key"), F.col("upto").alias("mix_upto"))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
-    """The documents that a mix with ``keep`` takes, globally range-sorted by finish time in the first pass (as
-    the key is uniform, the expected finish time is the key's share of its range times size over target)."""
-    finish = F.col("mix_key") / F.lit(float(1 << KEY_BITS)) * F.col("mix_source_size") / F.col("mix_target")
-    return mixed.where("mix_taken > 0").withColumn("mix_finish", finish).orderBy("mix_finish", "mix_key")
+    """What a mix with ``keep`` takes, in the order in which it is served: a row per document and pass (mix_pass,
+    from 0) with the words taken in it (mix_taken), globally range-sorted by virtual finish time (mix_finish).
+
+    The document in service at the cut, virtual time 1, finishes there."""
+    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int") - 1))
+    rows = mixed.where("mix_taken > 0").select("*", passes.alias("mix_pass"))
+    part = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_pass") * F.col("mix_size"))
+    finish = F.least((F.col("mix_pass") * F.col("mix_source_size") + F.col("mix_upto")) / F.col("mix_target"), F.lit(1.0))
+    return rows.withColumn("mix_taken", part).withColumn("mix_finish", finish).orderBy("mix_finish", "mix_key")

@@ -47,3 +47,35 @@ def test_keep_ordered_and_empty(spark, make, odd_rows):
     assert finish == sorted(finish) and finish
     assert mixing.mix_sources(make([])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(make([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_order_equals_exact_finish_times(spark, make):
+    """Skewed sizes and repeated passes, against cumulative words in plain Python."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * (rng.choice([400, 900]) if i % 9 == 0 else rng.randint(0, 20))), None, "abc"[i % 11 % 3] if i % 11 else "d") for i in range(300)]
+    mixed = mixing.mix_sources(make(rows), keep=True)
+    key = {r["doc_id"]: r["mix_key"] for r in mixed.collect()}
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = []
+    for s, target in _targets(sizes).items():
+        left, clock, turn = int(target + 0.5), 0, 0
+        while left > 0:
+            for i, t, _, _ in sorted((r for r in rows if r[3] == s and r[1]), key=lambda r: key[r[0]]):
+                n = len(t.split())
+                clock += n
+                want.append((min(clock / target, 1.0), key[i], i, turn, min(n, left)))
+                left -= n
+                if left <= 0:
+                    break
+            turn += 1
+    want.sort()
+    assert max(w[3] for w in want) >= 1
+    for limit in (4096, 16):
+        mixing.BUCKET_ROWS = limit
+        got = [tuple(r[c] for c in ("mix_finish", "mix_key", "doc_id", "mix_pass", "mix_taken")) for r in mixing.ordered(mixing.mix_sources(make(rows), keep=True)).collect()]
+        assert [g[1:] for g in got] == [w[1:] for w in want]
+        assert all(abs(g[0] - w[0]) < 1e-9 for g, w in zip(got, want, strict=True))
+    mixing.BUCKET_ROWS = 4096
+    assert abs(sum(w[4] for w in want) - sum(sizes.values())) <= len(sizes)
