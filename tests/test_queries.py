@@ -42,6 +42,15 @@ def test_query(spark, duck, name):
     assert rows == sorted(tuple(_norm(r[i]) for i in order) for r in got.fetchall())
 
 
+def test_simulation_has_all_neurons(spark):
+    from axonframe.plans import graphview as view
+
+    want = {r[0] for r in view.neurons(spark, str(SF)).select("neuron_id").collect()}
+    got = QUERIES["lif_rates"](spark, str(SF)).select("condition", "neuron_id").collect()
+    for name in ("stimulated", "silenced"):
+        assert {r["neuron_id"] for r in got if r["condition"] == name} == want
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
