@@ -216,7 +216,7 @@ def sampled_signs(spark, sf_dir):
 
 @_query()
 def path_stability(spark, sf_dir):
-    found = uncertainty.path_stability(view.graph(spark, sf_dir), SOURCES, TARGETS, max_hops=3, n_samples=20, seed=3, thresholds=[15, 18, 22], nt_model="confidence")
+    found = uncertainty.path_stability(view.graph(spark, sf_dir), SOURCES, TARGETS, max_hops=3, n_samples=20, seed=3, thresholds=[15, 18, 22], nt_model="confidence", max_paths=None)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", _r("threshold_presence"), "modal_sign", _r("sign_stability"))
 
 

@@ -51,6 +51,15 @@ def test_simulation_has_all_neurons(spark):
         assert {r["neuron_id"] for r in got if r["condition"] == name} == want
 
 
+def test_registered_path_stability_has_no_cap(spark, monkeypatch):
+    from axonframe.operators import uncertainty
+
+    asked, found = [], uncertainty.find_paths
+    monkeypatch.setattr(uncertainty, "find_paths", lambda *a, **k: asked.append(k) or found(*a, **k))
+    QUERIES["path_stability"](spark, str(SF))
+    assert [k["max_paths"] for k in asked] == [None]
+
+
 def test_entry_imports():
     import __spark_entry__ as entry
 
