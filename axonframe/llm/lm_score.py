@@ -5,8 +5,9 @@ its context of ``ORDER`` bytes. Shorter contexts are suffixes and count a byte o
 that has it (update exclusion). A byte is coded at the longest known context that has it, with probability in
 proportion to its count less one half; otherwise the context escapes to the next shorter one, where the
 symbols of the longer one are excluded. The odds of an escape are estimated per context length by leaving out
-one occurrence at a time: how often a context with so many occurrences and symbols meets a new symbol. Below
-the empty context all other byte values are equally likely. ``score`` is the log10 probability of the text.
+one occurrence at a time: how often a context with so many occurrences and symbols meets a new symbol, over
+the whole model, so that its blocks change no probability. Below the empty context all other byte values are
+equally likely. ``score`` is the log10 probability of the text.
 
 Scale: counts of all training texts are summed per task and then by a shuffle; the model grows with the
 corpus and is never sampled. For scoring it is cut into blocks by the last two context bytes (all longer
@@ -192,6 +193,11 @@ class Escapes:
         np.add.at(self.all, (left, _class(d - 1)), once)
         np.add.at(self.all, (left, _class(d)), n - once)
 
+    def add(self, other: Escapes) -> None:
+        """Take in what other contexts of the same length have met."""
+        self.new += other.new
+        self.all += other.all
+
     def __call__(self, n: np.ndarray, d: np.ndarray) -> np.ndarray:
         at = _class(n), _class(d)
         return np.clip((self.new[at] + d / np.maximum(n, 1.0)) / (self.all[at] + 2), 1e-5, 0.9999)
@@ -202,18 +208,32 @@ def _totals(n: np.ndarray, d: np.ndarray, escape: np.ndarray) -> np.ndarray:
     return np.log10(2 * n - d) - np.log10(1 - escape)
 
 
-def build_levels(by_order: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
-    """Levels 0 to ORDER from (sorted grams, counts) of each."""
+def _contexts(keys: np.ndarray, n: np.ndarray):
+    """Contexts of sorted grams with their numbers of symbols, and a function that sums over each one's grams."""
+    ctx = keys >> np.uint64(8)
+    first = _firsts(ctx)
+    sums = lambda x: np.add.reduceat(x.astype(np.float64), first) if len(first) else np.zeros(0)
+    return ctx[first], np.diff(np.append(first, len(ctx))).astype(np.float64), sums
+
+
+def tally(by_order: list[tuple[np.ndarray, np.ndarray]]) -> list[Escapes]:
+    """Escapes of each order from (sorted grams, counts) of each."""
+    out = []
+    for keys, n in by_order:
+        _, distinct, sums = _contexts(keys, n)
+        out.append(Escapes(sums(n), distinct, sums(n == 1)))
+    return out
+
+
+def build_levels(by_order: list[tuple[np.ndarray, np.ndarray]], odds: list[Escapes] | None = None) -> list[Level]:
+    """Levels 0 to ORDER from (sorted grams, counts) of each; ``odds`` are those of the whole model, if these are
+    a part of it."""
     levels: list[Level] = []
-    below_odds = None
+    odds = odds or tally(by_order)
     for j, (keys, n) in enumerate(by_order):
-        ctx = keys >> np.uint64(8)
-        first = _firsts(ctx)
-        contexts, distinct = ctx[first], np.diff(np.append(first, len(ctx))).astype(np.float64)
-        sums = lambda x, first=first: np.add.reduceat(x.astype(np.float64), first) if len(first) else np.zeros(0)
+        contexts, distinct, sums = _contexts(keys, n)
         total = sums(n)
-        odds = Escapes(total, distinct, sums(n == 1))
-        escape = odds(total, distinct)
+        escape = odds[j](total, distinct)
         if j:
             mask = np.uint64((1 << 8 * j) - 1)
             lower, counts = by_order[j - 1]
@@ -222,12 +242,11 @@ def build_levels(by_order: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
             rest, kinds = up.total[at] - sums(counts[_position(lower, keys & mask)]), up.distinct[at] - distinct
             none = kinds <= 0  # nothing is left there: the text goes on to the next shorter context for free
             rest, kinds = np.where(none, 1.0, rest), np.where(none, 1.0, kinds)
-            e = below_odds(rest, kinds)
+            e = odds[j - 1](rest, kinds)
             log_below, log_escape_below = np.where(none, 0.0, _totals(rest, kinds, e)), np.where(none, 0.0, np.log10(e))
         else:
             log_below, log_escape_below = np.log10(np.maximum(256 - distinct, 1.0)), np.zeros(len(distinct))
         levels.append(Level(keys, np.log10(2.0 * n - 1), contexts, total, distinct, _totals(total, distinct, escape), np.log10(escape), log_below, log_escape_below))
-        below_odds = odds
     return levels
 
 
@@ -251,15 +270,20 @@ def block_of_word(keys: np.ndarray, blocks: int) -> np.ndarray:
     return ((keys >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)
 
 
-def make_block(number: int, blocks: int, words: tuple[np.ndarray, np.ndarray], full: tuple[np.ndarray, np.ndarray], low: list[tuple[np.ndarray, np.ndarray]]) -> Block:
-    """``low`` has the grams of orders 0 and 1 of the whole model (at most 65536), ``full`` the full-order grams
-    of the block."""
-    block = Block(number, blocks, Lookup(*words))
-    block.word_logs = np.log10(block.words.values + 1.0)
+def higher_orders(full: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Grams and counts of orders 2 to ORDER from those of the full order."""
     by_order = [full]
     for j in range(ORDER - 1, 1, -1):
         by_order.insert(0, _runs(by_order[0][0] & np.uint64((1 << 8 * (j + 1)) - 1)))
-    block.levels = build_levels([low[0], low[1], *by_order])
+    return by_order
+
+
+def make_block(number: int, blocks: int, words: tuple[np.ndarray, np.ndarray], full: tuple[np.ndarray, np.ndarray], low: list[tuple[np.ndarray, np.ndarray]], odds: list[Escapes] | None = None) -> Block:
+    """``low`` has the grams of orders 0 and 1 of the whole model (at most 65536), ``full`` the full-order grams
+    of the block, ``odds`` the escapes of the whole model (without them, of these grams)."""
+    block = Block(number, blocks, Lookup(*words))
+    block.word_logs = np.log10(block.words.values + 1.0)
+    block.levels = build_levels([low[0], low[1], *higher_orders(full)], odds)
     top = block.levels[ORDER]
     ctx = _position(top.contexts, top.grams >> np.uint64(8))
     block.top = Lookup(top.grams, (top.log_count - top.log_total[ctx]))
@@ -364,11 +388,19 @@ def fit(docs: DataFrame, *, text_col: str = "text", block_rows: int = BLOCK_ROWS
         sent.append(spark.sparkContext.broadcast(make_block(0, 1, _arrays(counts.where(F.col("kind") == WORD)), _arrays(counts.where(F.col("kind") == GRAM)), low)))
     else:
         home = block_of_gram(np.arange(1 << 16, dtype=np.uint64) << np.uint64(8), blocks)
-        for b in range(blocks):
+
+        def full_of(b: int) -> tuple[np.ndarray, np.ndarray]:
             mine = spark.createDataFrame([(int(c),) for c in np.flatnonzero(home == b)], "ctx2 long")
-            full = counts.where(F.col("kind") == GRAM).withColumn("ctx2", ctx2).join(F.broadcast(mine), "ctx2", "left_semi")
+            return _arrays(counts.where(F.col("kind") == GRAM).withColumn("ctx2", ctx2).join(F.broadcast(mine), "ctx2", "left_semi"))
+
+        # A first reading of all blocks sums what their contexts have met; the second one builds them.
+        odds = tally([*low, *higher_orders(full_of(0))])
+        for b in range(1, blocks):
+            for whole, more in zip(odds[2:], tally(higher_orders(full_of(b))), strict=True):
+                whole.add(more)
+        for b in range(blocks):
             own = F.pmod(F.shiftrightunsigned("key", 16), F.lit(blocks)) == b
-            sent.append(spark.sparkContext.broadcast(make_block(b, blocks, _arrays(counts.where((F.col("kind") == WORD) & own)), _arrays(full), low)))
+            sent.append(spark.sparkContext.broadcast(make_block(b, blocks, _arrays(counts.where((F.col("kind") == WORD) & own)), full_of(b), low, odds)))
     return Model(sent, n_words + ends, words + (ends > 0), ends)
 
 

@@ -52,6 +52,17 @@ def test_blocks_agree_and_base_equals_brute_force(spark, make, odd_rows):
     assert got[500] == sorted(want)
 
 
+def test_scores_do_not_depend_on_blocks(spark, make):
+    rng = np.random.default_rng(1)
+    docs = make([(i, " ".join(rng.choice(["cat", "dog", "mat", "sat", "hat", "catalog", "dogma", "xyz"], 12))) for i in range(60)])
+    got = {}
+    for rows in (10**9, 40):
+        model = m.fit(docs.where("doc_id < 40"), block_rows=rows)
+        got[rows] = {r["doc_id"]: r["score"] for r in m.score_texts(docs, model, id_cols=["doc_id"]).collect()}
+        assert (len(model.blocks) > 1) == (rows == 40)
+    assert all(abs(got[40][i] - x) < 1e-9 * abs(x) for i, x in got[10**9].items())
+
+
 def test_known_text_scores_better_and_empty_training(spark, make):
     docs = make([(i, "some repeated training sentence about cats and dogs") for i in range(30)])
     model = m.fit(docs)
