@@ -19,14 +19,14 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 
 def _op4() -> str:
     stops = sorted({x for v in STOP_WORDS.values() for x in v})
-    stops = ", ".join(f"'{x}'" for x in sorted({*stops, *(x.capitalize() for x in stops), *(x.upper() for x in stops)}))
+    stops = ", ".join(f"'{x}'" for x in stops)
     ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END"
     value = {
         "n_words": "n_words",
         "mean_word_length": ratio("word_chars", "n_words"),
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "stop_word_ratio": ratio("stops", "n_words"),
-        "upper_ratio": ratio("uppers", "word_chars"),
+        "upper_ratio": ratio("uppers", "(uppers + lowers)"),
         "mark_word_ratio": ratio("marks", "n_words"),
         "ellipsis_line_ratio": ratio("ellipses", "lines"),
         "bullet_line_ratio": ratio("bullets", "lines"),
@@ -43,8 +43,8 @@ tri AS (SELECT i, k, w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] AS x FROM (SELEC
 rep AS (SELECT i, k FROM (SELECT i, k, count(*) OVER (PARTITION BY i, x) AS n FROM tri) WHERE n >= 2),
 cov AS (SELECT i, count(DISTINCT k + o) AS n FROM rep, range(3) r(o) GROUP BY i),
 c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-  len(l) AS lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: x IN ({stops}))) AS stops,
-  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS uppers, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS marks,
+  len(l) AS lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({stops}))) AS stops,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS uppers, length(regexp_replace(t, '\P{{Ll}}', '', 'g')) AS lowers, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS marks,
   len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…){_SPACE}*$'))) AS ellipses, len(list_filter(l, lambda x: regexp_matches(x, '^{_SPACE}*[-*•·]{_SPACE}'))) AS bullets FROM w LEFT JOIN cov USING (i)),
 f AS (SELECT *, list_filter([{', '.join(failed)}], lambda x: x IS NOT NULL) AS failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""

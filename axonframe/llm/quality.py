@@ -1,8 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection of native expressions.
 
-Method: every metric is a Spark expression over the whole text; every rule of ``RULES`` becomes one
-comparison of a metric with bounds; all of them stand in a single ``select`` without shuffles, joins or
-user functions.
+Method: every metric is a Spark expression over the whole text, whose words and lines are cut once; every rule of
+``RULES`` becomes one comparison of a metric with bounds; all of them stand in a single projection without
+shuffles, joins or user functions.
 
 Defined results: a null or empty text has no words and fails the length rule; very long texts are judged
 whole; rows are independent, so ties, repeated rows, empty tables and null ids need no care; extra columns
@@ -62,55 +62,92 @@ def _without(text: Column, chars: str) -> Column:
 def repeat_words(w: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more among the words ``w``.
 
-    The windows are sorted with their positions, so equal ones are neighbours; the positions of those with
-    an equal neighbour are sorted again, and each covers the words up to the next one, three at most."""
+    Each window becomes one long, the top 40 bits of its hash above its position. In sorted order equal windows are
+    neighbours. The words of neighbours with equal bits are compared: were two of them different, the row is counted
+    by the windows themselves (``_repeat_words_by_text``), so the number is exact. The positions of repeated windows
+    are sorted again, and each covers the words up to the next one, three at most."""
 
     def count(w: Column) -> Column:
         n = F.size(w)
-        windows = F.transform(
+        low, high = F.lit((1 << 24) - 1).cast("bigint"), F.lit(-1 << 24).cast("bigint")
+        packed = F.transform(
             F.sequence(F.lit(0), n - 3),
-            lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("x"), i.alias("i")),
+            lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(high).bitwiseOR(i.cast("bigint")),
         )
 
+        def at(v: Column) -> Column:
+            return v.bitwiseAND(low).cast("int")
+
+        def same(a: Column, b: Column) -> Column:
+            return (F.get(w, at(a)) == F.get(w, at(b))) & (F.get(w, at(a) + 1) == F.get(w, at(b) + 1)) & (F.get(w, at(a) + 2) == F.get(w, at(b) + 2))
+
+        def near(s: Column, k: Column, v: Column) -> Column:
+            return F.coalesce(F.get(s, k).bitwiseXOR(v).bitwiseAND(high) == 0, F.lit(False))
+
         def covered(s: Column) -> Column:
-            again = F.filter(
-                s,
-                lambda v, k: F.coalesce(F.get(s, k - 1)["x"] == v["x"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["x"] == v["x"], F.lit(False)),
-            )
-            at = F.sort_array(F.transform(again, lambda v: v["i"]))
-            return let(
-                at,
-                lambda p: F.aggregate(
-                    F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
-                    F.lit(0),
-                    lambda t, x: t + x,
-                ),
-            )
-
-        return F.when(n < 4, F.lit(0)).otherwise(let(F.sort_array(windows), covered))
+            again = F.filter(s, lambda v, k: near(s, k - 1, v) | near(s, k + 1, v))
+
+            def exact(a: Column) -> Column:
+                differ = F.exists(F.zip_with(a, F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), lambda x, y: near(F.array(x), F.lit(0), y) & ~same(x, y)), lambda x: F.coalesce(x, F.lit(False)))
+                return F.when(F.size(a) == 0, F.lit(0)).when(differ, _repeat_words_by_text(w)).otherwise(_cover(F.transform(a, at)))
+
+            return let(again, exact)
+
+        return F.when(n < 4, F.lit(0)).when(n >= 1 << 24, _repeat_words_by_text(w)).otherwise(let(F.sort_array(packed), covered))
 
     return let(w, count).cast("long")
 
 
-def metrics(text: Column) -> dict[str, Column]:
-    """Named metrics over ``text``, in two steps: ``base`` counts first, ratios of them second."""
+def _cover(at: Column) -> Column:
+    """Number of words that windows of three at the positions ``at`` cover."""
+    return let(
+        F.sort_array(at),
+        lambda p: F.aggregate(
+            F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3))),
+            F.lit(0),
+            lambda t, x: t + x,
+        ),
+    )
+
+
+def _repeat_words_by_text(w: Column) -> Column:
+    """The same from the windows' texts, sorted with their positions."""
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
+        lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("x"), i.alias("i")),
+    )
+
+    def covered(s: Column) -> Column:
+        same = lambda v, k: F.coalesce(F.get(s, k)["x"] == v["x"], F.lit(False))
+        return _cover(F.transform(F.filter(s, lambda v, k: same(v, k - 1) | same(v, k + 1)), lambda v: v["i"]))
+
+    return let(F.sort_array(windows), covered)
+
+
+def metrics(text: Column) -> Column:
+    """A struct of the named metrics of ``text``; its words and lines are cut once and shared."""
     t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
     stops = sorted({x for v in STOP_WORDS.values() for x in v})
-    return {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(_without(t, SPACES)).cast("long"),
-        "n_symbols": (F.length(t) - F.length(_without(t, "#*$%&|<>"))).cast("long"),
-        "lines": F.size(lines),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeat_words(words(text)),
-        "stops": F.size(F.filter(words(F.lower(t)), lambda x: x.isin(stops))),
-        "uppers": F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", "")),
-        "lowers": F.length(t) - F.length(F.regexp_replace(t, r"\p{Ll}", "")),
-        "marks": F.size(F.regexp_extract_all(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"), F.lit(0))),
-        "ellipses": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
-        "bullets": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•·][\x20\x09-\x0D]"))),
-    }
+
+    def counts(cut: Column) -> Column:
+        w, lines, t = cut["w"], cut["l"], cut["t"]
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(_without(t, SPACES)).cast("long").alias("word_chars"),
+            (F.length(t) - F.length(_without(t, "#*$%&|<>"))).cast("long").alias("n_symbols"),
+            F.size(lines).alias("lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            repeat_words(w).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(stops))).alias("stops"),
+            F.length(F.regexp_replace(t, r"\P{Lu}+", "")).alias("uppers"),
+            F.length(F.regexp_replace(t, r"\P{Ll}+", "")).alias("lowers"),
+            F.size(F.filter(w, lambda x: ~x.rlike(r"[\p{L}\p{N}]"))).alias("marks"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).alias("ellipses"),
+            F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•·][\x20\x09-\x0D]"))).alias("bullets"),
+        )
+
+    return let(F.struct(t.alias("t"), words(t).alias("w"), lines.alias("l")), counts)
 
 
 def ratios() -> dict[str, Column]:
@@ -143,6 +180,6 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs``: its id, every metric, ``failed`` (names of failed rules) and ``good``."""
-    base = docs.select(F.col(id_col).alias("doc_id"), *(v.alias(k) for k, v in metrics(F.col(text_col)).items()))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.inline(F.array(metrics(F.col(text_col)))))
     full = base.select("*", *(v.alias(k) for k, v in ratios().items()))
     return full.withColumn("failed", compile_rules(rules)).withColumn("good", F.size("failed") == 0)

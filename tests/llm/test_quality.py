@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from axonframe.llm import quality, registry
 from tests.llm.conftest import SENTENCE
 
@@ -26,6 +28,8 @@ def test_counts_equal_brute_force(spark, make, odd_rows):
     got = sorted((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in quality.quality_rules(make(rows)).collect())
     assert got == sorted(brute(t) for _, t, *_ in rows)
     assert quality.quality_rules(make([])).count() == 0
+    plain = make([r for r in rows if len((r[1] or "").split()) > 3]).select(quality.let(quality.words(F.col("text")), quality._repeat_words_by_text).alias("n"))
+    assert sorted(r["n"] for r in plain.collect()) == sorted(brute(t)[4] for _, t, *_ in rows if len((t or "").split()) > 3)
 
 
 def test_clean_text_is_kept_and_junk_is_not(spark, make):
