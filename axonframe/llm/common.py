@@ -37,19 +37,41 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_fields(docs: DataFrame, value: Column, fields: dict[str, str]) -> DataFrame:
+    """``docs`` with the fields of the struct ``value`` as columns (name to field); they replace columns of
+    their names."""
+    kept = [c for c in docs.columns if c not in fields]
+    out = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), value.alias("v"))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"v.{field}").alias(c) for c, field in fields.items()))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, which the cluster
-    sets; where it is unset (tests, local mode), a local temporary folder is named for the session."""
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, which the cluster sets.
+    Where it is unset, local mode gets a temporary folder for the session and a cluster an error."""
+    return f"{_app_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def _app_dir(spark: SparkSession) -> str:
+    """One folder per application, so that all it has settled can go at once."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.axonframe.local.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="axonframe-")
         spark.conf.set("spark.axonframe.local.dir", top)
-    return f"{top.rstrip('/')}/axonframe-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/axonframe-{spark.sparkContext.applicationId}"
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Delete what the application has settled, when no DataFrame that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor
-    costs a reread instead of a recomputation. Files go when the checkpoint folder is cleared."""
+    costs a reread instead of a recomputation. Files go with ``clear_settled``, or when the checkpoint folder is
+    cleared."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)

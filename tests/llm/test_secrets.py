@@ -48,26 +48,45 @@ def test_guess_cost_orders_values():
     assert cost("z" * 5000) < 10
 
 
-def test_brute_force_segmentation_is_never_cheaper():
-    import math
+def test_guess_cost_equals_all_segmentations():
+    """Every segmentation by quadratic dynamic programming over ``segment_cost``, words and random values."""
     import random
 
     def slow(v):
-        best = {0: 0.0}
-        low = v.lower()
+        best = [0.0]
         for j in range(1, len(v) + 1):
-            best[j] = math.inf
-            for i in range(j):
-                seg, c = low[i:j], float(j - i)
-                if seg in s.RANK and j - i > 1:
-                    c = min(c, math.log10(s.RANK[seg] * (1 if v[i:j] == seg else 2)))
-                best[j] = min(best[j], best[i] + c + (math.log10(2) if i else 0))
+            best.append(min(best[i] + (s.JOIN if i else 0) + s.segment_cost(v, v.lower(), i, j, s.RANK) for i in range(j)))
         return best[len(v)]
 
     rng = random.Random(0)
-    for _ in range(200):
-        v = "".join(rng.choice(["pass", "word", "the", "X", "q", "Zt", "dragon", "k"]) for _ in range(rng.randint(1, 5)))
-        assert s.guess_cost(v) <= slow(v) + 1e-9
+    parts = ["pass", "word", "the", "X", "q", "Zt", "dragon", "k", "aaaa", "zzzzzzz", "abcdef", "9876", "qwert", "1qaz", "zaq1", "2024", "19991231", "31/12/2001", "poiu", "t" * 30, "Summer", "-", "4567890", "!"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(400)] + ["".join(rng.choice("ab1") for _ in range(40)) for _ in range(60)] + ["".join(c * rng.choice([1, 2, 3, 9]) for c in "abcdefghij") for _ in range(60)]
+    for v in [*values, "secret" + "t" * 9, "kdjfhgkdjsfhgqwoeiruty"]:
+        assert abs(s.guess_cost(v) - slow(v)) < 1e-9, v
+    assert s.guess_cost("secrettttttttttt") < 5
+
+
+def test_very_long_value_is_linear():
+    import time
+
+    began = time.perf_counter()
+    s.guess_cost("ab" * 20_000 + "z" * 40_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_vocabulary(tmp_path):
+    import base64
+
+    path = tmp_path / "v"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate([b" Tree", b"x", b" ab1", b" tree", b" forest"])))
+    rank = s.vocabulary_ranks(str(path))
+    assert rank["tree"] == len(s.RANK) + 1 and rank["forest"] == len(s.RANK) + 2 and "ab1" not in rank
+    assert s.guess_cost("treeforest", rank) < s.guess_cost("treeforest")
+
+
+def test_clashing_columns_are_replaced(make):
+    out = s.scan_secrets(make([(1, "token = abcdef123456")]).withColumnRenamed("extra", "secret_spans"))
+    assert out.columns.count("secret_spans") == 1 and len(out.collect()[0]["secret_spans"]) == 1
 
 
 def test_rows(spark, make, odd_rows):
