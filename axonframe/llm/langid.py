@@ -1,6 +1,6 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
-Method: a text is lower-cased, everything but letters becomes a gap, and the byte n-grams of its words (with
+Method: a text is lower-cased, everything but letters and their marks becomes a gap, and the byte n-grams of its words (with
 a gap at each end) are hashed into ``BUCKETS`` rows of an embedding table. The mean of a text's rows goes
 through a linear softmax. Both layers are trained by stochastic gradient descent on a bounded sample of
 labelled rows (``TRAIN_PER_LABEL`` rows a label, chosen by a hash of the id), of which whole texts count: the
@@ -17,7 +17,6 @@ everything is ``und``; more than ``MAX_LABELS`` labels are an error; repeated ro
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, texts
+from .common import settle, small_batches, texts, with_fields
 
 #: Parameters of the model and of its bounded training sample.
 BUCKETS = 1 << 15
@@ -39,13 +39,14 @@ MAX_LABELS = 500
 EPOCHS = 4
 FALSE_REJECT = 0.001
 
-LETTER = re.compile(r"[^\W\d_]")
-_GAPS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
+LETTER = regex.compile(r"\p{L}")
+#: Letters and the marks that combine with them; everything else is a gap.
+GAPS = regex.compile(r"[^\p{L}\p{M}]+")
 _CHUNK = 1 << 20
 
 
 def _normal(text: str) -> bytes:
-    return b" " + text.lower().encode("utf-8", "replace").translate(_GAPS) + b" "
+    return GAPS.sub(" ", f" {text.lower()} ").encode("utf-8", "replace")
 
 
 def _ids(buf: np.ndarray, order: int) -> np.ndarray:
@@ -204,7 +205,8 @@ def fit_language_model(docs: DataFrame, **cols) -> LangModel:
 
 
 def predict_language(docs: DataFrame, model: LangModel, *, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
-    """``docs`` with <prefix>pred, <prefix>score and <prefix>rejected (score below the calibrated threshold)."""
+    """``docs`` with <prefix>pred, <prefix>score and <prefix>rejected (score below the calibrated threshold), which
+    replace columns of these names."""
     sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<pred: string, score: double, rejected: boolean>")
@@ -214,8 +216,7 @@ def predict_language(docs: DataFrame, model: LangModel, *, text_col: str = "text
             best, score = m.scores(list(texts))
             yield pd.DataFrame({"pred": [m.labels[b] if b >= 0 else "und" for b in best], "score": score, "rejected": (best < 0) | (score < m.threshold)})
 
-    out = docs.withColumn("__lang", predict(F.col(text_col)))
-    return out.select(*docs.columns, *(F.col(f"__lang.{c}").alias(f"{prefix}{c}") for c in ("pred", "score", "rejected")))
+    return with_fields(docs, predict(F.col(text_col)), {f"{prefix}{c}": c for c in ("pred", "score", "rejected")})
 
 
 def remainder(doc_id: Column, mod: int) -> Column:

@@ -57,3 +57,11 @@ def test_too_many_labels_are_an_error(make, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LABELS", 2)
     with pytest.raises(ValueError, match="3 labels"):
         langid.training_sample(make([(i, f"text {i}", k) for i, k in enumerate(PARTS)]))
+
+
+def test_marks_are_no_letters_and_clashing_columns(make):
+    model = langid.fit_language_model(make([(i, f"the thing {i}", "en") for i in range(30)]))
+    rows = langid.predict_language(make([(1, "² ½ ①"), (2, "the thing")]).withColumnRenamed("extra", "lang_pred"), model)
+    assert rows.columns.count("lang_pred") == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in rows.collect()} == {1: "und", 2: "en"}
+    assert langid._normal("Tree—house²x") == b" tree house x "
