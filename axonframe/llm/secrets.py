@@ -26,6 +26,7 @@ import itertools
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -68,20 +69,28 @@ JOIN = math.log10(2)
 MAX_WORDS = 100_000
 
 
-def _ranks(words: list[str]) -> dict[str, int]:
-    return {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+class Ranks(dict):
+    """Word to rank; knows the length of its longest word."""
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self), default=0)
+
+
+def _ranks(words: list[str]) -> Ranks:
+    return Ranks((w, i + 1) for i, w in enumerate(dict.fromkeys(words)))
 
 
 RANK = _ranks(COMMON)
 
 
-def vocabulary_ranks(path: str, limit: int = MAX_WORDS) -> dict[str, int]:
+def vocabulary_ranks(path: str, limit: int = MAX_WORDS) -> Ranks:
     """``COMMON``, then the whole words of three and more letters of a byte-level BPE vocabulary (lines of a token in
     base64 and its rank), in order of rank, in lower case."""
     with open(path, "rb") as f:
         tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
     words = [t[1:].decode("ascii").lower() for t in tokens if len(t) > 3 and t[:1] == b" " and t[1:].isalpha() and t.isascii()]
-    return dict(itertools.islice(_ranks([*COMMON, *words]).items(), limit))
+    return Ranks(itertools.islice(_ranks([*COMMON, *words]).items(), limit))
 
 
 def _steps() -> list[dict[str, str]]:
@@ -101,7 +110,7 @@ def follows(a: str, b: str) -> list[bool]:
     return [a == b, ord(b) - ord(a) == 1, ord(a) - ord(b) == 1, *(k.get(a) == b for k in _KEYS)]
 
 
-def segment_cost(value: str, low: str, i: int, j: int, rank: dict[str, int]) -> float:
+def segment_cost(value: str, low: str, i: int, j: int, rank: Ranks) -> float:
     """The cheapest single segment that covers ``value[i:j]``: a word costs its rank (doubled if not in lower case), a
     date 365 * 119, a year 119, a repeat or a walk of three and more its 95 starts times its length, a brute-force
     character 10."""
@@ -152,20 +161,19 @@ class _Run:
         return s[-1][1] + math.log10(95 * (j - s[-1][0]))
 
 
-def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int | None = None) -> float:
+def guess_cost(value: str, rank: Ranks = RANK) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` into segments of ``segment_cost`` needs; each
     further segment costs a factor of 2."""
     n, low = len(value), value.lower()
     if len(low) != n:  # a letter whose lower case is longer
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
-    longest = longest or max(map(len, rank))
     here, brute = [0.0] * (n + 1), 0.0  # cost of a prefix with the price of going on; cost if its end is brute force
     runs = [_Run() for _ in range(len(_KEYS) + 3)]
     best = 0.0
     for j in range(1, n + 1):
         brute = (min(brute, here[j - 1]) if j > 1 else 0.0) + 1.0
         best = brute
-        for i in range(max(0, j - longest), j):
+        for i in range(max(0, j - rank.longest), j):
             if (r := rank.get(low[i:j])) is not None:
                 best = min(best, here[i] + math.log10(r * (1 if value[i:j] == low[i:j] else 2)))
         if value[j - 1] in "0123456789":
@@ -186,11 +194,11 @@ def guess_cost(value: str, rank: dict[str, int] = RANK, longest: int | None = No
     return best
 
 
-def find_spans(text: str | None, min_guesses: float = MIN_GUESSES, rank: dict[str, int] = RANK) -> list[tuple[int, str, int]]:
+def find_spans(text: str | None, min_guesses: float = MIN_GUESSES, rank: Ranks = RANK) -> list[tuple[int, str, int]]:
     """(start, kind, end) of all secrets in code points, by start and then kind."""
     if not text:
         return []
-    low, longest = text.encode("utf-8", "surrogatepass").lower(), max(map(len, rank))
+    low = text.encode("utf-8", "surrogatepass").lower()
     out = []
     if any(h in low for h in HINTS_ASSIGN):
         out += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -203,7 +211,7 @@ def find_spans(text: str | None, min_guesses: float = MIN_GUESSES, rank: dict[st
             g = m.lastindex
             value, at = m[g].rstrip(".,"), m.end()
             # A plain word after a space is prose ("bearer certificates").
-            if not (g == SPACED and value.isalpha()) and guess_cost(value, rank, longest) >= min_guesses:
+            if not (g == SPACED and value.isalpha()) and guess_cost(value, rank) >= min_guesses:
                 out.append((m.start(g), "guess", m.start(g) + len(value)))
             else:  # the value may be a credential word itself
                 at = m.start(g)
@@ -226,7 +234,7 @@ def redact(text: str | None, spans: list[tuple[int, str, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
-def _sent(docs: DataFrame, rank: dict[str, int] | None):
+def _sent(docs: DataFrame, rank: Ranks | None):
     """The word ranks as a broadcast: at most ``MAX_WORDS`` words."""
     rank = RANK if rank is None else rank
     if len(rank) > MAX_WORDS:
@@ -234,7 +242,7 @@ def _sent(docs: DataFrame, rank: dict[str, int] | None):
     return docs.sparkSession.sparkContext.broadcast(rank)
 
 
-def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float = MIN_GUESSES, prefix: str = "secret_", rank: dict[str, int] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float = MIN_GUESSES, prefix: str = "secret_", rank: Ranks | None = None) -> DataFrame:
     """``docs`` with ``<prefix>spans`` array<struct<start, kind, end>> and ``<prefix>redacted`` text, which replace
     columns of these names; ``rank`` gives word ranks in place of ``COMMON``."""
     kind = "struct<spans: array<struct<start: bigint, kind: string, end: bigint>>, redacted: string>"
@@ -252,7 +260,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float
     return with_fields(small_batches(docs), scan(F.col(text_col)), {f"{prefix}spans": "spans", f"{prefix}redacted": "redacted"})
 
 
-def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, rank: dict[str, int] | None = None) -> DataFrame:
+def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, rank: Ranks | None = None) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, ``base_sha256`` of the pattern spans and all ``spans``."""
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     sent = _sent(docs, rank)
