@@ -101,9 +101,16 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
 BATCH_ROWS = 1000
 
 
+#: Bytes up to which the input of a Python operator is dealt over all cores, as a small file is one task.
+SPREAD_BYTES = 32 << 20
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows, so that a Python worker holds little
-    text at a time. A smaller setting of the session stays."""
+    text at a time. A smaller setting of the session stays. Inputs of at most ``SPREAD_BYTES`` are dealt over
+    all cores."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:

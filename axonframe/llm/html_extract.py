@@ -345,7 +345,8 @@ def default_model() -> TreeModel:
 
 def extract_pages(pages: DataFrame, model: TreeModel | None = None, *, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` with ``out_col``: the main text of the whole html."""
-    sent = small_batches(pages).sparkSession.sparkContext.broadcast(model or default_model())
+    pages = small_batches(pages)
+    sent = pages.sparkSession.sparkContext.broadcast(model or default_model())
 
     @F.pandas_udf("string")
     def extract(column: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -181,13 +181,13 @@ def training_sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A label's rows are dealt into ``per_label`` slots by a hash of the id, and each slot keeps its smallest:
     an aggregation of hashes with partial results, so a frequent label meets in no task. The rows found go through
     ``features`` where they are read, and only those are collected."""
+    docs = small_batches(docs)
     key = F.xxhash64(F.lit("lang"), F.col(id_col).cast("string"))
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), key.alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     slots = rows.groupBy("l", F.pmod("k", F.lit(per_label)).alias("slot")).agg(F.min(F.struct("k", "h")).alias("x"))
     chosen = settle(slots.select("l", "x.k", "x.h"))
     if (n := chosen.select("l").distinct().count()) > MAX_LABELS:
         raise ValueError(f"{n} labels are more than the model is trained on ({MAX_LABELS})")
-    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +207,8 @@ def fit_language_model(docs: DataFrame, **cols) -> LangModel:
 def predict_language(docs: DataFrame, model: LangModel, *, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """``docs`` with <prefix>pred, <prefix>score and <prefix>rejected (score below the calibrated threshold), which
     replace columns of these names."""
-    sent = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+    docs = small_batches(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<pred: string, score: double, rejected: boolean>")
     def predict(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

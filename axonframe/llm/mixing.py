@@ -2,22 +2,21 @@
 
 Method: the documents of a source are put in a seeded random order; a document's virtual finish time is the
 source's cumulative words up to and with it, divided by the source's target. A source whose target exceeds
-its size is passed over again (at most ``max_repeats`` passes), its clock running on. In order of finish time
-over all sources, the stream is cut where the total budget is served. As targets sum up to the budget and all
-sources are served at rates in proportion to their targets, that is virtual time 1, where every source has
-had its target; the document then in service is taken in part.
-
-The order within a source is never sorted in one task. Keys are uniform hashes, so the documents of a source
-fall into even buckets by the top bits of the key; prefix sums over bucket totals find the bucket in which the
-source's last pass ends, and only that bucket's rows are put in order. The outcome is one row per
-source: full passes, the key at which the last pass ends, and the words taken there. Applying it compares
-keys, so no text is shuffled. With ``keep`` the prefix sums are taken down to each document (bucket totals, then
-words within the bucket), which are joined to the texts; ``ordered`` has one row per document and pass, range-sorted
-globally by the exact finish time.
+its size is passed over again (at most ``max_repeats`` passes), its clock running on. ``mix_stream`` has a row
+for each pass of a document, range-sorts all sources' rows by finish time and cuts the stream at the total
+budget: as targets sum up to the budget and all sources are served at rates in proportion to their targets,
+the budget is spent at virtual time 1, where every source has had its target; the document that is then in
+service in a source is taken in part.
+
+No order within a source is made in one task. Keys are uniform hashes, so a source's documents fall into
+even buckets by the top bits of the key; prefix sums over groups of buckets, over the buckets of a group and
+within a bucket add up to each document's cumulative words. Only sizes and keys are shuffled; ``taken`` is summed
+from the stream and joined to the documents by source, key and size.
 
 Defined results: null text has size 0; a null source is a source, last in order; no words are taken from
 documents of size 0; rows that agree in source, id and size share a key and are taken alike; null ids hash like an
-empty string; an empty table gives no rows; extra columns are ignored or kept as they are.
+empty string; an empty table gives no rows; extra columns are ignored, or kept as they are but for those with
+the names of results, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, settle
 
-#: Documents per bucket that the two-level sums aim at; bits of a key.
-BUCKET_ROWS = 4096
+#: Documents per bucket that the prefix sums aim at, and buckets per group; bits of a key.
+BUCKET_ROWS = 128
+GROUP_BITS = 10
 KEY_HEX = 15
 KEY_BITS = 4 * KEY_HEX
 #: Sources up to which per-source tables are broadcast; more are joined by a shuffle.
@@ -70,82 +70,78 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), ma
     return s.select("source", "source_size", "weight", F.when(F.col("fits"), F.least(F.col("share") * F.col("weight"), F.col("cap"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix_plan(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """Per source: source_size, target, full ``passes``, ``cut_key`` at which the last pass ends (null: none)
-    and ``cut_words`` of each document with that key.
-
-    ``sized`` has source, size, key; it is read a few times and should be settled."""
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    totals = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("sources")).first()
-    targets = source_targets(sizes, weights=weights, max_repeats=max_repeats)
-    whole = F.floor(F.col("target") + 0.5).cast("long")
-    passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
-    plan = settle(targets.withColumn("passes", passes).withColumn("rest", F.when(F.col("source_size") > 0, whole - F.col("passes") * F.col("source_size")).otherwise(F.lit(0).cast("long"))))
-    ours = plan.where("rest > 0").select(F.col("source").alias("p_source"), "rest")
-    ours = F.broadcast(ours) if totals["sources"] <= BROADCAST_SOURCES else ours
-    bits = (totals["rows"] // BUCKET_ROWS).bit_length()
-    rows = sized.where("size > 0").withColumn("bucket", F.shiftright("key", KEY_BITS - bits))
-    by_bucket = W.partitionBy("source").orderBy("bucket")
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(by_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    crossing = (
-        buckets.join(ours, F.col("source").eqNullSafe(F.col("p_source")))
-        .where("upto >= rest and upto - words < rest")
-        .select("p_source", F.col("bucket").alias("p_bucket"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))
-    )
-    crossing = F.broadcast(crossing) if totals["sources"] <= BROADCAST_SOURCES else crossing
-    inside = rows.join(crossing, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("bucket") == F.col("p_bucket")))
-    inside = inside.groupBy("source", "bucket", "key", "size", "left").agg(F.count("*").alias("n"))
-    in_order = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = inside.withColumn("cum", F.sum(F.col("size") * F.col("n")).over(in_order))
-    cut = inside.where("cum >= left and cum - size * n < left").select(F.col("source").alias("c_source"), F.col("key").alias("cut_key"), F.floor((F.col("left") - F.col("cum")) / F.col("n") + F.col("size")).cast("long").alias("cut_words"))
-    return settle(plan.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select("source", "source_size", "target", "passes", "cut_key", "cut_words"))
-
-
 def running_words(sized: DataFrame) -> DataFrame:
-    """(source, key, size, upto): words of the source up to and with the documents of each key, in order of keys.
+    """(source, key, size, n, upto): the documents of each key, their number, and the words of the source up to and
+    with them, in order of keys.
 
     ``sized`` has source, size, key; it is read a few times and should be settled."""
     bits = (sized.count() // BUCKET_ROWS).bit_length()
-    bucket = F.shiftright("key", KEY_BITS - bits)
-    rows = settle(sized.where("size > 0").groupBy("source", "key", "size").agg(F.sum("size").alias("words")).withColumn("bucket", bucket))
-    buckets = rows.groupBy("source", "bucket").agg(F.sum("words").alias("words"))
-    before = F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
-    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), before.alias("before"))
-    inside = F.sum("words").over(W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    coarse = max(0, bits - GROUP_BITS)
+    rows = sized.where("size > 0").groupBy("source", "key", "size").agg(F.count("*").alias("n"))
+    rows = settle(rows.withColumn("bucket", F.shiftright("key", KEY_BITS - bits)))
+    words = F.sum(F.col("size") * F.col("n"))
+    buckets = rows.groupBy("source", "bucket").agg(words.alias("words")).withColumn("group", F.shiftright("bucket", bits - coarse))
+    groups = buckets.groupBy("source", "group").agg(F.sum("words").alias("words"))
+    before = lambda *by: F.sum("words").over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("words")
+    groups = groups.select(F.col("source").alias("g_source"), F.col("group").alias("g_group"), before("source", "group").alias("g_before"))
+    buckets = buckets.withColumn("before", before("source", "group", "bucket"))
+    buckets = buckets.join(groups, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g_group")))
+    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), (F.col("before") + F.col("g_before")).alias("before"))
+    inside = words.over(W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = rows.withColumn("inside", inside).join(buckets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    return rows.select("source", "key", "size", (F.col("before") + F.col("inside")).alias("upto"))
-
+    return rows.select("source", "key", "size", "n", (F.col("before") + F.col("inside")).alias("upto"))
+
+
+def mix_stream(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The stream of the mix and its sources.
+
+    Stream: a row per key and pass (source, key, size, pass from 0, ``finish`` in virtual time, ``words`` taken from
+    each document of the key), range-sorted by finish time and cut at the total budget. Sources: source,
+    source_size, target. ``sized`` has source, size, key and should be settled."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = settle(source_targets(sizes, weights=weights, max_repeats=max_repeats).select("source", "source_size", "target"))
+    s = sources.select(F.col("source").alias("t_source"), "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
+    s = F.broadcast(s) if sources.count() <= BROADCAST_SOURCES else s
+    rows = running_words(sized).join(s, F.col("source").eqNullSafe(F.col("t_source")))
+    served = (F.col("pass") * F.col("source_size") + F.col("upto")).alias("served")
+    rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).select("*", served)
+    # Words of each document of the key that are served before the source's part of the budget is spent.
+    left = F.floor((F.col("budget") - F.col("served")) / F.col("n") + F.col("size")).cast("long")
+    words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
+    stream = rows.select("source", "key", "size", "pass", F.least(F.col("served") / F.col("target"), F.lit(1.0)).alias("finish"), words.alias("words"))
+    return stream.where("words > 0").orderBy("finish", "key", "pass"), sources
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """Words of each document that the mix takes: doc_id, source, size, source_size, target, ``taken``."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    stream, sources = mix_stream(sized.select("source", "size", "key"), weights=weights, max_repeats=max_repeats)
+    taken = stream.groupBy(F.col("source").alias("k_source"), F.col("key").alias("k_key"), F.col("size").alias("k_size")).agg(F.sum("words").alias("taken"))
+    s = sources.select(F.col("source").alias("p_source"), "source_size", "target")
+    s = F.broadcast(s) if s.count() <= BROADCAST_SOURCES else s
+    rows = sized.join(s, F.col("source").eqNullSafe(F.col("p_source")), "left")
+    rows = rows.join(taken, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("key") == F.col("k_key")) & (F.col("size") == F.col("k_size")), "left")
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
+    """``docs`` as the mix serves them: a row per document and pass in global order of finish times, with mix_pass
+    (from 0), mix_finish, mix_size, mix_taken (words taken in the pass) and mix_key.
+
+    The stream's rows of a document are joined to it before the sort, so texts are moved once."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    stream, _ = mix_stream(sized.select("source", "size", "key"), weights=weights, max_repeats=max_repeats)
+    new = ("mix_pass", "mix_finish", "mix_size", "mix_taken", "mix_key")
+    kept = [c for c in docs.columns if c not in new]
+    own = [F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(kept)]
+    size = word_count(F.col(text_col))
+    rows = docs.select(*own, F.col(source_col).alias("m_source"), size.alias("mix_size"), shuffle_key(F.col(id_col), size).alias("mix_key")).where("mix_size > 0")
+    rows = rows.join(stream, F.col("m_source").eqNullSafe(F.col("source")) & (F.col("mix_key") == F.col("key")) & (F.col("mix_size") == F.col("size")))
+    rows = rows.select(*(F.col(f"o_{i}").alias(c) for i, c in enumerate(kept)), F.col("pass").alias("mix_pass"), F.col("finish").alias("mix_finish"), "mix_size", F.col("words").alias("mix_taken"), "mix_key")
+    return rows.orderBy("mix_finish", "mix_key", "mix_pass")
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, keep: bool = False) -> DataFrame:
-    """Words of each document that the mix takes: doc_id, source, size, source_size, target, ``taken``.
 
-    With ``keep`` the columns of ``docs`` stay, and mix_size, mix_source_size, mix_target, mix_taken, mix_key (the
-    place in the source's order) and mix_upto (the source's words up to and with the document) are added."""
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = word_count(F.col(text_col))
-    sized = settle(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("key", shuffle_key(F.col("doc_id"), F.col("size"))))
-    plan = mix_plan(sized.select("source", "size", "key"), weights=weights, max_repeats=max_repeats)
-    p = plan.select(F.col("source").alias("p_source"), "source_size", "target", "passes", "cut_key", "cut_words")
-    p = F.broadcast(p) if p.count() <= BROADCAST_SOURCES else p
-    part = F.when(F.col("cut_key").isNull() | (F.col("m_key") > F.col("cut_key")), F.lit(0)).when(F.col("m_key") < F.col("cut_key"), F.col("m_size")).otherwise(F.col("cut_words"))
-    taken = F.when(F.col("m_size") > 0, F.col("passes") * F.col("m_size") + part).otherwise(F.lit(0)).cast("long")
-    if not keep:
-        rows = sized.select("doc_id", "source", F.col("size").alias("m_size"), F.col("key").alias("m_key"))
-        return rows.join(p, F.col("source").eqNullSafe(F.col("p_source")), "left").select("doc_id", "source", F.col("m_size").alias("size"), "source_size", "target", taken.alias("taken"))
-    own = [F.col(f"`{c}`").alias(f"o_{i}") for i, c in enumerate(docs.columns)]
-    rows = docs.select(*own, F.col(id_col).alias("m_id"), F.col(source_col).alias("m_source"), size.alias("m_size")).withColumn("m_key", shuffle_key(F.col("m_id"), F.col("m_size")))
-    rows = rows.join(p, F.col("m_source").eqNullSafe(F.col("p_source")), "left")
-    upto = running_words(sized.select("source", "size", "key")).select(F.col("source").alias("u_source"), F.col("key").alias("u_key"), F.col("size").alias("u_size"), "upto")
-    rows = rows.join(upto, F.col("m_source").eqNullSafe(F.col("u_source")) & (F.col("m_key") == F.col("u_key")) & (F.col("m_size") == F.col("u_size")), "left")
-    return rows.select(*(F.col(f"o_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("m_size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"), F.col("m_key").alias("mix_key"), F.col("upto").alias("mix_upto"))
-
-
-def ordered(mixed: DataFrame) -> DataFrame:
-    """What a mix with ``keep`` takes, in the order in which it is served: a row per document and pass (mix_pass,
-    from 0) with the words taken in it (mix_taken), globally range-sorted by virtual finish time (mix_finish).
-
-    The document in service at the cut, virtual time 1, finishes there."""
-    passes = F.explode(F.sequence(F.lit(0), F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int") - 1))
-    rows = mixed.where("mix_taken > 0").select("*", passes.alias("mix_pass"))
-    part = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_pass") * F.col("mix_size"))
-    finish = F.least((F.col("mix_pass") * F.col("mix_source_size") + F.col("mix_upto")) / F.col("mix_target"), F.lit(1.0))
-    return rows.withColumn("mix_taken", part).withColumn("mix_finish", finish).orderBy("mix_finish", "mix_key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    return settle(rows.withColumn("key", shuffle_key(F.col("doc_id"), F.col("size"))))

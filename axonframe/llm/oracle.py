@@ -50,7 +50,7 @@ f AS (SELECT *, list_filter([{', '.join(failed)}], lambda x: x IS NOT NULL) AS f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
 
 
-OP6 = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
 k AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, {KEY_HEX}))::UBIGINT AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
@@ -58,10 +58,9 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 g AS (SELECT *, level <= cap / weight AS fits FROM l),
 h AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM g WHERE fits) AS share FROM g),
 t AS (SELECT source, source_size, CASE WHEN fits THEN least(share * weight, cap) ELSE cap END AS target FROM h),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size)::BIGINT ELSE 0 END AS passes FROM t),
-r AS (SELECT *, floor(target + 0.5)::BIGINT - passes * source_size AS rest FROM p),
-o AS (SELECT k.*, source_size, target, passes, rest, sum(size) OVER (PARTITION BY k.source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, count(*) OVER (PARTITION BY k.source, key, size) AS n FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
-SELECT doc_id, source, size, source_size, target, (passes * size + CASE WHEN cum <= rest THEN size WHEN cum - size * n < rest THEN floor((rest - cum) / n + size)::BIGINT ELSE 0 END)::BIGINT AS taken FROM o"""
+o AS (SELECT k.*, source_size, target, floor(target + 0.5)::BIGINT AS budget, sum(size) OVER (PARTITION BY k.source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, count(*) OVER (PARTITION BY k.source, key, size) AS n FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, pass * source_size + upto AS served, least((pass * source_size + upto) / target, 1.0) AS finish FROM o, range(3) r(pass))
+SELECT doc_id, source, size, source_size, target, coalesce(sum(CASE WHEN size > 0 THEN greatest(0, least(size, floor((budget - served) / n + size)::BIGINT)) ELSE 0 END), 0)::BIGINT AS taken FROM q GROUP BY i, doc_id, source, size, source_size, target"""
 
 
 def _op8() -> str:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from axonframe.llm import mixing
 
 
@@ -26,8 +28,8 @@ def test_targets_and_taken(spark, make, odd_rows):
     for _, t, _, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     want = _targets(sizes)
-    for limit in (4096, 16):
-        mixing.BUCKET_ROWS = limit
+    for limit, bits in ((4096, 10), (16, 2)):
+        mixing.BUCKET_ROWS, mixing.GROUP_BITS = limit, bits
         got = mixing.mix_sources(make(rows)).collect()
         assert len(got) == len(rows)
         for s in sizes:
@@ -37,13 +39,13 @@ def test_targets_and_taken(spark, make, odd_rows):
         assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
         key = lambda x: sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in x)
         assert key(got) == key(mixing.mix_sources(make(rows).repartition(7)).collect())
-    mixing.BUCKET_ROWS = 4096
+    mixing.BUCKET_ROWS, mixing.GROUP_BITS = 128, 10
 
 
 def test_keep_ordered_and_empty(spark, make, odd_rows):
-    mixed = mixing.mix_sources(make(odd_rows), keep=True)
-    assert mixed.columns[:7] == make([]).columns
-    finish = [r["mix_finish"] for r in mixing.ordered(mixed).collect()]
+    mixed = mixing.mix_documents(make(odd_rows).withColumn("mix_key", F.lit("clash")))
+    assert mixed.columns[:7] == make([]).columns and mixed.columns.count("mix_key") == 1
+    finish = [r["mix_finish"] for r in mixed.collect()]
     assert finish == sorted(finish) and finish
     assert mixing.mix_sources(make([])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(make([(1, None), (2, "")])).collect()] == [0, 0]
@@ -53,8 +55,8 @@ def test_order_equals_exact_finish_times(spark, make):
     """Skewed sizes and repeated passes, against cumulative words in plain Python."""
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * (rng.choice([400, 900]) if i % 9 == 0 else rng.randint(0, 20))), None, "abc"[i % 11 % 3] if i % 11 else "d") for i in range(300)]
-    mixed = mixing.mix_sources(make(rows), keep=True)
-    key = {r["doc_id"]: r["mix_key"] for r in mixed.collect()}
+    sized = mixing._sized(make(rows), "doc_id", "text", "source")
+    key = {r["doc_id"]: r["key"] for r in sized.collect()}
     sizes = {}
     for _, t, _, s in rows:
         sizes[s] = sizes.get(s, 0) + len(t.split())
@@ -72,10 +74,10 @@ def test_order_equals_exact_finish_times(spark, make):
             turn += 1
     want.sort()
     assert max(w[3] for w in want) >= 1
-    for limit in (4096, 16):
-        mixing.BUCKET_ROWS = limit
-        got = [tuple(r[c] for c in ("mix_finish", "mix_key", "doc_id", "mix_pass", "mix_taken")) for r in mixing.ordered(mixing.mix_sources(make(rows), keep=True)).collect()]
+    for limit, bits in ((4096, 10), (16, 2)):
+        mixing.BUCKET_ROWS, mixing.GROUP_BITS = limit, bits
+        got = [tuple(r[c] for c in ("mix_finish", "mix_key", "doc_id", "mix_pass", "mix_taken")) for r in mixing.mix_documents(make(rows)).collect()]
         assert [g[1:] for g in got] == [w[1:] for w in want]
         assert all(abs(g[0] - w[0]) < 1e-9 for g, w in zip(got, want, strict=True))
-    mixing.BUCKET_ROWS = 4096
+    mixing.BUCKET_ROWS, mixing.GROUP_BITS = 128, 10
     assert abs(sum(w[4] for w in want) - sum(sizes.values())) <= len(sizes)
