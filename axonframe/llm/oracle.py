@@ -71,8 +71,8 @@ def _op8() -> str:
 d AS (SELECT doc_id, row_number() OVER () AS i, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}](?:[^\x20\x09-\x0D]*[\p{{L}}\p{{N}}])?') AS w FROM documents),
 s AS (SELECT doc_id, i, k - 1 AS k, len(w) - {SHINGLE - 1} AS total, array_to_string(w[k:k + {SHINGLE - 1}], ' ') AS x FROM (SELECT doc_id, i, w, unnest(range(1, len(w) - {SHINGLE - 2})) AS k FROM d WHERE len(w) >= {SHINGLE})),
 h AS (SELECT doc_id, i, k, total, license, m, n, t.x FROM s JOIN t ON s.x = t.x),
-v AS (SELECT doc_id, i, license, n, x, unnest([k // m - 1, k // m]) AS j, greatest(total - 1 - m, 0) // m AS last FROM h),
-c AS (SELECT doc_id, i, license, j, count(DISTINCT x) / any_value(n) AS c FROM v WHERE j >= 0 AND j <= last GROUP BY ALL)
+v AS (SELECT doc_id, i, license, n, k, m, x, unnest([k // (2 * m) - 1, k // (2 * m)]) AS j, ceil(greatest(total - (3 * m - 1), 0) / (2 * m)) AS last FROM h),
+c AS (SELECT doc_id, i, license, j, count(DISTINCT x) / any_value(n) AS c FROM v WHERE j >= 0 AND j <= last AND k < 2 * j * m + 3 * m - 1 GROUP BY ALL)
 SELECT doc_id, license, max(c) AS containment, count(DISTINCT j) AS n_windows FROM c WHERE c >= {CONTAINMENT} GROUP BY 1, 2"""
 
 
