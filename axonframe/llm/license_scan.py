@@ -167,6 +167,6 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, *, templates: dict[str,
     shared = F.size(F.array_intersect("window", "t_hashes")) / F.size("t_hashes")
     # It names a column of the template, so that it is tested after the join and not on every hash before it.
     bin_of = lambda x: F.when(F.col("m") == LEAST, F.shiftright(x, _shift(LEAST))).otherwise(F.shiftright(x, _shift(LATE)))
-    smaller = (F.col("m") <= LATE) & F.exists("window", lambda x: (x < F.col("t_band")) & (bin_of(x) == bin_of(F.col("t_band"))))
+    smaller = (F.col("m") <= LATE) & F.exists("window", lambda x: (x < F.col("t_band")) & (bin_of(x) == bin_of(F.col("t_band"))) & (F.size("t_hashes") > 0))
     hit = cut.join(wanted, (F.col("band") == F.col("t_band")) & (F.col("m") == F.col("t_m"))).where(~smaller).select("doc_id", "license", "j", shared.alias("c")).where(F.col("c") >= containment)
     return hit.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.countDistinct("j").alias("n_windows"))
