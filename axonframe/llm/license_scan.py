@@ -10,10 +10,9 @@ window has) must reach ``containment``.
 
 Collision probability: a window and a template of Jaccard similarity J share no band with odds of about
 (1 - J) ** b, b being the bins that are not empty. A template of n shingles (n > m / 4) held to 0.8 has a J of
-0.8 n / (3m - 1 + 0.2 n) or more, which is 0.065 at the least: with 128 bins odds of 2e-4. Small templates do not
-fill the bins; there each shared shingle is lost with odds of at most (3m - 2) / (2 bins), and all that are shared
-must be lost: with 4,096 bins for the least class 1e-3 at n = 1 and 2e-6 at n = 2, with 128 for the next one 1e-3
-at n = 5. ``tests/llm`` measures the recall.
+0.8 n / (3m - 1 + 0.2 n) or more, which is 0.065 at the least: with 128 bins odds of 2e-4. Windows of the classes of
+up to 16 shingles are smaller than a signature; they take all their hashes as bands and lose nothing. ``tests/llm``
+measures the recall.
 
 All expressions are native. The template table is a fixed parameter; above ``BROADCAST_BANDS`` bands it
 is joined by a shuffle instead of a broadcast.
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import WORD, let
 
 SHINGLE = 5
-#: Bins of a signature, and for templates of up to ``LEAST`` shingles.
-BINS, LEAST_BINS, LEAST, LATE = 128, 4096, 4, 16
+#: Bins of a signature, the smallest size class, and the largest one whose windows are taken whole.
+BINS, LEAST, WHOLE = 128, 4, 16
 CONTAINMENT = 0.8
 BROADCAST_BANDS = 200_000
 
@@ -124,14 +123,12 @@ def _class(n: int) -> int:
     return m
 
 
-def _shift(m: int) -> int:
-    """Bits below those of a hash's bin."""
-    return 64 - (LEAST_BINS if m == LEAST else BINS).bit_length() + 1
-
-
-def _bands(hashes: Column, m: int) -> Column:
-    """Smallest hash of each bin: in sorted order, the first one of each run with equal bins."""
-    shift = _shift(m)
+def _signature(hashes: Column, m: int) -> Column:
+    """Smallest hash of each bin: in sorted order, the first one of each run with equal bins. Windows of the classes up
+    to ``WHOLE`` are smaller than a signature, and all their hashes are bands."""
+    if m <= WHOLE:
+        return hashes
+    shift = 64 - BINS.bit_length() + 1
 
     def first(s: Column) -> Column:
         return F.filter(s, lambda h, i: (i == 0) | (F.shiftright(h, shift) != F.shiftright(F.get(s, F.greatest(i - 1, F.lit(0))), shift)))
@@ -140,10 +137,9 @@ def _bands(hashes: Column, m: int) -> Column:
 
 
 def _windows(h: Column, m: int) -> Column:
-    """(m, j, window, bands) of every window of 3m - 1 hashes, 2m apart; the last one reaches the end. Up to
-    ``LATE`` most hashes are bands, so all are listed, and those that are not go after the join."""
+    """(m, j, window, bands) of every window of 3m - 1 hashes, 2m apart; the last one reaches the end."""
     last = F.ceil(F.greatest(F.size(h) - (3 * m - 1), F.lit(0)) / (2 * m)).cast("int")
-    one = lambda j: let(F.slice(h, 2 * m * j + 1, 3 * m - 1), lambda w: F.struct(F.lit(m).alias("m"), j.alias("j"), w.alias("window"), (w if m <= LATE else _bands(w, m)).alias("bands")))
+    one = lambda j: let(F.slice(h, 2 * m * j + 1, 3 * m - 1), lambda w: F.struct(F.lit(m).alias("m"), j.alias("j"), w.alias("window"), _signature(w, m).alias("bands")))
     none = F.expr("cast(array() as array<struct<m: int, j: int, window: array<bigint>, bands: array<bigint>>>)")
     return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(none)
 
@@ -157,7 +153,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, *, templates: dict[str,
     if not rows:
         return spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
     wanted = spark.createDataFrame(rows, "license string, w array<string>, m int").select("license", "m", F.array_distinct(_hashes(F.col("w"))).alias("t_hashes"))
-    bands = F.coalesce(*(F.when(F.col("m") == m, _bands(F.col("t_hashes"), m)) for m in classes))
+    bands = F.coalesce(*(F.when(F.col("m") == m, _signature(F.col("t_hashes"), m)) for m in classes))
     wanted = wanted.select("license", F.col("m").alias("t_m"), "t_hashes", F.explode(bands).alias("t_band"))
     wanted = F.broadcast(wanted) if sum(len(w) for _, w, _ in rows) <= BROADCAST_BANDS else wanted
     shingles = docs.select(F.col(id_col).alias("doc_id"), let(normal_words(F.col(text_col)), _hashes).alias("h"))
@@ -165,8 +161,5 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, *, templates: dict[str,
     # The outer forms keep the optimizer from adding a filter that would cut every text a second time.
     cut = shingles.select("doc_id", F.explode_outer(windows).alias("s")).select("doc_id", "s.m", "s.j", "s.window", F.explode_outer("s.bands").alias("band"))
     shared = F.size(F.array_intersect("window", "t_hashes")) / F.size("t_hashes")
-    # It names a column of the template, so that it is tested after the join and not on every hash before it.
-    bin_of = lambda x: F.when(F.col("m") == LEAST, F.shiftright(x, _shift(LEAST))).otherwise(F.shiftright(x, _shift(LATE)))
-    smaller = (F.col("m") <= LATE) & F.exists("window", lambda x: (x < F.col("t_band")) & (bin_of(x) == bin_of(F.col("t_band"))) & (F.size("t_hashes") > 0))
-    hit = cut.join(wanted, (F.col("band") == F.col("t_band")) & (F.col("m") == F.col("t_m"))).where(~smaller).select("doc_id", "license", "j", shared.alias("c")).where(F.col("c") >= containment)
+    hit = cut.join(wanted, (F.col("band") == F.col("t_band")) & (F.col("m") == F.col("t_m"))).select("doc_id", "license", "j", shared.alias("c")).where(F.col("c") >= containment)
     return hit.groupBy("doc_id", "license").agg(F.max("c").alias("containment"), F.countDistinct("j").alias("n_windows"))
