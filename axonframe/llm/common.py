@@ -109,7 +109,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches cut to ``BATCH_ROWS`` rows, so that a Python worker holds little
     text at a time. A smaller setting of the session stays. Inputs of at most ``SPREAD_BYTES`` are dealt over
     all cores."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES:
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf

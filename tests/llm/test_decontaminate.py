@@ -18,7 +18,8 @@ def test_align_equals_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):
         a, b = rng.integers(0, 5, rng.integers(1, 12)), rng.integers(0, 5, rng.integers(0, 30))
-        assert d.align(a.astype(np.uint64), b.astype(np.uint64))[0] == brute_align(a.tolist(), b.tolist())
+        score, start, end = d.align(a.astype(np.uint64), b.astype(np.uint64))
+        assert score == brute_align(a.tolist(), b.tolist()) == brute_align(a.tolist(), b.tolist()[start:end])
 
 
 @pytest.fixture
@@ -47,7 +48,7 @@ def test_copies_and_edited_copies(spark, make, items):
     ]
     found = {(r["doc_id"], tuple(x["item_id"] for x in r["leaks"])) for r in d.find_leaks(make(docs), frame).collect()}
     assert found == {(1, (0,)), (2, (0,)), (3, ()), (4, ()), (5, ()), (None, (0,)), (7, (92,)), (8, (3, 4))}
-    in_blocks = {(r["doc_id"], tuple(sorted(x["item_id"] for x in r["leaks"]))) for r in d.find_leaks(make(docs), frame, block_words=20).collect()}
+    in_blocks = {(r["doc_id"], tuple(sorted(x["item_id"] for x in r["leaks"]))) for r in d.find_leaks(make(docs), frame, broadcast_words=20).collect()}
     assert in_blocks == found
 
 
@@ -75,8 +76,40 @@ def test_spread_edits_equal_brute_force(spark, make, items):
             if score >= d.MIN_SCORE:
                 want.add((n, i, score))
     assert len(want) > len(docs) * 0.6
-    found = d.find_leaks(make([(n, " ".join(w)) for n, w in enumerate(docs)]), frame).collect()
-    assert {(r["doc_id"], x["item_id"], x["score"]) for r in found for x in r["leaks"]} == want
+    for limit in (d.BROADCAST_WORDS, 20):
+        found = d.find_leaks(make([(n, " ".join(w)) for n, w in enumerate(docs)]), frame, broadcast_words=limit).collect()
+        assert {(r["doc_id"], x["item_id"], x["score"]) for r in found for x in r["leaks"]} == want
+        for r in found:
+            for x in r["leaks"]:
+                assert brute_align(rows[x["item_id"]][1].split(), docs[r["doc_id"]][x["first_word"] : x["end_word"]]) == 40 * x["score"]
+
+
+def test_edited_copies_at_all_offsets(spark, make, items):
+    """One word in 6 to 10 replaced, at every offset: all copies are found."""
+    rows, frame = items
+    docs, want = [], set()
+    for i, text in rows:
+        for k in (6, 7, 8, 9, 10):
+            for offset in range(k):
+                w = text.split()
+                for at in range(offset, len(w), k):
+                    w[at] = f"edit{at}"
+                want.add((len(docs), i))
+                docs.append((len(docs), f"pad a b {' '.join(w)} c d pad"))
+    found = d.find_leaks(make(docs), frame).collect()
+    assert {(r["doc_id"], x["item_id"]) for r in found for x in r["leaks"]} == want
+
+
+def test_ties_long_texts_and_clashing_columns(make, items):
+    rows, frame = items
+    long = " ".join(f"pad{i}" for i in range(60_000))
+    docs = make([(1, f"{rows[2][1]} {long} {rows[2][1]}"), (2, f"{long} {rows[3][1]}")]).withColumnRenamed("extra", "leaks")
+    for limit in (d.BROADCAST_WORDS, 20):
+        out = d.find_leaks(docs, frame, broadcast_words=limit)
+        assert out.columns.count("leaks") == 1
+        got = {r["doc_id"]: r["leaks"] for r in out.collect()}
+        assert [(x["item_id"], x["first_word"], x["end_word"]) for x in got[1]] == [(2, 0, 20)]
+        assert [(x["item_id"], x["first_word"], x["end_word"]) for x in got[2]] == [(3, 60_000, 60_020)]
 
 
 def test_very_common_passage_and_empty_tables(spark, make, items):
