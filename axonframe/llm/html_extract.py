@@ -10,7 +10,8 @@ of labelled pages, which ``labelled_pages`` writes from seeded templates (elemen
 Parsing and messages are iterative and linear in the page, so depth and length are not bounded.
 
 Defined results: null or empty html gives an empty text; markup that never closes is closed at the end;
-comments, scripts, styles, templates and form controls never count; rows are independent, so ties, repeated
+comments, scripts, styles, templates and form controls never count, nor does what scripts are replaced by
+(``noscript``); rows are independent, so ties, repeated
 rows, null ids, empty tables and extra columns need no care.
 """
 
@@ -20,6 +21,7 @@ import html as html_lib
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,18 +32,19 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s>/]*+)[^>]*+>|<([a-zA-Z][^\s>/]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s>/]*+)([^>]*+)>""",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s>/]*")
+STOP = re.compile(r"""[>"']""")
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select button xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
+RAW = frozenset("script style textarea title noscript template iframe svg canvas select button noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math maction menclose merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover nobr object q s samp small span strike strong sub sup time tt u var wbr".split())
+CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul xmp".split())
+#: Elements that close an open one of their family, and those that begin a new scope for families.
+FAMILY = {"li": 0, "dt": 1, "dd": 1, "tr": 2, "td": 3, "th": 3}
+SCOPES = {"ul": (0,), "ol": (0,), "menu": (0,), "dl": (1,), "table": (0, 1, 2, 3), "tr": (3,)}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 # Words in class and id attributes that tell boilerplate or content.
@@ -64,14 +67,94 @@ class Node:
         self.size = self.links = self.stops = 0
 
 
+class Scanner:
+    """Markup of a page, in one pass: each character is looked at a bounded number of times.
+
+    A tag ends at the first ``>`` outside its quotes. Where there is none, this and all later tags end at their
+    first ``>``; markup after the last ``>`` of the page is text, and a comment that never ends takes the rest."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.plain = False
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes start at ``at`` has its ``>``."""
+        j = at
+        while not self.plain and (m := STOP.search(self.page, j)):
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.quotes[m[0]]:
+                break
+            j = self.page.index(m[0], m.end()) + 1
+        self.plain = True
+        return self.page.index(">", at)
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int]:
+        """Start and end of the end tag of a raw element whose content starts at ``at``."""
+        for m in re.compile(rf"</{tag}(?=[\s>/])", re.I | re.A).finditer(self.page, at):
+            if m.start() < self.last:
+                return m.start(), self.page.index(">", m.start()) + 1
+            break
+        return len(self.page), len(self.page)
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, value, attributes): ``text``, ``start`` and ``end`` of elements with names in lower case, ``raw``
+        (the content of ``xmp``, which has no markup)."""
+        page, at = self.page, 0
+        while at < len(page):
+            start = page.find("<", at)
+            if start < 0 or start > self.last and not page.startswith("<!--", start):
+                yield "text", page[at:], ""
+                return
+            mark = page[start + 1 : start + 2]
+            if mark in ("!", "?"):
+                if start > at:
+                    yield "text", page[at:start], ""
+                if page.startswith("<!--", start):
+                    end = COMMENT_END.search(page, start + 2)
+                    if not end:
+                        return
+                    at = end.end()
+                else:
+                    at = page.index(">", start) + 1
+            elif m := NAME.match(page, start + 1 + (mark == "/")):
+                if start > at:
+                    yield "text", page[at:start], ""
+                tag, end = m[0].lower(), self.tag_end(m.end())
+                at = end + 1
+                if mark == "/":
+                    yield "end", tag, ""
+                    continue
+                raw = page[m.end() : end]
+                if tag in RAW or tag == "xmp":
+                    stop = at
+                    if not raw.endswith("/"):
+                        stop, after = self.raw_end(tag, at)
+                    if tag == "xmp":
+                        yield "start", tag, raw
+                        yield "raw", page[at:stop], ""
+                        yield "end", tag, ""
+                    else:
+                        yield "start", tag, raw
+                    if not raw.endswith("/"):
+                        at = after
+                else:
+                    yield "start", tag, raw
+            else:
+                yield "text", page[at : start + 1], ""
+                at = start + 1
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The block elements in page order (parents first), and the text runs as (node, text)."""
     nodes, stack, runs, piece = [Node("#root", -1, "")], [0], [], []
-    at, skip, in_link, in_head = 0, "", 0, False
+    families, opened = [(-1, -1, -1, -1)], Counter()
+    in_link, in_head = 0, False
 
     def flush() -> None:
         if piece:
-            if text := " ".join(html_lib.unescape("".join(piece)).split()):
+            if text := " ".join("".join(piece).split()):
                 runs.append((stack[-1], text))
                 nodes[stack[-1]].size += len(text)
                 nodes[stack[-1]].stops += sum(map(text.count, ".!?,;"))
@@ -79,39 +162,48 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def close(depth: int) -> None:
         flush()
-        del stack[depth:]
-
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if not skip and m.start() > at and not in_head:
-            bit = page[at : m.start()]
-            piece.append(bit)
-            if in_link:
-                nodes[stack[-1]].links += len(bit)
-        at = m.end()
-        end, tag = m[1], m[2] or m[4]
-        if end:
-            end = end.lower()
-            if end == "head":
+        opened.subtract(nodes[i].tag for i in stack[depth:])
+        del stack[depth:], families[depth:]
+
+    def add(tag: str, raw: str) -> None:
+        flush()
+        family = families[-1]
+        if tag in FAMILY or tag in SCOPES:
+            family = list(family)
+            for f in SCOPES.get(tag, ()):
+                family[f] = -1
+            if tag in FAMILY:
+                family[FAMILY[tag]] = len(stack)
+            family = tuple(family)
+        nodes.append(Node(tag, stack[-1], raw))
+        stack.append(len(nodes) - 1)
+        families.append(family)
+        opened[tag] += 1
+
+    for kind, value, raw in Scanner(page).tokens():
+        if kind in ("text", "raw"):
+            if not in_head:
+                piece.append(value if kind == "raw" else html_lib.unescape(value))
+                if in_link:
+                    nodes[stack[-1]].links += len(value)
+        elif kind == "end":
+            if value == "head":
                 in_head = False
-            elif end == "a":
+            elif value == "a":
                 in_link = max(0, in_link - 1)
-            elif end not in INLINE:
-                for d in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[d]].tag == end:
-                        close(d)
-                        break
-        elif tag:
-            tag, raw = tag.lower(), m[3] or m[5] or ""
+            elif value not in INLINE and opened[value]:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != value:
+                    depth -= 1
+                close(depth)
+        else:
+            tag = value
             if tag == "head":
                 in_head = True
             elif tag == "body" or tag in CLOSES_P:
                 in_head = False
-            if tag in RAW and not raw.endswith("/"):
+            if tag in RAW:
                 piece.append(" ")
-                stop = re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
             elif tag == "a":
                 in_link = 1
             elif tag in INLINE or tag in VOID:
@@ -120,22 +212,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if tag == "hr":
                     flush()
             elif tag != "head":
-                if tag in CLOSES_P and nodes[stack[-1]].tag == "p" or tag in HEADINGS and nodes[stack[-1]].tag in HEADINGS:
+                top = nodes[stack[-1]].tag
+                if tag in CLOSES_P and top == "p" or tag in HEADINGS and top in HEADINGS:
                     close(len(stack) - 1)
-                elif tag in SAME:
-                    for d in range(len(stack) - 1, 0, -1):
-                        t = nodes[stack[d]].tag
-                        if t in SAME[tag] or t == "table":
-                            break
-                        if t == tag or {t, tag} in ({"dt", "dd"}, {"td", "th"}):
-                            close(d)
-                            break
-                flush()
-                nodes.append(Node(tag, stack[-1], raw))
-                stack.append(len(nodes) - 1)
+                elif tag in FAMILY and families[-1][FAMILY[tag]] > 0:
+                    close(families[-1][FAMILY[tag]])
+                add(tag, raw)
                 in_link = 0
-    if at < len(page) and not in_head:
-        piece.append(page[at:])
     flush()
     return nodes, runs
 
