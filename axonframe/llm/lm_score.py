@@ -12,8 +12,9 @@ equally likely. ``score`` is the log10 probability of the text.
 Scale: counts of all training texts are summed per task and then by a shuffle; the model grows with the
 corpus and is never sampled. For scoring it is cut into blocks by the last two context bytes (all longer
 contexts of a position share its block), each of at most about ``BLOCK_ROWS`` rows, so a block has a proven
-bound; blocks are broadcast one by one and every task scores a position in the one block it belongs to.
-Word counts for the base score are cut into blocks by hash in the same way.
+bound; blocks are broadcast one by one and every task scores a position in the one block it belongs to. A task
+deals the positions of ``_HELD`` bytes of texts to the blocks and then reads each block once. Word counts for
+the base score are cut into blocks by hash in the same way.
 
 Words are compared by 64-bit hashes (odds of 2**-64 a pair of words that two are taken for one).
 
@@ -39,6 +40,8 @@ ORDER = 5
 BLOCK_ROWS = 3_000_000
 _SLICE = 1 << 20
 _BUFFER = 4_000_000
+#: Bytes of texts that a task scores against all blocks at once (about 12 bytes of memory each).
+_HELD = 8 << 20
 _PAD, _END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 WORD, GRAM, END = 0, 1, 2
 
@@ -327,30 +330,40 @@ def code_lengths(block: Block, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_batch(batch: list[bytes], parts: Iterator[Block], n_train: int, n_types: int, ends: int) -> dict[str, np.ndarray]:
-    """Per text: n_tokens, n_known, base_score and score; ``parts`` gives each block of the model once."""
-    groups = [(i, j, flatten(batch[i:j])) for i, j in slices([len(t) for t in batch], _SLICE)]
+def _dealt(which: np.ndarray, blocks: int, *columns: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The columns' entries of each block."""
+    if blocks == 1:
+        return [columns]
+    order, edges = np.argsort(which, kind="stable"), np.cumsum(np.bincount(which, minlength=blocks))[:-1]
+    return list(zip(*(np.split(c[order], edges) for c in columns), strict=True))
+
+
+def score_batch(batch: list[bytes], parts: Iterator[Block], blocks: int, n_train: int, n_types: int, ends: int) -> dict[str, np.ndarray]:
+    """Per text: n_tokens, n_known, base_score and score; ``parts`` gives each block of the model once.
+
+    Words and grams are dealt to the blocks once, before the blocks are read."""
     n = len(batch)
     n_tokens, known, logs, score = np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
     known += ends > 0
     logs += np.log10(ends + 1.0)
+    words, coded = [], []
+    for i, j in slices([len(t) for t in batch], _SLICE):
+        flat = flatten(batch[i:j])
+        doc, h = tokens(flat)
+        n_tokens[i:j] += np.bincount(doc, minlength=j - i)
+        words.append((i, j, _dealt(block_of_word(h, blocks), blocks, doc.astype(np.int32), h)))
+        for doc, keys in grams(flat):
+            coded.append((i, j, _dealt(block_of_gram(keys, blocks), blocks, doc, keys)))
     for block in parts:
-        for i, j, flat in groups:
-            doc, h = tokens(flat)
-            if block.number == 0:
-                n_tokens[i:j] += np.bincount(doc, minlength=j - i)
-            if block.blocks > 1:
-                mine = block_of_word(h, block.blocks) == block.number
-                doc, h = doc[mine], h[mine]
+        for i, j, dealt in words:
+            doc, h = dealt[block.number]
             at = block.words.find(h)
             doc, at = doc[at >= 0], at[at >= 0]
             known[i:j] += np.bincount(doc, minlength=j - i)
             logs[i:j] += np.bincount(doc, weights=block.word_logs[at], minlength=j - i)
-            for doc, keys in grams(flat):
-                if block.blocks > 1:
-                    mine = block_of_gram(keys, block.blocks) == block.number
-                    doc, keys = doc[mine], keys[mine]
-                score[i:j] += np.bincount(doc, weights=code_lengths(block, keys), minlength=j - i)
+        for i, j, dealt in coded:
+            doc, keys = dealt[block.number]
+            score[i:j] += np.bincount(doc, weights=code_lengths(block, keys), minlength=j - i)
     return {"n_tokens": n_tokens, "n_known": known, "base_score": logs - n_tokens * np.log10(n_train + (n_types + 1.0)), "score": score}
 
 
@@ -415,12 +428,25 @@ def score_texts(docs: DataFrame, model: Model, *, id_cols: list[str], text_col:
             if len(model.blocks) > 1 and hasattr(b, "_value"):
                 del b._value  # the next use reads it from the executor's disk again
 
+    def scored(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = score_batch([t for b in held for t in texts(b, "__text")], parts(), len(model.blocks), model.n_train, model.n_types, model.ends)
+        first = 0
+        for b in held:
+            cols = [s[c][first : first + b.num_rows] for c in ("n_tokens", "n_known", "base_score", "score")]
+            cols.insert(2, np.full(b.num_rows, model.n_train, np.int64))
+            first += b.num_rows
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(id_cols))), *map(pa.array, cols)], schema.fieldNames())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            s = score_batch(texts(b, "__text"), parts(), model.n_train, model.n_types, model.ends)
-            train = np.full(b.num_rows, model.n_train, np.int64)
-            cols = [s["n_tokens"], s["n_known"], train, s["base_score"], s["score"]]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(id_cols))), *map(pa.array, cols)], schema.fieldNames())
+            held.append(b)
+            size += b.nbytes
+            if len(model.blocks) == 1 or size >= _HELD:
+                yield from scored(held)
+                held, size = [], 0
+        if held:
+            yield from scored(held)
 
     return rows.mapInArrow(run, schema)
 
