@@ -169,3 +169,14 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         np.cumsum(mix64(buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
         h = (total[end] - total[start]) * down[start]
         return mix64(h ^ (np.uint64(0xD6E8FEB86659FD93) * (end - start).astype(np.uint64)))
+
+
+def ngrams(h: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``n`` word hashes."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = mix64(out + h[j : len(h) - n + 1 + j] + np.uint64(n))
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, slices, small_batches, texts, with_fields, word_hashes, word_spans
+from .common import ngrams, settle, slices, small_batches, texts, with_fields, word_hashes, word_spans
 from .lm_score import Lookup
 
 SEED_WORDS = 4
@@ -49,16 +49,6 @@ def hashed_words(batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(buf, start, end), np.searchsorted(start, first)
 
 
-def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = mix64(out + h[j : len(h) - n + 1 + j] + np.uint64(n))
-    return out
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment score (match 2, mismatch -1, gap -1), and its start and end in the passage.
 

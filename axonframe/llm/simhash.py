@@ -15,6 +15,9 @@ word links its fingerprints to the smallest one, so work and links are linear in
 Links become components by alternating star contractions (each node takes the smallest neighbour), which
 shuffle links by node and settle every round in the shared folder.
 
+``first_of_groups`` is the filter for corpora: its links are similarities of 0.8 and more of 5-word shingles, with
+candidates from fingerprints of samples that are decoded to Golay codewords in the same way.
+
 Defined results: no words (null or empty text) give fingerprint 0, which links like any other; null ids keep
 their fingerprint and take the smallest id of their component (null if it has none); repeated rows repeat;
 empty tables give no rows; extra columns are ignored.
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import settle, slices, small_batches, texts
+from .common import ngrams, settle, slices, small_batches, texts, word_hashes, word_spans
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -41,6 +44,8 @@ MAX_BITS = 2
 PAIR_LIMIT = 24
 #: Ids up to which a list of them is broadcast (about 16 bytes each).
 BROADCAST_IDS = 2_000_000
+#: Fingerprints of samples for a similarity of whole texts, and shingles a sample.
+SAMPLES, SAMPLE = 24, 5
 _SLICE = 1 << 20
 #: Widths of the three segments and the generator polynomial of the Golay code (fixed values).
 SEGMENTS = (22, 21, 21)
@@ -201,9 +206,9 @@ def _observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
     return out, tuple(seen.get[k] for k in ("n", "x", "s"))
 
 
-def _component_table(classes: DataFrame) -> DataFrame:
-    """(c_fp, root, component_id) for classes (fp, least): the component of every fingerprint."""
-    found = settle(components(links(classes)))
+def _component_table(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c_fp, root, component_id) for classes (fp, least) and links (a, b) of them: the component of every class."""
+    found = settle(components(pairs))
     rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(roots, "root").select(F.col("fp").alias("c_fp"), "root", "component_id")
@@ -212,32 +217,161 @@ def _component_table(classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id of the component) per row."""
     prints = settle(simhash(docs, id_col=id_col, text_col=text_col))
-    answer = _component_table(settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"))))
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    answer = _component_table(classes, links(classes))
     return prints.join(answer, F.col("fp") == F.col("c_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
+def shingle_sets(batch: list[bytes], n: int) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of each text's n-word shingles (fewer words: of the whole sequence), A-Z lower-cased."""
+    buf = np.frombuffer(b" ".join([*batch, b""]).lower(), np.uint8)
+    start, end = word_spans(buf)
+    h, first = word_hashes(buf, start, end), np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in batch)]))
+    return [np.unique(ngrams(h[a:b], min(n, b - a))) if b > a else np.zeros(0, np.uint64) for a, b in zip(first, first[1:], strict=False)]
 
-    Rows that share an id count as one document. Of a component without ids one row stays, of its smallest
-    fingerprint. Only the ids that go meet the texts: up to ``BROADCAST_IDS`` are broadcast, more are joined by a
-    shuffle of ids and texts."""
-    prints = settle(simhash(docs, id_col=id_col, text_col=text_col))
-    answer = settle(_component_table(settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))))
-    ids = settle(prints.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")))
-    first = answer.select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    gone = settle(ids.join(first, "doc_id", "left_anti").select(F.col("doc_id").alias("__k")))
+
+@cache
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(23)
+    top = np.iinfo(np.uint64).max
+    return rng.integers(0, top, SAMPLES * SAMPLE, np.uint64), rng.integers(0, top, SAMPLES * SAMPLE, np.uint64) | np.uint64(1)
+
+
+def sample_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """``SAMPLES`` keys of each set: the SimHash of ``SAMPLE`` shingles, each the least of the set in its own order, with
+    the three segments decoded to their nearest codewords."""
+    a, b = _mixers()
+    chosen = np.zeros((len(sets), SAMPLES * SAMPLE), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, s in enumerate(sets):
+            least = np.full(len(a), np.iinfo(np.uint64).max)
+            for at in range(0, len(s), 1024):
+                part = s[at : at + 1024]
+                mixed = (part[:, None] ^ a) * b
+                mixed ^= mixed >> np.uint64(29)
+                top = mixed.argmin(axis=0)
+                value = mixed[top, np.arange(len(a))]
+                better = value <= least
+                chosen[i, better], least[better] = part[top[better]], value[better]
+    bits = np.unpackbits(chosen.view(np.uint8).reshape(len(sets), SAMPLES, SAMPLE, 8), axis=3, bitorder="little").sum(axis=2, dtype=np.uint8) * 2 > SAMPLE
+    fp = np.packbits(bits, axis=2, bitorder="little").reshape(len(sets), SAMPLES * 8).view(np.uint64)
+    low, high, errors, _ = golay_tables()
+    keys, shift = np.repeat(np.arange(SAMPLES, dtype=np.int64)[None, :], len(sets), axis=0), 0
+    for width in SEGMENTS:
+        seg = ((fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        keys = (keys << 12) | ((seg ^ errors[low[seg & 0xFFF] ^ high[seg >> 12], 0]) >> 11)
+        shift += width
+    return keys
+
+
+def set_class(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles; the empty set has 0."""
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64)) if len(s) else 0
+
+
+def sampled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, fp (the class of documents with equal sets of shingles) and ``keys`` of each row."""
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch, fps, keys = texts(b, "text"), [], []
+            for i, j in slices([len(t) for t in batch], _SLICE):
+                sets = shingle_sets(batch[i:j], shingle)
+                fps += map(set_class, sets)
+                keys += [k if len(s) else k[:0] for s, k in zip(sets, sample_keys(sets), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
+
+
+def _candidates(members: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes from members (key, fp) of keys with two and more: all pairs of a small key, and each member
+    of a large one with its leader, drawn by a hash of key and class. Second, the large keys' rows (key, a, fp)."""
+    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("a")).where("n > 1")
+    rows = settle(members.join(size, "key"))
+    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    pairs = small.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
+    large = rows.where((F.col("n") > pair_limit) & (F.col("fp") != F.col("a"))).select("key", "a", "fp")
+    stars = large.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
+    return pairs.unionByName(stars).distinct(), large
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, pair_limit: int | None = None) -> DataFrame:
+    """Links (a, b), a < b, of classes (fp, least, keys) whose sets have a Jaccard similarity of ``similarity`` or more.
+
+    Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader;
+    those unlike the leader meet again under the pairs of their keys. All candidates are verified on their whole sets."""
+    pair_limit = pair_limit or PAIR_LIMIT
+    keyed = settle(classes.select("fp", F.explode("keys").alias("key")))
+    first, large = _candidates(keyed, pair_limit)
+    verified = settle(_verify(docs, classes, settle(first), id_col, text_col, shingle, similarity))
+    led = verified.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    rest = large.join(led, (F.least("a", "fp") == F.col("x")) & (F.greatest("a", "fp") == F.col("y")), "left_anti").select("key", "fp")
+    rest = settle(rest)
+    if not rest.limit(1).count():
+        return verified
+    own = classes.select(F.col("fp").alias("c"), "keys")
+    again = rest.join(own, F.col("fp") == F.col("c")).select("fp", "key", F.explode("keys").alias("k2")).where("key <> k2")
+    second, _ = _candidates(again.select("fp", F.xxhash64("key", "k2").alias("key")), pair_limit)
+    second = settle(second.join(verified, ["a", "b"], "left_anti"))
+    return verified.unionByName(_verify(docs, classes, second, id_col, text_col, shingle, similarity))
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs of classes that are similar. Each class's set is cut again from the document with its smallest id."""
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+    ids = settle(classes.join(wanted, "fp").select(F.col("least").alias("__k"), "fp"))
+    small = ids.count() <= BROADCAST_IDS
+    rows = docs.join(F.broadcast(ids) if small else ids, F.col(id_col).eqNullSafe(F.col("__k"))).select("fp", F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            batch, wanted = texts(b, "text"), b.column(0).to_pylist()
+            for i, j in slices([len(t) for t in batch], _SLICE):
+                found = [(fp, s.view(np.int64)) for fp, s in zip(wanted[i:j], shingle_sets(batch[i:j], shingle), strict=True) if set_class(s) == fp]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["fp", "s"])
+
+    sets = settle(rows.mapInArrow(run, "fp bigint, s array<bigint>").dropDuplicates(["fp"]))
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    met = pairs.join(side("b"), "b").join(side("a"), "a")
+    return met.where(both >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group of documents that links of a ``similarity`` (Jaccard
+    similarity of the sets of ``shingle``-word shingles) or more connect, the row with the smallest id stays.
+
+    One 64-bit fingerprint of a whole text differs in about ten bits at a similarity of 0.8, far more than short keys
+    can bridge. So candidates come from ``SAMPLES`` fingerprints of ``SAMPLE`` sampled shingles each: at 0.8 two documents
+    share all samples of a fingerprint with odds of 0.33, and none of 24 with odds of 7e-5.
+
+    Documents without words are alike. Rows that share an id and a set of shingles count once, those that share an id
+    alone are documents of their own; of equal ids the smaller class stays; null ids stand last. Only ids meet the texts: up to
+    ``BROADCAST_IDS`` are broadcast, more are joined by a shuffle."""
+    rows = settle(sampled(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys")))
+    named = classes.select("fp", "least")
+    found = similar_links(docs, classes, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    answer = settle(_component_table(named, settle(found)).join(named, F.col("c_fp") == F.col("fp")).select("fp", "root", "least"))
+    # The first class of each group: smallest id, nulls last, then smallest class.
+    first = answer.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("n"), "least", "fp")).alias("x")).select(F.col("x.least").alias("doc_id"), "x.fp")
+    kept = settle(first)
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
+    twice = settle(ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__k")))
+    gone = settle(rows.select("doc_id").join(kept.select("doc_id"), "doc_id", "left_anti").where("doc_id is not null").select(F.col("doc_id").alias("__k")).unionByName(twice).distinct())
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.where(F.col(id_col).isNotNull()).join(gone, F.col(id_col) == F.col("__k"), "left_anti")
-    if ids.where("n > 1").join(first, "doc_id", "left_semi").limit(1).count():
-        kept = kept.dropDuplicates([id_col])
-    if not prints.where("doc_id is null").limit(1).count():
-        return kept
+    single = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__k")), "left_anti")
+    if not twice.limit(1).count():
+        return single
 
     @F.pandas_udf("bigint")
-    def fp_of(s: pd.Series) -> pd.Series:
-        return pd.Series(fingerprints([(x or "").encode("utf-8", "replace") for x in s]))
+    def class_of(s: pd.Series) -> pd.Series:
+        return pd.Series([set_class(x) for t in s for x in shingle_sets([(t or "").encode("utf-8", "replace")], shingle)], dtype="int64")
 
-    alone = answer.where("component_id is null and c_fp = root").select(F.col("c_fp").alias("__fp"))
-    rest = docs.where(F.col(id_col).isNull()).withColumn("__fp", fp_of(F.col(text_col))).join(alone, "__fp", "left_semi").dropDuplicates(["__fp"])
-    return kept.unionByName(rest.select(*docs.columns))
+    again = docs.join(twice, F.col(id_col).eqNullSafe(F.col("__k")), "left_semi").withColumn("__fp", class_of(F.col(text_col)))
+    winners = kept.select(F.col("doc_id").alias("__k"), F.col("fp").alias("__f"))
+    again = again.join(winners, F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__fp") == F.col("__f")), "left_semi").dropDuplicates([id_col, "__fp"])
+    return single.unionByName(again.select(*docs.columns))

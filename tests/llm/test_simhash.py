@@ -84,10 +84,56 @@ def test_near_duplicates_odd_rows(spark, make, odd_rows):
     assert s.near_duplicates(make([])).count() == 0
 
 
-def test_first_of_groups(spark, make, odd_rows):
+def brute_groups(docs, n=5, similarity=0.8):
+    """Index of the first document of each row's group, from all pairs."""
+    sets = []
+    for t in docs:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    par = {i: i for i in range(len(docs))}
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(a & sets[j])
+            if a == sets[j] or both and both >= similarity * (len(a) + len(sets[j]) - both):
+                x, y = _root(par, i), _root(par, j)
+                par[max(x, y)] = min(x, y)
+    return [_root(par, i) for i in range(len(docs))]
+
+
+def _edited(rng, words, edits):
+    w = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(w))
+        w[at : at + rng.choice([0, 1, 1])] = [f"new{rng.random()}"]
+    return w
+
+
+def test_first_of_groups_equals_all_pairs(spark, make):
+    rng = random.Random(8)
+    docs = []
+    for g in range(25):
+        base = [f"g{g}w{i}" for i in range(rng.choice([60, 120, 300]))]
+        docs.append(base)
+        docs += [_edited(rng, base, rng.choice([0, 1, 1, 2, 3, 5, 9])) for _ in range(rng.choice([1, 2, 8]))]
+    hot = [f"hot{i}" for i in range(200)]
+    docs += [_edited(rng, hot, rng.choice([1, 1, 2])) for _ in range(150)]
+    docs += [[f"only{i}x{j}" for j in range(40)] for i in range(20)] + [["a", "b"], ["a", "b"], []]
+    texts = [" ".join(w) for w in docs]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    want = {i for i, r in enumerate(brute_groups(texts)) if i == r}
+    for limit in (s.PAIR_LIMIT, 3):
+        s.PAIR_LIMIT, keep = limit, s.PAIR_LIMIT
+        kept = {r["doc_id"] for r in s.first_of_groups(make(list(enumerate(texts)))).collect()}
+        s.PAIR_LIMIT = keep
+        assert kept == want
+
+
+def test_first_of_groups_odd_rows(spark, make, odd_rows):
     kept = s.first_of_groups(make(odd_rows)).collect()
-    prints = {i: brute_print(t) for i, t, *_ in odd_rows if i is not None}
-    root = _brute_components(set(prints.values()))
-    assert sorted(r["doc_id"] for r in kept) == sorted(min(i for i in prints if root[prints[i]] == g) for g in set(root.values()))
-    alone = s.first_of_groups(make([(None, "a b c d"), (None, "a b c d"), (None, "x y z w q"), (7, "x y z w q")])).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in alone) == [(0, "a b c d"), (7, "x y z w q")]
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 5, 6]
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "x y z w q"), (7, "x y z w q"), (8, "one text of its own here"), (8, "and one more with this id"), (8, "one text of its own here")]
+    alone = s.first_of_groups(make(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in alone) == [(0, "a b c d"), (7, "x y z w q"), (8, "and one more with this id"), (8, "one text of its own here")]
+    assert s.first_of_groups(make([])).count() == 0
