@@ -46,6 +46,8 @@ PAIR_LIMIT = 24
 BROADCAST_IDS = 2_000_000
 #: Fingerprints of samples for a similarity of whole texts, and shingles a sample.
 SAMPLES, SAMPLE = 24, 5
+#: More leaders of a large key that classes unlike its first leader are compared with.
+LEADERS = 8
 _SLICE = 1 << 20
 #: Widths of the three segments and the generator polynomial of the Golay code (fixed values).
 SEGMENTS = (22, 21, 21)
@@ -288,33 +290,40 @@ def sampled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Dat
 
 def _candidates(members: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of classes from members (key, fp) of keys with two and more: all pairs of a small key, and each member
-    of a large one with its leader, drawn by a hash of key and class. Second, the large keys' rows (key, a, fp)."""
-    size = members.groupBy("key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("key", "fp")).alias("a")).where("n > 1")
+    of a large one with its leader. The first of the key's classes by a hash leads, so that keys which share members
+    share the leader and the pairs. Second, the large keys' rows (key, a, fp, others) with more leaders by other
+    hashes."""
+    first = lambda *x: F.min_by("fp", F.xxhash64(*x, "fp"))
+    size = members.groupBy("key").agg(F.count("*").alias("n"), first().alias("a"), F.array(*(first(F.lit(i)) for i in range(LEADERS))).alias("others")).where("n > 1")
     rows = settle(members.join(size, "key"))
     small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = small.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
-    large = rows.where((F.col("n") > pair_limit) & (F.col("fp") != F.col("a"))).select("key", "a", "fp")
-    stars = large.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
-    return pairs.unionByName(stars).distinct(), large
+    large = rows.where((F.col("n") > pair_limit) & (F.col("fp") != F.col("a"))).select("key", "a", "fp", "others")
+    return pairs.unionByName(_ordered(large.select("a", "fp"))).distinct(), large
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, fp) as (a, b), a < b."""
+    return pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).where("a < b")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, pair_limit: int | None = None) -> DataFrame:
     """Links (a, b), a < b, of classes (fp, least, keys) whose sets have a Jaccard similarity of ``similarity`` or more.
 
-    Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader;
-    those unlike the leader meet again under the pairs of their keys. All candidates are verified on their whole sets."""
+    Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader.
+    Those unlike it are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their
+    keys. All candidates are verified on their whole sets."""
     pair_limit = pair_limit or PAIR_LIMIT
-    keyed = settle(classes.select("fp", F.explode("keys").alias("key")))
-    first, large = _candidates(keyed, pair_limit)
+    first, large = _candidates(settle(classes.select("fp", F.explode("keys").alias("key"))), pair_limit)
     verified = settle(_verify(docs, classes, settle(first), id_col, text_col, shingle, similarity))
     led = verified.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    rest = large.join(led, (F.least("a", "fp") == F.col("x")) & (F.greatest("a", "fp") == F.col("y")), "left_anti").select("key", "fp")
-    rest = settle(rest)
-    if not rest.limit(1).count():
+    rest = settle(large.join(led, (F.least("a", "fp") == F.col("x")) & (F.greatest("a", "fp") == F.col("y")), "left_anti").select("key", "fp", "others"))
+    if rest.isEmpty():
         return verified
     own = classes.select(F.col("fp").alias("c"), "keys")
     again = rest.join(own, F.col("fp") == F.col("c")).select("fp", "key", F.explode("keys").alias("k2")).where("key <> k2")
     second, _ = _candidates(again.select("fp", F.xxhash64("key", "k2").alias("key")), pair_limit)
+    second = second.unionByName(_ordered(rest.select(F.explode("others").alias("a"), "fp"))).distinct()
     second = settle(second.join(verified, ["a", "b"], "left_anti"))
     return verified.unionByName(_verify(docs, classes, second, id_col, text_col, shingle, similarity))
 
