@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("spec")
     run.add_argument("--store", required=True)
     run.add_argument("--out", required=True)
-    run.add_argument("--readout", help="primary readout of a robustness screen")
+    run.add_argument("--w-syn", type=float, nargs="*", help="limits in mV that w_syn: auto takes")
     cl = sub.add_parser("classify")
     cl.add_argument("--query", required=True)
     cl.add_argument("--atlas", required=True)
@@ -69,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "run":
         spec, store = experiments.load_spec(a.spec), Store(spark, a.store)
         if spec.robustness is not None:
-            found = experiments.run_robust_screen(spec, store.neurons(), store.edges(), a.out, a.readout or next(iter(spec.readouts)))
+            found = experiments.run_robust_screen(spec, store.neurons(), store.edges(), a.out, auto_w_syn=a.w_syn)
         else:
             found = (experiments.run_sweep if spec.sweep else experiments.run_experiment)(spec, store.neurons(), store.edges(), a.out)
         print(render_tables(spec.describe(), {k: v for k, v in found.items() if k not in ("counts", "readout_rates")}))

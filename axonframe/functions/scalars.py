@@ -113,8 +113,9 @@ def hash_uniform(*key: Column) -> Column:
 
 
 def verdict(p: Column, statistic: Column, *, alpha: float = 0.05, low: float = 0.045, band: float = 0.096) -> Column:
-    """Three grades of a comparison: within the usual range, beyond it, or not distinguishable."""
-    return F.when(p >= alpha, "not distinguishable").when(statistic <= low + band, "differs within the usual range").otherwise("differs")
+    """Three grades of a comparison: not distinguishable (also if the statistic is not positive), within the usual
+    range between brains, or beyond it."""
+    return F.when((p >= alpha) | (statistic <= 0), "not distinguishable").when(statistic <= low + band, "differs within the usual range").otherwise("differs")
 
 
 def variant_label(reference: Column, difference: Column, low: Column, high: Column) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import glob_regex, published_name
 
 
-def resolve_selection(neurons: DataFrame, *, ids: Sequence[int] | None = None, globs: Mapping[str, str] | None = None) -> list[int]:
-    """Sorted ids of a selection: ids that must exist, or neurons that match all globs (none given: all)."""
+def selected(neurons: DataFrame, *, ids: Sequence[int] | None = None, globs: Mapping[str, str] | None = None) -> DataFrame:
+    """Neurons of a selection, as a frame: those of an id list, which must exist, or those that match all globs."""
     from .graph import id_frame
 
     if ids is not None:
@@ -19,14 +19,21 @@ def resolve_selection(neurons: DataFrame, *, ids: Sequence[int] | None = None, g
         missing = [r[0] for r in asked.join(neurons.select("neuron_id"), "neuron_id", "left_anti").orderBy("neuron_id").limit(10).collect()]
         if missing:
             raise KeyError(f"unknown ids: {missing}")
-        return sorted({int(i) for i in ids})
+        return neurons.join(asked, "neuron_id", "left_semi")
     rows = neurons
     for column, pattern in (globs or {}).items():
         rows = rows.where(F.coalesce(F.col(column).cast("string").rlike(glob_regex(pattern)), F.lit(False)))
-    found = [r[0] for r in rows.select("neuron_id").distinct().orderBy("neuron_id").collect()]
-    if not found:
+    return rows
+
+
+def resolve_selection(neurons: DataFrame, *, ids: Sequence[int] | None = None, globs: Mapping[str, str] | None = None, limit: int = 5_000_000) -> list[int]:
+    """Sorted ids of a selection (at most ``limit``; larger ones stay frames, see ``selected``); none is an error."""
+    rows = selected(neurons, ids=ids, globs=globs).select("neuron_id").distinct().orderBy("neuron_id").limit(limit + 1).collect()
+    if not rows:
         raise ValueError(f"the selection {dict(globs or {})} is empty")
-    return found
+    if len(rows) > limit:
+        raise ValueError(f"the selection has more than {limit} neurons; use selected")
+    return [r[0] for r in rows]
 
 
 def lines_for_type(lines: DataFrame, pattern: str, *, min_quality: float | None = None) -> DataFrame:
@@ -54,7 +61,10 @@ def attach_lines(hits: DataFrame, lines: DataFrame, *, max_lines: int = 5) -> Da
     kinds = lines.select("line", "quality", (F.size("cell_types") == 1).alias("specific"), F.explode("cell_types").alias("t"))
     labels = hits.select("label").distinct()
     exact = labels.join(kinds, F.col("label") == F.col("t")).select("label", "line", "quality", "specific", F.lit("exact").alias("kind"))
-    loose = labels.join(F.broadcast(kinds) if kinds.count() <= 100_000 else kinds, F.startswith(F.col("t"), F.col("label")) & (F.col("t") != F.col("label"))).select("label", "line", "quality", "specific", F.lit("glob").alias("kind"))
+    # Types that extend a label have one of the labels' lengths as a prefix: an equi-join on the prefix.
+    lengths = [r["n"] for r in labels.where("label is not null").select(F.length("label").alias("n")).distinct().collect()]
+    cut = kinds.withColumn("p", F.explode(F.transform(F.lit(lengths).cast("array<int>"), lambda n: F.when(n < F.length("t"), F.substring(F.col("t"), F.lit(1), n))))) if lengths else kinds.withColumn("p", F.lit(None).cast("string"))
+    loose = labels.join(cut.where("p is not null"), F.col("label") == F.col("p")).select("label", "line", "quality", "specific", F.lit("glob").alias("kind"))
     loose = loose.join(exact.select("label").distinct(), "label", "left_anti")
     order = F.struct(F.col("quality").isNull().alias("q0"), "quality", (~F.col("specific")).alias("s"), "line")
     best = exact.unionByName(loose).dropDuplicates(["label", "line"]).groupBy("label").agg(F.slice(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["line"]), 1, max_lines).alias("lines"), F.first("kind").alias("line_match"))

@@ -16,38 +16,77 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, hash_uniform
-from .compare import Atlas, LogisticModel, fit_logistic, partner_counts, partner_labels, truth_labels
+from .compare import MIN_YARDSTICK, Atlas, LogisticModel, fit_logistic, partner_counts, partner_labels, truth_labels
 from .graph import Graph
+from .paths import settle
 
 FEATURES = ("s1", "margin", "log_mass")
 
 
-def run_benchmark(query: Graph, atlas: Atlas, *, query_ref: str, truth_column: str = "fafb_783_cell_type", max_types: int = 2000, seed: int = 0, protocols: Sequence[str] = ("closed", "open")) -> DataFrame:
-    """Records (query, protocol, type, neuron_id, s1, margin, log_mass, top, right) of at most ``max_types`` types.
+def masked_sums(atlas: Atlas, truths: DataFrame) -> DataFrame:
+    """(truth, group, dir, label, value) of every group of which a member touches the label ``truth``: the sums of its
+    members' profiles with that label masked, each profile normalised anew."""
+    groups = atlas.members.withColumnRenamed("label", "group")
+    prof = atlas.profiles.join(groups, "neuron_id")
+    share = prof.join(truths.select(F.col("truth").alias("label")), "label", "left_semi").select("neuron_id", "dir", F.col("label").alias("truth"), F.col("value").alias("f"))
+    # A profile half without a share f grows by f / (1 - f) of itself; without anything left it goes.
+    grown = prof.join(share, ["neuron_id", "dir"]).where(F.col("label") != F.col("truth"))
+    delta = grown.groupBy("truth", "group", "dir", "label").agg(F.sum(F.col("value") * F.col("f") / (1 - F.col("f"))).alias("delta"))
+    touched = share.join(groups, "neuron_id").select("truth", "group").distinct()
+    rows = touched.join(atlas.sums, "group").where(F.col("label") != F.col("truth")).join(delta, ["truth", "group", "dir", "label"], "left")
+    return rows.select("truth", "group", "dir", "label", (F.col("value") + F.coalesce("delta", F.lit(0.0))).alias("value"))
 
-    A type's own label is masked from its neurons' partners before they are normalised; the open protocol also
-    takes the type's centroid away. The type is a column, so all types are scored in the same joins."""
+
+def run_benchmark(query: Graph, atlas: Atlas, *, query_ref: str, truth_column: str = "fafb_783_cell_type", max_types: int = 2000, seed: int = 0, protocols: Sequence[str] = ("closed", "open"), top_k: int = 5) -> DataFrame:
+    """Records (query, protocol, level, type, neuron_id, top1, top_labels, s1, a1, margin, correct, top3, empty,
+    log_mass) of at most ``max_types`` types, per neuron and (neuron_id -1) per type's mean profile.
+
+    A type's own label is masked on both sides before profiles are normalised; the open protocol also takes the type's
+    centroid away. Neurons without any other named partner are records too (``empty``). The type is a column, so all types
+    are scored in the same joins."""
     truth = truth_labels(query.nodes, truth_column, atlas.members)
     types = truth.select("truth").distinct().withColumn("_u", hash_uniform(F.lit(seed), F.col("truth"))).orderBy("_u", "truth").limit(max_types).select("truth")
-    members = truth.join(F.broadcast(types), "truth", "left_semi")
+    types = settle(types)
+    members = settle(truth.join(F.broadcast(types), "truth", "left_semi").select("neuron_id", "truth"))
     counts = partner_counts(query, partner_labels(query.nodes, atlas.params["vocabulary"])).join(members, "neuron_id").where(F.col("label").isNotNull() & (F.col("label") != F.col("truth")))
+    if atlas.params["direction"] != "both":
+        counts = counts.where(F.col("dir") == atlas.params["direction"])
+    counts = settle(counts.where(~F.col("label").isin(list(atlas.mask))) if atlas.mask else counts)
     total = F.sum("value").over(W.partitionBy("neuron_id", "dir"))
-    prof = counts.withColumn("value", F.col("value") / total)
+    own = counts.select("neuron_id", "truth", "dir", "label", (F.col("value") / total).alias("value"))
     mass = counts.groupBy("neuron_id").agg(F.log1p(F.sum("value")).alias("log_mass"))
-    sums = atlas.sums
-    own = prof.groupBy("neuron_id").agg(F.sum(F.col("value") * F.col("value")).alias("qq"))
-    # Norms of centroids without the masked partner: the full norm less that partner's share.
-    norm = sums.groupBy("group").agg(F.sum(F.col("value") * F.col("value")).alias("gg"))
-    hidden = sums.groupBy("group", F.col("label").alias("truth")).agg(F.sum(F.col("value") * F.col("value")).alias("hh"))
-    dots = prof.join(sums.withColumnRenamed("value", "g"), ["dir", "label"]).groupBy("neuron_id", "truth", "group").agg(F.sum(F.col("value") * F.col("g")).alias("dot"))
-    rest = F.greatest(F.col("gg") - F.coalesce("hh", F.lit(0.0)), F.lit(0.0))
-    s = dots.join(own, "neuron_id").join(norm, "group").join(hidden, ["group", "truth"], "left").select("neuron_id", "truth", "group", cosine(F.col("dot"), F.col("qq"), rest).alias("s"))
-    out = None
+    full = own.select("neuron_id", "truth").distinct()
+    size = full.groupBy("truth").agg(F.count("*").alias("n"))
+    mean = own.groupBy("truth", "dir", "label").agg(F.sum("value").alias("s")).join(size, "truth").select(F.lit(-1).cast("long").alias("neuron_id"), "truth", "dir", "label", (F.col("s") / F.col("n")).alias("value"))
+    prof = settle(own.unionByName(mean))
+    queries = members.unionByName(types.select(F.lit(-1).cast("long").alias("neuron_id"), "truth"))
+    some = full.unionByName(full.select(F.lit(-1).cast("long").alias("neuron_id"), "truth").distinct()).withColumn("_some", F.lit(True))
+    queries = settle(queries.join(some, ["neuron_id", "truth"], "left").select("neuron_id", "truth", F.col("_some").isNull().alias("empty")))
+    masked, key = settle(masked_sums(atlas, types)), ["neuron_id", "truth"]
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    dot = F.sum(F.col("value") * F.col("g")).alias("dot")
+    touched = masked.select("truth", "group").distinct().withColumn("_t", F.lit(True))
+    plain = prof.join(atlas.sums.withColumnRenamed("value", "g"), ["dir", "label"]).groupBy(*key, "group").agg(dot).join(touched, ["truth", "group"], "left").where("_t is null").drop("_t")
+    other = prof.join(masked.withColumnRenamed("value", "g"), ["truth", "dir", "label"]).groupBy(*key, "group").agg(dot)
+    plain = plain.join(atlas.sums.groupBy("group").agg(square("value").alias("gg")), "group")
+    other = other.join(masked.groupBy("truth", "group").agg(square("value").alias("gg")), ["truth", "group"])
+    s = plain.unionByName(other, allowMissingColumns=True).join(prof.groupBy(*key).agg(square("value").alias("qq")), key)
+    s = settle(s.select(*key, "group", cosine(F.col("dot"), F.col("qq"), F.col("gg")).alias("s")))
+    labels = [r["label"] for r in atlas.members.select("label").distinct().orderBy("label").limit(2 * top_k + 1).collect()]
+    yards, out = F.broadcast(atlas.yardsticks.select(F.col("group").alias("top1"), "neuron_yard", "group_yard")), None
+    filler = queries.select(*key, F.explode(F.lit(labels)).alias("group")).join(s.select(*key, "group"), [*key, "group"], "left_anti").withColumn("s", F.lit(0.0))
     for protocol in protocols:
-        rows = s if protocol == "closed" else s.where(F.col("group") != F.col("truth"))
-        order = W.partitionBy("neuron_id").orderBy(F.desc("s"), "group")
-        r = rows.withColumn("k", F.row_number().over(order)).where("k <= 2").groupBy("neuron_id", "truth").agg(F.max(F.when(F.col("k") == 1, F.col("s"))).alias("s1"), F.max(F.when(F.col("k") == 2, F.col("s"))).alias("s2"), F.max(F.when(F.col("k") == 1, F.col("group"))).alias("top"))
-        r = r.join(mass, "neuron_id").select(F.lit(query_ref).alias("query"), F.lit(protocol).alias("protocol"), F.col("truth").alias("type"), "neuron_id", "s1", (F.col("s1") - F.coalesce("s2", F.lit(0.0))).alias("margin"), "log_mass", "top", (F.col("top") == F.col("truth")).alias("right"))
+        rows = s.unionByName(filler)
+        rows = rows if protocol == "closed" else rows.where(F.col("group") != F.col("truth"))
+        order = W.partitionBy(*key).orderBy(F.desc(F.round("s", 10)), "group")
+        best = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top_k).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "group", "s"))).alias("r"))
+        r = best.join(queries, key).join(mass, "neuron_id", "left")
+        top = F.transform("r", lambda x: x["group"])
+        s1, s2 = F.col("r")[0]["s"], F.coalesce(F.get("r", F.lit(1))["s"], F.lit(0.0))
+        level = F.when(F.col("neuron_id") < 0, "group").otherwise("neuron")
+        r = r.select(F.lit(query_ref).alias("query"), F.lit(protocol).alias("protocol"), level.alias("level"), F.col("truth").alias("type"), "neuron_id", top[0].alias("top1"), top.alias("top_labels"), s1.alias("s1"), (s1 - s2).alias("margin"), "empty", F.coalesce("log_mass", F.lit(0.0)).alias("log_mass"))
+        yard = F.when(F.col("level") == "group", F.col("group_yard")).otherwise(F.col("neuron_yard"))
+        r = r.join(yards, "top1").select("query", "protocol", "level", "type", "neuron_id", "top1", "top_labels", "s1", (F.col("s1") / F.greatest(yard, F.lit(MIN_YARDSTICK))).alias("a1"), "margin", (F.col("top1") == F.col("type")).alias("correct"), F.array_contains(F.slice("top_labels", 1, 3), F.col("type")).alias("top3"), "empty", "log_mass")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -100,13 +139,14 @@ def expected_error(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
 def fit_calibration(records: DataFrame, atlas: Atlas, *, reference: str, n_folds: int = 5, seed: int = 0, accept: float = 0.8, max_false_accept: float = 0.10, max_rows: int = 1_000_000) -> Calibration:
     """Acceptance model by type-level folds: out-of-fold calibration error and accuracy, thresholds from open and
     closed records. Records are a benchmark's summary rows; their number is checked before they are read."""
+    records = records.where("level = 'neuron'")
     if records.count() > max_rows:
         raise ValueError(f"more than {max_rows} records; sample types in run_benchmark")
     d = records.orderBy("query", "protocol", "type", "neuron_id").toPandas()
     closed, opened = d[d.protocol == "closed"], d[d.protocol == "open"]
     fold = {t: k % n_folds for k, t in enumerate(np.random.default_rng(seed).permutation(sorted(closed.type.unique())))}
     f = closed.type.map(fold).to_numpy()
-    x, y = closed[list(FEATURES)].to_numpy(float), closed.right.to_numpy(float)
+    x, y = closed[list(FEATURES)].to_numpy(float), closed.correct.to_numpy(float)
     out = np.full(len(closed), np.nan)
     for k in range(n_folds):
         train = f != k

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, params_hash
+from ..functions.scalars import cosine, params_hash, verdict
 from .graph import Graph
+from .paths import settle
 
 UNMATCHED = "__unmatched__"
 MIN_YARDSTICK = 0.05
@@ -116,78 +118,139 @@ class TypeComparison:
         sd = float(np.std(self.nulls, ddof=1)) if len(self.nulls) > 1 else 0.0
         return (self.statistic - float(np.mean(self.nulls))) / sd if sd else 0.0
 
+    def verdict(self, spark: SparkSession, alpha: float = 0.05) -> str:
+        """The grade of ``functions.scalars.verdict``."""
+        return spark.range(1).select(verdict(F.lit(self.p), F.lit(self.statistic), alpha=alpha).alias("v")).first()["v"]
+
+    def summary(self) -> dict[str, float]:
+        return {"statistic": self.statistic, "between": self.between, "within": self.within, "z": self.z, "p": self.p, "unmatched_a": self.unmatched[0], "unmatched_b": self.unmatched[1]}
+
+
+#: Cells of the matrix of one type's neurons by partner labels up to which it is broadcast for permutations.
+MAX_CELLS = 20_000_000
+
+
+def type_rows(graph: Graph, type_label: str, *, direction: str = "out", labels: DataFrame | None = None) -> DataFrame:
+    """(neuron_id, side, label, value, unmatched) of the left and right neurons of a type: shares of the weight to
+    named partners, and the share of all weight that goes to unnamed ones. A neuron without named partners has one row
+    with a null label."""
+    members = graph.nodes.where((F.col("cell_type") == type_label) & F.col("side").isin("left", "right")).select("neuron_id", "side")
+    counts = partner_counts(graph, labels if labels is not None else partner_labels(graph.nodes)).where(F.col("dir") == direction)
+    counts = counts.join(members.select("neuron_id"), "neuron_id", "left_semi")
+    per = W.partitionBy("neuron_id")
+    named = F.sum(F.when(F.col("label").isNotNull(), F.col("value"))).over(per)
+    rows = counts.withColumn("unmatched", 1 - F.coalesce(named, F.lit(0)) / F.sum("value").over(per)).withColumn("value", F.col("value") / named)
+    own = rows.where("label is not null").select("neuron_id", "label", "value")
+    lost = rows.groupBy("neuron_id").agg(F.max("unmatched").alias("unmatched"))
+    return members.join(own, "neuron_id", "left").join(lost, "neuron_id", "left").select("neuron_id", "side", "label", "value", F.coalesce("unmatched", F.lit(0.0)).alias("unmatched"))
+
+
+def _cosine_of(u: DataFrame, v: DataFrame, on: list[str]) -> DataFrame:
+    """(*on, c): cosine of two tables of means (*on, label, value), absent labels being 0."""
+    both = u.withColumnRenamed("value", "u").join(v.withColumnRenamed("value", "v"), [*on, "label"], "full")
+    x, y = F.coalesce("u", F.lit(0.0)), F.coalesce("v", F.lit(0.0))
+    return both.groupBy(*on).agg(cosine(F.sum(x * y), F.sum(x * x), F.sum(y * y)).alias("c"))
+
+
+def type_statistic(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (statistic, between, within) from the ``type_rows`` of two datasets: 1 - cosine of their mean shares
+    over the union of labels, less the mean 1 - cosine of sides within each."""
+    rows = a.withColumn("ds", F.lit("a")).unionByName(b.withColumn("ds", F.lit("b")))
+
+    def means(*by: str) -> DataFrame:
+        size = rows.groupBy(*by).agg(F.countDistinct("neuron_id").alias("n"))
+        return rows.where("label is not null").groupBy(*by, "label").agg(F.sum("value").alias("s")).join(size, list(by)).select(*by, "label", (F.col("s") / F.col("n")).alias("value"))
+
+    of = lambda df, c, v: df.where(F.col(c) == v).drop(c)
+    whole, sided = means("ds"), means("ds", "side")
+    between = _cosine_of(of(whole, "ds", "a"), of(whole, "ds", "b"), []).select((1 - F.col("c")).alias("between"))
+    have = rows.groupBy("ds").agg(F.countDistinct("side").alias("sides")).where("sides = 2").select("ds")
+    pairs = have.join(_cosine_of(of(sided, "side", "left"), of(sided, "side", "right"), ["ds"]), "ds", "left")
+    within = pairs.agg(F.coalesce(F.avg(1 - F.coalesce("c", F.lit(0.0))), F.lit(0.0)).alias("within"))
+    return between.join(F.broadcast(within)).select((F.col("between") - F.col("within")).alias("statistic"), "between", "within")
+
 
 def _distance(u: np.ndarray, v: np.ndarray) -> float:
     n = float(np.linalg.norm(u) * np.linalg.norm(v))
     return 1.0 - (float(u @ v) / n if n else 0.0)
 
 
-def compare_type(a: Graph, b: Graph, type_a: str, *, type_b: str | None = None, direction: str = "out", n_permutations: int = 1000, seed: int = 0) -> TypeComparison:
-    """Compare the mean partner profiles of a type in two datasets: 1 - cosine between the datasets minus the
-    mean 1 - cosine between sides within each; the null permutes the dataset within sides.
-
-    Profiles are made by Spark; the matrix of one type's neurons by partner labels is what reaches the driver."""
-    rows, loss = [], []
-    for which, (g, t) in enumerate(((a, type_a), (b, type_b or type_a))):
-        members = g.nodes.where((F.col("cell_type") == t) & F.col("side").isin("left", "right")).select("neuron_id", "side")
-        counts = partner_counts(g, partner_labels(g.nodes)).where(F.col("dir") == direction).join(members, "neuron_id")
-        got = counts.collect()
-        total = sum(r["value"] for r in got)
-        loss.append(sum(r["value"] for r in got if r["label"] is None) / total if total else 0.0)
-        rows += [(which, r["side"], r["neuron_id"], r["label"], r["value"]) for r in got if r["label"] is not None]
-    labels = [{x[3] for x in rows if x[0] == k} for k in (0, 1)]
-    vocabulary = sorted(labels[0] & labels[1]) or sorted(labels[0] | labels[1])
-    neurons = sorted({x[:3] for x in rows})
-    if {x[0] for x in neurons} != {0, 1}:
-        raise ValueError("the type needs neurons with partners in both datasets")
-    at, col = {x: i for i, x in enumerate(neurons)}, {x: i for i, x in enumerate(vocabulary)}
-    m = np.zeros((len(neurons), len(vocabulary)))
-    for which, side, i, label, value in rows:
-        if label in col:
-            m[at[which, side, i], col[label]] += value
-    s = m.sum(axis=1, keepdims=True)
-    m = np.divide(m, s, out=np.zeros_like(m), where=s > 0)
-    data, side = np.array([x[0] for x in neurons]), np.array([x[1] for x in neurons])
-
-    def measure(d: np.ndarray) -> tuple[float, float]:
-        between = _distance(m[d == 0].mean(axis=0), m[d == 1].mean(axis=0))
-        within = [_distance(m[(d == k) & (side == "left")].mean(axis=0), m[(d == k) & (side == "right")].mean(axis=0)) for k in (0, 1) if ((d == k) & (side == "left")).any() and ((d == k) & (side == "right")).any()]
-        return between, float(np.mean(within)) if within else 0.0
-
-    between, within = measure(data)
-    rng, nulls = np.random.default_rng(seed), []
-    for _ in range(n_permutations):
-        d = data.copy()
-        for x in ("left", "right"):
-            d[side == x] = rng.permutation(d[side == x])
-        if d.min() == d.max():
-            continue
-        u, v = measure(d)
-        nulls.append(u - v)
+def _measure(m: np.ndarray, data: np.ndarray, left: np.ndarray) -> tuple[float, float]:
+    mean = lambda rows: m[rows].mean(axis=0)
+    sides = [(data == k) & left for k in (0, 1)], [(data == k) & ~left for k in (0, 1)]
+    within = [_distance(mean(x), mean(y)) for x, y in zip(*sides, strict=True) if x.any() and y.any()]
+    return _distance(mean(data == 0), mean(data == 1)), float(np.mean(within)) if within else 0.0
+
+
+def compare_type(a: Graph, b: Graph, type_a: str, *, type_b: str | None = None, direction: str = "out", n_permutations: int = 1000, seed: int = 0, labels: tuple[DataFrame, DataFrame] | None = None) -> TypeComparison:
+    """Compare the mean partner shares of a type in two datasets over the union of partner labels (see
+    ``type_statistic``); the null permutes the dataset within sides.
+
+    The rows of one type are what reaches the driver: neurons by labels, at most ``MAX_CELLS``. Permutations are dealt
+    over tasks, each seeded by its number."""
+    names = labels or (partner_labels(a.nodes), partner_labels(b.nodes))
+    tables = [type_rows(g, t, direction=direction, labels=n).withColumn("which", F.lit(k)) for k, (g, t, n) in enumerate(zip((a, b), (type_a, type_b or type_a), names, strict=True))]
+    both = tables[0].unionByName(tables[1]).persist()
+    size = both.agg(F.countDistinct("which", "neuron_id").alias("n"), F.countDistinct("label").alias("k"), F.countDistinct("which").alias("w")).first()
+    if size["w"] < 2:
+        raise ValueError("the type needs left or right neurons in both datasets")
+    if size["n"] * max(1, size["k"]) > MAX_CELLS:
+        raise ValueError(f"{size['n']} neurons by {size['k']} labels are more than {MAX_CELLS} cells; use type_statistic")
+    rows = both.toPandas()
+    both.unpersist()
+    neurons = rows.drop_duplicates(["which", "neuron_id"]).sort_values(["which", "neuron_id"])
+    vocabulary = sorted(rows["label"].dropna().unique())
+    at = {x: i for i, x in enumerate(zip(neurons["which"], neurons["neuron_id"], strict=True))}
+    col, m = {x: i for i, x in enumerate(vocabulary)}, np.zeros((len(neurons), len(vocabulary)))
+    for r in rows.dropna(subset=["label"]).itertuples():
+        m[at[r.which, r.neuron_id], col[r.label]] = r.value
+    data, left = neurons["which"].to_numpy(), (neurons["side"] == "left").to_numpy()
+    between, within = _measure(m, data, left)
+    sent = a.spark.sparkContext.broadcast((m, data, left))
+
+    def permute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, data, left = sent.value
+        for f in frames:
+            out = []
+            for k in f["id"]:
+                rng, d = np.random.default_rng([seed, int(k)]), data.copy()
+                for x in (left, ~left):
+                    d[x] = rng.permutation(d[x])
+                u, v = _measure(m, d, left)
+                out.append(u - v)
+            yield pd.DataFrame({"id": f["id"], "x": out})
+
+    tasks = a.spark.sparkContext.defaultParallelism
+    nulls = [r["x"] for r in a.spark.range(0, n_permutations, 1, min(tasks, max(1, n_permutations))).mapInPandas(permute, "id long, x double").orderBy("id").collect()]
     means = [m[data == k].mean(axis=0) for k in (0, 1)]
     diffs = sorted(((x, float(means[0][i]), float(means[1][i])) for x, i in col.items()), key=lambda t: (-abs(t[1] - t[2]), t[0]))
+    loss = [float(neurons.loc[neurons["which"] == k, "unmatched"].mean()) for k in (0, 1)]
     caveats = [f"{x:.0%} of the weight is to unmatched partners" for x in loss if x > 0.05] + ["two neurons or fewer in a dataset"] * int(min((data == 0).sum(), (data == 1).sum()) <= 2)
     return TypeComparison(between - within, between, within, tuple(nulls), tuple(diffs), (loss[0], loss[1]), tuple(caveats))
 
 
 @dataclass(frozen=True)
 class Atlas:
-    """Labels with members (neuron_id, label), profile sums (label, dir, partner, value), yardsticks and mask."""
+    """Labels with members (neuron_id, label), member counts and profiles, centroid ``sums`` (group, dir, label, value),
+    yardsticks and the labels that are masked as partners. Profiles and sums are settled once."""
 
     members: DataFrame
+    counts: DataFrame
     profiles: DataFrame
+    sums: DataFrame
     yardsticks: DataFrame
     params: dict
-
-    @property
-    def sums(self) -> DataFrame:
-        return self.profiles.join(self.members.withColumnRenamed("label", "group"), "neuron_id").groupBy("group", "dir", "label").agg(F.sum("value").alias("value"))
+    mask: tuple[str, ...] = ()
 
     @property
     def hash(self) -> str:
         return params_hash(self.params)
 
 
+def _sums(prof: DataFrame, members: DataFrame) -> DataFrame:
+    return prof.join(members.withColumnRenamed("label", "group"), "neuron_id").groupBy("group", "dir", "label").agg(F.sum("value").alias("value"))
+
+
 def yardsticks(prof: DataFrame, members: DataFrame, sides: DataFrame | None = None) -> DataFrame:
     """(group, neuron_yard, group_yard, fallback): median leave-one-out cosine of a label's neurons to the sum of
     the others, by the closed form, and cosine of the left to the right sum; missing ones take the median of all
@@ -219,20 +282,29 @@ def build_atlas(graph: Graph, *, groups: DataFrame | None = None, vocabulary: st
         raise ValueError("groups overlap")
     if not members.limit(1).count():
         raise ValueError("no labelled neurons")
-    prof = profiles(partner_counts(graph, partner_labels(graph.nodes, vocabulary)), direction=direction, mask=mask)
+    counts = partner_counts(graph, partner_labels(graph.nodes, vocabulary)).join(members.select("neuron_id"), "neuron_id", "left_semi")
+    counts = settle(counts.where(F.col("dir") == direction) if direction != "both" else counts)
+    prof = settle(profiles(counts, mask=mask))
     params = {"vocabulary": vocabulary, "direction": direction, "mask": sorted(mask), "min_weight": graph.provenance.get("min_weight")}
-    return Atlas(members, prof, yardsticks(prof, members, graph.nodes if "side" in graph.nodes.columns else None), params)
+    return Atlas(members, counts, prof, settle(_sums(prof, members)), settle(yardsticks(prof, members, graph.nodes if "side" in graph.nodes.columns else None)), params, tuple(sorted(mask)))
 
 
-def masked_atlas(graph: Graph, atlas: Atlas, mask: Sequence[str], drop: Sequence[str] = ()) -> Atlas:
-    """Profiles recomputed without the masked labels and without dropped groups; yardsticks stay."""
-    prof = profiles(partner_counts(graph, partner_labels(graph.nodes, atlas.params["vocabulary"])), direction=atlas.params["direction"], mask=mask)
+def masked_atlas(atlas: Atlas, mask: Sequence[str] = (), drop: Sequence[str] = ()) -> Atlas:
+    """The atlas with more partner labels masked (those masked before stay so) and without dropped groups. Profiles
+    that touch a newly masked label are made anew; yardsticks stay those of the unmasked atlas."""
+    full, new = tuple(sorted({*atlas.mask, *mask})), sorted(set(mask) - set(atlas.mask))
     members = atlas.members.where(~F.col("label").isin(list(drop))) if drop else atlas.members
-    return replace(atlas, profiles=prof, members=members, params={**atlas.params, "mask": sorted(mask)})
+    if not new:
+        sums = atlas.sums.where(~F.col("group").isin(list(drop))) if drop else atlas.sums
+        return replace(atlas, members=members, sums=sums, mask=full)
+    touched = touching(atlas.counts, new)
+    again = profiles(atlas.counts.join(touched, "neuron_id", "left_semi"), mask=full)
+    prof = settle(atlas.profiles.join(touched, "neuron_id", "left_anti").unionByName(again.select(atlas.profiles.columns)))
+    return replace(atlas, members=members, profiles=prof, sums=settle(_sums(prof, members)), mask=full)
 
 
 def score(atlas: Atlas, prof: DataFrame, *, level: str = "neuron", top_k: int = 5) -> DataFrame:
-    """(neuron_id, rank, group, s, a): the ``top_k`` labels by cosine to their sums, ties by label; labels at
+    """(neuron_id, rank, group, s, a): the ``top_k`` labels by cosine to their sums, ties (to ten digits) by label; labels at
     cosine 0 fill up; a = s over the label's yardstick.
 
     Only labels that share a partner with a neuron meet it; the first k + matches labels in order fill the rest."""
@@ -242,7 +314,7 @@ def score(atlas: Atlas, prof: DataFrame, *, level: str = "neuron", top_k: int =
     dots = prof.join(sums.withColumnRenamed("value", "g"), ["dir", "label"]).groupBy("neuron_id", "group").agg(F.sum(F.col("value") * F.col("g")).alias("dot"))
     s = dots.join(own, "neuron_id").join(norm, "group").select("neuron_id", "group", cosine(F.col("dot"), F.col("qq"), F.col("gg")).alias("s"))
     names = [r["group"] for r in atlas.yardsticks.join(atlas.members.select(F.col("label").alias("group")).distinct(), "group", "left_semi").orderBy("group").select("group").limit(2 * top_k).collect()]
-    order = W.partitionBy("neuron_id").orderBy(F.desc("s"), "group")
+    order = W.partitionBy("neuron_id").orderBy(F.desc(F.round("s", 10)), "group")
     best = s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).drop("rank")
     filler = own.select("neuron_id", F.explode(F.lit(names)).alias("group")).join(best.select("neuron_id", "group"), ["neuron_id", "group"], "left_anti").withColumn("s", F.lit(0.0)) if names else best.limit(0)
     ranked = best.unionByName(filler.select("neuron_id", "group", "s")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)

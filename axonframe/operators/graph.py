@@ -167,7 +167,11 @@ def aggregate(graph: Graph, by: str, *, signed: bool = False) -> DataFrame:
 
 
 def label_weight(aggregated: DataFrame, pre_label: str, post_label: str) -> float:
-    """One entry of ``aggregate``, 0 without an edge."""
+    """One entry of ``aggregate``: 0 without an edge, a KeyError for a label that no row has."""
+    ends = F.explode(F.array("pre_label", "post_label")).alias("label")
+    known = {r["label"] for r in aggregated.where(F.col("pre_label").isin(pre_label, post_label) | F.col("post_label").isin(pre_label, post_label)).select(ends).where(F.col("label").isin(pre_label, post_label)).distinct().collect()}
+    if missing := sorted({pre_label, post_label} - known):
+        raise KeyError(f"unknown labels: {missing}")
     row = aggregated.where((F.col("pre_label") == pre_label) & (F.col("post_label") == post_label)).select("weight").first()
     return row["weight"] if row else 0
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(graph: Graph) -> Graph:
+    """``graph`` with its tables computed once, for operators that read them several times."""
+    return replace(graph, nodes=settle(graph.nodes), edges=settle(graph.edges))
+
+
 def filtered_edges(graph: Graph, min_weight: int = 1, min_edge_fraction: float = 0.0) -> DataFrame:
     """(pre, post, weight, fraction) at ``min_weight`` and ``min_edge_fraction`` or more; the totals are those
     of the unfiltered graph."""
@@ -39,6 +45,8 @@ def bfs_distances(edges: DataFrame, start: Sequence[int], max_depth: int, *, bac
         new = steps.join(frontier.select(F.col("node").alias("_from")), "_from", "left_semi").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         frontier = new.withColumn("distance", F.lit(depth))
         frontier = settle(frontier)
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -46,6 +54,7 @@ def bfs_distances(edges: DataFrame, start: Sequence[int], max_depth: int, *, bac
 def nodes_on_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, min_weight: int = 1, min_edge_fraction: float = 0.0) -> DataFrame:
     """Nodes whose distances from the sources and to the targets sum up to ``max_hops`` or less, all sources,
     and the targets that are reached."""
+    graph = settled(graph)
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
     e = settle(filtered_edges(graph, min_weight, min_edge_fraction))
     return _reach(e, sources, targets, max_hops).select("neuron_id")
@@ -58,16 +67,18 @@ def _reach(e: DataFrame, sources: Sequence[int], targets: Sequence[int], max_hop
     return near.select(F.col("node").alias("neuron_id"), F.coalesce("to_target", F.lit(max_hops + 1)).alias("to_target"))
 
 
-def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, min_weight: int = 1, min_edge_fraction: float = 0.0, min_strength: float = 0.0, label: str | None = None, max_paths: int | None = 1_000_000) -> DataFrame:
+def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, min_weight: int = 1, min_edge_fraction: float = 0.0, min_strength: float = 0.0, label: str | None = None, max_paths: int | None = None) -> DataFrame:
     """Node-simple paths from sources to targets, where a path ends at the first target it reaches.
 
     Columns: path, hops, weights, signs, path_sign (0 if any sign is), strength (product of input fractions),
-    min_weight, source, target and, with ``label``, labels. Each level is one join with the edges that can
+    min_weight, source, target, truncated and, with ``label``, labels. Each level is one join with the edges that can
     still reach a target in time (a semi-join reduction by distances from both ends); a level's rows that
-    reach a target are emitted, the rest goes on. ``max_paths`` keeps the first paths in order of source
-    position and then ids, as a depth-first search over sorted ids would meet them."""
+    reach a target are emitted, the rest goes on. ``max_paths`` (None: no limit) keeps the first paths in order of
+    source position and then ids, as a depth-first search over sorted ids would meet them; ``truncated`` tells
+    whether there are more."""
     if max_hops < 1:
         raise ValueError("max_hops must be >= 1")
+    graph = settled(graph)
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
     e = settle(filtered_edges(graph, min_weight, min_edge_fraction))
     on_path = _reach(e, sources, targets, max_hops)
@@ -107,7 +118,10 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
         "_turn",
     )
     if max_paths is not None:
-        out = out.orderBy("_turn", "path").limit(max_paths)
+        more = out.limit(max_paths + 1).agg((F.count("*") > max_paths).alias("truncated"))
+        out = out.orderBy("_turn", "path").limit(max_paths).join(F.broadcast(more))
+    else:
+        out = out.withColumn("truncated", F.lit(False))
     out = out.drop("_turn")
     if label:
         out = with_labels(out, graph, label)
@@ -126,7 +140,7 @@ def _powers(graph: Graph, hops: int, signed: bool, threshold: float, sources: Se
     """Powers 1 to ``hops`` of the (signed) input-normalised matrix, each settled."""
     if hops < 1:
         raise ValueError("hops must be >= 1")
-    base = input_normalized(graph)
+    base = input_normalized(replace(graph, edges=settle(graph.edges)))
     if signed:
         base = base.join(graph.nodes.select(F.col("neuron_id").alias("pre"), "sign"), "pre").select("pre", "post", (F.col("fraction") * F.col("sign")).alias("value"))
     else:

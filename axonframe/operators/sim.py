@@ -60,7 +60,7 @@ class LIFParams:
 
 def params_for(dataset: str | None) -> LIFParams:
     """Default constants of a dataset; one has a calibrated synaptic weight of its own."""
-    return LIFParams(w_syn=0.188) if dataset == "malecns" else LIFParams()
+    return LIFParams(w_syn=0.188) if (dataset or "").partition("@")[0] == "malecns" else LIFParams()
 
 
 @dataclass(frozen=True)
@@ -165,12 +165,14 @@ def simulate(graph: Graph, conditions: Sequence[Condition], *, n_trials: int = 1
     net = network(graph, params)
     spark = graph.spark
     sent, plan = spark.sparkContext.broadcast(net), {c.name: c for c in conditions}
-    jobs = spark.createDataFrame([(c.name, t) for c in conditions for t in range(n_trials)], "condition string, trial int")
-    jobs = jobs.repartition(max(1, len(conditions) * n_trials), "condition", "trial")
+    # Dealt by index: a range of n rows in n partitions has one in each.
+    pairs = [(c.name, t) for c in conditions for t in range(n_trials)]
+    jobs = spark.range(0, len(pairs), 1, max(1, len(pairs)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for name, trial in f.itertuples(index=False):
+            for i in f["id"]:
+                name, trial = pairs[i]
                 c, x = plan[name], sent.value
                 steps, cells = run_trial(x, c.rates, n_steps=n_steps, seed=c.seed, trial=int(trial), silenced=c.silenced)
                 if record:
@@ -184,7 +186,7 @@ def simulate(graph: Graph, conditions: Sequence[Condition], *, n_trials: int = 1
 
 def rates_table(counts: DataFrame, nodes: DataFrame, *, n_trials: int, seconds: float) -> DataFrame:
     """(condition, neuron_id, mean_hz, sd_hz, total, n_trials, active) of all neurons; silent trials count as 0."""
-    grid = counts.select("condition").distinct().join(nodes.select("neuron_id"))
+    grid = nodes.select("neuron_id").join(F.broadcast(counts.select("condition").distinct()))  # a few conditions
     c = counts.groupBy("condition", "neuron_id").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
     s, q = F.coalesce("s", F.lit(0)), F.coalesce("q", F.lit(0))
     var = F.greatest(q - s * s / n_trials, F.lit(0.0)) / max(1, n_trials - 1)
@@ -195,7 +197,7 @@ def rates_table(counts: DataFrame, nodes: DataFrame, *, n_trials: int, seconds:
 def group_rates(counts: DataFrame, members: DataFrame, *, n_trials: int, seconds: float) -> DataFrame:
     """(condition, label, trial, hz): mean rate over all members (label, neuron_id) per trial, silent ones too."""
     size = members.groupBy("label").agg(F.count("*").alias("n"))
-    grid = counts.select("condition").distinct().join(size).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
+    grid = counts.select("condition").distinct().join(F.broadcast(size)).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     got = counts.join(members, "neuron_id").groupBy("condition", "label", "trial").agg(F.sum("count").alias("s"))
     return grid.join(got, ["condition", "label", "trial"], "left").select("condition", "label", "trial", (F.coalesce("s", F.lit(0)) / F.col("n") / seconds).alias("hz"))
 

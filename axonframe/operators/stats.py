@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import axis_outcome, hash_uniform, tier, variant_label
+from ..functions.scalars import axis_outcome, hash_uniform, tier, variant_label, jaccard
 
 D_LIMIT = 10.0
 N_BOOT = 2000
@@ -103,12 +103,30 @@ def compare_paired(a: Sequence[float], b: Sequence[float], *, seed: int = 0) ->
     return {"mean_a": float(x.mean()), "mean_b": float(y.mean()), "difference": float(d.mean()), "ci_low": lo, "ci_high": hi, "cohens_d": cohens_d(x, y), "p_value": p}
 
 
+#: Ranks per bucket of the two-level minima of ``bh_qvalues``.
+RANKS = 65_536
+
+
 def bh_qvalues(df: DataFrame, p: str = "p_value", out: str = "q_value", *, family: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg q-values; the whole table is one family unless ``family`` columns are given."""
-    part = list(family) or [F.lit(0)]
-    up, down = W.partitionBy(*part).orderBy(p), W.partitionBy(*part).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = df.withColumn("_rank", F.row_number().over(up)).withColumn("_n", F.count("*").over(W.partitionBy(*part)))
-    return ranked.withColumn(out, F.least(F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down), F.lit(1.0))).drop("_rank", "_n")
+    """Benjamini-Hochberg q-values; the whole table is one family unless ``family`` columns are given.
+
+    The whole table is ranked by a range sort. The least p n / rank among higher ranks is that of the later buckets
+    of ranks or of the later rows in the bucket, so no task sees all rows. Rows without a p have none."""
+    if family:
+        up, down = W.partitionBy(*family).orderBy(p), W.partitionBy(*family).orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+        known = df.where(F.col(p).isNotNull()).withColumn("_rank", F.row_number().over(up)).withColumn("_n", F.count("*").over(W.partitionBy(*family)))
+        done = known.withColumn(out, F.least(F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(down), F.lit(1.0))).drop("_rank", "_n")
+    else:
+        from .nulls import _ranked
+
+        ranked = _ranked(df.where(F.col(p).isNotNull()), [F.col(p)], "_rank")
+        total = ranked.agg(F.count("*").alias("_n"))
+        rows = ranked.join(F.broadcast(total)).withColumn("_q", F.col(p) * F.col("_n") / F.col("_rank")).withColumn("_b", F.floor((F.col("_rank") - 1) / RANKS))
+        later = W.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, -1)
+        buckets = rows.groupBy("_b").agg(F.min("_q").alias("_m")).select("_b", F.coalesce(F.min("_m").over(later), F.lit(1.0)).alias("_later"))
+        inside = W.partitionBy("_b").orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+        done = rows.join(F.broadcast(buckets), "_b").withColumn(out, F.least(F.min("_q").over(inside), "_later", F.lit(1.0))).drop("_rank", "_n", "_q", "_b", "_later")
+    return done.select(*df.columns, out).unionByName(df.where(F.col(p).isNull()).select(*df.columns, F.lit(None).cast("double").alias(out)))
 
 
 def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str = "rank") -> DataFrame:
@@ -117,9 +135,12 @@ def rank_within(df: DataFrame, group: str, value: str, tie: str, out: str = "ran
 
 
 def running_eligible(df: DataFrame, score: str, label: str, eligible: Column, max_items: int) -> DataFrame:
-    """Adds ``taken``: eligible rows among the first ``max_items`` eligible ones by score, ties by label."""
-    w = W.orderBy(F.desc(score), label).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return df.withColumn("_e", eligible).withColumn("taken", F.col("_e") & (F.sum(F.col("_e").cast("int")).over(w) <= max_items)).drop("_e")
+    """Adds ``taken``: eligible rows among the first ``max_items`` eligible ones by score, ties by label.
+
+    Only the last of these rows is looked up; the others are known by comparison with it."""
+    last = df.where(eligible).orderBy(F.desc(score), label).limit(max_items).agg(F.max(F.struct((-F.col(score)).alias("s"), F.col(label).alias("l"))).alias("_last"))
+    place = F.struct((-F.col(score)).alias("s"), F.col(label).alias("l"))
+    return df.join(F.broadcast(last)).withColumn("taken", F.coalesce(eligible & (place <= F.col("_last")), F.lit(False))).drop("_last")
 
 
 def pathway_scores(paths: DataFrame) -> DataFrame:
@@ -172,3 +193,47 @@ def score_hits(effects: DataFrame, *, alpha: float = 0.05, sampled_axes: Sequenc
     per_axis = per_axis.withColumn("outcome", outcome)
     total = per_axis.groupBy("candidate").agg(F.count("*").alias("n_axes"), F.count_if(F.col("outcome") == "fail").alias("n_failed"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "axis", "outcome"))), ",").alias("axes"))
     return ref.join(total, "candidate", "left").select("candidate", F.col("ref").alias("difference"), F.col("ref_q").alias("q_value"), F.coalesce("n_axes", F.lit(0)).alias("n_axes"), F.coalesce("n_failed", F.lit(0)).alias("n_failed"), F.coalesce("axes", F.lit("")).alias("axes"), tier(F.coalesce("n_axes", F.lit(0)), F.coalesce("n_failed", F.lit(0))).alias("tier"))
+
+
+GRADED = ("w_syn", "nt", "min_weight", "random_null")
+
+
+def robust_hits(effects: DataFrame, *, alpha: float = 0.05, null_alpha: float = 0.05, null_p: DataFrame | None = None, replicate: DataFrame | None = None) -> DataFrame:
+    """The hits of a screen with their robustness, the best tier and the largest effects first.
+
+    A hit is a candidate whose reference effect is not 0 at a q-value under ``alpha``. Per axis the variants' labels
+    give robust or fails (of ``nt`` three quarters must hold), or not_run; ``null_p`` (candidate, null_p, degenerate)
+    gives the random null, which is uninformative if half of the sets change nothing; ``replicate`` has (candidate,
+    replicate)."""
+    ref = effects.where((F.col("axis") == "reference") & (F.col("role") == "candidate") & (F.col("q_value") < alpha) & F.col("difference").isNotNull() & (F.col("difference") != 0))
+    ref = ref.select("candidate", "difference", "ci_low", "ci_high", "q_value", F.when(F.col("difference") < 0, "down").otherwise("up").alias("direction"))
+    rows = effects.where(F.col("axis").isin(*GRADED[:3])).select("axis", "variant", "candidate", F.col("difference").alias("d"), F.col("ci_low").alias("lo"), F.col("ci_high").alias("hi")).join(ref.select("candidate", "difference"), "candidate")
+    rows = rows.withColumn("label", variant_label(F.col("difference"), F.col("d"), F.col("lo"), F.col("hi")))
+    of = lambda axis, what: F.filter(F.array_sort(F.collect_list(F.when(F.col("axis") == axis, F.struct("variant", "label")))), what)
+    every = lambda x: F.lit(True)  # noqa: E731, ARG005
+    per = rows.groupBy("candidate").agg(*(of(a, every).alias(f"_{a}") for a in GRADED[:3]))
+    out = ref.join(per, "candidate", "left")
+    names = {}
+    for a in GRADED[:3]:
+        n = F.coalesce(F.size(f"_{a}"), F.lit(0))
+        holds = F.coalesce(F.size(F.filter(f"_{a}", lambda x: x["label"] == "holds")), F.lit(0))
+        need = F.ceil(n * 0.75) if a == "nt" else n
+        names[a] = F.when(n <= 0, "not_run").when(holds >= need, "robust").otherwise("fails")
+        detail = F.array_join(F.transform(f"_{a}", lambda x: F.concat_ws(": ", x["variant"], x["label"])), ", ")
+        if a == "nt":
+            names["nt_holds"] = F.concat_ws("/", F.greatest(holds, F.lit(0)).cast("string"), F.greatest(n, F.lit(0)).cast("string"))
+            names["nt_flips"] = F.coalesce(F.array_join(F.transform(F.filter("_nt", lambda x: x["label"] == "flips"), lambda x: x["variant"]), ", "), F.lit(""))
+        else:
+            names[f"{a}_detail"] = F.coalesce(detail, F.lit(""))
+    out = out.join(null_p.select("candidate", F.col("null_p").alias("random_null_p"), "degenerate"), "candidate", "left") if null_p is not None else out.withColumns({"random_null_p": F.lit(None).cast("double"), "degenerate": F.lit(False)})
+    p = F.col("random_null_p")
+    names["random_null"] = F.when(p.isNull() | F.isnan(p), "not_run").when(F.coalesce("degenerate", F.lit(False)), "uninformative").when(p < null_alpha, "robust").otherwise("fails")
+    out = out.join(replicate.select("candidate", "replicate"), "candidate", "left") if replicate is not None else out.withColumn("replicate", F.lit(None).cast("string"))
+    out = out.withColumns(names).withColumn("replicate", F.coalesce("replicate", F.lit("not run")))
+    having = lambda what: F.array_join(F.filter(F.array(*(F.when(F.col(a) == what, a) for a in GRADED)), lambda x: x.isNotNull()), ", ")
+    count = lambda *what: sum((F.when(F.col(a).isin(*what), 1).otherwise(0) for a in GRADED[1:]), F.when(F.col(GRADED[0]).isin(*what), 1).otherwise(0))
+    fails = count("fails")
+    out = out.withColumns({"tier": F.when(fails == 0, "Strong").when(fails == 1, "Conditional").otherwise("Fragile"), "thinly_tested": count("fails", "robust") < 2, "failed_axes": having("fails"), "untested_axes": having("not_run"), "uninformative_axes": having("uninformative"), "_order": fails})
+    out = out.orderBy(F.least("_order", F.lit(2)), F.desc(F.abs("difference")), "candidate")
+    columns = ["candidate", "difference", "ci_low", "ci_high", "q_value", "direction", "w_syn", "w_syn_detail", "nt", "nt_holds", "nt_flips", "min_weight", "min_weight_detail", "random_null", "random_null_p", "replicate"]
+    return out.select(*columns, "tier", "thinly_tested", "failed_axes", "untested_axes", "uninformative_axes")

@@ -297,12 +297,12 @@ def atlas_yardsticks(spark, sf_dir):
 
 @_query(
     f"{_N}, {SQL_EDGES}, {_PROF}, {_GROUPS}, qn AS (SELECT neuron_id, sqrt(sum(value * value)) AS q FROM prof GROUP BY 1), gn AS (SELECT g, sqrt(sum(s * s)) AS n FROM sums GROUP BY 1), "
-    "d AS (SELECT neuron_id, s.g, sum(value * s.s) AS dot FROM prof JOIN sums s USING (dir, label) GROUP BY 1, 2), sc AS (SELECT neuron_id, g, round(dot / (q * n), 7) AS s FROM d JOIN qn USING (neuron_id) JOIN gn USING (g)), r AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY s DESC) AS rank FROM sc) SELECT neuron_id, rank, round(s, 6) AS s FROM r WHERE rank <= 3"
+    "d AS (SELECT neuron_id, s.g, sum(value * s.s) AS dot FROM prof JOIN sums s USING (dir, label) GROUP BY 1, 2), sc AS (SELECT neuron_id, g, dot / (q * n) AS s FROM d JOIN qn USING (neuron_id) JOIN gn USING (g)), r AS (SELECT *, row_number() OVER (PARTITION BY neuron_id ORDER BY round(s, 10) DESC, g) AS rank FROM sc) SELECT neuron_id, rank, g AS label, round(s, 6) AS s FROM r WHERE rank <= 3"
 )
 def centroid_topk(spark, sf_dir):
     graph = view.graph(spark, sf_dir)
     atlas = compare.build_atlas(graph)
-    return compare.score(atlas, atlas.profiles, top_k=3).select("neuron_id", F.col("rank").cast("long").alias("rank"), F.round(F.round("s", 7), 6).alias("s"))
+    return compare.score(atlas, atlas.profiles, top_k=3).select("neuron_id", F.col("rank").cast("long").alias("rank"), F.col("group").alias("label"), F.round("s", 6).alias("s"))
 
 
 @_query("SELECT least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(y), 9) AS accuracy FROM (SELECT l_discount * 10 + 0.005 AS p, (l_returnflag = 'R')::DOUBLE AS y FROM lineitem) WHERE p IS NOT NULL GROUP BY 1")
@@ -428,3 +428,8 @@ def lif_rates(spark, sf_dir):
     drive = {i: 150.0 for i in TARGETS}
     counts = simulate(graph, [Condition("stimulated", drive), Condition("silenced", drive, silenced=(TARGETS[0],))], n_trials=2, n_steps=1000, params=LIFParams())
     return rates_table(counts, graph.nodes, n_trials=2, seconds=0.1)
+
+
+from . import operator_queries  # noqa: E402
+
+ORACLE["path_stability"] = operator_queries.STABILITY_SQL
