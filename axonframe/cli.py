@@ -34,6 +34,12 @@ def parser() -> argparse.ArgumentParser:
     data.add_parser("list")
     info = data.add_parser("info")
     info.add_argument("root")
+    get = data.add_parser("pull")
+    get.add_argument("ref")
+    get.add_argument("--registry", required=True, help="folder of dataset descriptions")
+    get.add_argument("--cache", required=True)
+    get.add_argument("--level", default="meta")
+    get.add_argument("--force", action="store_true")
     run = sub.add_parser("run")
     run.add_argument("spec")
     run.add_argument("--store", required=True)
@@ -45,6 +51,15 @@ def parser() -> argparse.ArgumentParser:
     cl.add_argument("--cell-type")
     cl.add_argument("--ids", help="file with one id per line")
     cl.add_argument("--min-weight", type=int, default=5)
+    bench = sub.add_parser("bench", help="hold-out benchmark of the classification")
+    bench.add_argument("--query", required=True, action="append")
+    bench.add_argument("--atlas", required=True)
+    bench.add_argument("--out", required=True)
+    bench.add_argument("--truth-column", default="fafb_783_cell_type")
+    bench.add_argument("--max-types", type=int, default=2000)
+    bench.add_argument("--folds", type=int, default=5)
+    bench.add_argument("--seed", type=int, default=0)
+    bench.add_argument("--min-weight", type=int, default=5)
     return p
 
 
@@ -64,7 +79,27 @@ def main(argv: list[str] | None = None) -> int:
     from .sources.store import Store
 
     spark = _session()
-    if a.command == "data":
+    if a.command == "data" and a.action == "pull":
+        from .sources.registry import Registry, pull, store_converter
+
+        try:
+            where = pull(Registry.load(a.registry).get(a.ref), a.cache, store_converter(spark), level=a.level, force=a.force)
+        except (KeyError, ValueError) as e:
+            print(e)
+            return 1
+        print(where)
+    elif a.command == "bench":
+        from .operators import benchmark
+
+        graph = lambda root: build_graph(Store(spark, root).neurons(), Store(spark, root).edges(), min_weight=a.min_weight)
+        atlas, records = compare.build_atlas(graph(a.atlas)), None
+        for q in a.query:
+            rows = benchmark.run_benchmark(graph(q), atlas, query_ref=q, truth_column=a.truth_column, max_types=a.max_types, seed=a.seed)
+            records = rows if records is None else records.unionByName(rows)
+        calibration = benchmark.fit_calibration(records, atlas, reference=a.atlas, n_folds=a.folds, seed=a.seed)
+        benchmark.write_benchmark(records, calibration, a.out)
+        print(json.dumps(calibration.metrics, indent=2))
+    elif a.command == "data":
         print(json.dumps(Store(spark, a.root).provenance, indent=2))
     elif a.command == "run":
         spec, store = experiments.load_spec(a.spec), Store(spark, a.store)

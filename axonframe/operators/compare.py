@@ -18,6 +18,7 @@ from .paths import settle
 
 UNMATCHED = "__unmatched__"
 MIN_YARDSTICK = 0.05
+MIN_OVERLAP = 0.01
 
 
 def xref_column(columns: Sequence[str], dataset: str, version: str) -> str | None:
@@ -46,6 +47,18 @@ def partner_labels(nodes: DataFrame, vocabulary: str = "cell_type") -> DataFrame
     return nodes.select("neuron_id", F.nullif(label.cast("string"), F.lit("")).alias("label"))
 
 
+def vocab_partner_names(nodes: DataFrame, known: DataFrame, vocabulary: str = "fafb_or_manc") -> DataFrame:
+    """(neuron_id, label): of a neuron's cross-references the first that is among ``known`` (label), so that a neuron
+    with names of two datasets takes the one an atlas has. Without any cross-reference, ``partner_labels``."""
+    names = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("fafb_783_cell_type", "manc_121_cell_type") if c in nodes.columns]
+    if vocabulary != "fafb_or_manc" or not names or nodes.where(F.coalesce(*names).isNotNull()).isEmpty():
+        return partner_labels(nodes, vocabulary if vocabulary != "fafb_or_manc" else "cell_type")
+    labels, out = known.select("label").where("label is not null").distinct(), nodes.select("neuron_id", *(n.alias(f"_n{i}") for i, n in enumerate(names)))
+    for i in range(len(names)):
+        out = out.join(labels.select(F.col("label").alias(f"_l{i}")), F.col(f"_n{i}") == F.col(f"_l{i}"), "left")
+    return out.select("neuron_id", F.coalesce(*(F.col(f"_l{i}") for i in range(len(names)))).alias("label"))
+
+
 def partner_counts(graph: Graph, labels: DataFrame) -> DataFrame:
     """(neuron_id, dir, label, value): weight to (out) and from (in) partners by label; null label: unlabelled."""
     name = labels.select(F.col("neuron_id").alias("_p"), "label")
@@ -419,16 +432,28 @@ def votes(wide: DataFrame, n: int = 10) -> DataFrame:
     return wide.groupBy(F.col("top").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(n)
 
 
-def classify(query: Graph, atlas: Atlas, *, ids: Sequence[int] | None = None, cell_type: str | None = None, mask: Sequence[str] = (), mask_self: bool = True, top_k: int = 5, model: LogisticModel | None = None, s_floor: float = 0.2, delta: float = 0.01, accept: float = 0.8) -> DataFrame:
-    """Calls for the neurons of a type or of an id list; with ``mask_self`` the type's own name is masked."""
+def classify(query: Graph, atlas: Atlas, *, ids: Sequence[int] | None = None, cell_type: str | None = None, partner_names: DataFrame | None = None, mask: Sequence[str] = (), mask_self: bool = True, top_k: int = 5, model: LogisticModel | None = None, s_floor: float = 0.2, delta: float = 0.01, accept: float = 0.8) -> DataFrame:
+    """Calls for the neurons of a type or of an id list. Partners take the names that the atlas has, or ``partner_names``
+    (neuron_id, label); if less than ``MIN_OVERLAP`` of the weight goes to such names, that is an error. ``mask`` and, with
+    ``mask_self``, the neurons' own names are masked on both sides."""
     from .graph import id_frame
 
     if (ids is None) == (cell_type is None):
         raise ValueError("give one of ids and cell_type")
     rows = query.nodes.where(F.col("cell_type") == cell_type) if ids is None else query.nodes.join(id_frame(query.nodes, ids, "neuron_id"), "neuron_id", "left_semi")
-    hidden = [*mask, *([cell_type] if mask_self and cell_type else [])]
-    counts = partner_counts(query, partner_labels(query.nodes, atlas.params["vocabulary"])).join(rows.select("neuron_id"), "neuron_id", "left_semi")
-    wide = wide_scores(score(atlas, profiles(counts, direction=atlas.params["direction"], mask=hidden), top_k=top_k))
+    known = atlas.counts.select("label").where("label is not null").distinct()
+    names = settle(partner_names.select("neuron_id", "label") if partner_names is not None else vocab_partner_names(query.nodes, known, atlas.params["vocabulary"]))
+    every = partner_counts(query, names)
+    every = every.where(F.col("dir") == atlas.params["direction"]) if atlas.params["direction"] != "both" else every
+    every = settle(every.join(known.select(F.col("label").alias("_k")), F.col("label") == F.col("_k"), "left").select("neuron_id", "dir", F.col("_k").alias("label"), "value").groupBy("neuron_id", "dir", "label").agg(F.sum("value").alias("value")))
+    share = labelled_mass(every)
+    if share < MIN_OVERLAP and not every.isEmpty():
+        raise ValueError(f"only {share:.2%} of the weight goes to partners with names of the atlas")
+    counts = every.join(rows.select("neuron_id"), "neuron_id", "left_semi")
+    own = [r["label"] for r in names.join(rows.select("neuron_id"), "neuron_id", "left_semi").where("label is not null").select("label").distinct().collect()] if mask_self else []
+    hidden = sorted({*mask, *own})
+    atlas = masked_atlas(atlas, hidden) if hidden else atlas
+    wide = wide_scores(score(atlas, profiles(counts, mask=atlas.mask), top_k=top_k))
     called = apply_calls(wide, model.predict() if model else F.least(F.greatest(F.col("a1"), F.lit(0.0)), F.lit(1.0)), s_floor=s_floor, delta=delta, accept=accept)
     out = rows.select("neuron_id").join(called, "neuron_id", "left").join(unlabelled_fraction(counts).select("neuron_id", "unlabelled_fraction"), "neuron_id", "left")
     return out.withColumn("reason", F.when(F.col("call").isNull(), "no_labelled_partners")).withColumn("call", F.coalesce("call", F.lit("unknown")))

@@ -148,8 +148,8 @@ def readout_stats(c: Context, rates: DataFrame) -> DataFrame:
 def top_neurons(c: Context, counts: DataFrame) -> DataFrame:
     """The ``report.top_neurons`` most active neurons of each condition."""
     own = rates_table(counts.where("control = 'none'"), c.graph.nodes, n_trials=c.spec.trials, seconds=c.seconds)
-    order = W.partitionBy("condition").orderBy(F.desc("mean_hz"), "neuron_id")
-    return own.where("active").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.spec.report.top_neurons).orderBy("condition", "rank")
+    order = W.partitionBy("condition").orderBy(F.desc("rate_hz_mean"), "neuron_id")
+    return own.where("spiked_in_any_trial").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= c.spec.report.top_neurons).orderBy("condition", "rank")
 
 
 def run_experiment(spec: ExperimentSpec, neurons: DataFrame, edges: DataFrame, out_dir: str | None = None) -> dict[str, DataFrame]:

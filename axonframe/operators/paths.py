@@ -128,6 +128,19 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
     return out.orderBy(F.desc("strength"), "hops", "path")
 
 
+def all_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, min_weight: int = 1) -> DataFrame:
+    """(path) of ``find_paths`` by plain self-joins without any reduction, for checks on small graphs."""
+    e = graph.edges.where(F.col("weight") >= min_weight).select(F.col("pre").alias("_a"), F.col("post").alias("_b"))
+    goal = id_frame(graph.nodes, targets, "_last").withColumn("_hit", F.lit(True))
+    walk, found = id_frame(graph.nodes, sources, "_last").select("_last", F.array("_last").alias("path")), None
+    for _ in range(max_hops):
+        walk = walk.join(e, F.col("_last") == F.col("_a")).where(~F.array_contains("path", F.col("_b"))).select(F.col("_b").alias("_last"), F.array_append("path", F.col("_b")).alias("path"))
+        walk = walk.join(goal, "_last", "left")
+        hit = walk.where("_hit").select("path")
+        found, walk = hit if found is None else found.unionByName(hit), walk.where("_hit is null").drop("_hit")
+    return found
+
+
 def with_labels(paths: DataFrame, graph: Graph, label: str) -> DataFrame:
     """Adds the label of every node of a path."""
     names = graph.nodes.select(F.col("neuron_id").alias("_n"), F.col(label).cast("string").alias("_l"))
@@ -171,12 +184,12 @@ def effective_connectivity(graph: Graph, hops: int, *, signed: bool = True, cumu
 
 
 def effective_by_hops(graph: Graph, sources: Sequence[int], targets: Sequence[int], *, max_hops: int = 3, signed: bool = True, threshold: float = 0.0) -> DataFrame:
-    """(hops, total, mean_per_target, n_sources, n_targets) of the effect of sources on targets per hop."""
+    """(hops, value, mean_per_target, n_sources, n_targets) of the effect of sources on targets per hop."""
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
     goal, out = id_frame(graph.nodes, targets, "post"), None
     for k, power in enumerate(_powers(graph, max_hops, signed, threshold, sources), 1):
         part = power.join(goal, "post", "left_semi")
-        row = part.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total")).select(F.lit(k).alias("hops"), "total", (F.col("total") / len(set(targets))).alias("mean_per_target"), F.lit(len(set(sources))).alias("n_sources"), F.lit(len(set(targets))).alias("n_targets"))
+        row = part.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")).select(F.lit(k).alias("hops"), "value", (F.col("value") / len(set(targets))).alias("mean_per_target"), F.lit(len(set(sources))).alias("n_sources"), F.lit(len(set(targets))).alias("n_targets"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -187,4 +200,4 @@ def compress_paths_signed(graph: Graph, hops: int, *, output_threshold: float =
     return out.where(F.abs("value") >= output_threshold) if output_threshold > 0 else out
 
 
-__all__ = ["bfs_distances", "compress_paths_signed", "effective_by_hops", "effective_connectivity", "filtered_edges", "find_paths", "input_totals", "nodes_on_paths", "with_labels"]
+__all__ = ["all_paths", "bfs_distances", "compress_paths_signed", "effective_by_hops", "effective_connectivity", "filtered_edges", "find_paths", "input_totals", "nodes_on_paths", "with_labels"]

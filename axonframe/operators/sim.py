@@ -185,13 +185,14 @@ def simulate(graph: Graph, conditions: Sequence[Condition], *, n_trials: int = 1
 
 
 def rates_table(counts: DataFrame, nodes: DataFrame, *, n_trials: int, seconds: float) -> DataFrame:
-    """(condition, neuron_id, mean_hz, sd_hz, total, n_trials, active) of all neurons; silent trials count as 0."""
+    """(condition, neuron_id, rate_hz_mean, rate_hz_std, spikes_total, n_trials, spiked_in_any_trial) of all neurons; silent
+    trials count as 0."""
     grid = nodes.select("neuron_id").join(F.broadcast(counts.select("condition").distinct()))  # a few conditions
     c = counts.groupBy("condition", "neuron_id").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
     s, q = F.coalesce("s", F.lit(0)), F.coalesce("q", F.lit(0))
     var = F.greatest(q - s * s / n_trials, F.lit(0.0)) / max(1, n_trials - 1)
     sd = F.sqrt(var) / seconds if n_trials > 1 else F.lit(0.0)
-    return grid.join(c, ["condition", "neuron_id"], "left").select("condition", "neuron_id", (s / n_trials / seconds).alias("mean_hz"), sd.alias("sd_hz"), s.alias("total"), F.lit(n_trials).alias("n_trials"), (s > 0).alias("active"))
+    return grid.join(c, ["condition", "neuron_id"], "left").select("condition", "neuron_id", (s / n_trials / seconds).alias("rate_hz_mean"), sd.alias("rate_hz_std"), s.alias("spikes_total"), F.lit(n_trials).alias("n_trials"), (s > 0).alias("spiked_in_any_trial"))
 
 
 def group_rates(counts: DataFrame, members: DataFrame, *, n_trials: int, seconds: float) -> DataFrame:
@@ -210,6 +211,12 @@ def spike_steps(events: DataFrame, neuron_id: int, trial: int) -> DataFrame:
     return events.where((F.col("neuron_id") == neuron_id) & (F.col("trial") == trial)).select("condition", "step").orderBy("condition", "step")
 
 
+def cap_events(events: DataFrame, max_events: int = 50_000_000) -> DataFrame:
+    """The first ``max_events`` recorded events in order of steps, and ``truncated``: whether there are more."""
+    more = events.limit(max_events + 1).agg((F.count("*") > max_events).alias("truncated"))
+    return events.orderBy("step", "condition", "trial", "neuron_id").limit(max_events).join(F.broadcast(more))
+
+
 def select_w_syn(trials: DataFrame, *, target_fraction: float = 0.8, reference_rate_hz: float = 100.0, max_rate_hz: float = 200.0, n_boot: int = 1000, seed: int = 0) -> dict:
     """The synaptic weight at which the readout at the reference rate reaches ``target_fraction`` of that at
     the highest rate, from trials (w_syn_mv, rate_hz, readout_rate_hz): linear crossings of the ratio over the

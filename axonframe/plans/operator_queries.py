@@ -269,10 +269,10 @@ def _spikes(spark, sf_dir):
     return x.groupBy(condition.alias("condition"), (F.col("l_orderkey") % 4).cast("int").alias("trial"), (F.col("l_suppkey") + view.SUPPLIER).alias("neuron_id")).agg(F.sum("l_quantity").cast("long").alias("count"))
 
 
-@_query(f"WITH {_SPIKES}, s AS (SELECT condition, neuron_id, sum(n) AS t, sum(n * n) AS q FROM spikes GROUP BY 1, 2), a AS (SELECT condition, 1000000000 + s_suppkey AS neuron_id FROM supplier, (SELECT DISTINCT condition FROM spikes)) SELECT condition, neuron_id, round(coalesce(t, 0) / 4 / 2, 9) AS mean_hz, round(sqrt(greatest(coalesce(q, 0) - coalesce(t, 0) * coalesce(t, 0) / 4, 0) / 3) / 2, 6) AS sd_hz, coalesce(t, 0)::BIGINT AS total, coalesce(t, 0) > 0 AS active FROM a LEFT JOIN s USING (condition, neuron_id)")
+@_query(f"WITH {_SPIKES}, s AS (SELECT condition, neuron_id, sum(n) AS t, sum(n * n) AS q FROM spikes GROUP BY 1, 2), a AS (SELECT condition, 1000000000 + s_suppkey AS neuron_id FROM supplier, (SELECT DISTINCT condition FROM spikes)) SELECT condition, neuron_id, round(coalesce(t, 0) / 4 / 2, 9) AS rate_hz_mean, round(sqrt(greatest(coalesce(q, 0) - coalesce(t, 0) * coalesce(t, 0) / 4, 0) / 3) / 2, 6) AS rate_hz_std, coalesce(t, 0)::BIGINT AS spikes_total, coalesce(t, 0) > 0 AS spiked_in_any_trial FROM a LEFT JOIN s USING (condition, neuron_id)")
 def firing_rates(spark, sf_dir):
     nodes = view.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + view.SUPPLIER).alias("neuron_id"))
-    return sim.rates_table(_spikes(spark, sf_dir), nodes, n_trials=4, seconds=2.0).select("condition", "neuron_id", _r("mean_hz"), F.round("sd_hz", 6).alias("sd_hz"), "total", "active")
+    return sim.rates_table(_spikes(spark, sf_dir), nodes, n_trials=4, seconds=2.0).select("condition", "neuron_id", _r("rate_hz_mean"), F.round("rate_hz_std", 6).alias("rate_hz_std"), "spikes_total", "spiked_in_any_trial")
 
 
 @_query(f"WITH {_SPIKES}, m AS (SELECT n_name AS label, 1000000000 + s_suppkey AS neuron_id FROM supplier JOIN nation ON s_nationkey = n_nationkey), z AS (SELECT label, count(*) AS n FROM m GROUP BY 1), s AS (SELECT condition, label, trial, sum(n) AS t FROM spikes JOIN m USING (neuron_id) GROUP BY ALL), a AS (SELECT condition, label, t::INT AS trial, n FROM z, (SELECT DISTINCT condition FROM spikes), range(4) r(t)) SELECT condition, label, trial, round(coalesce(t, 0) / n / 2, 9) AS hz FROM a LEFT JOIN s USING (condition, label, trial)")

@@ -174,9 +174,9 @@ def effective_cumulative(spark, sf_dir):
     return p.effective_connectivity(view.graph(spark, sf_dir), 3, cumulative=True, sources=SOURCES).select("pre", "post", F.round("value", 12).alias("value"))
 
 
-@_query(_EFF + f" SELECT h AS hops, round(coalesce(sum(v), 0), 12) AS total FROM (SELECT 1 AS h UNION ALL SELECT 2 UNION ALL SELECT 3) LEFT JOIN (SELECT 1 AS k, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3) ON h = k AND post IN ({_T}) GROUP BY h")
+@_query(_EFF + f" SELECT h AS hops, round(coalesce(sum(v), 0), 12) AS value FROM (SELECT 1 AS h UNION ALL SELECT 2 UNION ALL SELECT 3) LEFT JOIN (SELECT 1 AS k, * FROM h1 UNION ALL SELECT 2, * FROM h2 UNION ALL SELECT 3, * FROM h3) ON h = k AND post IN ({_T}) GROUP BY h")
 def effective_by_hops(spark, sf_dir):
-    return p.effective_by_hops(view.graph(spark, sf_dir), SOURCES, TARGETS).select("hops", F.round("total", 12).alias("total"))
+    return p.effective_by_hops(view.graph(spark, sf_dir), SOURCES, TARGETS).select("hops", F.round("value", 12).alias("value"))
 
 
 @_query(
@@ -229,7 +229,7 @@ _V = "SELECT 1000000000 + l_suppkey AS pre, 3000000000 + l_partkey AS post, sum(
 
 
 @_query(
-    f"SELECT coalesce(a.pre, b.pre) AS pre, coalesce(a.post, b.post) AS post, a.w AS weight_old, b.w AS weight_new, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'changed' END AS change "
+    f"SELECT coalesce(a.pre, b.pre) AS pre, coalesce(a.post, b.post) AS post, a.w AS weight_old, b.w AS weight_new, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'changed' END AS status "
     f"FROM ({_V.format(0)}) a FULL JOIN ({_V.format(1)}) b ON a.pre = b.pre AND a.post = b.post WHERE a.w IS DISTINCT FROM b.w"
 )
 def version_diff_edges(spark, sf_dir):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from .store import download, input_record, parse_ref
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import convert
+from .store import download, input_record, parse_ref, read_feather, write_store
 
 #: Levels in order; a level needs the files of those before it.
 LEVELS = ("meta", "weights", "nt-probs", "synapses")
@@ -110,3 +115,30 @@ def pull(dataset: Dataset, cache: str, convert: Callable[[Dataset, Path, Path, S
     counts = convert(dataset, raw, store, files)
     marker.write_text(json.dumps({**state, "level": level, "counts": dict(counts or {})}, indent=2))
     return store
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """A released file by its suffix, with ``_row``, the place of a CSV row in its file."""
+    if path.endswith(".feather"):
+        return read_feather(spark, path)
+    if path.endswith(".parquet"):
+        return spark.read.parquet(path)
+    return spark.read.csv(path, header=True, inferSchema=True).withColumn("_row", F.monotonically_increasing_id())
+
+
+def store_converter(spark: SparkSession) -> Callable[[Dataset, Path, Path, Sequence[DataFile]], Mapping]:
+    """A ``convert`` for ``pull``: the dataset's converter gets each file as the argument that its role names, and its
+    neurons and edges become the store."""
+
+    def run(dataset: Dataset, raw: Path, store: Path, files: Sequence[DataFile]) -> Mapping:
+        function = getattr(convert, f"convert_{dataset.name}", None)
+        if function is None:
+            raise KeyError(f"no converter for {dataset.name!r}")
+        known = inspect.signature(function).parameters
+        roles = {f.role: read_raw(spark, str(raw / f.name)) for f in files if f.role in known}
+        if missing := [k for k, p in known.items() if p.default is inspect.Parameter.empty and k not in roles]:
+            raise ValueError(f"{dataset.ref} needs files of roles {missing}; pull a higher level")
+        tables = function(**roles, **({"version": dataset.version} if "version" in known else {}))
+        return write_store(tables[0], tables[1], str(store), {"dataset": dataset.name, "version": dataset.version, "citations": list(dataset.citations)}, *tables[2:])["counts"]
+
+    return run

@@ -141,6 +141,24 @@ def read_feather(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return spark.range(0, n, 1, max(1, n)).mapInArrow(read, from_arrow_schema(decoded))
 
 
+def read_excel(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A catalogue that is published as a workbook (thousands of rows, read by the driver; needs ``openpyxl``)."""
+    import pandas as pd
+
+    names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
+    rows = pd.read_excel(path, dtype=str)[names]
+    return spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), ", ".join(f"`{n}` string" for n in names)).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)))
+
+
+def open_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The driver-line catalogue that ``write_lines`` has stored below ``root``."""
+    return spark.read.parquet(f"{root.rstrip('/')}/lines.parquet")
+
+
+def write_lines(lines: DataFrame, root: str) -> None:
+    write_parquet(lines, f"{root.rstrip('/')}/lines.parquet", ("line",))
+
+
 def read_json_records(spark: SparkSession, path: str) -> DataFrame:
     """Match records (``results`` arrays of JSON documents), one row per record."""
     return spark.read.json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")

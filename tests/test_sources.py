@@ -89,3 +89,22 @@ def test_streamed_edges_count_once(spark, tmp_path):
     go()
     go()
     assert {(r["pre"], r["post"]): r["weight"] for r in merged_edges(spark, str(tmp_path / "out")).collect()} == {(1, 2): 17, (2, 1): 1}
+
+
+def test_pull_with_its_converter(spark, tmp_path):
+    from axonframe.sources.registry import Registry, pull, store_converter
+    from axonframe.sources.store import Store
+
+    (tmp_path / "c.csv").write_text("id,Completed\n7,True\n8,True\n")
+    (tmp_path / "e.csv").write_text("Presynaptic_ID,Postsynaptic_ID,Connectivity,Excitatory\n7,8,12,-1\n")
+    files = [{"name": f"{r}.csv", "url": (tmp_path / f"{r[0] if r == 'completeness' else 'e'}.csv").as_uri(), "role": r} for r in ("completeness", "connectivity")]
+    registry = Registry()
+    registry.add({"name": "shiu", "version": "630", "files": files})
+    registry.add({"name": "other", "version": "1", "files": files})
+    cache = str(tmp_path / "cache")
+    root = pull(registry.get("shiu@630"), cache, store_converter(spark))
+    store = Store(spark, str(root))
+    assert [(r["pre"], r["post"], r["weight"]) for r in store.edges().collect()] == [(7, 8, 12)]
+    assert {r["neuron_id"]: r["nt_pred"] for r in store.neurons().collect()} == {7: "gaba", 8: None}
+    with pytest.raises(KeyError):
+        pull(registry.get("other@1"), cache, store_converter(spark))
