@@ -46,12 +46,37 @@ SIDES = {
 }
 
 _TEXT = T.StringType()
+# The names, order and types of the harmonised columns.
+NEURON_TEXTS = (
+    "status",
+    "flow",
+    "super_class",
+    "super_class_raw",
+    "cell_class",
+    "cell_sub_class",
+    "cell_type",
+    "hemilineage",
+    "hemilineage_truman",
+    "side",
+    "soma_neuromere",
+    "nt_pred",
+)
+NEURON_LABELS = (
+    "nt_source",
+    "nt_known",
+    "fafb_783_cell_type",
+    "hemibrain_121_cell_type",
+    "manc_121_cell_type",
+    "malecns_10_cell_type",
+    "dimorphism",
+    "vfb_id",
+)
 NEURONS = T.StructType(
     [T.StructField("dataset", _TEXT), T.StructField("version", _TEXT), T.StructField("neuron_id", T.LongType())]
-    + [T.StructField(c, _TEXT) for c in "status flow super_class super_class_raw cell_class cell_sub_class cell_type hemilineage hemilineage_truman side soma_neuromere nt_pred".split()]
+    + [T.StructField(c, _TEXT) for c in NEURON_TEXTS]
     + [T.StructField("nt_conf", T.DoubleType())]
     + [T.StructField(f"nt_p_{c}", T.FloatType()) for c in NT_CLASSES]
-    + [T.StructField(c, _TEXT) for c in "nt_source nt_known fafb_783_cell_type hemibrain_121_cell_type manc_121_cell_type malecns_10_cell_type dimorphism vfb_id".split()]
+    + [T.StructField(c, _TEXT) for c in NEURON_LABELS]
 )
 EDGES = T.StructType(
     [
@@ -63,7 +88,10 @@ EDGES = T.StructType(
         T.StructField("roi", _TEXT),
     ]
 )
-REQUIRED = {"neurons": ("dataset", "version", "neuron_id"), "edges": ("dataset", "version", "pre", "post", "weight")}
+REQUIRED = {
+    "neurons": ("dataset", "version", "neuron_id"),
+    "edges": ("dataset", "version", "pre", "post", "weight"),
+}
 
 
 def _conform(df: DataFrame, schema: T.StructType, required: tuple[str, ...]) -> DataFrame:
