@@ -9,7 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import Graph, check_ids, id_frame, input_normalized, input_totals
+from .graph import BROADCAST_IDS, Graph, check_ids, id_frame, input_normalized, input_totals
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -23,6 +23,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def settled(graph: Graph) -> Graph:
     """``graph`` with its tables computed once, for operators that read them several times."""
     return replace(graph, nodes=settle(graph.nodes), edges=settle(graph.edges))
@@ -39,15 +44,16 @@ def bfs_distances(edges: DataFrame, start: Sequence[int], max_depth: int, *, bac
     """(node, distance) of nodes within ``max_depth`` hops of ``start`` (0 for these)."""
     a, b = ("post", "pre") if backwards else ("pre", "post")
     steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    seen = id_frame(edges, start, "node").withColumn("distance", F.lit(0))
-    frontier = seen
+    seen = frontier = id_frame(edges, start, "node").withColumn("distance", F.lit(0))
+    size = total = len(set(start))
     for depth in range(1, max_depth + 1):
-        new = steps.join(frontier.select(F.col("node").alias("_from")), "_from", "left_semi").select(F.col("_to").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = new.withColumn("distance", F.lit(depth))
-        frontier = settle(frontier)
-        if frontier.isEmpty():
+        new = steps.join(small(frontier.select(F.col("node").alias("_from")), size), "_from", "left_semi").select(F.col("_to").alias("node")).distinct()
+        # A few joins of settled edges make a frontier again if an executor is lost, so it is cached and not written.
+        frontier = new.join(small(seen.select("node"), total), "node", "left_anti").withColumn("distance", F.lit(depth)).persist()
+        size = frontier.count()
+        if not size:
             break
-        seen = seen.unionByName(frontier)
+        seen, total = seen.unionByName(frontier), total + size
     return seen
 
 
@@ -89,6 +95,7 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
         .join(signs, "pre")
         .select(F.col("pre").alias("_last"), F.col("post").alias("_next"), F.col("weight").cast("long").alias("_w"), "fraction", "sign", "to_target")
     )
+    steps = small(steps, steps.count())
     goal = id_frame(graph.nodes, targets, "_last").withColumn("_hit", F.lit(True))
     first = graph.spark.createDataFrame([(i, int(s)) for i, s in enumerate(dict.fromkeys(sources))], "_turn int, _last long")
     frontier = first.select("_turn", "_last", F.array("_last").alias("path"), F.expr("cast(array() as array<bigint>)").alias("weights"), F.expr("cast(array() as array<double>)").alias("signs"), F.lit(1.0).alias("strength"))
