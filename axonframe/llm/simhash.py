@@ -48,6 +48,8 @@ BROADCAST_IDS = 2_000_000
 SAMPLES, SAMPLE = 24, 5
 #: More leaders of a large key that classes unlike its first leader are compared with.
 LEADERS = 8
+#: Keys that are compared before the others.
+FIRST_KEYS = 3
 _SLICE = 1 << 20
 #: Widths of the three segments and the generator polynomial of the Golay code (fixed values).
 SEGMENTS = (22, 21, 21)
@@ -289,16 +291,17 @@ def sampled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def _candidates(members: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes from members (key, fp) of keys with two and more: all pairs of a small key, and each member
-    of a large one with its leader. The first of the key's classes by a hash leads, so that keys which share members
-    share the leader and the pairs. Second, the large keys' rows (key, a, fp, others) with more leaders by other
-    hashes."""
-    first = lambda *x: F.min_by("fp", F.xxhash64(*x, "fp"))
-    size = members.groupBy("key").agg(F.count("*").alias("n"), first().alias("a"), F.array(*(first(F.lit(i)) for i in range(LEADERS))).alias("others")).where("n > 1")
-    rows = settle(members.join(size, "key"))
-    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
-    pairs = small.select(F.explode("m").alias("a"), "m").select("a", F.explode(F.filter("m", lambda x: x > F.col("a"))).alias("b"))
-    large = rows.where((F.col("n") > pair_limit) & (F.col("fp") != F.col("a"))).select("key", "a", "fp", "others")
+    """Pairs (a, b) of classes from members (key, fp, root): classes of the same root are linked already. Of a small key all
+    pairs of different roots; of a large one the leader with each member of another root. The first of the key's classes by
+    a hash leads, so that keys which share members share the leader and the pairs. Second, the large keys' rows (key, a,
+    fp, others) that are compared, with more leaders by other hashes."""
+    first = lambda of, *x: F.min_by(of, F.xxhash64(*x, "fp"))
+    size = members.groupBy("key").agg(F.count("*").alias("n"), first("fp").alias("a"), first("root").alias("a_root"), F.array(*(first("fp", F.lit(i)) for i in range(LEADERS))).alias("others"), F.min("root").alias("low"), F.max("root").alias("high"))
+    size = size.where("n > 1 and low <> high").select(F.col("key").alias("k"), "n", "a", "a_root", "others")
+    rows = settle(members.join(size, (F.col("key") == F.col("k")) & ((F.col("n") <= pair_limit) | (F.col("root") != F.col("a_root")))))
+    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "root"))).alias("m"))
+    pairs = small.select(F.explode("m").alias("x"), "m").select(F.col("x.fp").alias("a"), F.explode(F.filter("m", lambda y: (y["fp"] > F.col("x.fp")) & (y["root"] != F.col("x.root")))).alias("y")).select("a", F.col("y.fp").alias("b"))
+    large = rows.where(F.col("n") > pair_limit).select("key", "a", "fp", "others")
     return pairs.unionByName(_ordered(large.select("a", "fp"))).distinct(), large
 
 
@@ -307,25 +310,37 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).where("a < b")
 
 
+def _roots(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``classes`` with ``root``: of each class and its partners the first by a hash, which links all that share it."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    best = both.groupBy(F.col("a").alias("c")).agg(F.min_by("b", F.xxhash64("b")).alias("p"))
+    first = F.when(F.xxhash64("p") < F.xxhash64("fp"), F.col("p")).otherwise(F.col("fp"))
+    return classes.join(best, F.col("fp") == F.col("c"), "left").select("fp", "keys", F.when(F.col("p").isNull(), F.col("fp")).otherwise(first).alias("root"))
+
+
 def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, pair_limit: int | None = None) -> DataFrame:
     """Links (a, b), a < b, of classes (fp, least, keys) whose sets have a Jaccard similarity of ``similarity`` or more.
 
     Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader.
-    Those unlike it are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their
-    keys. All candidates are verified on their whole sets."""
+    ``FIRST_KEYS`` keys go first; then all keys, for classes which those have not linked to the same class. Classes unlike
+    a leader are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their keys. All
+    candidates are verified on their whole sets."""
     pair_limit = pair_limit or PAIR_LIMIT
-    first, large = _candidates(settle(classes.select("fp", F.explode("keys").alias("key"))), pair_limit)
-    verified = settle(_verify(docs, classes, settle(first), id_col, text_col, shingle, similarity))
+    keyed = lambda rows, keys: rows.select("fp", "root", F.explode(keys).alias("key"))
+    verify = lambda pairs: settle(_verify(docs, classes, settle(pairs), id_col, text_col, shingle, similarity))
+    alone = classes.select("fp", "keys", F.col("fp").alias("root"))
+    verified = verify(_candidates(keyed(alone, F.slice("keys", 1, FIRST_KEYS)), pair_limit)[0])
+    rooted = settle(_roots(classes, verified))
+    pairs, large = _candidates(keyed(rooted, "keys"), pair_limit)
+    verified = settle(verified.unionByName(verify(pairs.join(verified, ["a", "b"], "left_anti"))))
     led = verified.select(F.col("a").alias("x"), F.col("b").alias("y"))
     rest = settle(large.join(led, (F.least("a", "fp") == F.col("x")) & (F.greatest("a", "fp") == F.col("y")), "left_anti").select("key", "fp", "others"))
     if rest.isEmpty():
         return verified
-    own = classes.select(F.col("fp").alias("c"), "keys")
-    again = rest.join(own, F.col("fp") == F.col("c")).select("fp", "key", F.explode("keys").alias("k2")).where("key <> k2")
-    second, _ = _candidates(again.select("fp", F.xxhash64("key", "k2").alias("key")), pair_limit)
+    again = rest.join(rooted.select(F.col("fp").alias("c"), "keys", "root"), F.col("fp") == F.col("c")).select("fp", "root", "key", F.explode("keys").alias("k2")).where("key <> k2")
+    second, _ = _candidates(again.select("fp", "root", F.xxhash64("key", "k2").alias("key")), pair_limit)
     second = second.unionByName(_ordered(rest.select(F.explode("others").alias("a"), "fp"))).distinct()
-    second = settle(second.join(verified, ["a", "b"], "left_anti"))
-    return verified.unionByName(_verify(docs, classes, second, id_col, text_col, shingle, similarity))
+    return verified.unionByName(verify(second.join(verified, ["a", "b"], "left_anti")))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
