@@ -41,7 +41,7 @@ BLOCK_ROWS = 3_000_000
 _SLICE = 1 << 20
 _BUFFER = 4_000_000
 #: Bytes of texts that a task scores against all blocks at once (about 12 bytes of memory each).
-_HELD = 8 << 20
+_HELD = 2 << 20
 _PAD, _END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 WORD, GRAM, END = 0, 1, 2
 
