@@ -38,7 +38,7 @@ from .common import mix64, settle, slices, small_batches, texts, word_hashes, wo
 ORDER = 5
 #: Model rows per block that is collected and broadcast (16 bytes a row).
 BLOCK_ROWS = 3_000_000
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _BUFFER = 4_000_000
 #: Bytes of texts that a task scores against all blocks at once (about 12 bytes of memory each).
 _HELD = 2 << 20
