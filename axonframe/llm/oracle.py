@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .divergence import MIN_DOCS, SCALE, TERM, TERM_RANKS
 from .license_scan import CONTAINMENT, SHINGLE, TEMPLATES, _class, python_words
 from .mixing import KEY_HEX, SEED
 from .quality import RULES, STOP_WORDS
@@ -76,4 +77,51 @@ c AS (SELECT doc_id, i, license, j, count(DISTINCT x) / any_value(n) AS c FROM v
 SELECT doc_id, license, max(c) AS containment, count(DISTINCT j) AS n_windows FROM c WHERE c >= {CONTAINMENT} GROUP BY 1, 2"""
 
 
-ORACLE_SQL: dict[str, str] = {"op4_quality": _op4(), "op6_mixing": OP6, "op8_licenses": _op8(), "op10_url_filter": OP10}
+#: Levels that the SQL of the manifest unrolls (8**7 leaves a tree).
+_LEVELS = 7
+
+
+def _op12() -> str:
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join([part("doc_id"), part("source"), part("lang"), part("n_chars"), part(text)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        "table_(t) AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))",
+        "c AS (SELECT row_number() OVER () AS i, *, CASE WHEN doc_id IS NULL THEN NULL ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) END AS crc FROM documents, table_)",
+        f"d AS (SELECT i, doc_id, lang, {leaf('text')} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS other FROM c)",
+        "l0 AS (SELECT lang AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, leaf, i) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS digest, i FROM d)",
+        "p0 AS (SELECT l0.i, tree, pos, '' AS proof, other AS node FROM l0 JOIN d USING (i))",
+    ]
+
+    def climb(nodes: str, path: str, level: int) -> None:
+        """The levels above ``nodes`` and, along them, the siblings of the rows of ``path``."""
+        for k in range(level, level + _LEVELS):
+            ctes.append(f"b{k} AS (SELECT tree, pos // 8 AS pos, any_value(n) AS n, list(digest ORDER BY pos) AS run FROM {nodes} GROUP BY 1, pos // 8)")
+            left, right = "array_to_string(run[:p.pos % 8], '')", "array_to_string(run[p.pos % 8 + 2:], '')"
+            ctes.append(f"p{k} AS (SELECT p.i, p.tree, p.pos // 8 AS pos, CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof, CASE WHEN n = 1 THEN node ELSE sha256({left} || node || {right}) END AS node FROM {path} p JOIN b{k} b ON p.tree IS NOT DISTINCT FROM b.tree AND p.pos // 8 = b.pos)")
+            ctes.append(f"l{k} AS (SELECT tree, pos, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS digest FROM b{k})")
+            nodes, path = f"l{k}", f"p{k}"
+
+    climb("l0", "p0", 1)
+    end = _LEVELS
+    ctes.append(f"t0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, digest, tree AS lang FROM l{end})")
+    ctes.append(f"q0 AS (SELECT i, 0 AS tree, t0.pos, proof, node, digest AS subroot FROM p{end} p JOIN t0 ON p.tree IS NOT DISTINCT FROM t0.lang)")
+    climb("t0", "q0", end + 1)
+    top = 2 * _LEVELS
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = digest AS verified FROM d JOIN (SELECT i, subroot FROM q0) USING (i) JOIN p{top} USING (i) CROSS JOIN l{top}"
+
+
+OP13 = rf"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+m AS (SELECT i, lang, source, unnest(regexp_extract_all(t, '{TERM}')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM m GROUP BY 1, 2 HAVING count(DISTINCT i) >= {MIN_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, k.n AS all_n, count(m.i) AS n FROM g JOIN k USING (lang) LEFT JOIN m ON m.lang = g.lang AND m.source = g.source AND m.term = k.term GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, sum(all_n) OVER (PARTITION BY lang, source) AS all_total, count(*) OVER (PARTITION BY lang, source) AS v FROM c),
+p AS (SELECT lang, source, term, n, (1 + {SCALE}::HUGEINT * (n + 1) // (total + v))::BIGINT AS p, (1 + {SCALE}::HUGEINT * (all_n + 1) // (all_total + v))::BIGINT AS q FROM s),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r QUALIFY part = 'pair' OR rank <= {TERM_RANKS}"""
+
+
+ORACLE_SQL: dict[str, str] = {"op4_quality": _op4(), "op6_mixing": OP6, "op8_licenses": _op8(), "op10_url_filter": OP10, "op12_merkle": _op12(), "op13_divergence": OP13}

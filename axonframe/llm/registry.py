@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, langid, license_scan, lm_score, mixing, quality, secrets, simhash, url_filter
+from . import decontaminate, divergence, html_extract, langid, license_scan, lm_score, merkle, mixing, quality, secrets, simhash, url_filter, weighted_minhash
 from .common import table
 from .oracle import ORACLE_SQL
 
@@ -81,8 +81,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = weighted_minhash.fingerprint_texts(table(spark, sf_dir, "documents"))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return rows.select("doc_id", "n_chars", "edited_sha256", text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_decontaminate, op3_lm_score, op4_quality, op5_langid, op6_mixing, op7_html, op8_licenses, op9_secrets, op10_url_filter]
+    found = [op1_simhash, op2_decontaminate, op3_lm_score, op4_quality, op5_langid, op6_mixing, op7_html, op8_licenses, op9_secrets, op10_url_filter, op11_fingerprints, op12_merkle, op13_divergence]
     return {f.__name__: f for f in found}
 
 
