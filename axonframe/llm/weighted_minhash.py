@@ -18,6 +18,7 @@ of their own; the next document of a lone row is itself; columns other than id a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .common import LOWER, UPPER, mix64, settle
 #: Samples of a fingerprint, words (with their counts) whose draws a task remembers, words that are compared at once,
 #: and words that are drawn at once.
 SAMPLES = 128
-CACHE_WORDS = 98_304
+CACHE_WORDS = 163_840
 CHUNK_WORDS = 8_192
 DRAW_WORDS = 128
 #: Rows of a batch whose texts are decoded together.
@@ -64,13 +65,15 @@ class Sampler:
 
     def __init__(self) -> None:
         self.r = gamma_quantiles(R_BITS).astype(np.float32)
+        # 1 - b of every quantile of b
+        self.rest = (1 - (np.arange(1 << B_BITS) + 0.5) / (1 << B_BITS)).astype(np.float32)
         self.log_c = np.log(gamma_quantiles(C_BITS)).astype(np.float32)
         self.seen: dict[tuple[bytes, int], int] = {}
         self.values = np.empty((CACHE_WORDS, SAMPLES), np.float32)
         self.hashes = np.empty(CACHE_WORDS, np.uint64)
 
     def _draw(self, h: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, b and log c for words by lanes (shapes broadcast)."""
+        """r, 1 - b and log c for words by lanes (shapes broadcast)."""
         with np.errstate(over="ignore"):
             x = h ^ lanes
             x *= np.uint64(0xBF58476D1CE4E5B9)
@@ -80,10 +83,10 @@ class Sampler:
         x = x.view(np.int64)
         r = self.r.take(x & ((1 << R_BITS) - 1))
         x >>= R_BITS
-        b = ((x & ((1 << B_BITS) - 1)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-B_BITS)
+        rest = self.rest.take(x & ((1 << B_BITS) - 1))
         x >>= B_BITS
         x &= (1 << C_BITS) - 1
-        return r, b, self.log_c.take(x)
+        return r, rest, self.log_c.take(x)
 
     def _rows(self, items: list[tuple[bytes, int]]) -> np.ndarray:
         """Indices of the draws of at most ``CHUNK_WORDS`` words."""
@@ -97,12 +100,12 @@ class Sampler:
             h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w, _ in new), np.uint64, len(new))
             log_n = np.log(np.fromiter((n for _, n in new), np.float32, len(new)))
             for i in range(0, len(new), DRAW_WORDS):
-                r, b, value = self._draw(h[i : i + DRAW_WORDS, None], _LANES)
+                r, rest, value = self._draw(h[i : i + DRAW_WORDS, None], _LANES)
                 many = np.flatnonzero(log_n[i : i + DRAW_WORDS])
-                b = np.float32(1) - b
                 if len(many):  # t is 0 at a count of one
-                    b[many] += np.floor(log_n[i + many, None] / r[many] + np.float32(1) - b[many])
-                value -= r * b
+                    rest[many] += np.floor(log_n[i + many, None] / r[many] + np.float32(1) - rest[many])
+                rest *= r
+                value -= rest
                 self.values[at + i : at + i + len(value)] = value
             self.hashes[at : at + len(new)] = h
             self.seen.update(zip(new, range(at, at + len(new)), strict=True))
@@ -125,13 +128,19 @@ class Sampler:
             least = np.minimum(least, lower)
             h[won] = self.hashes[rows[best[won]]]
             log_n[won] = np.log(np.fromiter((items[i + k][1] for k in best[won]), np.float32, int(won.sum())))
-        r, b, _ = self._draw(h, _LANES)
-        t = np.floor(log_n / r + b)
+        r, rest, _ = self._draw(h, _LANES)
+        t = np.floor(log_n / r + np.float32(1) - rest)
         with np.errstate(over="ignore"):
             mixed = mix64(mix64(h ^ _LANES) + t.astype(np.int64).astype(np.uint64))
         return (mixed >> np.uint64(48)).astype(np.uint16)
 
 
+@functools.cache
+def worker_sampler() -> Sampler:
+    """The sampler of this Python process; tasks that follow one another find the words of the last one."""
+    return Sampler()
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated generalised Jaccard similarity: the share of equal samples."""
     return float(np.count_nonzero(a == b)) / SAMPLES
@@ -184,7 +193,7 @@ def fingerprint_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results() -> Iterator[tuple]:
-            sampler, last = Sampler(), None
+            sampler, last = worker_sampler(), None
             for i, text, part in _rows(batches, "doc_id", "text", "part"):
                 own = sampler.fingerprint(text.encode())
                 if last is None:
@@ -206,7 +215,7 @@ def fingerprint_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results() -> Iterator[tuple]:
-            sampler = Sampler()
+            sampler = worker_sampler()
             for i, text, following in _rows(batches, "doc_id", "text", "following"):
                 yield (i, *_result(sampler, text, sampler.fingerprint(text.encode()), following, sampler.fingerprint(following.encode())))
 
