@@ -383,3 +383,33 @@ def converted_shiu(spark, sf_dir):
     sign = F.when(F.col("pre") % 2 == 0, 1).otherwise(-1)
     rows = e.select(F.col("pre").alias("Presynaptic_ID"), F.col("post").alias("Postsynaptic_ID"), F.col("weight").alias("Connectivity"), sign.alias("Excitatory"))
     return convert.convert_shiu(n.select("id"), rows)[0].select("neuron_id", "nt_pred")
+
+
+# Null distributions.
+
+_NULLS, _NULL_SEED = 20, 3
+
+
+@_query(
+    f"""WITH {view.SQL_NODES}, {view.SQL_EDGES}, label AS (SELECT neuron_id, cell_type AS label FROM neurons),
+a AS (SELECT neuron_id, row_number() OVER (ORDER BY neuron_id) AS r FROM signs),
+b AS (SELECT k AS null_, sign, row_number() OVER (PARTITION BY k ORDER BY ('0x' || substr(md5(({_NULL_SEED} * 1000003 + k) || ':' || neuron_id), 1, 8))::UBIGINT / 4294967296.0, neuron_id) AS r FROM signs, range(1, {_NULLS + 1}) t(k)),
+s AS (SELECT 0 AS null_, neuron_id, sign FROM signs UNION ALL SELECT null_, neuron_id, b.sign FROM b JOIN a USING (r)),
+w AS (SELECT pre, label AS post_label, sum(weight) AS weight FROM edges JOIN label ON post = neuron_id GROUP BY 1, 2),
+v AS (SELECT null_, label AS pre_label, post_label, sum(weight * sign)::DOUBLE AS value FROM w JOIN label ON pre = neuron_id JOIN s ON s.neuron_id = pre GROUP BY ALL),
+m AS (SELECT pre_label, post_label, avg(value) FILTER (null_ > 0) AS null_mean, coalesce(stddev_samp(value) FILTER (null_ > 0), 0) AS null_sd, max(value) FILTER (null_ = 0) AS observed FROM v GROUP BY 1, 2),
+f AS (SELECT pre_label, post_label, count(*) AS far FROM v JOIN m USING (pre_label, post_label) WHERE null_ > 0 AND abs(value - null_mean) >= abs(observed - null_mean) GROUP BY 1, 2)
+SELECT pre_label, post_label, observed, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(CASE WHEN null_sd > 0 THEN (observed - null_mean) / null_sd WHEN observed = null_mean THEN 0 ELSE sign(observed - null_mean) * 'inf'::DOUBLE END, 6) AS z,
+  (1 + coalesce(far, 0)) / {_NULLS + 1}.0::DOUBLE AS p_two_sided, {_NULLS} AS n_nulls FROM m LEFT JOIN f USING (pre_label, post_label)"""
+)
+def null_label_weights(spark, sf_dir):
+    """Signed weights between types against graphs with shuffled signs: z and p of every pair, all nulls at once."""
+    found = nulls.null_table(lambda n: nulls.label_weights(n, "cell_type", signed=True), view.graph(spark, sf_dir), n_nulls=_NULLS, seed=_NULL_SEED, null=nulls.SHUFFLE)
+    return found.select("pre_label", "post_label", "observed", F.round("null_mean", 6).alias("null_mean"), F.round("null_sd", 6).alias("null_sd"), F.round("z", 6).alias("z"), "p_two_sided", "n_nulls")
+
+
+@_query(f"{_E} SELECT k::INT AS \"null\", pre AS id, count(*) AS degree, sum(weight)::BIGINT AS weight, 0::BIGINT AS loops FROM edges, range(0, 4) t(k) GROUP BY 1, 2")
+def null_degrees(spark, sf_dir):
+    """Out-degrees and out-weights of a graph and three rewired ones, made side by side; all must be alike, without repeated pairs."""
+    e = nulls.null_graphs(view.graph(spark, sf_dir), n_nulls=3, seed=_NULL_SEED).edges
+    return e.distinct().groupBy("null", F.col("pre").alias("id")).agg(F.count_distinct("post").alias("degree"), F.sum("weight").alias("weight"), F.count_if(F.col("pre") == F.col("post")).alias("loops"))

@@ -49,7 +49,7 @@ def test_nodes_on_paths(toy):
 def test_effective(spark):
     nodes = [(1, "A", "acetylcholine", 10), (2, "B", "gaba", 10), (3, "C", "acetylcholine", 10)]
     t = build(spark, nodes, [(1, 2, 5), (2, 3, 10), (1, 3, 2)])
-    got = {r["hops"]: r["total"] for r in p.effective_by_hops(t, [1], [3]).collect()}
+    got = {r["hops"]: r["value"] for r in p.effective_by_hops(t, [1], [3]).collect()}
     assert got == {1: pytest.approx(0.2), 2: pytest.approx(-0.5), 3: 0}
     two = {(r["pre"], r["post"]): r["value"] for r in p.effective_connectivity(t, 2, signed=False, threshold=0.3).collect()}
     assert two[1, 3] == pytest.approx(0.5)
