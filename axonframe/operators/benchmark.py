@@ -5,18 +5,17 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, hash_uniform
-from .compare import MIN_YARDSTICK, Atlas, LogisticModel, fit_logistic, partner_counts, partner_labels, truth_labels
+from .calibrate import bootstrap_means, calibration_report, fit_logistic_folds
+from .compare import MIN_YARDSTICK, Atlas, LogisticModel, choose_delta, choose_s_floor, partner_counts, partner_labels, truth_labels
 from .graph import Graph
 from .paths import settle
 
@@ -123,51 +122,27 @@ class Calibration:
         return None if self.atlas_hash == atlas.hash else f"calibrated for atlas {self.atlas_hash}, not {atlas.hash}"
 
 
-def type_bootstrap(records: pd.DataFrame, column: str, n_boot: int = 1000, seed: int = 0) -> tuple[float, float, float]:
-    """Mean of a column and 2.5 and 97.5 percentiles over resampled types."""
-    g = records.groupby("type")[column].agg(["sum", "count"]).to_numpy(float)
-    pick = np.random.default_rng(seed).integers(0, len(g), (n_boot, len(g)))
-    means = g[pick, 0].sum(axis=1) / g[pick, 1].sum(axis=1)
-    return float(g[:, 0].sum() / g[:, 1].sum()), float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))
-
-
-def expected_error(p: np.ndarray, y: np.ndarray, bins: int = 10) -> float:
-    b = np.minimum((p * bins).astype(int), bins - 1)
-    return float(sum(abs(p[b == k].mean() - y[b == k].mean()) * (b == k).mean() for k in np.unique(b)))
-
-
-def fit_calibration(records: DataFrame, atlas: Atlas, *, reference: str, n_folds: int = 5, seed: int = 0, accept: float = 0.8, max_false_accept: float = 0.10, max_rows: int = 1_000_000) -> Calibration:
-    """Acceptance model by type-level folds: out-of-fold calibration error and accuracy, thresholds from open and
-    closed records. Records are a benchmark's summary rows; their number is checked before they are read."""
-    records = records.where("level = 'neuron'")
-    if records.count() > max_rows:
-        raise ValueError(f"more than {max_rows} records; sample types in run_benchmark")
-    d = records.orderBy("query", "protocol", "type", "neuron_id").toPandas()
-    closed, opened = d[d.protocol == "closed"], d[d.protocol == "open"]
-    fold = {t: k % n_folds for k, t in enumerate(np.random.default_rng(seed).permutation(sorted(closed.type.unique())))}
-    f = closed.type.map(fold).to_numpy()
-    x, y = closed[list(FEATURES)].to_numpy(float), closed.correct.to_numpy(float)
-    out = np.full(len(closed), np.nan)
-    for k in range(n_folds):
-        train = f != k
-        if (~train).any() and 0 < y[train].mean() < 1:
-            m = fit_logistic(x[train], y[train], features=FEATURES)
-            out[~train] = 1 / (1 + np.exp(-(x[~train] @ np.array(m.coef) + m.intercept)))
-    ok = ~np.isnan(out)
-    floor = float(np.quantile(opened.s1, 1 - max_false_accept)) if len(opened) else 0.0
-    edges = np.minimum((closed.margin * 20).astype(int), 19)
-    low = [k for k in np.unique(edges) if (edges == k).sum() >= 10 and y[edges == k].mean() < 0.5]
-    model = fit_logistic(x, y, features=FEATURES)
-    taken = ok & (out >= accept)
-    metrics = {
-        "n": len(closed),
-        "top1": type_bootstrap(closed.assign(r=y), "r", seed=seed),
-        "ece": expected_error(out[ok], y[ok]) if ok.any() else None,
-        "brier": float(((out[ok] - y[ok]) ** 2).mean()) if ok.any() else None,
-        "coverage": float(taken.mean()),
-        "accuracy_within": float(y[taken].mean()) if taken.any() else None,
-    }
-    return Calibration(reference, atlas.hash, model, floor, (low[-1] + 1) / 20 if low else 0.01, accept, metrics)
+#: Feature sets whose out-of-fold errors are reported beside those of the model.
+VARIANTS = {"model": FEATURES, "score": ("s1",), "score_margin": ("s1", "margin")}
+
+
+def fit_calibration(records: DataFrame, atlas: Atlas, *, reference: str, level: str = "neuron", n_folds: int = 5, seed: int = 0, accept: float = 0.8, max_false_accept: float = 0.10, n_boot: int = 1000, variants: Mapping[str, Sequence[str]] = VARIANTS) -> Calibration:
+    """Acceptance model of all records and, by type-level folds, what it is worth: errors, coverage and accuracy of closed
+    records and false accepts of open ones, where neither the model nor the thresholds of a row have seen its type.
+
+    ``records`` are a benchmark's (settled) rows; queries without partners (``empty``) are left out. All is done by aggregates;
+    the driver holds coefficients and metrics alone."""
+    rows = records.where((F.col("level") == level) & ~F.col("empty"))
+    closed, opened = settle(rows.where("protocol = 'closed'")), settle(rows.where("protocol = 'open'"))
+    models = fit_logistic_folds(closed, FEATURES, "correct")
+    if -1 not in models:
+        raise ValueError("both outcomes are needed")
+    top1 = bootstrap_means(closed.withColumn("r", F.col("correct").cast("double")), "type", "r", n_boot=n_boot, seed=seed).first()
+    report = {r["variant"]: r.asDict() for r in calibration_report(closed, opened, variants, n_folds=n_folds, seed=seed, accept=accept, max_false_accept=max_false_accept).collect()}
+    metrics = {"n": top1["n"], "top1": (top1["mean"], top1["ci_low"], top1["ci_high"]), "variants": report}
+    floor = choose_s_floor(opened, max_false_accept=max_false_accept)
+    delta = choose_delta(closed.withColumn("right", F.col("correct")))
+    return Calibration(reference, atlas.hash, models[-1], floor, delta, accept, metrics)
 
 
 def write_benchmark(records: DataFrame, calibration: Calibration, out: str) -> None:

@@ -197,7 +197,7 @@ def _sweep(value: Any, readouts: Collection[str]) -> Sweep:
         rates = b.value["rate_hz"]
         b.check(isinstance(rates, list) and len(rates) > 0, "rate_hz must be a non-empty list")
         rates = tuple(map(float, rates))
-        b.check(min(rates) > 0 and len(set(rates)) == len(rates), f"rate_hz values must be positive and distinct, got {rates}")
+        b.check(min(rates) > 0 and len(set(rates)) == len(rates), f"each rate_hz has to be above 0 and given once: {rates}")
         return Sweep("rate_hz", rates_hz=rates)
     s = Block(b.value["silence_each"], "sweep silence_each").only("select", "group_by", "max_items", "rank_by", "pathway")
     rank_by, pathway = s.get("rank_by", str, "activity", among=("activity", "pathway")), None
@@ -205,7 +205,7 @@ def _sweep(value: Any, readouts: Collection[str]) -> Sweep:
     if rank_by == "pathway":
         w = Block(s.value.get("pathway"), "pathway").need("readout").only("readout", "max_hops", "min_weight", "min_edge_fraction")
         pathway = Pathway(w.get("readout", str, among=readouts), w.get("max_hops", int, 3), w.get("min_weight", int, 5), w.get("min_edge_fraction", float, 0.0))
-        w.check(2 <= pathway.max_hops <= 4, "max_hops must be 2 to 4, as a relay needs two")
+        w.check(2 <= pathway.max_hops <= 4, "a pathway takes 2, 3 or 4 max_hops; with one hop nothing lies between")
     chosen = _selection(s.value["select"]) if "select" in s.value else Selection()
     return Sweep("silence_each", chosen, s.get("group_by", str, "cell_type"), s.get("max_items", int, 50, least=1), rank_by, pathway)
 
@@ -216,9 +216,9 @@ def _robustness(value: Any, dataset: str, sweep: Sweep | None, readouts: Collect
     b.check(b.value.get("primary_readout") in readouts, f"primary_readout must name a readout; have {sorted(readouts)}")
     w = b.value.get("w_syn", "auto")
     good = w in ("auto", "off") if isinstance(w, str) else isinstance(w, list) and len(w) > 0 and all(isinstance(x, int | float) and x > 0 for x in w)
-    b.check(good, f"w_syn must be 'auto', 'off' or a list of positive mV, got {w!r}")
+    b.check(good, f"w_syn is 'auto', 'off' or mV values above 0, not {w!r}")
     weights = tuple(map(int, b.value.get("min_weights", [3, 5]) or []))
-    b.check(all(x >= 1 for x in weights) and len(set(weights)) == len(weights), f"min_weights must be distinct and >= 1, got {weights}")
+    b.check(all(x >= 1 for x in weights) and len(set(weights)) == len(weights), f"each of min_weights has to be 1 or more and given once: {weights}")
     replicate = b.value.get("replicate", "flywire@783")
     b.check(replicate != dataset, f"replicate must differ from the dataset ({dataset})")
     null, pool = b.value.get("random_null"), "active"
@@ -260,7 +260,7 @@ def spec_from_dict(data: Mapping) -> ExperimentSpec:
     robustness = _robustness(d.value["robustness"], str(d.value["dataset"]), sweep, readouts) if d.value.get("robustness") is not None else None
     rep = d.block("report").only(*(f.name for f in dataclasses.fields(Report)))
     report = Report(rep.get("top_neurons", int, 30), rep.get("alpha", float, 0.05), rep.get("statistics", str, "paired" if robustness else "unpaired", among=("paired", "unpaired")))
-    rep.check(report.statistics == "unpaired" or sweep is not None, "statistics: paired needs a sweep")
+    rep.check(report.statistics == "unpaired" or sweep is not None, "paired statistics compare the runs of a sweep, and there is none")
     return ExperimentSpec(
         name=str(d.value["name"]),
         dataset=str(d.value["dataset"]),

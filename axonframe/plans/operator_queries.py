@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import access, benchmark, compare, graph as g, nulls, paths as p, sim, stats, uncertainty
+from ..operators import access, benchmark, calibrate, compare, graph as g, nulls, paths as p, sim, stats, uncertainty
 from ..schema import NT_CLASSES
 from ..sources import convert
 from . import graphview as view
@@ -413,3 +415,65 @@ def null_degrees(spark, sf_dir):
     """Out-degrees and out-weights of a graph and three rewired ones, made side by side; all must be alike, without repeated pairs."""
     e = nulls.null_graphs(view.graph(spark, sf_dir), n_nulls=3, seed=_NULL_SEED).edges
     return e.distinct().groupBy("null", F.col("pre").alias("id")).agg(F.count_distinct("post").alias("degree"), F.sum("weight").alias("weight"), F.count_if(F.col("pre") == F.col("post")).alias("loops"))
+
+
+# Calibration and resampling.
+
+_BOOT, _FOLDS, _STEPS = 200, 4, 12
+_U8 = "('0x' || substr(md5({key}), 1, 8))::UBIGINT / 4294967296.0"
+_CUM_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(calibrate.MOST)]
+
+
+@_query(
+    f"""WITH s AS (SELECT o_orderpriority AS priority, o_custkey AS u, sum(o_totalprice::DOUBLE / 1000) AS s, count(*) AS c FROM orders GROUP BY 1, 2),
+d AS (SELECT *, {_U8.format(key="'7:' || u || ':' || k")} AS x FROM s, range(1, {_BOOT + 1}) t(k)),
+w AS (SELECT *, CASE {' '.join(f'WHEN x < {c!r} THEN {k}' for k, c in enumerate(_CUM_POISSON))} ELSE {calibrate.MOST} END AS w FROM d),
+m AS (SELECT priority, k, sum(w * s) / sum(w * c) AS m FROM w WHERE w > 0 GROUP BY 1, 2),
+q AS (SELECT priority, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1)
+SELECT priority, count(*) AS n_units, sum(c)::BIGINT AS n, round(sum(s) / sum(c), 6) AS mean, round(any_value(low), 6) AS ci_low, round(any_value(high), 6) AS ci_high FROM s JOIN q USING (priority) GROUP BY 1"""
+)
+def bootstrap_by_customer(spark, sf_dir):
+    """Mean order value per priority with its interval over draws of whole customers."""
+    rows = view.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_custkey", (F.col("o_totalprice").cast("double") / 1000).alias("v"))
+    got = calibrate.bootstrap_means(rows, "o_custkey", "v", by=["priority"], n_boot=_BOOT, seed=7)
+    return got.select("priority", "n_units", "n", *(F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")))
+
+
+def _outcomes(spark, sf_dir):
+    c = view.table(spark, sf_dir, "customer")
+    k, x = F.col("c_custkey"), F.col("c_acctbal").cast("double") / 1000
+    rows = c.select(k.alias("id"), x.alias("x"), (x + (k % 11) - 5 > 4.5).alias("correct"), ((k * 37 % 100) / 100).alias("margin"), ((k * 53 % 1000) / 1000).alias("s1"))
+    return p.settle(rows.withColumn("fold", calibrate.fold_of(F.col("id"), _FOLDS)))
+
+
+_OUTCOMES = f"r AS (SELECT c_custkey AS id, c_acctbal::DOUBLE / 1000 AS x, c_acctbal::DOUBLE / 1000 + c_custkey % 11 - 5 > 4.5 AS correct, (c_custkey * 37 % 100) / 100 AS margin, (c_custkey * 53 % 1000) / 1000 AS s1, floor({_U8.format(key=chr(39) + '0:' + chr(39) + ' || c_custkey')} * {_FOLDS})::INT AS fold FROM customer)"
+
+
+def _newton_sql() -> str:
+    ctes = [_OUTCOMES, f"m0 AS (SELECT k::INT AS model, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM range(-1, {_FOLDS}) t(k))"]
+    for i in range(_STEPS):
+        ctes.append(f"g{i} AS (SELECT model, a, b, x, correct::INT AS y, 1 / (1 + exp(-(a * x + b))) AS p FROM m{i} JOIN r ON fold <> model)")
+        ctes.append(f"h{i} AS (SELECT model, a, b, sum((p - y) * x) + 1e-4 * a AS ga, sum(p - y) AS gb, sum(p * (1 - p) * x * x) + 1e-4 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) AS hbb FROM g{i} GROUP BY model, a, b)")
+        ctes.append(f"m{i + 1} AS (SELECT model, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM h{i})")
+    return f"WITH {', '.join(ctes)} SELECT id, fold, round(1 / (1 + exp(-(a * x + b))), 6) AS p FROM r JOIN m{_STEPS} ON fold = model"
+
+
+@_query(_newton_sql())
+def logistic_out_of_fold(spark, sf_dir):
+    """Probabilities of customers by logistic models that did not learn from their fold."""
+    rows = _outcomes(spark, sf_dir)
+    models = calibrate.fit_logistic_folds(rows, ["x"], "correct", F.col("fold"), n_folds=_FOLDS)
+    return calibrate.out_of_fold(rows, models, F.col("fold")).select("id", "fold", F.round("p", 6).alias("p"))
+
+
+@_query(
+    f"""WITH {_OUTCOMES}, k AS (SELECT k::INT AS k FROM range(0, {_FOLDS}) t(k)),
+f AS (SELECT k, quantile_cont(s1, 0.9) AS s_floor FROM k JOIN r ON fold <> k WHERE id % 3 = 0 GROUP BY 1),
+b AS (SELECT k, least(floor(margin * 20), 19) AS b, count(*) AS n, avg(correct::INT) AS acc FROM k JOIN r ON fold <> k GROUP BY 1, 2),
+d AS (SELECT k, (max(b) + 1) / 20 AS delta FROM b WHERE n >= 10 AND acc < 0.5 GROUP BY 1)
+SELECT k AS fold, round(coalesce(s_floor, 0), 9) AS s_floor, round(coalesce(delta, 0.01)::DOUBLE, 9) AS delta FROM k LEFT JOIN f USING (k) LEFT JOIN d USING (k)"""
+)
+def out_of_fold_thresholds(spark, sf_dir):
+    rows = _outcomes(spark, sf_dir)
+    found = calibrate.out_of_fold_thresholds(rows, rows.where("id % 3 = 0"), n_folds=_FOLDS)
+    return found.select("fold", F.round("s_floor", 9).alias("s_floor"), F.round(F.col("delta").cast("double"), 9).alias("delta"))
