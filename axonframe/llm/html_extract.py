@@ -33,7 +33,11 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 NAME = re.compile(r"[a-zA-Z][^\s>/]*")
-STOP = re.compile(r"""[>"']""")
+#: What matters inside a tag: its end, and values. A quote opens a string only as the start of a value.
+STOP = re.compile(r"""=\s*(?:(["'])|[^\s>"'][^\s>]*)|>""")
+#: Raw elements that may be nested or self-closed; ``/`` after an unquoted value is a part of it.
+FOREIGN = ("svg", "math")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -70,13 +74,14 @@ class Node:
 class Scanner:
     """Markup of a page, in one pass: each character is looked at a bounded number of times.
 
-    A tag ends at the first ``>`` outside its quotes. Where there is none, this and all later tags end at their
+    A tag ends at the first ``>`` outside its quoted values. Where there is none, this and all later tags end at their
     first ``>``; markup after the last ``>`` of the page is text, and a comment that never ends takes the rest."""
 
     def __init__(self, page: str) -> None:
         self.page, self.last = page, page.rfind(">")
         self.quotes = {q: page.rfind(q) for q in "\"'"}
         self.plain = False
+        self.last_of: set[str] = set()
 
     def tag_end(self, at: int) -> int:
         """Where the tag whose attributes start at ``at`` has its ``>``."""
@@ -84,20 +89,39 @@ class Scanner:
         while not self.plain and (m := STOP.search(self.page, j)):
             if m[0] == ">":
                 return m.start()
-            if m.start() >= self.quotes[m[0]]:
-                break
-            j = self.page.index(m[0], m.end()) + 1
+            j = m.end()
+            if m[1]:
+                if m.start(1) >= self.quotes[m[1]]:
+                    break
+                j = self.page.index(m[1], j) + 1
         self.plain = True
         return self.page.index(">", at)
 
     def raw_end(self, tag: str, at: int) -> tuple[int, int]:
         """Start and end of the end tag of a raw element whose content starts at ``at``."""
-        for m in re.compile(rf"</{tag}(?=[\s>/])", re.I | re.A).finditer(self.page, at):
-            if m.start() < self.last:
-                return m.start(), self.page.index(">", m.start()) + 1
-            break
+        depth = 1
+        for m in re.compile(rf"<(/?){tag}(?=[\s>/])", re.I | re.A).finditer(self.page, at):
+            if m.start() >= self.last:
+                break
+            end = self.page.index(">", m.start())
+            if m[1]:
+                depth -= 1
+            elif tag in FOREIGN and not SELF_CLOSED.search(self.page[max(m.end(), end - 2) : end]):
+                depth += 1
+            if not depth:
+                return m.start(), end + 1
         return len(self.page), len(self.page)
 
+    def closed_alone(self, tag: str, at: int) -> bool:
+        """Whether a raw tag that ends in a ``/`` of its own has no content: foreign ones; of others, as no end tag comes before the
+        next of the kind, so that the slash was meant."""
+        if tag in FOREIGN or tag in self.last_of:
+            return True
+        m = re.compile(rf"<(/?){tag}(?=[\s>/])", re.I | re.A).search(self.page, at)
+        if not m:
+            self.last_of.add(tag)
+        return not m or not m[1]
+
     def tokens(self) -> Iterator[tuple[str, str, str]]:
         """(kind, value, attributes): ``text``, ``start`` and ``end`` of elements with names in lower case, ``raw``
         (the content of ``xmp``, which has no markup)."""
@@ -128,8 +152,8 @@ class Scanner:
                     continue
                 raw = page[m.end() : end]
                 if tag in RAW or tag == "xmp":
-                    stop = at
-                    if not raw.endswith("/"):
+                    stop = after = at
+                    if not SELF_CLOSED.search(raw) or not self.closed_alone(tag, at):
                         stop, after = self.raw_end(tag, at)
                     if tag == "xmp":
                         yield "start", tag, raw
@@ -137,8 +161,7 @@ class Scanner:
                         yield "end", tag, ""
                     else:
                         yield "start", tag, raw
-                    if not raw.endswith("/"):
-                        at = after
+                    at = after
                 else:
                     yield "start", tag, raw
             else:
@@ -388,6 +411,12 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[str]:
         ]
         top = "".join(rng.sample(before, rng.randint(0, 4)))
         pages.append(f"<html><head><title>{say(2, 6)}</title></head><body>{top}{body}{''.join(rng.sample(after, rng.randint(0, 4)))}</body></html>")
+    for _ in range(n // 4):  # one block is the whole article
+        text = " ".join(sentence() for _ in range(rng.randint(1, 3)))
+        block = rng.choice([f"<p {C}>{text}</p>", f"<div {C}>{text}</div>", f"<table {C}><tr {C}><td {C}>{text}</td></tr></table>"])
+        block = rng.choice(["{}", f"<div {C}>{{}}</div>", f"<section {C}>{{}}</section>", f'<div class="post" {C}>{{}}</div>']).format(block)
+        around = rng.choice([("", ""), (f"<nav>{menu(4)}</nav>", f"<footer><p>{sentence()}</p></footer>"), (f"<div>{menu(4)}</div>", f'<div class="footer">{say(2, 6)} {link()}</div>')])
+        pages.append(f"<html><head><title>{say(2, 6)}</title></head><body>{around[0]}{block}{around[1]}</body></html>")
     return pages
 
 

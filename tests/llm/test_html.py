@@ -163,3 +163,26 @@ def test_clashing_columns_and_long_flat_pages(spark):
     out = h.extract_pages(rows)
     assert out.columns == ["page_id", "html", "text"]
     assert out.collect()[0]["text"].count("\n") == 3999
+
+
+def _kinds(page):
+    return [(k, v) for k, v, _ in h.Scanner(page).tokens()]
+
+
+def test_quotes_open_strings_in_values_alone():
+    page = "<article><p it's>A</p><p>B</p><p a=b'c x=\"1>2\" y = '>'>It isn't lost. C</p></article>"
+    assert [v for k, v in _kinds(page) if k == "text"] == ["A", "B", "It isn't lost. C"]
+    body = "".join(f"<p>Paragraph {i} of the long article isn't short, and it goes on with several words more.</p>" for i in range(4))
+    plain, stray = (h.default_model().extract(f"<html><body><article><p{x}>The first one tells what this page is about in a whole sentence.</p>{body}</article></body></html>") for x in ("", " it's"))
+    assert stray == plain and plain
+
+
+def test_raw_elements_are_not_self_closed():
+    for tag in ("script", "style", "textarea"):
+        assert [v for k, v in _kinds(f"<{tag} src=http://x.com/a/>var leak = 1;</{tag}>kept") if k == "text"] == ["kept"]
+        assert [v for k, v in _kinds(f"<{tag} />var leak = 1;</{tag}>kept") if k == "text"] == ["kept"]
+
+
+def test_nested_svg_has_no_text():
+    assert [v for k, v in _kinds("a<svg><svg x='1'><text>in</text></svg><text>in</text></svg>b") if k == "text"] == ["a", "b"]
+    assert [v for k, v in _kinds("a<svg/>b<svg class=\"x\" />c<svg><svg/><g>in</g></svg>d<svg class=x/>in</svg>e") if k == "text"] == ["a", "b", "c", "d", "e"]
