@@ -417,6 +417,13 @@ def null_degrees(spark, sf_dir):
     return e.distinct().groupBy("null", F.col("pre").alias("id")).agg(F.count_distinct("post").alias("degree"), F.sum("weight").alias("weight"), F.count_if(F.col("pre") == F.col("post")).alias("loops"))
 
 
+@_query(f"SELECT path, hops, min_weight, source, target, round(strength, 12) AS strength, path_sign FROM ({_PATHS.format(hops=3, w=5, frac=0, strength=0).replace('round(strength, 12) AS strength', 'strength')}) ORDER BY strength DESC, hops, path LIMIT 25")
+def strongest_paths(spark, sf_dir):
+    """The 25 strongest paths of up to three hops; the limit is the feature."""
+    found = p.strongest_paths(view.graph(spark, sf_dir), SOURCES, TARGETS, 25, max_hops=3, min_weight=5)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops", "min_weight", "source", "target", F.round("strength", 12).alias("strength"), "path_sign")
+
+
 # Calibration and resampling.
 
 _BOOT, _FOLDS, _STEPS = 200, 4, 12
