@@ -4,9 +4,11 @@ Method: the documents of a source are put in a seeded random order; a document's
 source's cumulative words up to and with it, divided by the source's target. A source whose target exceeds
 its size is passed over again (at most ``max_repeats`` passes), its clock running on. ``mix_stream`` has a row
 for each pass of a document, range-sorts all sources' rows by finish time and cuts the stream at the total
-budget: as targets sum up to the budget and all sources are served at rates in proportion to their targets,
-the budget is spent at virtual time 1, where every source has had its target; the document that is then in
-service in a source is taken in part.
+budget, which is the words of all documents: the words of the range partitions give the partition in which the
+budget ends, and there a running sum gives the row. As targets sum up to the budget and sources are served at rates
+in proportion to their targets, each has had its target at virtual time 1; a document that is then in service has
+finish time 1 and counts up to there, rounded up to words. The cut takes off what this rounding adds, so that the mix
+has exactly the budget (but for rows of one key, which are taken alike).
 
 No order within a source is made in one task. Keys are uniform hashes, so a source's documents fall into
 even buckets by the top bits of the key; prefix sums over groups of buckets, over the buckets of a group and
@@ -34,6 +36,9 @@ KEY_HEX = 15
 KEY_BITS = 4 * KEY_HEX
 #: Sources up to which per-source tables are broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Order of the stream, and the part of a word by which a target may exceed whole words.
+STREAM_ORDER = ("finish", "key", "pass", "size", "source")
+ROUNDING = 1e-6
 SEED = "axon-mix-1"
 
 
@@ -96,20 +101,41 @@ def mix_stream(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
     """The stream of the mix and its sources.
 
     Stream: a row per key and pass (source, key, size, pass from 0, ``finish`` in virtual time, ``words`` taken from
-    each document of the key), range-sorted by finish time and cut at the total budget. Sources: source,
+    each document of the key), cut at the total budget (``cut_at_budget``). Sources: source,
     source_size, target. ``sized`` has source, size, key and should be settled."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = settle(source_targets(sizes, weights=weights, max_repeats=max_repeats).select("source", "source_size", "target"))
-    s = sources.select(F.col("source").alias("t_source"), "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
+    budget = F.ceil(F.col("target") - ROUNDING).cast("long").alias("budget")
+    s = sources.select(F.col("source").alias("t_source"), "source_size", "target", budget)
     s = F.broadcast(s) if sources.count() <= BROADCAST_SOURCES else s
     rows = running_words(sized).join(s, F.col("source").eqNullSafe(F.col("t_source")))
     served = (F.col("pass") * F.col("source_size") + F.col("upto")).alias("served")
     rows = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).select("*", served)
-    # Words of each document of the key that are served before the source's part of the budget is spent.
+    # Words of each document of the key that are served up to virtual time 1.
     left = F.floor((F.col("budget") - F.col("served")) / F.col("n") + F.col("size")).cast("long")
     words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left))
-    stream = rows.select("source", "key", "size", "pass", F.least(F.col("served") / F.col("target"), F.lit(1.0)).alias("finish"), words.alias("words"))
-    return stream.where("words > 0").orderBy("finish", "key", "pass"), sources
+    finish = F.when(F.col("served") >= F.col("budget"), F.lit(1.0)).otherwise(F.col("served") / F.col("target"))
+    stream = rows.select("source", "key", "size", "pass", "n", finish.alias("finish"), words.alias("words")).where("words > 0")
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    return cut_at_budget(stream, total), sources
+
+
+def cut_at_budget(stream: DataFrame, total: int) -> DataFrame:
+    """The rows of ``stream`` up to ``total`` words in order of finish time (ties by key, pass, size and source); the
+    last row is taken in part.
+
+    Only sums per range partition meet in one task, and rows of the one partition in which the budget ends."""
+    ranged = settle(stream.repartitionByRange(*STREAM_ORDER).sortWithinPartitions(*STREAM_ORDER).withColumn("part", F.spark_partition_id()))
+    row_words = F.col("words") * F.col("n")
+    parts = ranged.groupBy("part").agg(F.sum(row_words).alias("part_words"))
+    parts = parts.withColumn("before", F.sum("part_words").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("part_words"))
+    rows = ranged.join(F.broadcast(parts), "part")
+    inside = F.sum(row_words).over(W.partitionBy("part").orderBy(*STREAM_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)) - row_words
+    left = F.lit(total) - F.col("before") - F.col("inside")
+    ends = F.col("before") + F.col("part_words")
+    tail = rows.where((F.col("before") < total) & (ends > total)).withColumn("inside", inside)
+    tail = tail.withColumn("words", F.least("words", F.floor(left / F.col("n")).cast("long"))).where("words > 0").drop("inside")
+    return rows.where(ends <= total).unionByName(tail).drop("part", "part_words", "before", "n")
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .divergence import MIN_DOCS, SCALE, TERM, TERM_RANKS
 from .license_scan import CONTAINMENT, SHINGLE, TEMPLATES, _class, python_words
-from .mixing import KEY_HEX, SEED
+from .mixing import KEY_HEX, ROUNDING, SEED
 from .quality import RULES, STOP_WORDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -59,9 +59,11 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 g AS (SELECT *, level <= cap / weight AS fits FROM l),
 h AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM g WHERE fits) AS share FROM g),
 t AS (SELECT source, source_size, CASE WHEN fits THEN least(share * weight, cap) ELSE cap END AS target FROM h),
-o AS (SELECT k.*, source_size, target, floor(target + 0.5)::BIGINT AS budget, sum(size) OVER (PARTITION BY k.source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, count(*) OVER (PARTITION BY k.source, key, size) AS n FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, pass * source_size + upto AS served, least((pass * source_size + upto) / target, 1.0) AS finish FROM o, range(3) r(pass))
-SELECT doc_id, source, size, source_size, target, coalesce(sum(CASE WHEN size > 0 THEN greatest(0, least(size, floor((budget - served) / n + size)::BIGINT)) ELSE 0 END), 0)::BIGINT AS taken FROM q GROUP BY i, doc_id, source, size, source_size, target"""
+o AS (SELECT k.*, source_size, target, ceil(target - {ROUNDING})::BIGINT AS budget, sum(size) OVER (PARTITION BY k.source ORDER BY key, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, count(*) OVER (PARTITION BY k.source, key, size) AS n FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, pass * source_size + upto AS served FROM o, range(3) r(pass)),
+f AS (SELECT *, CASE WHEN served >= budget THEN 1.0::DOUBLE ELSE served / target END AS finish, CASE WHEN size > 0 THEN greatest(0, least(size, floor((budget - served) / n + size)::BIGINT)) ELSE 0 END AS words FROM q),
+c AS (SELECT *, sum(words) OVER (ORDER BY finish, key, pass, size, source NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - words * n AS before, (SELECT sum(source_size) FROM t) AS total FROM f)
+SELECT doc_id, source, size, source_size, target, sum(greatest(0, least(words, floor((total - before) / n)::BIGINT)))::BIGINT AS taken FROM c GROUP BY i, doc_id, source, size, source_size, target"""
 
 
 def _op8() -> str:

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -62,17 +63,23 @@ def test_order_equals_exact_finish_times(spark, make):
         sizes[s] = sizes.get(s, 0) + len(t.split())
     want = []
     for s, target in _targets(sizes).items():
-        left, clock, turn = int(target + 0.5), 0, 0
+        left, clock, turn = math.ceil(target - 1e-6), 0, 0
         while left > 0:
             for i, t, _, _ in sorted((r for r in rows if r[3] == s and r[1]), key=lambda r: key[r[0]]):
                 n = len(t.split())
                 clock += n
-                want.append((min(clock / target, 1.0), key[i], i, turn, min(n, left)))
+                want.append((clock / target if left > n else 1.0, key[i], i, turn, min(n, left)))
                 left -= n
                 if left <= 0:
                     break
             turn += 1
-    want.sort()
+    left, cut = sum(sizes.values()), []
+    for w in sorted(want):
+        if left:
+            cut.append((*w[:4], min(w[4], left)))
+            left -= cut[-1][4]
+    assert sum(w[4] for w in want) > sum(w[4] for w in cut)
+    want = cut
     assert max(w[3] for w in want) >= 1
     for limit, bits in ((4096, 10), (16, 2)):
         mixing.BUCKET_ROWS, mixing.GROUP_BITS = limit, bits
@@ -80,4 +87,22 @@ def test_order_equals_exact_finish_times(spark, make):
         assert [g[1:] for g in got] == [w[1:] for w in want]
         assert all(abs(g[0] - w[0]) < 1e-9 for g, w in zip(got, want, strict=True))
     mixing.BUCKET_ROWS, mixing.GROUP_BITS = 128, 10
-    assert abs(sum(w[4] for w in want) - sum(sizes.values())) <= len(sizes)
+    assert sum(w[4] for w in want) == sum(sizes.values())
+
+
+def test_cut_anywhere_in_the_stream(spark):
+    """A budget that ends inside, at the end of and beyond any row, over many range partitions and in one."""
+    rng = random.Random(5)
+    rows = [("ab"[i % 2], rng.randrange(1 << 40), 9, i % 3, rng.choice([1, 1, 3]), rng.randrange(8) / 8, rng.randint(1, 9)) for i in range(400)]
+    stream = spark.createDataFrame(rows, "source string, key long, size long, pass int, n long, finish double, words long").repartition(7)
+    for total in (0, 1, 700, sum(r[4] * r[6] for r in rows) - 1, 10**6):
+        want, left = [], total
+        for r in sorted(rows, key=lambda r: (r[5], r[1], r[3])):
+            words = min(r[6], left // r[4])
+            left = max(0, left - r[4] * r[6])
+            want += [(r[1], words)] * (words > 0)
+        for aqe in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+            got = mixing.cut_at_budget(stream, total)
+            assert sorted((r["key"], r["words"]) for r in got.collect()) == sorted(want)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
