@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +21,6 @@ URL_RULES = [
 ]
 
 
-#: A public vocabulary whose words rank guesses; without the file only the built-in words do.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,8 +66,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = secrets.vocabulary_ranks(VOCABULARY) if os.path.exists(VOCABULARY) else None
-    return secrets.secret_report(table(spark, sf_dir, "documents"), rank=rank)
+    return secrets.secret_report(table(spark, sf_dir, "documents"), secrets.vocabulary_ranks())
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

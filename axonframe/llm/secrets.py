@@ -10,8 +10,12 @@ log of its length, so the best start of one that ends at a place can change as i
 earlier one gains on the later one for ever, so a stack of starts with the lengths at which each overtakes the
 next gives every minimum in constant time on average. The programme is linear in the value.
 
-The word ranks are a parameter: ``COMMON`` alone, or the whole words of a public vocabulary in order of rank
-(``vocabulary_ranks``), which the driver reads and broadcasts (at most ``MAX_WORDS``).
+The word ranks are an argument without a default: ``RANK``, the words of ``COMMON`` alone, or ``COMMON`` and the whole
+words of a public vocabulary in order of rank (``vocabulary_ranks``), which the driver reads and broadcasts (at most
+``MAX_WORDS``). A vocabulary file that is missing is an error, so that no machine judges by another dictionary.
+
+A value follows a mark (``pwd: x``, ``secret_key=x``), or a space alone (``bearer x``). After a space, a value of letters
+alone is taken as prose ("auth certificates") and never judged; after a mark it is.
 
 Defined results: null text is empty and has no spans; whole texts are scanned, however long; rows are
 independent, so ties, repeated rows, null ids and empty tables need no care; extra columns stay, but those
@@ -43,8 +47,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Values after a mark, after a space alone, and in a URL.
 CONTEXT = re.compile(
-    r"""(?i:pwd|passphrase|credentials?|private_?key|access_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id|password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
-    r"""|(?i:pwd|passphrase|credentials?|private_?key|access_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id)["']?\x20+["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
+    r"""(?i:pwd|passphrase|credentials?|private_?key|access_?key|secret_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id|password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
+    r"""|(?i:pwd|passphrase|credentials?|private_?key|access_?key|secret_?key|auth|authorization|bearer|passw(?:or)?d\x20is|client_?id)["']?\x20+["']?([A-Za-z0-9!@#$%^&*+/_.=-]{8,})"""
     r"""|://[A-Za-z0-9._-]+:([^\s:/@"'<>]{6,})@""",
     re.A,
 )
@@ -84,7 +88,11 @@ def _ranks(words: list[str]) -> Ranks:
 RANK = _ranks(COMMON)
 
 
-def vocabulary_ranks(path: str, limit: int = MAX_WORDS) -> Ranks:
+#: The vocabulary of the registered query and of the pipeline.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def vocabulary_ranks(path: str = VOCABULARY, limit: int = MAX_WORDS) -> Ranks:
     """``COMMON``, then the whole words of three and more letters of a byte-level BPE vocabulary (lines of a token in
     base64 and its rank), in order of rank, in lower case."""
     with open(path, "rb") as f:
@@ -234,17 +242,16 @@ def redact(text: str | None, spans: list[tuple[int, str, int]], mark: str = "[SE
     return "".join([*out, text[at:]])
 
 
-def _sent(docs: DataFrame, rank: Ranks | None):
+def _sent(docs: DataFrame, rank: Ranks):
     """The word ranks as a broadcast: at most ``MAX_WORDS`` words."""
-    rank = RANK if rank is None else rank
     if len(rank) > MAX_WORDS:
         raise ValueError(f"{len(rank)} words are more than are broadcast ({MAX_WORDS})")
     return docs.sparkSession.sparkContext.broadcast(rank)
 
 
-def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float = MIN_GUESSES, prefix: str = "secret_", rank: Ranks | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, rank: Ranks, *, text_col: str = "text", min_guesses: float = MIN_GUESSES, prefix: str = "secret_") -> DataFrame:
     """``docs`` with ``<prefix>spans`` array<struct<start, kind, end>> and ``<prefix>redacted`` text, which replace
-    columns of these names; ``rank`` gives word ranks in place of ``COMMON``."""
+    columns of these names. ``rank`` gives the ranks of words."""
     kind = "struct<spans: array<struct<start: bigint, kind: string, end: bigint>>, redacted: string>"
     sent = _sent(docs, rank)
 
@@ -260,7 +267,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", min_guesses: float
     return with_fields(small_batches(docs), scan(F.col(text_col)), {f"{prefix}spans": "spans", f"{prefix}redacted": "redacted"})
 
 
-def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES, rank: Ranks | None = None) -> DataFrame:
+def secret_report(docs: DataFrame, rank: Ranks, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = MIN_GUESSES) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, ``base_sha256`` of the pattern spans and all ``spans``."""
     schema = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     sent = _sent(docs, rank)

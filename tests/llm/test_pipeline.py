@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from axonframe.llm import decontaminate, registry
-from axonframe.llm.secrets import find_spans, redact
+from axonframe.llm.secrets import find_spans, redact, vocabulary_ranks
 from tests.llm.test_simhash import brute_groups
 
 
@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
     assert set(kept) == set(clean)
     for i, t in kept.items():
         source = next(r[1] for r in rows if r[0] == i)
-        assert t == redact(source, find_spans(source))
+        assert t == redact(source, find_spans(source, rank=vocabulary_ranks()))
 
 
 def _write(spark, folder, rows, items):
@@ -72,7 +72,7 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered():
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language", "near_dedup", "decontamination", "secret_scan", "mix"]
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert importlib.util.find_spec("__spark_entry__") is not None
     assert decontaminate.MIN_SCORE <= 0.8

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from axonframe.llm import secrets as s
@@ -34,6 +36,9 @@ def test_spans(text, spans):
         ("pwd: qzxvkwjplmtrbnhgfd", "pwd: [SECRET]"),
         ("bearer qzxvkwjplmtrbnhgfd", "bearer qzxvkwjplmtrbnhgfd"),
         ("auth token: x#9!kQ2$vT7&mZ4p", "auth token: [SECRET]"),
+        ("secret_key: x#9!kQ2$vT7&mZ4p", "secret_key: [SECRET]"),
+        ("passphrase kdjfhgkdjsfhgqwoeiruty", "passphrase kdjfhgkdjsfhgqwoeiruty"),
+        ("passphrase: kdjfhgkdjsfhgqwoeiruty", "passphrase: [SECRET]"),
         ("credential password: x#9!kQ2$vT7&mZ4p", "credential password: [SECRET]"),
     ],
 )
@@ -50,7 +55,6 @@ def test_guess_cost_orders_values():
 
 def test_guess_cost_equals_all_segmentations():
     """Every segmentation by quadratic dynamic programming over ``segment_cost``, words and random values."""
-    import random
 
     def slow(v):
         best = [0.0]
@@ -85,15 +89,43 @@ def test_vocabulary(tmp_path):
 
 
 def test_clashing_columns_are_replaced(make):
-    out = s.scan_secrets(make([(1, "token = abcdef123456")]).withColumnRenamed("extra", "secret_spans"))
+    out = s.scan_secrets(make([(1, "token = abcdef123456")]).withColumnRenamed("extra", "secret_spans"), s.RANK)
     assert out.columns.count("secret_spans") == 1 and len(out.collect()[0]["secret_spans"]) == 1
 
 
 def test_rows(spark, make, odd_rows):
     rows = [*odd_rows, (20, "x" * 300_000 + " token = abcdef123456 end")]
-    got = s.scan_secrets(make(rows)).collect()
+    got = s.scan_secrets(make(rows), s.RANK).collect()
     assert len(got) == len(rows)
     last = next(r for r in got if r["doc_id"] == 20)
     assert last["secret_redacted"].endswith(" [SECRET] end") and last["secret_spans"][0]["start"] == 300_001
     assert all(r["secret_redacted"] == r["text"] for r in got if r["doc_id"] != 20)
-    assert s.secret_report(make([])).count() == 0
+    assert s.secret_report(make([]), s.RANK).count() == 0
+
+
+def test_ranks_are_asked_for(make, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        s.vocabulary_ranks(str(tmp_path / "none"))
+    with pytest.raises(TypeError):
+        s.scan_secrets(make([]))
+
+
+def test_report_judges_values_by_all_segmentations(make):
+    """Which values of a mark are spans, against the least cost over every way to cut a value."""
+
+    def least(v):
+        best = [0.0]
+        for j in range(1, len(v) + 1):
+            best.append(min(best[i] + (s.JOIN if i else 0.0) + s.segment_cost(v, v.lower(), i, j, s.RANK) for i in range(j)))
+        return best[-1]
+
+    rng = random.Random(11)
+    parts = ["dragon", "2024", "qwerty", "aaaa", "x9", "Zt", "!", "k", "monkey", "1987", "v#"]
+    rows, want = [], {}
+    for i in range(300):
+        value = "".join(rng.choice(parts) for _ in range(rng.randint(4, 10)))
+        lead = "é words " * rng.randint(0, 3) + "pwd: "
+        rows.append((i, f"{lead}{value} end"))
+        want[i] = f"guess:{len(lead)}:{len(lead) + len(value)}" if len(value) >= 8 and least(value) >= s.MIN_GUESSES else ""
+    got = {r["doc_id"]: r["spans"] for r in s.secret_report(make(rows), s.RANK).collect()}
+    assert got == want and 30 < sum(map(bool, want.values())) < 270
