@@ -151,8 +151,8 @@ def convert_banc(meta: DataFrame, edgelist: DataFrame) -> tuple[DataFrame, DataF
         F.col("sexually_dimorphic").alias("dimorphism"),
     )
     e = edgelist.select(F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"), F.col("count").cast("int").alias("weight"), "post_count", "pre_count").where("pre <> post")
-    into = e.groupBy(F.col("post").alias("neuron_id")).agg(F.max("post_count").cast("long").alias("input_synapses_total"))
-    outof = e.groupBy(F.col("pre").alias("neuron_id")).agg(F.max("pre_count").cast("long").alias("output_synapses_total"))
+    into = e.groupBy(F.col("post").alias("neuron_id")).agg(F.max(F.col("post_count").cast("long")).alias("input_synapses_total"))
+    outof = e.groupBy(F.col("pre").alias("neuron_id")).agg(F.max(F.col("pre_count").cast("long")).alias("output_synapses_total"))
     n = n.join(into, "neuron_id", "left").join(outof, "neuron_id", "left").fillna(0, ["input_synapses_total", "output_synapses_total"])
     return conform_neurons(_tag(n, "banc", "888")), conform_edges(_tag(within(e.select("pre", "post", "weight"), n), "banc", "888"))
 
@@ -190,7 +190,7 @@ def convert_manc(meta: DataFrame, edgelist: DataFrame, codex: DataFrame | None =
         c = codex.select(F.col("root_id").cast("long").alias("neuron_id"), normalize_nt(F.col("nt")).alias("_nt"), F.col("nt_confidence").cast("double").alias("_c"), F.nullif(F.regexp_extract("labels", r"vfbId::([^,]+)", 1), F.lit("")).alias("vfb_id"))
         n = n.join(c, "neuron_id", "left").withColumn("nt_conf", F.when(F.col("nt_pred") == F.col("_nt"), F.col("_c"))).drop("_nt", "_c")
     e = edgelist.select(F.col("pre").cast("long").alias("pre"), F.col("post").cast("long").alias("post"), F.col("count").cast("int").alias("weight"), "total_input")
-    into = e.groupBy(F.col("post").alias("neuron_id")).agg(F.max("total_input").cast("long").alias("input_synapses_total"))
+    into = e.groupBy(F.col("post").alias("neuron_id")).agg(F.max(F.col("total_input").cast("long")).alias("input_synapses_total"))
     outof = e.groupBy(F.col("pre").alias("neuron_id")).agg(F.sum("weight").alias("output_synapses_total"))
     n = n.join(into, "neuron_id", "left").join(outof, "neuron_id", "left").fillna(0, ["input_synapses_total", "output_synapses_total"])
     return conform_neurons(_tag(n, "manc", "1.2.1")), conform_edges(_tag(within(e.where("pre <> post").select("pre", "post", "weight"), n), "manc", "1.2.1"))

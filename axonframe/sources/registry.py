@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import convert
-from .store import download, input_record, parse_ref, read_feather, write_store
+from .store import download, input_record, parse_ref, read_excel, read_feather, read_tar_member, write_store
 
 #: Levels in order; a level needs the files of those before it.
 LEVELS = ("meta", "weights", "nt-probs", "synapses")
@@ -20,7 +20,7 @@ LEVELS = ("meta", "weights", "nt-probs", "synapses")
 
 @dataclass(frozen=True)
 class DataFile:
-    """One released file: where it is, what it is for, and how it is verified."""
+    """One released file: where it is, what it is for, and how it is verified. An archive names its members' roles."""
 
     name: str
     url: str
@@ -29,6 +29,8 @@ class DataFile:
     sha256: str | None = None
     md5_b64: str | None = None
     bytes: int | None = None
+    #: Of an archive: the role of each member that is needed.
+    members: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.level not in LEVELS:
@@ -117,13 +119,34 @@ def pull(dataset: Dataset, cache: str, convert: Callable[[Dataset, Path, Path, S
     return store
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """A released file by its suffix, with ``_row``, the place of a CSV row in its file."""
+def read_raw(spark: SparkSession, path: str, member: str | None = None) -> DataFrame:
+    """A released file by its suffix. Columns of CSV files, archive members and workbooks are strings, which the
+    converters cast, so that a 64-bit id never passes a floating-point number; a CSV has ``_row``, which grows with the place of a row
+    in its file."""
+    if member is not None:
+        return read_tar_member(spark, path, member).withColumn("_row", F.monotonically_increasing_id())
     if path.endswith(".feather"):
         return read_feather(spark, path)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    return spark.read.csv(path, header=True, inferSchema=True).withColumn("_row", F.monotonically_increasing_id())
+    if path.endswith(".xlsx"):
+        return read_excel(spark, path)
+    if path.endswith((".csv", ".csv.gz")):
+        return spark.read.csv(path, header=True).withColumn("_row", F.monotonically_increasing_id())
+    raise ValueError(f"no reader for {path!r}")
+
+
+def read_roles(spark: SparkSession, raw: Path, files: Sequence[DataFile], known: Collection[str]) -> dict[str, DataFrame]:
+    """The tables of ``files`` below ``raw`` by role, as far as roles are ``known``; an archive gives one for each of its
+    members."""
+    parts = [(role, str(raw / f.name), member) for f in files for member, role in (f.members or {None: f.role}).items()]
+    found: dict[str, DataFrame] = {}
+    for role, path, member in parts:
+        if role in found:
+            raise ValueError(f"two files of role {role!r}")
+        if role in known:
+            found[role] = read_raw(spark, path, member)
+    return found
 
 
 def store_converter(spark: SparkSession) -> Callable[[Dataset, Path, Path, Sequence[DataFile]], Mapping]:
@@ -135,7 +158,7 @@ def store_converter(spark: SparkSession) -> Callable[[Dataset, Path, Path, Seque
         if function is None:
             raise KeyError(f"no converter for {dataset.name!r}")
         known = inspect.signature(function).parameters
-        roles = {f.role: read_raw(spark, str(raw / f.name)) for f in files if f.role in known}
+        roles = read_roles(spark, raw, files, known)
         if missing := [k for k, p in known.items() if p.default is inspect.Parameter.empty and k not in roles]:
             raise ValueError(f"{dataset.ref} needs files of roles {missing}; pull a higher level")
         tables = function(**roles, **({"version": dataset.version} if "version" in known else {}))

@@ -6,8 +6,6 @@ import base64
 import datetime
 import hashlib
 import json
-import tarfile
-import tempfile
 import urllib.request
 import uuid
 from collections.abc import Callable, Sequence
@@ -19,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import id_frame
 from ..schema import EDGES
+from .readers import ArrowFileSource, TarCsvSource
 
 TABLES = ("neurons", "edges", "edges_roi")
 
@@ -108,43 +107,26 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def read_tar_member(spark: SparkSession, path: str, member: str, schema: T.StructType | str, shared: str | None = None) -> DataFrame:
-    """A CSV inside a tar.gz: unpacked by the driver into a folder that executors share, then scanned."""
-    folder = Path((shared or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).removeprefix("file://")) / uuid.uuid4().hex
-    folder.mkdir(parents=True)
-    with tarfile.open(path) as tar:
-        found = next(m for m in tar.getmembers() if m.name.rsplit("/", 1)[-1] == member)
-        (folder / member).write_bytes(tar.extractfile(found).read())
-    return read_csv(spark, f"file://{folder / member}", schema)
+def read_tar_member(spark: SparkSession, path: str, member: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A CSV inside a tar archive, streamed by the executor that reads it; without a schema all columns are strings."""
+    spark.dataSource.register(TarCsvSource)
+    reader = spark.read.format("axon_tar").options(path=path, member=member)
+    return (reader.schema(schema) if schema is not None else reader).load()
 
 
 def read_feather(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """An Arrow IPC file by batches: one task per range of record batches, each of which maps the file and
-    reads only its own (the path must be readable on executors)."""
-    import pyarrow as pa
-    import pyarrow.ipc as ipc
-
-    with pa.memory_map(path) as f:
-        reader = ipc.open_file(f)
-        schema, n = reader.schema, reader.num_record_batches
-    names = list(columns) if columns else schema.names
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    def read(batches):
-        for b in batches:
-            with pa.memory_map(path) as f:
-                r = ipc.open_file(f)
-                for i in b.column(0).to_pylist():
-                    yield pa.RecordBatch.from_arrays([x if not pa.types.is_dictionary(x.type) else x.dictionary_decode() for x in (r.get_batch(i).column(r.schema.get_field_index(c)) for c in names)], names)
-
-    decoded = pa.schema([pa.field(c, schema.field(c).type.value_type if pa.types.is_dictionary(schema.field(c).type) else schema.field(c).type) for c in names])
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(read, from_arrow_schema(decoded))
-
-
-def read_excel(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A catalogue that is published as a workbook (thousands of rows, read by the driver; needs ``openpyxl``)."""
+    """An Arrow IPC file: a task reads a few record batches, and of these the given columns only."""
+    spark.dataSource.register(ArrowFileSource)
+    return spark.read.format("axon_arrow").options(path=path, columns=",".join(columns or ())).load()
+
+
+def read_excel(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A catalogue that is published as a workbook (thousands of rows, read by the driver; needs ``openpyxl``); without
+    a schema all columns are strings."""
     import pandas as pd
 
+    if schema is None:
+        schema = T.StructType([T.StructField(str(c), T.StringType()) for c in pd.read_excel(path, dtype=str, nrows=0).columns])
     names = T.StructType.fromDDL(schema).names if isinstance(schema, str) else schema.names
     rows = pd.read_excel(path, dtype=str)[names]
     return spark.createDataFrame(rows.astype(object).where(rows.notna(), None).values.tolist(), ", ".join(f"`{n}` string" for n in names)).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)))

@@ -28,22 +28,81 @@ def test_store_round_trip(spark, tmp_path):
         conform_edges(n)
 
 
-def test_feather_and_tar(spark, tmp_path):
-    import tarfile
-
-    import pyarrow as pa
+def _feather(path, table, rows):
     import pyarrow.ipc as ipc
 
-    t = pa.table({"body": list(range(10)), "type": pa.array(["a", "b"] * 5).dictionary_encode()})
-    path = str(tmp_path / "t.feather")
-    with ipc.new_file(path, t.schema) as w:
-        for b in t.to_batches(max_chunksize=3):
+    with ipc.new_file(str(path), table.schema) as w:
+        for b in table.to_batches(max_chunksize=rows):
             w.write_batch(b)
-    assert store.read_feather(spark, path, ["type", "body"]).agg(F.sum("body"), F.count_if(F.col("type") == "a")).first()[:] == (45, 5)
-    (tmp_path / "x.csv").write_text("id,w\n720575940600000001,3\n")
-    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
-        tar.add(tmp_path / "x.csv", "deep/x.csv")
-    assert store.read_tar_member(spark, str(tmp_path / "x.tar.gz"), "x.csv", "id long, w int").first()[:] == (720575940600000001, 3)
+    return str(path)
+
+
+def test_feather_by_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    n = 100
+    t = pa.table({"body": pa.array([None, *range(1, n)], pa.int64()), "type": pa.array(["a", None] * (n // 2)).dictionary_encode(), "long": pa.array(["x"] * n, pa.large_string())})
+    path = _feather(tmp_path / "t.feather", t, 3)
+    df = store.read_feather(spark, path)
+    assert df.rdd.getNumPartitions() == 5  # 34 batches, 8 a task
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(zip(*t.to_pydict().values(), strict=True), key=repr)
+    two = store.read_feather(spark, f"file://{path}", ["type", "body"])
+    assert two.columns == ["type", "body"] and two.agg(F.sum("body"), F.count_if(F.col("type") == "a")).first()[:] == (n * (n - 1) // 2, n // 2)
+    assert store.read_feather(spark, _feather(tmp_path / "e.feather", t.slice(0, 0), 3)).count() == 0
+    with pytest.raises(Exception, match="unknown columns"):
+        store.read_feather(spark, path, ["nope"]).collect()
+
+
+def _tar(path, members, mode="w:gz"):
+    import io
+    import tarfile
+
+    with tarfile.open(path, mode) as tar:
+        for name, text in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(text.encode())
+            tar.addfile(info, io.BytesIO(text.encode()))
+    return str(path)
+
+
+def test_members_of_archives(spark, tmp_path):
+    big = 720575940600000001
+    rows = [(big + i, None if i % 5 == 0 else i, f'a "{i}", b\nnext' if i % 7 == 0 else "é") for i in range(3000)]
+    body = "id,w,note\n" + "".join(f'{i},{"" if w is None else w},"{note.replace(chr(34), chr(34) * 2)}"\n' for i, w, note in rows)
+    members = {"deep/first.csv": "x\n1\n", "deep/x.csv": body, "x.csv": "id,w\n0,0\n", "header.csv": "id,w\n", "empty.csv": ""}
+    for mode, name in (("w:gz", "x.tar.gz"), ("w", "x.tar")):
+        path = _tar(tmp_path / name, members, mode)
+        got = store.read_tar_member(spark, path, "x.csv", "note string, id long, w int")
+        assert sorted((r["id"], r["w"], r["note"]) for r in got.collect()) == rows
+        assert store.read_tar_member(spark, path, "x.csv", "id long").agg(F.max("id")).first()[0] == big + 2999
+        text = store.read_tar_member(spark, f"file://{path}", "first.csv")
+        assert text.schema.simpleString() == "struct<x:string>" and text.first()["x"] == "1"
+        assert store.read_tar_member(spark, path, "header.csv").count() == 0 and store.read_tar_member(spark, path, "empty.csv").count() == 0
+        with pytest.raises(Exception, match="no y.csv"):
+            store.read_tar_member(spark, path, "y.csv", "id long").collect()
+        with pytest.raises(Exception, match="int64"):
+            store.read_tar_member(spark, path, "x.csv", "note long").collect()
+
+
+def test_pull_of_an_archive(spark, tmp_path):
+    """A release whose neurons and edges are members of one archive, read as text and cast by the converter."""
+    from axonframe.sources.registry import Registry, pull, read_raw, store_converter
+    from axonframe.sources.store import Store
+
+    a, b = 720575940600000001, 720575940600000003
+    path = _tar(tmp_path / "export.tar.gz", {"v/neurons.csv": f"bodyId,type,instance\n{a},T1,T1_L\n{b},,\n", "v/total.csv": f"bodyId_pre,bodyId_post,weight\n{a},{b},12\n{b},{b},3\n{a},5,1\n"})
+    members = {"neurons.csv": "traced", "total.csv": "connections"}
+    registry = Registry()
+    registry.add({"name": "hemibrain", "version": "1.2.1", "files": [{"name": "export.tar.gz", "url": f"file://{path}", "role": "archive", "members": members}]})
+    registry.add({"name": "hemibrain", "version": "2", "files": [{"name": "export.tar.gz", "url": f"file://{path}", "role": "archive", "members": {"neurons.csv": "traced", "total.csv": "traced"}}]})
+    cache = str(tmp_path / "cache")
+    got = Store(spark, str(pull(registry.get("hemibrain@1.2.1"), cache, store_converter(spark))))
+    assert [(r["pre"], r["post"], r["weight"]) for r in got.edges().collect()] == [(a, b, 12)]
+    assert [(r["neuron_id"], r["cell_type"]) for r in got.neurons().collect()] == [(a, "T1"), (b, None)]
+    with pytest.raises(ValueError, match="two files"):
+        pull(registry.get("hemibrain@2"), cache, store_converter(spark))
+    with pytest.raises(ValueError, match="no reader"):
+        read_raw(spark, "x.pickle")
 
 
 def test_scalars(spark):
