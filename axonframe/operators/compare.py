@@ -148,6 +148,11 @@ def type_rows(graph: Graph, type_label: str, *, direction: str = "out", labels:
     named partners, and the share of all weight that goes to unnamed ones. A neuron without named partners has one row
     with a null label."""
     members = graph.nodes.where((F.col("cell_type") == type_label) & F.col("side").isin("left", "right")).select("neuron_id", "side")
+    return profile_rows(graph, members, direction=direction, labels=labels)
+
+
+def profile_rows(graph: Graph, members: DataFrame, *, direction: str = "out", labels: DataFrame | None = None) -> DataFrame:
+    """``type_rows`` of any neurons (neuron_id, side)."""
     counts = partner_counts(graph, labels if labels is not None else partner_labels(graph.nodes)).where(F.col("dir") == direction)
     counts = counts.join(members.select("neuron_id"), "neuron_id", "left_semi")
     per = W.partitionBy("neuron_id")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import access, benchmark, calibrate, compare, graph as g, nulls, paths as p, sim, stats, uncertainty
+from ..operators import access, benchmark, calibrate, compare, graph as g, nulls, paths as p, sim, stats, typetest, uncertainty
 from ..schema import NT_CLASSES
 from ..sources import convert
 from . import graphview as view
@@ -134,6 +134,42 @@ def compare_type_statistic(spark, sf_dir):
     return compare.type_statistic(compare.type_rows(a, "BUILDING"), compare.type_rows(b, "BUILDING", labels=names)).select(_r("statistic"), _r("between"), _r("within"))
 
 
+_PERMUTATIONS, _PERMUTE_SEED = 20, 3
+#: All types between the two datasets of ``_TYPE``; permutation 0 is the data as they are.
+_TYPES = f"""{_N}, {SQL_EDGES}, mem AS (SELECT ds, cell_type AS t, neuron_id, side FROM neurons, (VALUES ('a'), ('b')) x(ds) WHERE cell_type IS NOT NULL AND side IN ('left', 'right')),
+raw AS (SELECT 'a' AS ds, pre AS neuron_id, cell_type AS label, weight FROM edges JOIN neurons ON post = neuron_id UNION ALL SELECT 'b', pre, CASE WHEN contains(cell_type, 'A') THEN NULL ELSE cell_type END, weight FROM edges JOIN neurons ON post = neuron_id WHERE weight >= 10),
+cnt AS (SELECT ds, neuron_id, nullif(label, '') AS label, sum(weight) AS v FROM raw GROUP BY ALL),
+prof AS (SELECT ds, neuron_id, label, v / sum(v) OVER (PARTITION BY ds, neuron_id) AS v FROM cnt WHERE label IS NOT NULL),
+lost AS (SELECT ds, neuron_id, 1 - coalesce(sum(v) FILTER (label IS NOT NULL), 0) / sum(v) AS l FROM cnt GROUP BY ALL),
+un AS (SELECT t, avg(coalesce(l, 0)) FILTER (ds = 'a') AS unmatched_a, avg(coalesce(l, 0)) FILTER (ds = 'b') AS unmatched_b FROM mem LEFT JOIN lost USING (ds, neuron_id) GROUP BY t),
+ha AS (SELECT *, count(*) FILTER (ds = 'a') OVER (PARTITION BY t, side) AS na FROM mem),
+ra AS (SELECT *, row_number() OVER (PARTITION BY t, side, k ORDER BY ('0x' || substr(md5('{_PERMUTE_SEED}:' || k || ':' || ds || ':' || neuron_id), 1, 8))::UBIGINT, ds, neuron_id) AS r FROM ha, range({_PERMUTATIONS + 1}) q(k)),
+pe AS (SELECT t, k, side, ds AS own, neuron_id, CASE WHEN k = 0 THEN ds WHEN r <= na THEN 'a' ELSE 'b' END AS ds FROM ra),
+n AS (SELECT t, k, ds, side, count(*) AS n FROM pe GROUP BY ALL), nw AS (SELECT t, k, ds, sum(n) AS n FROM n GROUP BY ALL),
+su AS (SELECT pe.t, pe.k, pe.ds, pe.side, label, sum(v) AS s FROM pe JOIN prof ON prof.ds = own AND prof.neuron_id = pe.neuron_id GROUP BY ALL),
+ms AS (SELECT t, k, ds, side, label, s / n AS v FROM su JOIN n USING (t, k, ds, side)),
+mw AS (SELECT t, k, ds, label, sum(s) / any_value(n) AS v FROM su JOIN nw USING (t, k, ds) GROUP BY ALL),
+be AS (SELECT t, k, 1 - coalesce(sum(v) FILTER (c = 2) / sqrt(any_value(qa)) / sqrt(any_value(qb)), 0) AS b FROM (SELECT t, k, label, product(v) AS v, count(*) AS c FROM mw GROUP BY ALL) JOIN (SELECT t, k, sum(v * v) FILTER (ds = 'a') AS qa, sum(v * v) FILTER (ds = 'b') AS qb FROM mw GROUP BY ALL) USING (t, k) GROUP BY t, k),
+wc AS (SELECT t, k, ds, sum(v) FILTER (c = 2) / sqrt(any_value(ql)) / sqrt(any_value(qr)) AS c FROM (SELECT t, k, ds, label, product(v) AS v, count(*) AS c FROM ms GROUP BY ALL) JOIN (SELECT t, k, ds, sum(v * v) FILTER (side = 'left') AS ql, sum(v * v) FILTER (side = 'right') AS qr FROM ms GROUP BY ALL) USING (t, k, ds) GROUP BY t, k, ds),
+wi AS (SELECT t, k, avg(1 - coalesce(c, 0)) AS w FROM (SELECT t, k, ds FROM n GROUP BY ALL HAVING count(*) = 2) LEFT JOIN wc USING (t, k, ds) GROUP BY t, k),
+st AS (SELECT t, k, b, coalesce(w, 0) AS w, b - coalesce(w, 0) AS s FROM be LEFT JOIN wi USING (t, k)), ob AS (SELECT * FROM st WHERE k = 0),
+te AS (SELECT t, avg(st.s) AS m, stddev_samp(st.s) AS sd, (count(*) FILTER (st.s >= ob.s - 1e-9) + 1) / {_PERMUTATIONS + 1}.0::DOUBLE AS p FROM st JOIN ob USING (t) WHERE st.k > 0 GROUP BY t)
+SELECT t AS type_a, t AS type_b, na AS n_a, nb AS n_b, round(s, 9) AS statistic, round(b, 9) AS "between", round(w, 9) AS "within", CASE WHEN sd > 1e-9 THEN round((s - m) / sd, 6) ELSE 0 END AS z, round(p, 9) AS p, CASE WHEN p >= 0.05 OR s <= 0 THEN 'not distinguishable' WHEN s <= 0.045 + 0.096 THEN 'differs within the usual range' ELSE 'differs' END AS verdict, round(unmatched_a, 9) AS unmatched_a, round(unmatched_b, 9) AS unmatched_b
+FROM ob JOIN te USING (t) JOIN un USING (t) JOIN (SELECT t, count(*) FILTER (ds = 'a') AS na, count(*) FILTER (ds = 'b') AS nb FROM mem GROUP BY t) USING (t)"""
+
+
+@_query(_TYPES)
+def compare_types(spark, sf_dir):
+    """All types at once, with p, z and verdict."""
+    a = p.settled(view.graph(spark, sf_dir))
+    b = p.settled(g.build_graph(view.neurons(spark, sf_dir), view.edges(spark, sf_dir), min_weight=10))
+    names = a.nodes.select("neuron_id", F.nullif("cell_type", F.lit("")).alias("label"))
+    fewer = names.select("neuron_id", F.when(~F.contains("label", F.lit("A")), F.col("label")).alias("label"))
+    pairs = a.nodes.where("cell_type is not null").select(F.col("cell_type").alias("type_a"), F.col("cell_type").alias("type_b"))
+    rows = typetest.compare_types(a, b, pairs, n_permutations=_PERMUTATIONS, seed=_PERMUTE_SEED, labels=(names, fewer))
+    return rows.select("type_a", "type_b", "n_a", "n_b", _r("statistic"), _r("between"), _r("within"), F.round("z", 6).alias("z"), _r("p"), "verdict", _r("unmatched_a"), _r("unmatched_b"))
+
+
 _HIDDEN = ["BUILDING", "GERMANY"]
 _MASKED = f"{_N}, {SQL_EDGES}, {_COUNTS}, prof AS (SELECT neuron_id, dir, label, value / sum(value) OVER (PARTITION BY neuron_id, dir) AS value FROM counts WHERE label IS NOT NULL AND label NOT IN ('BUILDING', 'GERMANY')), {_GROUPS}"
 
