@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import ngrams, settle, slices, small_batches, texts, word_hashes, word_spans
@@ -50,6 +50,8 @@ SAMPLES, SAMPLE = 24, 5
 LEADERS = 8
 #: Keys that are compared before the others.
 FIRST_KEYS = 3
+#: Bits of a set's mark, which rules out pairs before their sets are compared.
+MARK_BITS = 128
 _SLICE = 1 << 20
 #: Widths of the three segments and the generator polynomial of the Golay code (fixed values).
 SEGMENTS = (22, 21, 21)
@@ -268,41 +270,66 @@ def sample_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def parity_marks(sets: list[np.ndarray]) -> np.ndarray:
+    """Size and ``MARK_BITS`` parities of each set, as signed 64-bit integers: a shingle flips one bit, so two marks differ in at
+    most as many bits as the sets differ in shingles."""
+    out = np.zeros((len(sets), 1 + MARK_BITS // 64), np.int64)
+    with np.errstate(over="ignore"):
+        for i, s in enumerate(sets):
+            at = (s * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(MARK_BITS)
+            odd = (np.bincount(at.astype(np.int64), minlength=MARK_BITS) & 1).astype(np.uint8)
+            out[i, 0], out[i, 1:] = len(s), np.packbits(odd, bitorder="little").view(np.int64)
+    return out
+
+
+def _close(x: Column, y: Column, similarity: float) -> Column:
+    """Whether the marks allow a Jaccard similarity of ``similarity``: sets that have it differ in at most
+    (1 - similarity) / (1 + similarity) of the sum of their sizes."""
+    bits = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(2, 1 + MARK_BITS // 64)), F.bit_count(x[1].bitwiseXOR(y[1])))
+    return F.greatest(bits, F.abs(x[0] - y[0])) <= (x[0] + y[0]) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def set_class(s: np.ndarray) -> int:
     """A signed 64-bit hash of a set of shingles; the empty set has 0."""
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64)) if len(s) else 0
 
 
 def sampled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, fp (the class of documents with equal sets of shingles) and ``keys`` of each row."""
+    """doc_id, fp (the class of documents with equal sets of shingles), ``keys`` and ``mark`` of each row."""
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch, fps, keys = texts(b, "text"), [], []
+            batch, fps, keys, marks = texts(b, "text"), [], [], []
             for i, j in slices([len(t) for t in batch], _SLICE):
                 sets = shingle_sets(batch[i:j], shingle)
                 fps += map(set_class, sets)
                 keys += [k if len(s) else k[:0] for s, k in zip(sets, sample_keys(sets), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                marks += list(parity_marks(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))], ["doc_id", "fp", "keys", "mark"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>, mark array<bigint>")
 
 
-def _candidates(members: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes from members (key, fp, root): classes of the same root are linked already. Of a small key all
-    pairs of different roots; of a large one the leader with each member of another root. The first of the key's classes by
-    a hash leads, so that keys which share members share the leader and the pairs. Second, the large keys' rows (key, a,
-    fp, others) that are compared, with more leaders by other hashes."""
+def _candidates(members: DataFrame, pair_limit: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes from members (key, fp, root, mark): classes of the same root are linked already, and marks rule
+    out pairs that can't be similar. Of a small key all pairs of different roots. Of a large one the root with the most
+    classes leads, by its first class by a hash, so that keys which share members share the leader; it meets each class of
+    another root. Second, the large keys' rows (key, a, fp, others) that are compared, with more leaders by other hashes."""
     first = lambda of, *x: F.min_by(of, F.xxhash64(*x, "fp"))
-    size = members.groupBy("key").agg(F.count("*").alias("n"), first("fp").alias("a"), first("root").alias("a_root"), F.array(*(first("fp", F.lit(i)) for i in range(LEADERS))).alias("others"), F.min("root").alias("low"), F.max("root").alias("high"))
-    size = size.where("n > 1 and low <> high").select(F.col("key").alias("k"), "n", "a", "a_root", "others")
+    part = members.groupBy("key", "root").agg(F.count("*").alias("n"), first(F.struct("fp", "mark")).alias("l"), F.array(*(first("fp", F.lit(i)) for i in range(LEADERS))).alias("o"))
+    lead = F.max_by(F.struct("l", "root"), F.struct("n", F.xxhash64("l.fp")))
+    others = F.array(*(F.min_by(F.col("o")[i], F.xxhash64(F.lit(i), F.col("o")[i])) for i in range(LEADERS)))
+    size = part.groupBy("key").agg(F.sum("n").alias("n"), lead.alias("x"), others.alias("others"), F.count("*").alias("roots")).where("roots > 1")
+    size = size.select(F.col("key").alias("k"), "n", F.col("x.l.fp").alias("a"), F.col("x.l.mark").alias("a_mark"), F.col("x.root").alias("a_root"), "others")
     rows = settle(members.join(size, (F.col("key") == F.col("k")) & ((F.col("n") <= pair_limit) | (F.col("root") != F.col("a_root")))))
-    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "root"))).alias("m"))
-    pairs = small.select(F.explode("m").alias("x"), "m").select(F.col("x.fp").alias("a"), F.explode(F.filter("m", lambda y: (y["fp"] > F.col("x.fp")) & (y["root"] != F.col("x.root")))).alias("y")).select("a", F.col("y.fp").alias("b"))
-    large = rows.where(F.col("n") > pair_limit).select("key", "a", "fp", "others")
-    return pairs.unionByName(_ordered(large.select("a", "fp"))).distinct(), large
+    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "root", "mark"))).alias("m"))
+    partner = lambda y: (y["fp"] > F.col("x.fp")) & (y["root"] != F.col("x.root")) & _close(y["mark"], F.col("x.mark"), similarity)
+    pairs = small.select(F.explode("m").alias("x"), "m").select(F.col("x.fp").alias("a"), F.explode(F.filter("m", partner)).alias("y")).select("a", F.col("y.fp").alias("b"))
+    large = rows.where(F.col("n") > pair_limit)
+    led = _ordered(large.where(_close(F.col("mark"), F.col("a_mark"), similarity)).select("a", "fp"))
+    return pairs.unionByName(led).distinct(), large.select("key", "a", "fp", "others")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -310,35 +337,36 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).where("a < b")
 
 
-def _roots(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``classes`` with ``root``: of each class and its partners the first by a hash, which links all that share it."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    best = both.groupBy(F.col("a").alias("c")).agg(F.min_by("b", F.xxhash64("b")).alias("p"))
-    first = F.when(F.xxhash64("p") < F.xxhash64("fp"), F.col("p")).otherwise(F.col("fp"))
-    return classes.join(best, F.col("fp") == F.col("c"), "left").select("fp", "keys", F.when(F.col("p").isNull(), F.col("fp")).otherwise(first).alias("root"))
+def _contracted(classes: DataFrame, verified: DataFrame) -> DataFrame:
+    """``classes`` (fp, keys, mark) with ``root``: the component of each class under the links found so far."""
+    found = components(verified)
+    return settle(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "keys", "mark", F.coalesce("root", "fp").alias("root")))
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, pair_limit: int | None = None) -> DataFrame:
-    """Links (a, b), a < b, of classes (fp, least, keys) whose sets have a Jaccard similarity of ``similarity`` or more.
+    """Links (a, b), a < b, of classes (fp, least, keys, mark) whose sets have a Jaccard similarity of ``similarity`` or more.
 
     Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader.
-    ``FIRST_KEYS`` keys go first; then all keys, for classes which those have not linked to the same class. Classes unlike
-    a leader are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their keys. All
+    ``FIRST_KEYS`` keys go first and their links become components; then all keys, for classes of different components, so a
+    group of copies is compared again only where it is still in parts. Classes that are not in a leader's component then
+    are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their keys. All
     candidates are verified on their whole sets."""
     pair_limit = pair_limit or PAIR_LIMIT
-    keyed = lambda rows, keys: rows.select("fp", "root", F.explode(keys).alias("key"))
+    keyed = lambda rows, keys: rows.select("fp", "root", "mark", F.explode(keys).alias("key"))
     verify = lambda pairs: settle(_verify(docs, classes, settle(pairs), id_col, text_col, shingle, similarity))
-    alone = classes.select("fp", "keys", F.col("fp").alias("root"))
-    verified = verify(_candidates(keyed(alone, F.slice("keys", 1, FIRST_KEYS)), pair_limit)[0])
-    rooted = settle(_roots(classes, verified))
-    pairs, large = _candidates(keyed(rooted, "keys"), pair_limit)
+    alone = classes.select("fp", "keys", "mark", F.col("fp").alias("root"))
+    verified = verify(_candidates(keyed(alone, F.slice("keys", 1, FIRST_KEYS)), pair_limit, similarity)[0])
+    pairs, large = _candidates(keyed(_contracted(classes, verified), "keys"), pair_limit, similarity)
     verified = settle(verified.unionByName(verify(pairs.join(verified, ["a", "b"], "left_anti"))))
-    led = verified.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    rest = settle(large.join(led, (F.least("a", "fp") == F.col("x")) & (F.greatest("a", "fp") == F.col("y")), "left_anti").select("key", "fp", "others"))
+    if large.isEmpty():
+        return verified
+    rooted = _contracted(classes, verified)
+    named = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root"))
+    rest = settle(large.join(named("c"), F.col("fp") == F.col("c")).join(named("l"), F.col("a") == F.col("l")).where("c_root <> l_root").select("key", "fp", "others"))
     if rest.isEmpty():
         return verified
-    again = rest.join(rooted.select(F.col("fp").alias("c"), "keys", "root"), F.col("fp") == F.col("c")).select("fp", "root", "key", F.explode("keys").alias("k2")).where("key <> k2")
-    second, _ = _candidates(again.select("fp", "root", F.xxhash64("key", "k2").alias("key")), pair_limit)
+    again = rest.join(rooted.select(F.col("fp").alias("c"), "keys", "root", "mark"), F.col("fp") == F.col("c")).select("fp", "root", "mark", "key", F.explode("keys").alias("k2")).where("key <> k2")
+    second, _ = _candidates(again.select("fp", "root", "mark", F.xxhash64("key", "k2").alias("key")), pair_limit, similarity)
     second = second.unionByName(_ordered(rest.select(F.explode("others").alias("a"), "fp"))).distinct()
     return verified.unionByName(verify(second.join(verified, ["a", "b"], "left_anti")))
 
@@ -376,7 +404,7 @@ def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone are documents of their own; of equal ids the smaller class stays; null ids stand last. Only ids meet the texts: up to
     ``BROADCAST_IDS`` are broadcast, more are joined by a shuffle."""
     rows = settle(sampled(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys")))
+    classes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.max("keys").alias("keys"), F.max("mark").alias("mark")))
     named = classes.select("fp", "least")
     found = similar_links(docs, classes, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
     answer = settle(_component_table(named, settle(found)).join(named, F.col("c_fp") == F.col("fp")).select("fp", "root", "least"))

@@ -130,6 +130,25 @@ def test_first_of_groups_equals_all_pairs(spark, make):
         assert kept == want
 
 
+def test_large_keys_of_several_cores(spark, make):
+    """Near copies of several cores with a text in common, in chains, with keys far above the limit of pairs: every
+    group of all pairs is found."""
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(60)]
+    texts = []
+    for core in range(6):
+        w = shared + [f"c{core}w{i}" for i in range(70)]
+        for step in range(160):
+            texts.append(" ".join(_edited(rng, w, rng.choice([1, 1, 2, 3]))))
+            if step % 20 == 19:
+                w = _edited(rng, w, 2)
+    rng.shuffle(texts)
+    want = {i for i, r in enumerate(brute_groups(texts)) if i == r}
+    kept = {r["doc_id"] for r in s.first_of_groups(make(list(enumerate(texts)))).collect()}
+    print("groups", len(want), "kept", len(kept), "lost links", len(kept - want))
+    assert kept == want
+
+
 def test_first_of_groups_odd_rows(spark, make, odd_rows):
     kept = s.first_of_groups(make(odd_rows)).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 5, 6]
