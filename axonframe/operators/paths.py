@@ -28,6 +28,42 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
+#: Rows of a join that one cell of a heavy key makes.
+CELL_ROWS = 1_000_000
+
+
+def heavy_keys(left: DataFrame, right_rows: DataFrame, key: str, cell_rows: int) -> DataFrame:
+    """(key, _a, _b): the keys that make more than ``cell_rows`` rows in a join of ``left`` with the side that has
+    ``right_rows`` (key, _m) rows a key, and into how many parts each side of them is cut."""
+    both = left.groupBy(key).agg(F.count("*").alias("_n")).join(right_rows, key)
+    cells = F.ceil(F.col("_n") * F.col("_m") / cell_rows)
+    both = both.where(F.col("_n") * F.col("_m") > cell_rows).withColumn("_a", F.least("_n", F.ceil(F.sqrt(cells))))
+    return both.select(key, F.col("_a").cast("int").alias("_a"), F.least("_m", F.ceil(cells / F.col("_a"))).cast("int").alias("_b"))
+
+
+def grid_join(left: DataFrame, right: DataFrame, key: str, *, right_rows: DataFrame | None = None, cell_rows: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where hubs are cut on both sides. The sides of a heavy key are dealt by hashes
+    into a and b parts, and each part meets every part of the other side, so a hub's rows are made by a x b cells, which
+    are keys of their own: a task makes about ``cell_rows`` rows of it, for b copies of its left and a copies of its right
+    rows. The other keys keep one cell. Both sides should be settled, as they are counted first."""
+    cell_rows = cell_rows or CELL_ROWS
+    if right_rows is None:
+        right_rows = right.groupBy(key).agg(F.count("*").alias("_m"))
+    hubs = settle(heavy_keys(left, right_rows, key, cell_rows))
+    n = hubs.count()
+    if not n:
+        return left.join(right, key)
+    hubs = small(hubs, n)
+
+    def dealt(side: DataFrame, own: str, parts: str, other: str, copies: str) -> DataFrame:
+        at = F.pmod(F.xxhash64(*side.columns), F.coalesce(parts, F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))
+        return side.join(hubs, key, "left").select(*side.columns, at.alias(own), every.alias(other))
+
+    cells = dealt(left, "_i", "_a", "_j", "_b").join(dealt(right, "_j", "_b", "_i", "_a"), [key, "_i", "_j"])
+    return cells.select(*left.columns, *(c for c in right.columns if c != key))
+
+
 def settled(graph: Graph) -> Graph:
     """``graph`` with its tables computed once, for operators that read them several times."""
     return replace(graph, nodes=settle(graph.nodes), edges=settle(graph.edges))
@@ -95,14 +131,15 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
         .join(signs, "pre")
         .select(F.col("pre").alias("_last"), F.col("post").alias("_next"), F.col("weight").cast("long").alias("_w"), "fraction", "sign", "to_target")
     )
-    steps = small(steps, steps.count())
+    n_steps = steps.count()
+    degrees = settle(steps.groupBy("_last").agg(F.count("*").alias("_m"))) if n_steps > BROADCAST_IDS else None
     goal = id_frame(graph.nodes, targets, "_last").withColumn("_hit", F.lit(True))
     first = graph.spark.createDataFrame([(i, int(s)) for i, s in enumerate(dict.fromkeys(sources))], "_turn int, _last long")
     frontier = first.select("_turn", "_last", F.array("_last").alias("path"), F.expr("cast(array() as array<bigint>)").alias("weights"), F.expr("cast(array() as array<double>)").alias("signs"), F.lit(1.0).alias("strength"))
     found = None
     for depth in range(1, max_hops + 1):
         grown = (
-            frontier.join(steps, "_last")
+            (frontier.join(F.broadcast(steps), "_last") if degrees is None else grid_join(frontier, steps, "_last", right_rows=degrees))
             .where((F.col("to_target") <= max_hops - depth) & ~F.array_contains("path", F.col("_next")) & (F.col("strength") * F.col("fraction") >= min_strength))
             .select("_turn", F.col("_next").alias("_last"), F.array_append("path", F.col("_next")).alias("path"), F.array_append("weights", F.col("_w")).alias("weights"), F.array_append("signs", F.col("sign")).alias("signs"), (F.col("strength") * F.col("fraction")).alias("strength"))
             .join(goal, "_last", "left")
@@ -111,6 +148,8 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
         reached = grown.where("_hit").drop("_hit")
         found = reached if found is None else found.unionByName(reached)
         frontier = grown.where("_hit is null").drop("_hit")
+        if depth < max_hops and frontier.isEmpty():
+            break
     product = F.aggregate("signs", F.lit(1.0), lambda a, x: a * x)
     out = found.select(
         "path",
@@ -208,7 +247,8 @@ def with_labels(paths: DataFrame, graph: Graph, label: str) -> DataFrame:
 
 
 def _powers(graph: Graph, hops: int, signed: bool, threshold: float, sources: Sequence[int] | None) -> list[DataFrame]:
-    """Powers 1 to ``hops`` of the (signed) input-normalised matrix, each settled."""
+    """Powers 1 to ``hops`` of the (signed) input-normalised matrix, each settled. Hubs between are cut by ``grid_join``; beyond
+    an empty power all are empty."""
     if hops < 1:
         raise ValueError("hops must be >= 1")
     base = input_normalized(replace(graph, edges=settle(graph.edges)))
@@ -221,9 +261,14 @@ def _powers(graph: Graph, hops: int, signed: bool, threshold: float, sources: Se
     power = prune(base)
     if sources is not None:
         power = power.join(id_frame(graph.nodes, sources, "pre"), "pre", "left_semi")
-    step, out = base.select(F.col("pre").alias("_mid"), F.col("post").alias("_post"), F.col("value").alias("_v")), [power]
+    step, out = base.select(F.col("pre").alias("post"), F.col("post").alias("_post"), F.col("value").alias("_v")), [settle(power)]
+    degrees = settle(step.groupBy("post").agg(F.count("*").alias("_m"))) if hops > 1 else None
     for _ in range(2, hops + 1):
-        product = out[-1].join(step, F.col("post") == F.col("_mid")).groupBy("pre", "_post").agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
+        if out[-1].isEmpty():
+            out.append(out[-1])
+            continue
+        rows = grid_join(out[-1], step, "post", right_rows=degrees)
+        product = rows.groupBy("pre", "_post").agg(F.sum(F.col("value") * F.col("_v")).alias("value"))
         out.append(settle(prune(product.withColumnRenamed("_post", "post"))))
     return out
 
@@ -258,4 +303,4 @@ def compress_paths_signed(graph: Graph, hops: int, *, output_threshold: float =
     return out.where(F.abs("value") >= output_threshold) if output_threshold > 0 else out
 
 
-__all__ = ["all_paths", "bfs_distances", "compress_paths_signed", "effective_by_hops", "effective_connectivity", "filtered_edges", "find_paths", "input_totals", "nodes_on_paths", "strongest_paths", "with_labels"]
+__all__ = ["all_paths", "bfs_distances", "compress_paths_signed", "effective_by_hops", "effective_connectivity", "filtered_edges", "find_paths", "grid_join", "input_totals", "nodes_on_paths", "strongest_paths", "with_labels"]
