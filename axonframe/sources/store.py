@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import id_frame
+from ..operators.graph import among
 from ..schema import EDGES
 from .readers import ArrowFileSource, TarCsvSource
 
@@ -34,11 +34,11 @@ def neuron_scan(neurons: DataFrame, *, columns: Sequence[str] | None = None, whe
 
 
 def edge_scan(edges: DataFrame, *, min_weight: int = 1, pre: Sequence[int] | None = None, post: Sequence[int] | None = None, ordered: bool = False) -> DataFrame:
-    """Rows at ``min_weight`` or more, optionally only with pre or post among ids (semi-joins)."""
+    """Rows at ``min_weight`` or more, optionally only with pre or post among ids."""
     out = edges.where(F.col("weight") >= min_weight)
     for name, ids in (("pre", pre), ("post", post)):
         if ids is not None:
-            out = out.join(id_frame(edges, ids, name), name, "left_semi")
+            out = among(out, name, ids)
     return out.orderBy("pre", "post") if ordered else out
 
 
