@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.operators import graph as g, paths as p
+from axonframe.operators import graph as g, paths as p, uncertainty
 from axonframe.plans import graphview as view
 from axonframe.plans.queries import ORACLE, QUERIES, TARGETS
 
@@ -59,3 +59,11 @@ def test_autapses_of_shared_ids_go_in_both(spark, tmp_path):
         con.execute(f"COPY (SELECT {columns} FROM {name}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
     got = QUERIES["converted_hemibrain"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE["converted_hemibrain"]).fetchall()) == [(5, 1005, 2), (1005, 1006, 4)]
+
+
+def test_versions_are_compared_without_a_join(spark):
+    old = spark.createDataFrame([(1, 2, 3), (1, 3, 4), (None, 2, 5)], "pre long, post long, weight int")
+    new = spark.createDataFrame([(1, 2, 3), (1, 3, 5), (None, 2, 5), (4, 1, 1)], "pre long, post long, weight int")
+    found = uncertainty.diff_edges(old, new)
+    assert "Join" not in plan(found)
+    assert set(map(tuple, found.collect())) == {(1, 3, 4, 5, "changed"), (4, 1, None, 1, "added"), (None, 2, None, 5, "added"), (None, 2, 5, None, "removed")}
