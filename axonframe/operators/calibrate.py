@@ -31,12 +31,15 @@ def poisson_weight(u: Column) -> Column:
 def bootstrap_means(records: DataFrame, unit: str, value: str, *, by: Sequence[str] = (), n_boot: int = 1000, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(by..., n_units, n, mean, ci_low, ci_high): the mean of ``value`` and its interval over draws of whole units.
 
-    Records are summed per unit first, so that units times draws is all that grows with ``n_boot``. Draws without any
-    record are left out; null values are no records."""
+    Records are summed per unit first, so that units times draws is all that grows with ``n_boot``; a draw is hashed once per unit, for
+    all its groups. Draws without any record are left out; null values are no records."""
     part = records.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count("*").alias("_c"))
     whole = part.groupBy(*by).agg(F.count("*").alias("n_units"), F.sum("_c").alias("n"), (F.sum("_s") / F.sum("_c")).alias("mean"))
-    drawn = part.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    drawn = drawn.withColumn("_w", poisson_weight(hash_uniform(F.lit(seed), F.col(unit), F.col("_draw")))).where("_w > 0")
+    units = part.groupBy(unit).agg(F.collect_list(F.struct(*by, "_s", "_c")).alias("_g"))  # an item per group that the unit is in
+    draws = F.transform(F.sequence(F.lit(1), F.lit(n_boot)), lambda k: hash_uniform(F.lit(seed), F.col(unit), k))
+    # The number is a column of its own: inside the weight it would be hashed again for every comparison.
+    drawn = units.select("_g", F.posexplode(draws).alias("_draw", "_u")).withColumn("_w", poisson_weight(F.col("_u"))).where("_w > 0")
+    drawn = drawn.select("_draw", "_w", F.inline("_g"))
     means = drawn.groupBy(*by, "_draw").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_c"))).alias("_m"))
     tail = (1 - level) / 2
     cut = means.groupBy(*by).agg(F.percentile("_m", F.lit(tail)).alias("ci_low"), F.percentile("_m", F.lit(1 - tail)).alias("ci_high"))

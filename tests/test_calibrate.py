@@ -90,3 +90,11 @@ def test_bootstrap(spark):
     u = spark.range(20_000).select(cal.poisson_weight(cal.hash_uniform(F.lit(1), F.col("id"))).alias("w")).toPandas().w
     assert abs(u.mean() - 1) < 0.03 and abs(u.var() - 1) < 0.05
     assert cal.bootstrap_means(df.limit(0), "u", "v", by=["g"]).count() == 0
+
+
+def test_a_draw_is_hashed_once_per_unit(spark):
+    """Not once per group of the unit, nor again for every comparison with the cumulative odds."""
+    rows = spark.createDataFrame([(g, u, float(u)) for u in range(4) for g in "abc"], "g string, u long, v double")
+    found = cal.bootstrap_means(rows, "u", "v", by=["g"], n_boot=5)
+    optimized = found._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("md5(") == 1
