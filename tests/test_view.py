@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.operators import graph as g, paths as p, uncertainty
+from axonframe.operators import graph as g, paths as p, sim, uncertainty
 from axonframe.plans import graphview as view
 from axonframe.plans.queries import ORACLE, QUERIES, TARGETS
 
@@ -67,3 +67,13 @@ def test_versions_are_compared_without_a_join(spark):
     found = uncertainty.diff_edges(old, new)
     assert "Join" not in plan(found)
     assert set(map(tuple, found.collect())) == {(1, 3, 4, 5, "changed"), (4, 1, None, 1, "added"), (None, 2, None, 5, "added"), (None, 2, 5, None, "removed")}
+
+
+def test_a_network_does_not_pass_the_driver(spark, monkeypatch):
+    """The stored network equals the one read by the driver, and a simulation does without the latter."""
+    graph, params = view.graph(spark, str(SF)), sim.LIFParams()
+    want, got = sim.network(graph, params), sim.load_network(sim.store_network(graph, params), params)
+    for name in ("ids", "indptr", "targets", "weights"):
+        assert (getattr(want, name) == getattr(got, name)).all()
+    monkeypatch.setattr(sim, "network", lambda *a: pytest.fail("read by the driver"))
+    sim.simulate(graph, [sim.Condition("a", {TARGETS[0]: 150.0})], n_steps=50).collect()
