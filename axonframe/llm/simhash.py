@@ -46,10 +46,8 @@ PAIR_LIMIT = 24
 BROADCAST_IDS = 2_000_000
 #: Fingerprints of samples for a similarity of whole texts, and shingles a sample.
 SAMPLES, SAMPLE = 24, 5
-#: More leaders of a large key that classes unlike its first leader are compared with.
-LEADERS = 8
-#: Keys that are compared before the others.
-FIRST_KEYS = 3
+#: Bytes of sets of a block of classes that meet another block in one task.
+CELL_BYTES = 4 << 20
 #: Bits of a set's mark, which rules out pairs before their sets are compared.
 MARK_BITS = 128
 _SLICE = 1 << 20
@@ -312,68 +310,24 @@ def sampled(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, fp bigint, keys array<bigint>, mark array<bigint>")
 
 
-def _candidates(members: DataFrame, pair_limit: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes from members (key, fp, root, mark): classes of the same root are linked already, and marks rule
-    out pairs that can't be similar. Of a small key all pairs of different roots. Of a large one the root with the most
-    classes leads, by its first class by a hash, so that keys which share members share the leader; it meets each class of
-    another root. Second, the large keys' rows (key, a, fp, others) that are compared, with more leaders by other hashes."""
-    first = lambda of, *x: F.min_by(of, F.xxhash64(*x, "fp"))
-    part = members.groupBy("key", "root").agg(F.count("*").alias("n"), first(F.struct("fp", "mark")).alias("l"), F.array(*(first("fp", F.lit(i)) for i in range(LEADERS))).alias("o"))
-    lead = F.max_by(F.struct("l", "root"), F.struct("n", F.xxhash64("l.fp")))
-    others = F.array(*(F.min_by(F.col("o")[i], F.xxhash64(F.lit(i), F.col("o")[i])) for i in range(LEADERS)))
-    size = part.groupBy("key").agg(F.sum("n").alias("n"), lead.alias("x"), others.alias("others"), F.count("*").alias("roots")).where("roots > 1")
-    size = size.select(F.col("key").alias("k"), "n", F.col("x.l.fp").alias("a"), F.col("x.l.mark").alias("a_mark"), F.col("x.root").alias("a_root"), "others")
-    rows = settle(members.join(size, (F.col("key") == F.col("k")) & ((F.col("n") <= pair_limit) | (F.col("root") != F.col("a_root")))))
-    small = rows.where(F.col("n") <= pair_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "root", "mark"))).alias("m"))
-    partner = lambda y: (y["fp"] > F.col("x.fp")) & (y["root"] != F.col("x.root")) & _close(y["mark"], F.col("x.mark"), similarity)
-    pairs = small.select(F.explode("m").alias("x"), "m").select(F.col("x.fp").alias("a"), F.explode(F.filter("m", partner)).alias("y")).select("a", F.col("y.fp").alias("b"))
-    large = rows.where(F.col("n") > pair_limit)
-    led = _ordered(large.where(_close(F.col("mark"), F.col("a_mark"), similarity)).select("a", "fp"))
-    return pairs.unionByName(led).distinct(), large.select("key", "a", "fp", "others")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, fp) as (a, b), a < b."""
-    return pairs.select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).where("a < b")
-
-
-def _contracted(classes: DataFrame, verified: DataFrame) -> DataFrame:
-    """``classes`` (fp, keys, mark) with ``root``: the component of each class under the links found so far."""
-    found = components(verified)
-    return settle(classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "keys", "mark", F.coalesce("root", "fp").alias("root")))
-
-
-def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, pair_limit: int | None = None) -> DataFrame:
-    """Links (a, b), a < b, of classes (fp, least, keys, mark) whose sets have a Jaccard similarity of ``similarity`` or more.
-
-    Classes that share a key are candidates. A key of more than ``pair_limit`` classes compares each with the key's leader.
-    ``FIRST_KEYS`` keys go first and their links become components; then all keys, for classes of different components, so a
-    group of copies is compared again only where it is still in parts. Classes that are not in a leader's component then
-    are compared with ``LEADERS`` more leaders of the key, and meet each other under the pairs of their keys. All
-    candidates are verified on their whole sets."""
-    pair_limit = pair_limit or PAIR_LIMIT
-    keyed = lambda rows, keys: rows.select("fp", "root", "mark", F.explode(keys).alias("key"))
-    verify = lambda pairs: settle(_verify(docs, classes, settle(pairs), id_col, text_col, shingle, similarity))
-    alone = classes.select("fp", "keys", "mark", F.col("fp").alias("root"))
-    verified = verify(_candidates(keyed(alone, F.slice("keys", 1, FIRST_KEYS)), pair_limit, similarity)[0])
-    pairs, large = _candidates(keyed(_contracted(classes, verified), "keys"), pair_limit, similarity)
-    verified = settle(verified.unionByName(verify(pairs.join(verified, ["a", "b"], "left_anti"))))
-    if large.isEmpty():
-        return verified
-    rooted = _contracted(classes, verified)
-    named = lambda c: rooted.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root"))
-    rest = settle(large.join(named("c"), F.col("fp") == F.col("c")).join(named("l"), F.col("a") == F.col("l")).where("c_root <> l_root").select("key", "fp", "others"))
-    if rest.isEmpty():
-        return verified
-    again = rest.join(rooted.select(F.col("fp").alias("c"), "keys", "root", "mark"), F.col("fp") == F.col("c")).select("fp", "root", "mark", "key", F.explode("keys").alias("k2")).where("key <> k2")
-    second, _ = _candidates(again.select("fp", "root", "mark", F.xxhash64("key", "k2").alias("key")), pair_limit, similarity)
-    second = second.unionByName(_ordered(rest.select(F.explode("others").alias("a"), "fp"))).distinct()
-    return verified.unionByName(verify(second.join(verified, ["a", "b"], "left_anti")))
-
-
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of classes that are similar. Each class's set is cut again from the document with its smallest id."""
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def _shared(classes: DataFrame) -> DataFrame:
+    """(key, fp, n) of the keys that several classes (fp, keys) have; n is their number. Keys are shuffled once."""
+    members = classes.select("fp", F.explode("keys").alias("key")).repartition("key")
+    size = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return members.join(size, "key")
+
+
+def _led(shared: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(key, fp, a, size, close) of rows (key, fp, n): ``a`` leads the key. It is the class whose keys are the most common, as the
+    text that copies were made from shares keys with all of them. ``close``: the marks of fp and a allow the pair."""
+    weight = shared.groupBy("fp").agg(F.sum("n").alias("w"))
+    rows = shared.join(weight.join(classes.select("fp", "mark"), "fp"), "fp").select("key", "fp", "w", "mark")
+    lead = rows.groupBy("key").agg(F.min_by(F.struct("fp", "mark"), F.struct(-F.col("w"), F.xxhash64("fp"), "fp")).alias("l"))
+    return rows.join(lead, "key").select("key", "fp", F.col("l.fp").alias("a"), F.col("mark")[0].alias("size"), _close(F.col("mark"), F.col("l.mark"), similarity).alias("close"))
+
+
+def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(fp, s): the sets of the classes ``wanted`` (fp), each cut again from the document with its smallest id."""
     ids = settle(classes.join(wanted, "fp").select(F.col("least").alias("__k"), "fp"))
     small = ids.count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(ids) if small else ids, F.col(id_col).eqNullSafe(F.col("__k"))).select("fp", F.col(text_col).alias("text"))
@@ -385,11 +339,84 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str,
                 found = [(fp, s.view(np.int64)) for fp, s in zip(wanted[i:j], shingle_sets(batch[i:j], shingle), strict=True) if set_class(s) == fp]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["fp", "s"])
 
-    sets = settle(rows.mapInArrow(run, "fp bigint, s array<bigint>").dropDuplicates(["fp"]))
+    return rows.mapInArrow(run, "fp bigint, s array<bigint>").dropDuplicates(["fp"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (fp, s) are similar."""
     side = lambda c: sets.select(F.col("fp").alias(c), F.col("s").alias(f"s_{c}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
-    met = pairs.join(side("b"), "b").join(side("a"), "a")
-    return met.where(both >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    return pairs.join(side("b"), "b").join(side("a"), "a").where(both >= F.lit(similarity) * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+
+
+def _cells(rows: DataFrame, cell_bytes: int) -> DataFrame:
+    """(cell, fp, root) of rows (key, fp, size, root), so that any two classes of one key and of different roots meet in a cell.
+
+    A key's root of the most bytes is its main one. It and the others are cut by hashes into blocks of about ``cell_bytes``;
+    each block of the others meets each block of the main root and each of the others. Keys of one root have no cell. So a
+    key's work is linear while its others fit in one block, and no cell holds more than about two blocks."""
+    part = rows.groupBy("key", "root").agg(F.sum(F.col("size") * 8).alias("b"))
+    parts = part.groupBy("key").agg(F.max_by("root", F.struct("b", "root")).alias("main"), F.max("b").alias("main_b"), F.sum("b").alias("b"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda b: F.ceil(b / F.lit(cell_bytes)).cast("int")
+    parts = parts.select(F.col("key").alias("k"), "main", blocks(F.col("main_b")).alias("mains"), blocks(F.col("b") - F.col("main_b")).alias("others"))
+    main = F.col("root") == F.col("main")
+    at = F.pmod(F.xxhash64("fp"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = rows.join(parts, F.col("key") == F.col("k")).withColumns({"is_main": main, "at": at})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda kind, i, j: F.xxhash64("key", F.lit(kind), i, j)
+    to_mains = F.transform(upto("mains"), lambda x: cell(0, F.col("at"), x))
+    to_others = F.transform(F.filter(upto("others"), lambda x: x != F.col("at")), lambda x: cell(1, F.least(F.col("at"), x), F.greatest(F.col("at"), x)))
+    of_main = F.transform(upto("others"), lambda x: cell(0, x, F.col("at")))
+    return placed.select("fp", "root", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_mains, to_others))).alias("cell"))
+
+
+def cell_links(sets: list[np.ndarray], roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) at ``similarity`` or more that connect what all such links of sets of different roots connect.
+
+    Shared shingles are counted with all sets at once, through the sets that hold each shingle. Sets of the most common
+    root do not count, as the other end of their links does."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, which, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(which, kind="stable")]
+    first, offset = np.cumsum(holders) - holders, np.r_[0, np.cumsum(size)]
+    _, label = np.unique(roots, return_inverse=True)
+    out = []
+    for i in np.flatnonzero(label != np.bincount(label).argmax()):
+        held = which[offset[i] : offset[i + 1]]
+        held = held[holders[held] > 1]
+        n = holders[held]
+        both = np.bincount(owner[np.repeat(first[held] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        near = np.flatnonzero((both >= similarity * (size[i] + size - both)) & (label != label[i]))
+        if len(near):
+            met, at = np.unique(label[near], return_index=True)
+            out += [(int(i), int(j)) for j in near[at]]
+            label[np.isin(label, met)] = label[i]
+    return out
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, *, id_col: str, text_col: str, shingle: int, similarity: float, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Links (a, b) of classes (fp, least, keys, mark), all with a Jaccard similarity of ``similarity`` or more, that connect
+    what all such links of classes with a key in common connect.
+
+    First each class meets the leader of each of its keys. Those links become components. Then the other classes of a key
+    that still are in different components meet each other, whatever the key's size: in cells of a bounded size, on their
+    whole sets (``_cells``). A cell gives a forest, at most one link less than it has classes, so no key gives rows by pairs."""
+    led = settle(_led(settle(_shared(classes)), classes, similarity))
+    sets = settle(_class_sets(docs, classes, led.select("fp").distinct(), id_col, text_col, shingle))
+    close = led.where("fp <> a and close").select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b")).distinct()
+    verified = settle(_verified(close, sets, similarity))
+    rest = led.where("fp <> a").select("key", "fp", "size")
+    rooted = settle(rest.join(components(verified), F.col("fp") == F.col("node"), "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root")))
+
+    def run(t: pa.Table) -> pa.Table:
+        fp, s = t.column("fp").to_numpy(), t.column("s").combine_chunks()
+        at, values = s.offsets.to_numpy(), s.values.to_numpy()
+        found = cell_links([values[i:j] for i, j in zip(at, at[1:], strict=False)], t.column("root").to_numpy(), similarity)
+        ends = np.sort(fp[np.array(found, np.int64).reshape(-1, 2)], axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    met = _cells(rooted, cell_bytes).join(sets, "fp").groupBy("cell").applyInArrow(run, "a bigint, b bigint")
+    return verified.unionByName(met).distinct()
 
 
 def first_of_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -149,6 +149,64 @@ def test_large_keys_of_several_cores(spark, make):
     assert kept == want
 
 
+def _classes(spark, docs):
+    """Documents and their classes, all with the same two keys."""
+    sets = s.shingle_sets([t.encode() for t in docs], 5)
+    marks = s.parity_marks(sets)
+    rows = [(s.set_class(x), i, [1, 2], [int(v) for v in m]) for i, (x, m) in enumerate(zip(sets, marks, strict=True))]
+    return spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(rows, "fp long, least long, keys array<long>, mark array<long>")
+
+
+def test_a_large_key_loses_no_link(spark):
+    """120 classes share all keys, only couples and threes of them are similar, so no leader is like the others."""
+    rng = random.Random(4)
+    docs = []
+    for g in range(50):
+        base = [f"g{g}w{i}" for i in range(80)]
+        docs += [" ".join(base)] + [" ".join(_edited(rng, base, 1)) for _ in range(1 + g % 2)]
+    rng.shuffle(docs)
+    want = brute_groups(docs)
+    frame, classes = _classes(spark, docs)
+    fps = {r["least"]: r["fp"] for r in classes.collect()}
+    for options in ({}, {"cell_bytes": 4000}):
+        found = {r["node"]: r["root"] for r in s.components(s.similar_links(frame, classes, id_col="doc_id", text_col="text", shingle=5, similarity=0.8, **options)).collect()}
+        groups = [found.get(fps[i], fps[i]) for i in range(len(docs))]
+        assert len(set(zip(groups, want, strict=True))) == len(set(groups)) == len(set(want)) == 50
+
+
+def test_cells_hold_all_pairs_of_different_roots(spark):
+    """Whatever a key's size, its pairs of different roots meet, no cell is much larger than two blocks, and a key whose
+    others fit in one block gives each class to few cells."""
+    rows = [(k, 1000 * k + i, 10, -1 if i < 300 else i // 4) for k in (1, 2) for i in range(300 + (60 if k == 1 else 4))] + [(3, i, 10, 7) for i in range(50)]
+    cells = s._cells(spark.createDataFrame(rows, "key long, fp long, size long, root long"), 1600).groupBy("cell").agg(s.F.collect_set(s.F.struct("fp", "root")).alias("m")).collect()
+    met = {(x["fp"], y["fp"]) for r in cells for x in r["m"] for y in r["m"] if x["root"] != y["root"]}
+    assert met == {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3]}
+    assert max(len(r["m"]) for r in cells) <= 2 * 2 * 1600 // 80
+    assert sum(len([x for x in r["m"] if x["fp"] // 1000 == 2]) for r in cells) <= 304 + 4 * 15
+
+
+def test_cell_links_connect_like_all_pairs():
+    rng = random.Random(6)
+    bases = [[f"g{g}w{i}" for i in range(rng.choice([20, 60]))] for g in range(12)]
+    docs = [" ".join(_edited(rng, rng.choice(bases), rng.choice([0, 1, 2, 4]))) for _ in range(150)]
+    docs = list(dict.fromkeys(docs))
+    sets, roots = s.shingle_sets([t.encode() for t in docs], 5), s.np.arange(len(docs)) // 2
+    par = dict(enumerate(range(len(docs))))
+    for i, a in enumerate(map(set, sets)):
+        for j, b in enumerate(map(set, sets[:i])):
+            if roots[i] == roots[j] or len(a & b) >= 0.8 * len(a | b):
+                x, y = _root(par, i), _root(par, j)
+                par[max(x, y)] = min(x, y)
+    got = dict(enumerate(range(len(docs))))
+    found = s.cell_links(sets, roots, 0.8)
+    assert len(found) < len(docs)
+    for i, j in [*found, *((i, i - 1) for i in range(1, len(docs), 2))]:
+        assert roots[i] == roots[j] or len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})
+        x, y = _root(got, i), _root(got, j)
+        got[max(x, y)] = min(x, y)
+    assert [_root(got, i) for i in got] == [_root(par, i) for i in par]
+
+
 def test_first_of_groups_odd_rows(spark, make, odd_rows):
     kept = s.first_of_groups(make(odd_rows)).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 5, 6]
