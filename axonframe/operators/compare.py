@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, params_hash, verdict
-from .graph import Graph, per_node
+from .graph import Graph, label_sums
 from .paths import settle
 
 UNMATCHED = "__unmatched__"
@@ -61,10 +61,8 @@ def vocab_partner_names(nodes: DataFrame, known: DataFrame, vocabulary: str = "f
 
 def partner_counts(graph: Graph, labels: DataFrame) -> DataFrame:
     """(neuron_id, dir, label, value): weight to (out) and from (in) partners by label; null label: unlabelled."""
-    name = per_node(labels.select(F.col("neuron_id").alias("_p"), "label"))
-    out = graph.edges.select(F.col("pre").alias("neuron_id"), F.col("post").alias("_p"), "weight", F.lit("out").alias("dir"))
-    inn = graph.edges.select(F.col("post").alias("neuron_id"), F.col("pre").alias("_p"), "weight", F.lit("in").alias("dir"))
-    return out.unionByName(inn).join(name, "_p", "left").groupBy("neuron_id", "dir", "label").agg(F.sum("weight").alias("value"))
+    half = lambda own, name: label_sums(graph, own, labels, "left").select(F.col(own).alias("neuron_id"), F.lit(name).alias("dir"), "label", F.col("weight").alias("value"))
+    return half("pre", "out").unionByName(half("post", "in"))
 
 
 def profiles(counts: DataFrame, *, direction: str = "both", mask: Sequence[str] = ()) -> DataFrame:

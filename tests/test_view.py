@@ -77,3 +77,35 @@ def test_a_network_does_not_pass_the_driver(spark, monkeypatch):
         assert (getattr(want, name) == getattr(got, name)).all()
     monkeypatch.setattr(sim, "network", lambda *a: pytest.fail("read by the driver"))
     sim.simulate(graph, [sim.Condition("a", {TARGETS[0]: 150.0})], n_steps=50).collect()
+
+
+def _unfactored(graph):
+    return g.Graph(graph.nodes, graph.edges, graph.provenance)
+
+
+def test_blocks_are_the_edges(spark):
+    """Blocks hold the same edges as the plan, at any least weight and settled, and a graph with other edges has none."""
+    for options in ({}, {"min_weight": 12}):
+        graph = view.graph(spark, str(SF), **options)
+        again = p.settled(graph)
+        assert again.factored is not None and again.edges.count() == g.edge_count(graph) == g.edge_count(again)
+        assert again.edges.exceptAll(graph.edges).isEmpty() and graph.edges.exceptAll(again.edges).isEmpty()
+    assert g.Graph(graph.nodes, graph.edges.where("weight > 30"), blocks=graph.blocks).factored is None
+    assert g.subset(graph, TARGETS).factored is None
+
+
+def test_sums_over_blocks_do_not_make_their_edges(spark):
+    """Counts, totals, label sums and products equal those over the edges, and their plans have no join of customers and suppliers
+    by nation alone."""
+    graph = view.graph(spark, str(SF), min_weight=3)
+    names = graph.nodes.where("neuron_id % 7 <> 0").select("neuron_id", F.when(F.col("neuron_id") % 5 > 0, F.col("cell_type")).alias("label"))
+    made = [lambda x: g.input_totals(x), lambda x: g.aggregate(x, "cell_type", signed=True), *(lambda x, o=o, h=h: g.label_sums(x, o, names, h) for o in ("pre", "post") for h in ("inner", "left"))]
+    for f in made:
+        got, want = f(graph), f(_unfactored(graph))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(got.columns).collect()))
+        assert [any("Join [c_nationkey" in line and "[s_nationkey" in line for line in plan(x).splitlines()) for x in (got, want)] == [False, True]
+    source = graph.nodes.where(f"neuron_id >= {view.CUSTOMER} and neuron_id < {view.PART} and sign <> 0").first()["neuron_id"]
+    for options in ({}, {"signed": False}, {"threshold": 1e-4}):
+        value = lambda x: {(r["pre"], r["post"]): r["value"] for r in p.effective_connectivity(x, 3, sources=[source, TARGETS[1]], cumulative=True, **options).collect()}  # noqa: B023, E731
+        got, want = value(graph), value(_unfactored(graph))
+        assert got == pytest.approx(want, abs=1e-14)
