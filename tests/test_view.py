@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.operators import graph as g, paths as p, sim, uncertainty
+from axonframe.operators import graph as g, nulls, paths as p, sim, uncertainty
 from axonframe.plans import graphview as view
 from axonframe.plans.queries import ORACLE, QUERIES, TARGETS
 
@@ -109,3 +109,15 @@ def test_sums_over_blocks_do_not_make_their_edges(spark):
         value = lambda x: {(r["pre"], r["post"]): r["value"] for r in p.effective_connectivity(x, 3, sources=[source, TARGETS[1]], cumulative=True, **options).collect()}  # noqa: B023, E731
         got, want = value(graph), value(_unfactored(graph))
         assert got == pytest.approx(want, abs=1e-14)
+
+
+def test_rewiring_counts_the_edges_of_blocks(spark):
+    """A rewiring takes the edges of blocks as numbers a node, and pairs are looked up in the blocks."""
+    graph = view.graph(spark, str(SF))
+    for got, want in zip(nulls._stubs(graph), nulls._stubs(_unfactored(graph)), strict=True):
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert [any("Join [c_nationkey" in line and "[s_nationkey" in line for line in plan(x).splitlines()) for x in (got, want)] == [False, True]
+    e = nulls.rewired(graph, 4).edges
+    assert e.count() == graph.edges.count() and e.groupBy("pre", "post").count().where("count > 1 or pre = post").isEmpty()
+    kept = g.with_edges(graph, e.select("pre", "post"))
+    assert sorted(kept.collect()) == sorted(g.with_edges(_unfactored(graph), e.select("pre", "post")).collect()) and 0 < kept.count() < 0.5 * e.count()
