@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import replace
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import BROADCAST_IDS, Blocks, Graph, among, check_ids, id_frame, input_normalized, input_totals, per_node, settle
+from .graph import BROADCAST_IDS, DEAL, Blocks, Graph, among, block_edges, check_ids, id_frame, input_normalized, input_totals, per_node, settle
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -16,8 +16,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-#: Tasks per core over which the edges of blocks are made.
-DEAL = 4
 #: Rows of a join that one cell of a heavy key makes.
 CELL_ROWS = 1_000_000
 
@@ -78,18 +76,68 @@ def _at_least(edges: DataFrame, min_weight: int) -> DataFrame:
     return edges.where(F.col("weight") >= min_weight) if min_weight > 1 else edges
 
 
-def bfs_distances(edges: DataFrame, start: Sequence[int], max_depth: int, *, backwards: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Parts:
+    """Edges as ``plain`` ones and, where the graph has blocks, ``pre`` (pre, pre_block) and ``links`` (pre_block, post, weight): each
+    node of a pre_block has an edge to each post of its links."""
+
+    plain: DataFrame
+    pre: DataFrame | None = None
+    links: DataFrame | None = None
+
+    def where(self, keep: Callable[[DataFrame], DataFrame]) -> Parts:
+        """The edges that ``keep``, a filter of post, weight and fraction, leaves."""
+        return Parts(keep(self.plain)) if self.links is None else Parts(keep(self.plain), self.pre, keep(self.links))
+
+
+def _parts(graph: Graph, min_weight: int, min_edge_fraction: float = 0.0) -> Parts:
+    """The edges at ``min_weight`` and ``min_edge_fraction`` or more, with fractions only if these are asked for."""
+    b = graph.factored
+    all_ = Parts(graph.edges) if b is None else Parts(b.plain, b.pre, b.links())
+    if min_edge_fraction > 0:
+        all_ = _with_fractions(all_, per_node(input_totals(graph))).where(lambda e: e.where(F.col("fraction") >= min_edge_fraction))
+    all_ = all_.where(lambda e: _at_least(e, min_weight))
+    return all_ if b is None else replace(all_, pre=settle(all_.pre), links=settle(all_.links))
+
+
+def _with_fractions(parts: Parts, totals: DataFrame) -> Parts:
+    frac = F.coalesce(F.when(F.col("total") > 0, F.col("weight") / F.col("total")).otherwise(F.lit(0.0)), F.lit(0.0))
+    return parts.where(lambda e: e.join(totals, "post", "left").withColumn("fraction", frac).drop("total"))
+
+
+def _between(graph: Graph, parts: Parts, nodes: DataFrame) -> DataFrame:
+    """(pre, post, weight, fraction) of the edges whose two ends are among ``nodes`` (neuron_id, settled); the totals are those of the
+    graph, and are summed for these nodes alone."""
+    n = nodes.count()
+    ends = lambda c: small(nodes.select(F.col("neuron_id").alias(c)), n)
+    near = parts.where(lambda e: e.join(ends("post"), "post", "left_semi"))
+    if "fraction" not in parts.plain.columns:
+        near = _with_fractions(near, small(settle(input_totals(graph, posts=ends("post"))), n))
+    plain = near.plain.join(ends("pre"), "pre", "left_semi").select("pre", "post", "weight", "fraction")
+    if near.links is None:
+        return plain
+    made = block_edges(near.pre.join(ends("pre"), "pre", "left_semi"), near.links)
+    return plain.unionByName(made.select("pre", "post", "weight", "fraction"))
+
+
+def bfs_distances(edges: DataFrame | Parts, start: Sequence[int], max_depth: int, *, backwards: bool = False) -> DataFrame:
     """(node, distance) of nodes within ``max_depth`` hops of ``start`` (0 for these).
 
+    Edges of blocks (``Parts``) are not made: a frontier meets the blocks of its nodes, and these the nodes at their other ends.
     Edges may be a plan: ``start`` is a filter on them, a later frontier a semi-join, and the ends are told apart by an aggregate that
     keeps one row a node, so no edge is moved."""
+    parts = edges if isinstance(edges, Parts) else Parts(edges)
     a, b = ("post", "pre") if backwards else ("pre", "post")
-    steps = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    seen = frontier = id_frame(edges, start, "node").withColumn("distance", F.lit(0))
+    enter, leave = (parts.links, parts.pre) if backwards else (parts.pre, parts.links)
+    steps = parts.plain.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
+    seen = frontier = id_frame(parts.plain, start, "node").withColumn("distance", F.lit(0))
     size = total = len(set(start))
     for depth in range(1, max_depth + 1):
-        near = among(steps, "_from", start) if depth == 1 else steps.join(small(frontier.select(F.col("node").alias("_from")), size), "_from", "left_semi")
-        new = near.select(F.col("_to").alias("node")).distinct()
+        met = lambda df, c: among(df, c, start) if depth == 1 else df.join(small(frontier.select(F.col("node").alias(c)), size), c, "left_semi")  # noqa: B023, E731
+        new = met(steps, "_from").select(F.col("_to").alias("node"))
+        if enter is not None:
+            new = new.unionByName(leave.join(met(enter, a).select("pre_block").distinct(), "pre_block", "left_semi").select(F.col(b).alias("node")))
+        new = new.distinct()
         # A few joins of settled edges make a frontier again if an executor is lost, so it is cached and not written.
         frontier = new.join(small(seen.select("node"), total), "node", "left_anti").withColumn("distance", F.lit(depth)).persist()
         size = frontier.count()
@@ -103,11 +151,10 @@ def nodes_on_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int],
     """Nodes whose distances from the sources and to the targets sum up to ``max_hops`` or less, all sources,
     and the targets that are reached."""
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
-    e = filtered_edges(graph, min_weight, min_edge_fraction) if min_edge_fraction > 0 else _at_least(graph.edges, min_weight)
-    return _reach(e, sources, targets, max_hops).select("neuron_id")
+    return _reach(_parts(graph, min_weight, min_edge_fraction), sources, targets, max_hops).select("neuron_id")
 
 
-def _reach(e: DataFrame, sources: Sequence[int], targets: Sequence[int], max_hops: int) -> DataFrame:
+def _reach(e: Parts, sources: Sequence[int], targets: Sequence[int], max_hops: int) -> DataFrame:
     fwd = bfs_distances(e, sources, max_hops)
     back = bfs_distances(e, targets, max_hops, backwards=True).withColumnRenamed("distance", "to_target")
     near = fwd.join(back, "node", "full").where((F.coalesce("distance", F.lit(max_hops + 1)) + F.coalesce("to_target", F.lit(max_hops + 1)) <= max_hops) | (F.col("distance") == 0))
@@ -127,11 +174,11 @@ def find_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int], *,
         raise ValueError("max_hops must be >= 1")
     graph = replace(graph, nodes=settle(graph.nodes))
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
-    e = filtered_edges(graph, min_weight, min_edge_fraction)
-    on_path = settle(_reach(e, sources, targets, max_hops))
+    parts = _parts(graph, min_weight, min_edge_fraction)
+    on_path = settle(_reach(parts, sources, targets, max_hops))
     signs = graph.nodes.select(F.col("neuron_id").alias("pre"), F.col("sign").cast("double").alias("sign"))
     steps = settle(
-        e.join(on_path.select(F.col("neuron_id").alias("pre")), "pre", "left_semi")
+        _between(graph, parts, on_path.select("neuron_id"))
         .join(on_path.select(F.col("neuron_id").alias("post"), "to_target"), "post")
         .join(signs, "pre")
         .select(F.col("pre").alias("_last"), F.col("post").alias("_next"), F.col("weight").cast("long").alias("_w"), "fraction", "sign", "to_target")
@@ -195,10 +242,10 @@ def strongest_paths(graph: Graph, sources: Sequence[int], targets: Sequence[int]
         raise ValueError("max_hops and k must be >= 1")
     graph = replace(graph, nodes=settle(graph.nodes))
     sources, targets = check_ids(graph, sources), check_ids(graph, targets)
-    e = filtered_edges(graph, min_weight, min_edge_fraction)
-    near = settle(_reach(e, sources, targets, max_hops).select("neuron_id"))
+    parts = _parts(graph, min_weight, min_edge_fraction)
+    near = settle(_reach(parts, sources, targets, max_hops).select("neuron_id"))
     signs = graph.nodes.select(F.col("neuron_id").alias("pre"), F.col("sign").cast("double").alias("sign"))
-    steps = e.join(near.withColumnRenamed("neuron_id", "pre"), "pre", "left_semi").join(near.withColumnRenamed("neuron_id", "post"), "post", "left_semi").join(signs, "pre")
+    steps = _between(graph, parts, near).join(signs, "pre")
     steps = settle(steps.select(F.col("pre").alias("_last"), F.col("post").alias("_next"), F.col("weight").cast("long").alias("_w"), "fraction", "sign"))
     goal = id_frame(graph.nodes, targets, "_next").withColumn("_hit", F.lit(True))
     ahead = [id_frame(graph.nodes, targets, "_next").withColumn("_bound", F.lit(1.0))]

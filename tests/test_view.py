@@ -121,3 +121,30 @@ def test_rewiring_counts_the_edges_of_blocks(spark):
     assert e.count() == graph.edges.count() and e.groupBy("pre", "post").count().where("count > 1 or pre = post").isEmpty()
     kept = g.with_edges(graph, e.select("pre", "post"))
     assert sorted(kept.collect()) == sorted(g.with_edges(_unfactored(graph), e.select("pre", "post")).collect()) and 0 < kept.count() < 0.5 * e.count()
+
+
+def _crossed(df) -> bool:
+    return any("Join [c_nationkey" in line and "[s_nationkey" in line for line in plan(df).splitlines())
+
+
+def test_fractions_are_found_before_edges_of_blocks_are_made(spark):
+    graph, cut = view.graph(spark, str(SF)), lambda x: F.round(x, 9)
+    for f in (lambda x: g.input_normalized(x, value=cut), lambda x: g.interpreter_inputs(x, value=cut)[0]):
+        got, want = f(graph), f(_unfactored(graph))
+        assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+        rounded = [line for line in plan(got).splitlines() if "round(" in line]
+        assert not _crossed(got) and _crossed(want) and not any("pre#" in line for line in rounded if "pre_block" in line)
+
+
+@pytest.mark.parametrize("options", [{"min_weight": 12}, {"min_weight": 3, "min_edge_fraction": 0.01}])
+def test_paths_through_blocks(spark, options):
+    """Searches meet blocks, not their edges, and find the same nodes and paths."""
+    graph, ends = view.graph(spark, str(SF)), (TARGETS[1:3], TARGETS)
+    plain = _unfactored(graph)
+    found = p._reach(p._parts(graph, *options.values()), *ends, 3)
+    assert not _crossed(found) and _crossed(p._reach(p._parts(plain, *options.values()), *ends, 3))
+    assert sorted(found.collect()) == sorted(p._reach(p._parts(plain, *options.values()), *ends, 3).collect())
+    for f in (lambda x: p.find_paths(x, *ends, **options), lambda x: p.strongest_paths(x, *ends, 20, **options)):
+        rows = lambda x: {tuple(r["path"]): (r["strength"], r["min_weight"]) for r in f(x).collect()}  # noqa: B023, E731
+        got = rows(graph)
+        assert got and got == rows(plain)
