@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from axonframe.operators import graph as g, nulls, paths as p, sim, uncertainty
+from axonframe.operators import benchmark, compare, graph as g, nulls, paths as p, sim, uncertainty
 from axonframe.plans import graphview as view
 from axonframe.plans.queries import ORACLE, QUERIES, TARGETS
 
@@ -148,3 +148,20 @@ def test_paths_through_blocks(spark, options):
         rows = lambda x: {tuple(r["path"]): (r["strength"], r["min_weight"]) for r in f(x).collect()}  # noqa: B023, E731
         got = rows(graph)
         assert got and got == rows(plain)
+
+
+def test_a_simulation_reads_blocks_and_pages(spark, monkeypatch):
+    """Edges of blocks are neither stored nor held, plain ones only where neurons spike; spikes equal those of the whole network."""
+    graph, params = view.graph(spark, str(SF)), sim.LIFParams()
+    drive = {i: 150.0 for i in TARGETS}
+    whole, run = sim.network(graph, params), lambda net: sim.run_trial(net, drive, n_steps=600, seed=0, trial=1)
+    folder = sim.store_parts(graph, params)
+    known = graph.factored.plain.join(graph.nodes.where("sign <> 0").select(F.col("neuron_id").alias("pre")), "pre", "left_semi")
+    assert spark.read.parquet(f"{folder}/edges").count() == known.count() < len(whole.targets)
+    want = run(whole)
+    for most in (10**9, 1):
+        monkeypatch.setattr(sim, "MAX_NETWORK_EDGES", most)
+        net = sim.open_network(folder, params)
+        got = run(net)
+        assert len(got[1]) > 50 and all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert most > 1 or len(net.held) == 1
