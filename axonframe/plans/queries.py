@@ -69,8 +69,8 @@ def graph_counts(spark, sf_dir):
 
 @_query(f"{_E} SELECT pre AS id FROM edges WHERE weight >= 50 INTERSECT SELECT post FROM edges WHERE weight >= 15")
 def ids_intersect(spark, sf_dir):
-    e = view.edges(spark, sf_dir)
-    return edge_scan(e, min_weight=50).select(F.col("pre").alias("id")).intersect(edge_scan(e, min_weight=15).select("post"))
+    graph = view.graph(spark, sf_dir)
+    return g.ends(graph, "pre", 50).intersect(g.ends(graph, "post", 15))
 
 
 # Labels, signs, fractions.

@@ -165,3 +165,11 @@ def test_a_simulation_reads_blocks_and_pages(spark, monkeypatch):
         got = run(net)
         assert len(got[1]) > 50 and all((a == b).all() for a, b in zip(got, want, strict=True))
         assert most > 1 or len(net.held) == 1
+
+
+def test_ends_of_edges_do_not_make_edges_of_blocks(spark):
+    graph = view.graph(spark, str(SF))
+    for end, least in (("pre", 15), ("post", 15), ("post", 50)):
+        got, want = (g.ends(x, end, least) for x in (graph, _unfactored(graph)))
+        assert not _crossed(got) and _crossed(want) and sorted(got.collect()) == sorted(want.collect())
+    assert not _crossed(QUERIES["ids_intersect"](spark, str(SF)))
