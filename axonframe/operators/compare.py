@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, params_hash, verdict
-from .graph import Graph, label_sums
+from .graph import Graph, label_sums, per_node, sums_by
 from .paths import settle
 
 UNMATCHED = "__unmatched__"
@@ -101,10 +101,10 @@ def type_profile(graph: Graph, type_label: str, *, direction: str = "out", by: s
     n = rows.count()
     if not n:
         raise ValueError(f"no neurons of type {type_label!r}")
-    own, other = ("pre", "post") if direction == "out" else ("post", "pre")
-    names = graph.nodes.select(F.col("neuron_id").alias(other), F.coalesce(F.col(by).cast("string"), F.lit(UNMATCHED)).alias("label"))
-    per = graph.edges.join(rows.select(F.col("neuron_id").alias(own)), own, "left_semi").join(names, other).groupBy(own, "label").agg(F.sum("weight").alias("w"))
-    share = per.withColumn("f", F.col("w") / F.sum("w").over(W.partitionBy(own)))
+    own = "pre" if direction == "out" else "post"
+    names = graph.nodes.select("neuron_id", F.coalesce(F.col(by).cast("string"), F.lit(UNMATCHED)).alias("label"))
+    per = label_sums(graph, own, names, among=rows.select("neuron_id"))
+    share = per.withColumn("f", F.col("weight") / F.sum("weight").over(W.partitionBy(own)))
     return share.groupBy("label").agg((F.sum("f") / n).alias("fraction")).where("fraction > 0").orderBy(F.desc("fraction"), "label")
 
 

@@ -173,3 +173,11 @@ def test_ends_of_edges_do_not_make_edges_of_blocks(spark):
         got, want = (g.ends(x, end, least) for x in (graph, _unfactored(graph)))
         assert not _crossed(got) and _crossed(want) and sorted(got.collect()) == sorted(want.collect())
     assert not _crossed(QUERIES["ids_intersect"](spark, str(SF)))
+
+
+def test_a_profile_of_a_type_does_not_make_edges_of_blocks(spark):
+    graph = view.graph(spark, str(SF))
+    for way in ("out", "in"):
+        got, want = (compare.type_profile(x, "BUILDING", direction=way) for x in (graph, _unfactored(graph)))
+        assert not _crossed(got) and _crossed(want)
+        assert dict(map(tuple, got.collect())) == pytest.approx(dict(map(tuple, want.collect())))
