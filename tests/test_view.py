@@ -181,3 +181,12 @@ def test_a_profile_of_a_type_does_not_make_edges_of_blocks(spark):
         got, want = (compare.type_profile(x, "BUILDING", direction=way) for x in (graph, _unfactored(graph)))
         assert not _crossed(got) and _crossed(want)
         assert dict(map(tuple, got.collect())) == pytest.approx(dict(map(tuple, want.collect())))
+
+
+def test_signs_are_looked_up_for_nodes_of_blocks(spark, monkeypatch):
+    """Signs meet the nodes of pre_blocks before their edges are made, also where they are too many to broadcast."""
+    graph, same = view.graph(spark, str(SF)), lambda x: sorted(x.collect())
+    monkeypatch.setattr(g, "BROADCAST_NODES", 10)
+    for f in (g.signed_weights, lambda x: g.interpreter_inputs(x)[0]):
+        got, want = f(graph), f(_unfactored(graph))
+        assert not _crossed(got) and _crossed(want) and same(got) == same(want.select(got.columns))
