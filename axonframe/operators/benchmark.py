@@ -9,11 +9,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, hash_uniform
+from ..functions.scalars import hash_uniform
 from .calibrate import bootstrap_means, calibration_report, fit_logistic_folds
 from .compare import MIN_YARDSTICK, Atlas, LogisticModel, choose_delta, choose_s_floor, partner_counts, partner_labels, truth_labels
 from .graph import Graph
@@ -36,6 +39,68 @@ def masked_sums(atlas: Atlas, truths: DataFrame) -> DataFrame:
     return rows.select("truth", "group", "dir", "label", (F.col("value") + F.coalesce("delta", F.lit(0.0))).alias("value"))
 
 
+#: Queries of a type that are scored together, and cells of their matrix by partner labels or groups.
+CHUNK, CELLS = 4_000, 2_000_000
+
+
+def _best(prof: DataFrame, queries: DataFrame, sums: DataFrame, masked: DataFrame, first: Sequence[str], n: int) -> DataFrame:
+    """(neuron_id, truth, best): the ``n`` best groups (group, s) of every query by the cosine of its profile ``prof`` to their ``sums``, of
+    groups in ``masked`` to those; ties (to ten digits) by group. ``first`` are groups to fill up with at 0.
+
+    The queries of a type are dealt in chunks, which meet the sums of the labels that the type's profiles have. A task scores a chunk
+    as a product of two small matrices, so that scores of queries by groups are never rows."""
+    square = lambda df, *by: df.groupBy(*by).agg(F.sum(F.col("value") * F.col("value")).alias("gg"))
+    used = settle(prof.select("truth", "dir", "label").distinct())
+    touched = masked.select("truth", "group").distinct()
+    plain = used.join(sums, ["dir", "label"]).join(touched, ["truth", "group"], "left_anti").join(square(sums, "group"), "group")
+    other = used.join(masked, ["truth", "dir", "label"]).join(square(masked, "truth", "group"), ["truth", "group"])
+    columns = ["truth", "dir", "label", "group", "value", "gg"]
+    chunks = queries.groupBy("truth").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_n"))  # one row a type
+    at = F.pmod(F.xxhash64("neuron_id"), F.col("_n")).cast("int").alias("chunk")
+    sent = plain.select(columns).unionByName(other.select(columns)).join(chunks, "truth").select(*columns, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("dir", "string"), ("label", "string"), ("value", "double"))]
+    asked = prof.unionByName(queries.select("neuron_id", "truth", *none)).join(F.broadcast(chunks), "truth").select("neuron_id", "truth", "dir", "label", "value", at)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, row = np.unique(left["neuron_id"].to_numpy(), return_inverse=True)
+        truth, has = left["truth"][0].as_py(), left["value"].is_valid().to_numpy()
+        name = lambda t: pc.binary_join_element_wise(t["dir"], t["label"], "\t")
+        labels = pc.unique(name(right))
+        column = pc.index_in(name(left), labels).combine_chunks() if len(left) else pa.array([], pa.int32())
+        has &= column.is_valid().to_numpy(zero_copy_only=False)
+        groups = sorted({*right["group"].unique().to_pylist(), *first}, key=str.encode)
+        place = pc.index_in(right["group"], pa.array(groups, pa.string())).to_numpy()
+        weight, gg, qq = np.zeros((len(labels), len(groups))), np.zeros(len(groups)), np.zeros(len(ids))
+        weight[pc.index_in(name(right), labels).to_numpy(), place] = right["value"].to_numpy()
+        gg[place] = right["gg"].to_numpy()
+        value = left["value"].fill_null(0.0).to_numpy()
+        np.add.at(qq, row, value * value)
+        row, value, column = row[has], value[has], column.fill_null(0).to_numpy()[has]
+        order, found = np.argsort(row, kind="stable"), []
+        row, value, column = row[order], value[order], column[order]
+        step = max(1, CELLS // max(1, len(labels), len(groups)))
+        for low in range(0, len(ids), step):
+            k = min(step, len(ids) - low)
+            a, b = np.searchsorted(row, [low, low + k])
+            x = np.zeros((k, len(labels)))
+            np.add.at(x, (row[a:b] - low, column[a:b]), value[a:b])
+            norm = np.sqrt(qq[low : low + k, None]) * np.sqrt(gg)
+            s = np.divide(x @ weight, norm, out=np.zeros((k, len(groups))), where=norm > 0)
+            top = np.argsort(-np.round(s, 10), axis=1, kind="stable")[:, :n]
+            found.append((top, np.take_along_axis(s, top, 1)))
+        top, s = (np.concatenate(z) for z in zip(*found, strict=True))
+        pairs = pa.StructArray.from_arrays([pa.array(groups, pa.string()).take(pa.array(top.ravel())), pa.array(s.ravel())], ["group", "s"])
+        ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * top.shape[1])
+        return pa.table({"neuron_id": ids, "truth": [truth] * len(ids), "best": pa.ListArray.from_arrays(ends, pairs)})
+
+    def chunk(left: pa.Table, right: pa.Table) -> pa.Table:
+        if len(left):
+            return score(left, right)
+        return pa.table({"neuron_id": pa.array([], pa.int64()), "truth": pa.array([], pa.string()), "best": pa.array([], pa.list_(pa.struct([("group", pa.string()), ("s", pa.float64())])))})
+
+    return asked.groupBy("truth", "chunk").cogroup(sent.groupBy("truth", "chunk")).applyInArrow(chunk, "neuron_id long, truth string, best array<struct<group string, s double>>")
+
+
 def run_benchmark(query: Graph, atlas: Atlas, *, query_ref: str, truth_column: str = "fafb_783_cell_type", max_types: int = 2000, seed: int = 0, protocols: Sequence[str] = ("closed", "open"), top_k: int = 5) -> DataFrame:
     """Records (query, protocol, level, type, neuron_id, top1, top_labels, s1, a1, margin, correct, top3, empty,
     log_mass) of at most ``max_types`` types, per neuron and (neuron_id -1) per type's mean profile.
@@ -62,24 +127,13 @@ def run_benchmark(query: Graph, atlas: Atlas, *, query_ref: str, truth_column: s
     some = full.unionByName(full.select(F.lit(-1).cast("long").alias("neuron_id"), "truth").distinct()).withColumn("_some", F.lit(True))
     queries = settle(queries.join(some, ["neuron_id", "truth"], "left").select("neuron_id", "truth", F.col("_some").isNull().alias("empty")))
     masked, key = settle(masked_sums(atlas, types)), ["neuron_id", "truth"]
-    square = lambda c: F.sum(F.col(c) * F.col(c))
-    dot = F.sum(F.col("value") * F.col("g")).alias("dot")
-    touched = masked.select("truth", "group").distinct().withColumn("_t", F.lit(True))
-    plain = prof.join(atlas.sums.withColumnRenamed("value", "g"), ["dir", "label"]).groupBy(*key, "group").agg(dot).join(touched, ["truth", "group"], "left").where("_t is null").drop("_t")
-    other = prof.join(masked.withColumnRenamed("value", "g"), ["truth", "dir", "label"]).groupBy(*key, "group").agg(dot)
-    plain = plain.join(atlas.sums.groupBy("group").agg(square("value").alias("gg")), "group")
-    other = other.join(masked.groupBy("truth", "group").agg(square("value").alias("gg")), ["truth", "group"])
-    s = plain.unionByName(other, allowMissingColumns=True).join(prof.groupBy(*key).agg(square("value").alias("qq")), key)
-    s = settle(s.select(*key, "group", cosine(F.col("dot"), F.col("qq"), F.col("gg")).alias("s")))
     labels = [r["label"] for r in atlas.members.select("label").distinct().orderBy("label").limit(2 * top_k + 1).collect()]
+    best = settle(_best(prof, queries, atlas.sums, masked, labels, top_k + 1))
     yards, out = F.broadcast(atlas.yardsticks.select(F.col("group").alias("top1"), "neuron_yard", "group_yard")), None
-    filler = queries.select(*key, F.explode(F.lit(labels)).alias("group")).join(s.select(*key, "group"), [*key, "group"], "left_anti").withColumn("s", F.lit(0.0))
     for protocol in protocols:
-        rows = s.unionByName(filler)
-        rows = rows if protocol == "closed" else rows.where(F.col("group") != F.col("truth"))
-        order = W.partitionBy(*key).orderBy(F.desc(F.round("s", 10)), "group")
-        best = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top_k).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "group", "s"))).alias("r"))
-        r = best.join(queries, key).join(mass, "neuron_id", "left")
+        ranked = F.col("best") if protocol == "closed" else F.filter("best", lambda x: x["group"] != F.col("truth"))
+        r = best.withColumn("r", F.slice(ranked, 1, top_k)).where(F.size("r") > 0).drop("best")
+        r = r.join(queries, key).join(mass, "neuron_id", "left")
         top = F.transform("r", lambda x: x["group"])
         s1, s2 = F.col("r")[0]["s"], F.coalesce(F.get("r", F.lit(1))["s"], F.lit(0.0))
         level = F.when(F.col("neuron_id") < 0, "group").otherwise("neuron")

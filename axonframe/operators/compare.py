@@ -61,7 +61,8 @@ def vocab_partner_names(nodes: DataFrame, known: DataFrame, vocabulary: str = "f
 
 def partner_counts(graph: Graph, labels: DataFrame) -> DataFrame:
     """(neuron_id, dir, label, value): weight to (out) and from (in) partners by label; null label: unlabelled."""
-    half = lambda own, name: label_sums(graph, own, labels, "left").select(F.col(own).alias("neuron_id"), F.lit(name).alias("dir"), "label", F.col("weight").alias("value"))
+    names = per_node(labels.select("neuron_id", "label"))
+    half = lambda own, name: sums_by(graph, own, names, "left").select(F.col(own).alias("neuron_id"), F.lit(name).alias("dir"), "label", F.col("weight").alias("value"))
     return half("pre", "out").unionByName(half("post", "in"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -200,7 +201,7 @@ SELECT protocol, truth AS type, neuron_id, max(g) FILTER (WHERE k = 1) AS top1,
 def benchmark_records(spark, sf_dir):
     """Records of all types, masked on both sides."""
     graph = p.settled(view.graph(spark, sf_dir))
-    graph = g.Graph(graph.nodes.withColumn("fafb_783_cell_type", F.col("cell_type")), graph.edges, graph.provenance)
+    graph = replace(graph, nodes=graph.nodes.withColumn("fafb_783_cell_type", F.col("cell_type")))
     found = benchmark.run_benchmark(graph, compare.build_atlas(graph), query_ref="star", max_types=2**31 - 1)
     return found.where("level = 'neuron'").select("protocol", "type", "neuron_id", "top1", F.round("s1", 7).alias("s1"), F.round("margin", 7).alias("margin"), "correct", "top3", "empty")
 

@@ -190,3 +190,19 @@ def test_signs_are_looked_up_for_nodes_of_blocks(spark, monkeypatch):
     for f in (g.signed_weights, lambda x: g.interpreter_inputs(x)[0]):
         got, want = f(graph), f(_unfactored(graph))
         assert not _crossed(got) and _crossed(want) and same(got) == same(want.select(got.columns))
+
+
+def test_a_benchmark_does_not_make_edges_of_blocks(spark, monkeypatch):
+    asked, run = [], benchmark.run_benchmark
+    monkeypatch.setattr(benchmark, "run_benchmark", lambda x, *a, **k: asked.append(x) or run(x, *a, **k))
+    QUERIES["benchmark_records"](spark, str(SF))
+    assert asked[0].factored is not None
+
+
+def test_queries_are_scored_in_chunks(spark, monkeypatch):
+    """Chunks and steps of any size give the same records."""
+    rows = lambda: sorted(map(repr, QUERIES["benchmark_records"](spark, str(SF)).collect()))
+    want = rows()
+    monkeypatch.setattr(benchmark, "CHUNK", 7)
+    monkeypatch.setattr(benchmark, "CELLS", 100)
+    assert rows() == want
